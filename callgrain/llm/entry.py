@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from callgrain.llm import langid, quality
+import corpus_pipeline
+from callgrain.llm import langid, minhash, mixing, pieces, quality
 
 
 def queries() -> dict:
     return {
         "op2_language_id": langid.op2_language_id,
+        "op4_minhash_near_dedup": minhash.op4_minhash_near_dedup,
+        "op5_sentencepiece": pieces.op5_sentencepiece,
         "op8_quality_rules": quality.op8_quality_rules,
+        "op10_mix_sources": mixing.op10_mix_sources,
+        "pipeline": corpus_pipeline.run,
     }
 
 
