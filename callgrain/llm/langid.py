@@ -155,8 +155,13 @@ def train(learnable: DataFrame, config: LangIdConfig | None = None) -> LangIdMod
     texts = learnable.select("doc_id", "text", "lang").where(has_letter(F.col("text")))
     df, total = document_frequencies(texts, c)
     idf = np.where(df > 0, np.log((1 + total) / (1 + df)) + 0.1, 0.0)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "text")
-    sample = texts.where("lang is not null").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= c.rows_per_label)
+    key = F.xxhash64(F.col("doc_id").cast("string"))
+    order = Window.partitionBy("lang").orderBy(key, "doc_id", "text")
+    # first a share of each label's rows, by hash, so that no task ranks more than a few times the bound
+    counts = {r["lang"]: r["count"] for r in learnable.where("lang is not null").groupBy("lang").count().collect()}
+    near = [F.when(F.col("lang") == v, F.pmod(key, F.lit(1 << 20)) < int((1 << 20) * 4 * c.rows_per_label / n) + 1) for v, n in counts.items() if n > 4 * c.rows_per_label]
+    sample = texts.where("lang is not null").where(F.coalesce(*near, F.lit(True)))
+    sample = sample.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= c.rows_per_label)
     shared = spark.sparkContext.broadcast(idf)
 
     def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -213,7 +218,7 @@ def identify(docs: DataFrame, config: LangIdConfig | None = None) -> DataFrame:
     return found.select("row", held_out(F.col("row.doc_id")).alias("held_out"), "p.lang_pred", "p.score")
 
 
-def language_filter(docs: DataFrame, min_score: float = 0.5, config: LangIdConfig | None = None) -> DataFrame:
+def language_filter(docs: DataFrame, min_score: float = 0.4, config: LangIdConfig | None = None) -> DataFrame:
     """The documents whose language is recognised: not `und`, and with a calibrated probability of at least min_score."""
     return identify(docs, config).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select("row.*")
 
