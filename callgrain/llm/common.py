@@ -84,3 +84,18 @@ def drop(spark: SparkSession, paths: list[str]) -> None:
 def packed(df: DataFrame) -> DataFrame:
     """One struct column `row` holding all columns, so that columns added beside it can't clash with them."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
+def open_folder(uri: str):
+    """(filesystem, path) of a folder that every executor reaches, by its URI; plain paths are local ones."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+
+
+def write_whole(filesystem, path: str, attempt: int, write) -> None:
+    """Write a file under a name of this attempt, then move it: a repeated or lost task leaves no half file."""
+    own = f"{path}.attempt-{attempt}"
+    with filesystem.open_output_stream(own) as out:
+        write(out)
+    filesystem.move(own, path)
