@@ -143,9 +143,16 @@ def signatures(docs: DataFrame, c: NearDupConfig) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n_shingles long, digest binary, bands array<long>")
 
 
+def wanted_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the documents in ids. Up to 500,000 ids are broadcast, so that no other text is shuffled; more are joined."""
+    text = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    small = ids.limit(500_001).count() <= 500_000
+    return text.join(F.broadcast(ids) if small else ids, "id", "left_semi")
+
+
 def compare(pairs: DataFrame, docs: DataFrame, c: NearDupConfig) -> DataFrame:
     """pairs(a, b) of documents with words: adds the sizes of intersection and union of their full sets."""
-    text = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    text = wanted_texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     blocks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / c.block).cast("int").alias("blocks"))
     partner = pairs.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"))
     partner = partner.join(text.withColumnRenamed("id", "b"), "b").select("a", "block", "b", "text")
@@ -179,7 +186,7 @@ def near_duplicates(docs: DataFrame, config: NearDupConfig | None = None) -> Dat
     signed = materialize(signatures(docs, c), "signatures")
     reps = signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     reps = materialize(reps, "classes", made)
-    keys = reps.where("rep is not null").select("rep", "n", F.explode("bands").alias("band")).distinct()
+    keys = reps.where("rep is not null").select("rep", "n", F.explode("bands").alias("band"))
     crowds = keys.groupBy("band").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
     members = materialize(keys.join(crowds, "band"), "members", made)
     # the member that shares most buckets leads: in a group of copies of one original, that is the original
