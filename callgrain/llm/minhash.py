@@ -8,8 +8,9 @@ Steps: (1) one pass over the texts makes set size, set digest and band keys; (2)
 with equal sets form a class with one representative; (3) in every band bucket the
 member that shares most buckets leads, and is compared with each other member; (4)
 links give components; in buckets that still hold several components the remaining
-pairs are compared too, except those whose similarity the triangle inequality of the
-Jaccard distance (towards the leader) or the set sizes rule out; (5) components again.
+pairs are compared too, except those whose similarity is ruled out by the triangle
+inequality of the Jaccard distance (towards the leader) or by the sizes of the sets,
+where shingles that no other member has can't be shared; (5) components again.
 Comparisons intersect full shingle sets (by 64-bit hash). A leader's text travels once
 per block of its partners, so hot groups spread over tasks.
 
@@ -150,6 +151,19 @@ def wanted_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return text.join(F.broadcast(ids) if small else ids, "id", "left_semi")
 
 
+def private_counts(ids: DataFrame, docs: DataFrame, c: NearDupConfig) -> DataFrame:
+    """For each document in ids: how many of its shingles no other document in ids has."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingle_set(t, c.shingle).view(np.int64) for t in b.column(1).to_pylist()]
+            owners = np.repeat(np.array(b.column(0).to_pylist(), np.int64), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([pa.array(owners), pa.array(np.concatenate(found) if found else owners)], ["id", "shingle"])
+
+    held = wanted_texts(docs, ids).mapInArrow(sets, "id long, shingle long").groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("other"))
+    return held.where("id = other").groupBy("id").agg(F.count(F.lit(1)).alias("private"))
+
+
 def compare(pairs: DataFrame, docs: DataFrame, c: NearDupConfig) -> DataFrame:
     """pairs(a, b) of documents with words: adds the sizes of intersection and union of their full sets."""
     text = wanted_texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
@@ -194,7 +208,6 @@ def near_duplicates(docs: DataFrame, config: NearDupConfig | None = None) -> Dat
     ranked = members.join(share, "rep")
     lead = ranked.groupBy("band").agg(F.max_by(F.struct(F.col("rep").alias("lead"), F.col("n").alias("lead_n")), F.struct("share", -F.col("rep"))).alias("l"))
     members = materialize(members.join(lead, "band").select("band", "rep", "n", "l.lead", "l.lead_n"), "led", made)
-    near = lambda x, y: 100 * F.least(x, y) >= c.percent * F.greatest(x, y)  # noqa: E731  sizes that can reach the threshold
     first = members.where(F.col("rep") != F.col("lead")).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     first = materialize(compare(first, docs, c), "compared", made)
     linked = 100 * F.col("both") >= c.percent * F.col("either")
@@ -203,15 +216,29 @@ def near_duplicates(docs: DataFrame, config: NearDupConfig | None = None) -> Dat
     # pairs left: other components of the same bucket, unless sizes or the distances to the leader rule them out
     seen = (
         members.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-        .join(first.select(F.col("a").alias("lead"), F.col("b").alias("rep"), (1 - F.col("both") / F.col("either")).alias("d")), ["lead", "rep"], "left")
-        .select("band", "rep", "n", F.coalesce("component", "rep").alias("comp"), F.coalesce("d", F.lit(0.0)).alias("d"), (F.col("rep") == F.col("lead")).alias("leads"))
+        .join(first.select(F.col("a").alias("lead"), F.col("b").alias("rep"), "both", (1 - F.col("both") / F.col("either")).alias("d")), ["lead", "rep"])
+        .select("band", "rep", "n", F.coalesce("component", "rep").alias("comp"), "both", "d")
     )
     seen = materialize(seen, "seen", made)
-    mixed = seen.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
-    left = seen.where("not leads").join(mixed, "band")
+    heads = members.where("rep = lead").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("band", F.coalesce("component", "rep").alias("comp"))
+    mixed = seen.select("band", "comp").unionByName(heads).groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("crowd")).where("lo < hi").select("band", "crowd")
+    left = materialize(seen.join(mixed, "band"), "left", made)
+    # two members share at most the lesser of what each shares with the leader, and of what else each has;
+    # what only one document of a crowd has is shared by none
+    alone = private_counts(left.where("crowd > 4").select(F.col("rep").alias("id")).distinct(), docs, c)
+    left = left.join(alone.withColumnRenamed("id", "rep"), "rep", "left").withColumn("else", F.col("n") - F.col("both") - F.when(F.col("crowd") > 4, F.coalesce("private", F.lit(0))).otherwise(0))
+    left = materialize(left.where(100 * (F.col("both") + F.col("else")) >= c.percent * F.col("n")), "left", made)
     x, y = left.alias("x"), left.alias("y")
+    most = F.least("x.both", "y.both") + F.least("x.else", "y.else")
     reach = 1 - c.percent / 100 + 1e-9
-    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")) & near(F.col("x.n"), F.col("y.n")) & (F.abs(F.col("x.d") - F.col("y.d")) <= reach))
+    rest = x.join(
+        y,
+        (F.col("x.band") == F.col("y.band"))
+        & (F.col("x.rep") < F.col("y.rep"))
+        & (F.col("x.comp") != F.col("y.comp"))
+        & (100 * most >= c.percent * (F.col("x.n") + F.col("y.n") - most))
+        & (F.abs(F.col("x.d") - F.col("y.d")) <= reach),
+    )
     rest = materialize(rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), "rest", made)
     more = compare(rest, docs, c).where(linked).select("a", "b")
     links = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
