@@ -226,16 +226,26 @@ def nearest(vectors: DataFrame, queries: Column, config: AnnConfig | None = None
             return pd.DataFrame({"query": [], "rep": [], "score": []})
         x, y = np.stack(left["x"].to_numpy()), np.stack(right["x"].to_numpy())
         ids = left["rep"].to_numpy()
-        keep = min(len(x), c.k + 12)  # some more than k + 1: these scores only preselect
-        found = []
+        keep = min(len(x), c.k + 1)
+        size = np.sqrt((x**2).sum(axis=1).max())
+        queries, reps, scores = [], [], []
         for at in range(0, len(y), 256):
-            s = y[at : at + 256] @ x.T
-            near = np.argpartition(-s, keep - 1, axis=1)[:, :keep] if keep < len(x) else np.broadcast_to(np.arange(len(x)), s.shape)
-            exact = np.zeros(near.shape)
+            part = y[at : at + 256]
+            s = part @ x.T  # these scores only preselect: all that may tie with the last place stay
+            last = -np.partition(-s, keep - 1, axis=1)[:, keep - 1]
+            slack = 1e-12 * size * np.sqrt((part**2).sum(axis=1))
+            i, j = np.nonzero(s >= (last - slack)[:, None])
+            exact = np.zeros(len(i))
             for d in range(x.shape[1]):
-                exact += y[at : at + 256, d, None] * x[near, d]
-            found.append(pd.DataFrame({"query": np.repeat(right["rep"].to_numpy()[at : at + 256], keep), "rep": ids[near].ravel(), "score": exact.ravel()}))
-        return pd.concat(found)
+                exact += part[i, d] * x[j, d]
+            order = np.lexsort((ids[j], -exact, i))
+            i, j, exact = i[order], j[order], exact[order]
+            place = np.arange(len(i)) - np.searchsorted(i, i)
+            best = place < keep
+            queries.append(right["rep"].to_numpy()[at : at + 256][i[best]])
+            reps.append(ids[j[best]])
+            scores.append(exact[best])
+        return pd.DataFrame({"query": np.concatenate(queries), "rep": np.concatenate(reps), "score": np.concatenate(scores)})
 
     pairs = v.groupBy("list", "v", "q").cogroup(q.groupBy("list", "v", "q")).applyInPandas(compare, "query long, rep long, score double")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "rep")

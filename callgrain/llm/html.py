@@ -71,7 +71,7 @@ def is_dropped(tag: str, attrs: list[tuple[str, str | None]], inside_marked: boo
 
 
 class LineParser(HTMLParser):
-    """Collects lines: (text, share of text in links, tags, open elements by number)."""
+    """Collects lines: (text, share of text in links, tags, open block elements by number)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -86,7 +86,7 @@ class LineParser(HTMLParser):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.lines.append((text, self.linked / max(1, len("".join(self.parts))), self.tags, tuple(x[2] for x in self.stack)))
+                self.lines.append((text, self.linked / max(1, len("".join(self.parts))), self.tags, tuple(x[2] for x in self.stack if x[0] in BLOCK)))
         self.parts, self.linked, self.tags = [], 0, 0
 
     def _pop_to(self, depth: int) -> None:
@@ -196,7 +196,7 @@ def main_text(html: str | None) -> str:
     held: dict[int, int] = {}
     for x, c in zip(lines, chosen, strict=True):
         if c:
-            for k in x[3]:
+            for k in x[3][:-1]:  # the innermost is the line's own paragraph
                 held[k] = held.get(k, 0) + len(x[0])
     region = max((k for k, v in held.items() if v * 4 >= total * 3), default=None)
     inside = [x for x in lines if (region is None or region in x[3]) and x[1] <= 0.5]

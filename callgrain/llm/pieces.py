@@ -17,7 +17,7 @@ No piece has U+2581 behind another character, and none holds a fallback characte
 independent, and a stretch's path is remembered in a bounded table.
 
 Decoding is the inverse machine: pieces to characters, runs of bytes through UTF-8 with
-U+FFFD for what is invalid, U+2581 to a space, and the added first space dropped. A
+U+FFFD for each invalid byte, U+2581 to a space, and the added first space dropped. A
 U+2581 of the text itself comes back as a space, as it does in the library.
 
 Defined cases: null text is empty text, which has no ids. Extra columns are left alone.
@@ -25,6 +25,7 @@ Defined cases: null text is empty text, which has no ids. Extra columns are left
 
 from __future__ import annotations
 
+import codecs
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -38,6 +39,7 @@ from callgrain.llm.common import packed, python_ready
 
 SPACE = "▁"
 REMEMBERED, REMEMBERED_CHARS = 400_000, 64
+codecs.register_error("one-by-one", lambda e: ("\ufffd" * (e.end - e.start), e.end))
 
 
 def vocabulary_path() -> str:
@@ -159,14 +161,14 @@ class PieceMachine:
                 raw.append(self.bytes[i])
                 continue
             if raw:
-                out.append(raw.decode("utf-8", "replace"))
+                out.append(raw.decode("utf-8", "one-by-one"))
                 raw.clear()
             if i == self.unknown:
                 out.append(" ⁇ ")
             elif i not in self.silent:
                 out.append(self.text[i])
         if raw:
-            out.append(raw.decode("utf-8", "replace"))
+            out.append(raw.decode("utf-8", "one-by-one"))
         text = "".join(out).replace(SPACE, " ")
         return text[1:] if text.startswith(" ") else text
 
