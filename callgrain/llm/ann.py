@@ -5,8 +5,8 @@ Index: inner products become Euclidean distances by one more coordinate, sqrt(M^
 cut again and again at the median of its main direction, so lists are balanced; their
 number grows with the table (`list_rows` vectors each) up to `max_lists`. A vector goes to its nearest
 list and, near a boundary, to further lists: those within (1 + `closure`) of the nearest
-distance, if no list taken before lies nearer to them than the vector does. Centroids
-are searched by a beam search on an in-memory neighbour graph.
+distance, if each list taken before is more than `apart` times as far from them as the
+vector is. Centroids are searched by a beam search on an in-memory neighbour graph.
 
 Search: a query visits the lists within (1 + `reach`) of its nearest centroid's
 distance, `probes` of them at least and `max_probes` at most, and compares itself with
@@ -44,8 +44,9 @@ class AnnConfig:
     max_lists: int = 20_000
     sample_per_list: int = 16  # the sample has so many rows per list, at most
     closure: float = 0.1
+    apart: float = 0.6
     replicas: int = 3
-    reach: float = 0.6
+    reach: float = 0.2
     probes: int = 16
     max_probes: int = 96
     graph_degree: int = 16
@@ -155,7 +156,7 @@ def lists_of(x: np.ndarray, graph: Graph, c: AnnConfig) -> list[list[int]]:
         for a, i in zip(dist[1:], near[1:], strict=True):
             if len(taken) >= c.replicas or a > (1 + c.closure) * dist[0] + 1e-12:
                 break
-            if all(np.linalg.norm(graph.c[i] - graph.c[t]) > a for t in taken):
+            if all(np.linalg.norm(graph.c[i] - graph.c[t]) > c.apart * a for t in taken):
                 taken.append(int(i))
         out.append(taken)
     return out
