@@ -166,7 +166,8 @@ def private_counts(ids: DataFrame, docs: DataFrame, c: NearDupConfig) -> DataFra
 
 def compare(pairs: DataFrame, docs: DataFrame, c: NearDupConfig) -> DataFrame:
     """pairs(a, b) of documents with words: adds the sizes of intersection and union of their full sets."""
-    text = wanted_texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    text = wanted_texts(docs, materialize(ids, "compared-ids"))
     blocks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / c.block).cast("int").alias("blocks"))
     partner = pairs.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"))
     partner = partner.join(text.withColumnRenamed("id", "b"), "b").select("a", "block", "b", "text")
@@ -225,7 +226,8 @@ def near_duplicates(docs: DataFrame, config: NearDupConfig | None = None) -> Dat
     left = materialize(seen.join(mixed, "band"), "left", made)
     # two members share at most the lesser of what each shares with the leader, and of what else each has;
     # what only one document of a crowd has is shared by none
-    alone = private_counts(left.where("crowd > 4").select(F.col("rep").alias("id")).distinct(), docs, c)
+    crowded = materialize(left.where("crowd > 4").select(F.col("rep").alias("id")).distinct(), "crowded", made)
+    alone = private_counts(crowded, docs, c)
     left = left.join(alone.withColumnRenamed("id", "rep"), "rep", "left").withColumn("else", F.col("n") - F.col("both") - F.when(F.col("crowd") > 4, F.coalesce("private", F.lit(0))).otherwise(0))
     left = materialize(left.where(100 * (F.col("both") + F.col("else")) >= c.percent * F.col("n")), "left", made)
     x, y = left.alias("x"), left.alias("y")
