@@ -18,7 +18,12 @@ def stream_import(spark: SparkSession, folder: str, pattern: str = "*") -> DataF
     foreachBatch decides by path where that matters.
     """
     files = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("pathGlobFilter", pattern).load(folder)
-    return files.select("path", "modificationTime", "length", F.sha2("content", 256).alias("sha256")).dropDuplicates(["sha256"])
+    return first_by_content(files, "content").select("path", "modificationTime", "length", "sha256")
+
+
+def first_by_content(stream: DataFrame, content: str) -> DataFrame:
+    """One row per content hash over the stream's life. State grows with distinct contents, 32 bytes of key each."""
+    return stream.withColumn("sha256", F.sha2(F.col(content).cast("binary"), 256)).drop(content).dropDuplicates(["sha256"])
 
 
 def stream_index(changes: DataFrame, folder: str) -> DataStreamWriter:
