@@ -38,14 +38,15 @@ DROPPED = frozenset(
     "script style noscript template head title nav footer aside form button select textarea option label fieldset iframe object svg canvas audio video "
     "dialog menu math map applet datalist".split()
 )
-DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert status menu menubar toolbar form tablist note".split())
+DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form tablist".split())
 DROPPED_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion promotions banner cookie cookies consent gdpr "
+    "ad ads adv adbox adslot adunit advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion promotions banner cookie cookies consent gdpr "
     "notice notices alert alerts warning disclaimer newsletter subscribe subscription signup popup overlay modal toast sidebar aside widget widgets related recommended recommendations "
-    "share sharing social comment comments commentlist reply replies respond disqus discussion nav navbar navigation menu menus breadcrumb breadcrumbs "
+    "share sharing social comment comments commentlist feedback responses reply replies respond disqus discussion nav navbar navigation menu menus breadcrumb breadcrumbs "
     "pagination pager footer header masthead topbar toolbar skip hidden login search".split()
 )
-KEPT_WORDS = frozenset("content article main post entry body story text page".split())
+CONTENT_NAMES = frozenset("content article main post entry body story text page article-body post-body entry-body main-content post-content page-content entry-content article-content".split())
+PART_OF = ("with-", "has-", "no-", "without-")
 ENDED_BY_BLOCK = frozenset({"p"})
 ENDED_BY_SAME = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr"}, "th": {"tr"}, "option": {"select"}}
 MARKED = frozenset({"article", "main"})
@@ -67,7 +68,16 @@ def is_dropped(tag: str, attrs: list[tuple[str, str | None]], inside_marked: boo
     words = {w.lower() for w in _WORDS.findall(f"{a.get('class', '')} {a.get('id', '')}")}
     if tag == "article":
         return bool(words & {"comment", "comments", "reply", "ad", "ads", "advert", "sponsored", "related", "promo"})
-    return bool(words & DROPPED_WORDS) and not words & KEPT_WORDS
+    if not words & DROPPED_WORDS:
+        return False
+    names = [n for n in f"{a.get('class', '')} {a.get('id', '')}".split() if not n.lower().startswith(PART_OF)]
+    if any(n.lower() in CONTENT_NAMES for n in names):
+        return False
+    for n in names:
+        bad = {w.lower() for w in _WORDS.findall(n)} & DROPPED_WORDS
+        if bad - {"header"} or bad and not inside_marked:
+            return True
+    return False
 
 
 class LineParser(HTMLParser):
@@ -80,7 +90,8 @@ class LineParser(HTMLParser):
         self.parts: list[str] = []
         self.linked = self.tags = 0
         self.lines: list[tuple[str, float, int, tuple[int, ...]]] = []
-        self.is_marked: set[int] = set()
+        self.articles: set[int] = set()
+        self.mains: set[int] = set()
 
     def end_line(self) -> None:
         if self.parts:
@@ -128,8 +139,10 @@ class LineParser(HTMLParser):
         self.links += tag == "a"
         if tag in MARKED:
             self.marked += 1
-        if tag in MARKED or ("role", "main") in attrs:
-            self.is_marked.add(self.number)
+        if tag == "article":
+            self.articles.add(self.number)
+        elif tag == "main" or ("role", "main") in attrs:
+            self.mains.add(self.number)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -189,9 +202,11 @@ def main_text(html: str | None) -> str:
     ratios = [len(t) * (1 - linked) / max(1, tags) for t, linked, tags, _ in lines]
     chosen = content_runs(ratios)
     total = sum(len(x[0]) for x, c in zip(lines, chosen, strict=True) if c)
-    in_marked = [any(k in p.is_marked for k in x[3]) for x in lines]
-    if sum(len(x[0]) for x, c, m in zip(lines, chosen, in_marked, strict=True) if c and m) * 4 >= total or sum(len(x[0]) for x, m in zip(lines, in_marked, strict=True) if m) * 3 >= sum(len(x[0]) for x in lines):
-        return "\n".join(x[0] for x, m in zip(lines, in_marked, strict=True) if m)
+    size = lambda keep: sum(len(x[0]) for x, k in zip(lines, keep, strict=True) if k)
+    for marked in (p.articles, p.mains):
+        inside = [any(k in marked for k in x[3]) for x in lines]
+        if any(inside) and (4 * size([a and b for a, b in zip(inside, chosen, strict=True)]) >= total or 3 * size(inside) >= size([True] * len(lines))):
+            return "\n".join(x[0] for x, m in zip(lines, inside, strict=True) if m)
     # no marked region: the deepest element that holds most of the content runs
     held: dict[int, int] = {}
     for x, c in zip(lines, chosen, strict=True):

@@ -432,6 +432,8 @@ def test_cutoffs_hold_and_are_the_strictest(spark):
         ("<article><p>a<script>if (1<2) '</p>'</script>b</p><!-- c --><form><p>f</p></form><section class=comments><p>no</p></section></article>", "ab"),
         ("<main><table><tr><td>1<td>2<tr><td>3</table><ul><li>i<li>j</ul></main>", "1\n2\n3\ni\nj"),
         ("<article><p>a<br>b &#8364; &nbsp; c</p></article>", "a b € c"),
+        ("<main><article><header><h1>H</h1></header><p>a</p><div class='post-comments'>c</div><div class=article-footer>f</div></article><h2>More</h2></main>", "H\na"),
+        ("<div class='page with-sidebar'><div class=main-nav>n</div><div class=post-content><p>" + "w " * 99 + "<p>z</div><div id=sidebar>s</div></div>", ("w " * 99).strip() + "\nz"),
         ("<div hidden>h</div><article>t<div style='display: none'>u</div></article><div role=navigation>v</div>", "t"),
     ],
 )
