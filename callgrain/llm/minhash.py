@@ -230,6 +230,9 @@ def near_duplicates(docs: DataFrame, config: NearDupConfig | None = None) -> Dat
     alone = private_counts(crowded, docs, c)
     left = left.join(alone.withColumnRenamed("id", "rep"), "rep", "left").withColumn("else", F.col("n") - F.col("both") - F.when(F.col("crowd") > 4, F.coalesce("private", F.lit(0))).otherwise(0))
     left = materialize(left.where(100 * (F.col("both") + F.col("else")) >= c.percent * F.col("n")), "left", made)
+    # a pair is looked at in the first bucket that both are left in
+    own = left.groupBy("rep").agg(F.collect_set("band").alias("bands"))
+    left = materialize(left.join(own, "rep"), "left", made)
     x, y = left.alias("x"), left.alias("y")
     most = F.least("x.both", "y.both") + F.least("x.else", "y.else")
     reach = 1 - c.percent / 100 + 1e-9
@@ -239,7 +242,8 @@ def near_duplicates(docs: DataFrame, config: NearDupConfig | None = None) -> Dat
         & (F.col("x.rep") < F.col("y.rep"))
         & (F.col("x.comp") != F.col("y.comp"))
         & (100 * most >= c.percent * (F.col("x.n") + F.col("y.n") - most))
-        & (F.abs(F.col("x.d") - F.col("y.d")) <= reach),
+        & (F.abs(F.col("x.d") - F.col("y.d")) <= reach)
+        & (F.col("x.band") == F.array_min(F.array_intersect("x.bands", "y.bands"))),
     )
     rest = materialize(rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), "rest", made)
     more = compare(rest, docs, c).where(linked).select("a", "b")
