@@ -186,7 +186,9 @@ def quality_filter(docs: DataFrame, labels: DataFrame, control: RiskControl | No
     f = features_of(docs.select("doc_id", "lang", "text"))
     f = materialize(f.select(F.col("row.doc_id").alias("doc_id"), "stratum", "base_failed", *control.grid), "quality", made)
     cut = materialize(learn_cutoffs(f, labels, control), "cutoffs")
-    out = judge(features_of(docs), cut, control).where("kept").select("row.*")
+    # the row number keeps the filter above the projections: pushed below, it would compute the words anew for every window
+    f = features_of(docs).withColumn("_number", F.monotonically_increasing_id())
+    out = judge(f, cut, control).where(F.col("kept") & (F.col("_number") >= 0)).select("row.*")
     drop(docs.sparkSession, made)
     return out
 
