@@ -692,3 +692,11 @@ def call_summary(spark, d):
     raw = F.to_json(F.struct(F.col("source_filename").alias("summary"), F.array(F.lit("a"), F.lit("b")).alias("main_topics"), F.lit(True).alias("follow_up_needed")))
     c = fixture(spark, d, "calls").select("call_id", payloads.parse_call_summary(raw).alias("s"))
     return c.select("call_id", "s.summary", F.array_join("s.main_topics", "|").alias("topics"), F.col("s.follow_up_needed").alias("follow_up"))
+
+
+@query("ref_coalesce_transcript_keys", "SELECT doc_id AS call_id, CASE WHEN doc_id % 2 = 0 THEN source ELSE 'unknown' END AS provider, 'unknown' AS model, CASE WHEN doc_id % 3 = 0 THEN lang ELSE 'unknown' END AS language FROM documents")
+def transcript_keys(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    i = F.col("doc_id")
+    t = docs.select(i.alias("call_id"), F.when(i % 2 == 0, F.col("source")).alias("provider"), F.lit(None).cast("string").alias("model"), F.when(i % 3 == 0, F.col("lang")).alias("language"))
+    return segments.coalesce_transcript_keys(t)
