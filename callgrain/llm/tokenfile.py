@@ -17,6 +17,7 @@ Repeated doc_ids stand next to each other, by text. Extra columns are left alone
 
 from __future__ import annotations
 
+import gc
 import re
 import struct
 import zlib
@@ -35,9 +36,12 @@ from callgrain.llm.common import fresh_dir, materialize, open_folder, python_rea
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEK_MAGIC, HAS_CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 
 FRAME_IDS = 1 << 16
-REMEMBERED, REMEMBERED_CHARS = 400_000, 64
+REMEMBERED, REMEMBERED_CHARS = 500_000, 64  # stretches in each of two generations
 END_ID = 2
 _WORD = re.compile("[^ \t\n\x0b\x0c\r]+")
+# runs of ASCII signs and digits that touch no apostrophe
+_RUN = re.compile(r"(?<![!-@\[-`{-~])([!-&(-@\[-`{-~]++)(?!')")
+_ODD = re.compile(r"[^\x00-\x7f\w]|İ")
 
 
 def vocabulary_path() -> str:
@@ -50,28 +54,88 @@ class WordEncoder:
     """Encodes whole texts with the tokenizers library.
 
     The vocabulary drops white space and no token crosses it, so a text's ids are those
-    of its stretches between white space; a stretch's ids are remembered, within a bound.
+    of its stretches, and those of a stretch are remembered. New stretches of letters
+    alone go to the library many at a time, joined by spaces; each ends with the only
+    piece in it that ends a word. For ASCII letters, which are lower-cased here, the
+    vocabulary's normaliser and splitter would change nothing and are left out.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # for lower-case ASCII letters, normalising and byte mapping change nothing
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer, self.plain.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        # stretches and their parts, in two generations: what is used while the newer one fills survives when the older one goes
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _each(self, parts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(parts), 1024):
+            coded = self.tokenizer.encode_batch_fast(parts[at : at + 1024], add_special_tokens=False)
+            out += [np.array(e.ids, "<u4").tobytes() for e in coded]
+        return out
+
+    def _joined(self, parts: list[str], tokenizer) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(parts), 4096):
+            some = parts[at : at + 4096]
+            ids = np.array(tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(some):  # a letter to Python that is none to the library
+                out += self._each(some)
+                continue
+            data, last = ids.tobytes(), 0
+            for c in (4 * cuts).tolist():
+                out.append(data[last:c])
+                last = c
+        return out
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
-        split = [_WORD.findall(t) if t else [] for t in texts]
+        split = [stretches(t) if t else [] for t in texts]
         if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        new = list({w for ws in split for w in ws if w not in self.known})
-        now: dict[str, bytes] = {}
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                (self.known if len(w) <= REMEMBERED_CHARS else now)[w] = np.array(e.ids, "<u4").tobytes()
-        known = self.known
-        return [b"".join([known[w] if w in known else now[w] for w in ws]) for ws in split]
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        words = list(set().union(*split))
+        now = dict(zip(words, map(known.get, words), strict=True))  # small, so that most lookups stay near
+        plain: list[str] = []
+        letters: list[str] = []
+        rest: list[str] = []
+        for w in [w for w, value in now.items() if value is None]:
+            value = older.get(w)
+            if value is not None:
+                known[w] = now[w] = value
+            elif not w.isalpha():
+                rest.append(w)
+            else:
+                (plain if w.isascii() else letters).append(w)
+        coded = ((plain, self._joined(list(map(str.lower, plain)), self.plain)), (letters, self._joined(letters, self.tokenizer)), (rest, self._each(rest)))
+        for group, values in coded:
+            now.update(zip(group, values, strict=True))
+            known.update((w, v) for w, v in zip(group, values, strict=True) if len(w) <= REMEMBERED_CHARS)
+        return [b"".join(map(now.__getitem__, ws)) for ws in split]
+
+
+def stretches(text: str) -> list[str]:
+    """Parts of a text, in order, that no token crosses: what stands between white space, with runs of ASCII signs and digits apart.
+
+    The vocabulary's own splitting cuts between letters and such a run, too. Not so with
+    an apostrophe, which starts contractions, with `<|`, which may start a special token,
+    with other signs, which may compose or join with their neighbours, and with U+0130,
+    whose lower case has such a sign. str.split takes four control characters for white
+    space that the library doesn't.
+    """
+    if text.isascii():
+        if "<|" not in text:
+            text = _RUN.sub(r" \1 ", text.lower())
+    elif "<|" not in text and not _ODD.search(text):
+        text = _RUN.sub(r" \1 ", text)
+    return _WORD.findall(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -90,7 +154,7 @@ class TokenFileWriter:
     def __init__(self, out):
         import zstandard
 
-        self.out, self.zstd = out, zstandard.ZstdCompressor(level=3)
+        self.out, self.zstd = out, zstandard.ZstdCompressor(level=1)
         self.frames: list[tuple[int, int, int]] = []
         self.docs: list[tuple[int, bool, int]] = []
         self.held: list[bytes] = []
@@ -182,6 +246,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = END
     end = struct.pack("<I", end_id)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # no cycles here, and scanning the remembered words takes time
         encoder, task = word_encoder(path), TaskContext.get()
         fs, top = open_folder(folder)
         name, counts = f"part-{task.partitionId():06d}.zst", [0, 0]
@@ -190,14 +255,15 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = END
             writer = TokenFileWriter(out)
             for b in batches:
                 texts, ids = b.column(1).to_pylist(), b.column(0).to_pylist()
-                for at in range(0, len(ids), 50):
-                    for doc_id, coded in zip(ids[at : at + 50], encoder.encode_all(texts[at : at + 50]), strict=True):
+                for at in range(0, len(ids), 100):
+                    for doc_id, coded in zip(ids[at : at + 100], encoder.encode_all(texts[at : at + 100]), strict=True):
                         writer.add(doc_id, coded + end)
                         counts[0] += 1
                         counts[1] += len(coded) // 4 + 1
             writer.close()
 
         write_whole(fs, f"{top}/{name}", task.taskAttemptId(), body)
+        gc.enable()
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (task.partitionId(), name, *counts)], ["part", "file", "n_docs", "n_ids"])
 
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first())
