@@ -11,8 +11,7 @@ The machine is the composition of three parts, expanded only where an input goes
 * byte fallback: a character that is no piece is read by an arc that writes its UTF-8
   bytes' ids; it joins with nothing, so every neighbour passes.
 
-Shortest distances go from left to right over positions: O(length x longest piece).
-No piece has U+2581 behind another character, and none holds a fallback character
+The search is linear in the length, up to a factor of the longest piece. No piece has U+2581 behind another character, and none holds a fallback character
 (both are checked on loading). So paths through different stretches of text are
 independent, and a stretch's path is remembered in a bounded table.
 
@@ -101,35 +100,41 @@ class PieceMachine:
         return ok
 
     def _path(self, s: str) -> list[int]:
-        """Ids along the shortest path through a stretch without fallback-crossing arcs."""
+        """Ids along the shortest path through a stretch.
+
+        Finite weights are all 0, so the first complete path of finite arcs is shortest.
+        Arcs are followed depth first, longer pieces first. All finite paths to a position
+        come in the same state, so a position that leads nowhere is closed for good.
+        """
         ids, fits, n, longest = self.id, self._fits, len(s), self.longest
-        last: list[int | None] = [None] * (n + 1)  # state on the shortest path to a position; -1: no neighbour to pass
-        last[0] = -1
-        back = [0] * (n + 1)
-        for i in range(1, n + 1):
-            for j in range(max(0, i - longest), i):
-                state = last[j]
-                if state is None:
-                    continue
-                t = ids.get(s[j:i])
-                if t is not None and (fits(state, t) if state >= 0 else self._alone(t)):
-                    last[i], back[i] = t, j
-                    break
-            else:
-                if s[i - 1] not in ids and last[i - 1] is not None:
-                    last[i], back[i] = -1, i - 1
+        closed = bytearray(n + 1)
         out: list[int] = []
-        i = n
-        if last[n] is None:
-            raise ValueError("no path")
-        while i > 0:
-            j = back[i]
-            if last[i] >= 0:
-                out.append(last[i])
+        trail: list[tuple[int, int, int, int]] = []  # position, state, length of the arc, ids before it
+        pos, state, size = 0, -1, min(longest, n)
+        while pos < n:
+            while size:
+                t = ids.get(s[pos : pos + size])
+                if t is not None and not closed[pos + size] and (fits(state, t) if state >= 0 else self._alone(t)):
+                    break
+                size -= 1
+            if size:
+                trail.append((pos, state, size, len(out)))
+                out.append(t)
+                pos, state = pos + size, t
+                size = min(longest, n - pos)
+            elif s[pos] not in ids and not closed[pos + 1]:
+                trail.append((pos, state, 1, len(out)))
+                out.extend(map(self.byte_id.__getitem__, s[pos].encode("utf-8", "surrogatepass")))
+                pos, state = pos + 1, -1
+                size = min(longest, n - pos)
             else:
-                out.extend(self.byte_id[b] for b in reversed(s[j:i].encode("utf-8", "surrogatepass")))
-            i = j
-        return out[::-1]
+                closed[pos] = 1
+                if not trail:
+                    raise ValueError("no path")
+                pos, state, size, k = trail.pop()
+                del out[k:]
+                size -= 1
+        return out
 
     def _alone(self, t: int) -> bool:
         key = -1 - t
