@@ -8,10 +8,13 @@ list and, near a boundary, to further lists: those within (1 + `closure`) of the
 distance, if each list taken before is more than `apart` times as far from them as the
 vector is. Centroids are searched by a beam search on an in-memory neighbour graph.
 
-Search: a query visits the lists within (1 + `reach`) of its nearest centroid's
-distance, `probes` of them at least and `max_probes` at most, and compares itself with
-all vectors there. Lists and their queries meet in blocks of `block` vectors and `block`
-queries, so a crowded list spreads over tasks.
+Search: a query visits all lists within (1 + `reach`) of its nearest centroid's
+distance, `probes` of them at least; the beam widens until it reaches well beyond that distance.
+Neighbouring lists form bins, and a query compares itself with the whole of each bin that
+holds a list it visits. So it is sent, and answers, once a bin instead of once a list.
+Bins hold about `block` vectors in small tables, and grow with the square root of the
+table up to `bin_values` components. Bins and their queries meet in blocks of two bins'
+vectors and `block` queries, so a crowded bin spreads over tasks.
 
 Equal vectors are indexed once, with the k + 1 smallest of their ids: no others can be
 among k nearest. Equal queries are searched once. Scores are sums of products in
@@ -48,10 +51,11 @@ class AnnConfig:
     replicas: int = 3
     reach: float = 0.2
     probes: int = 16
-    max_probes: int = 96
+    max_probes: int | None = None  # no bound
     graph_degree: int = 16
-    beam: int = 160
+    beam: int = 160  # at first; it widens as far as `reach` asks
     block: int = 2048
+    bin_values: int = 1 << 19
 
 
 def clean(vectors: DataFrame) -> DataFrame:
@@ -87,8 +91,12 @@ class Graph:
         n = len(self.c)
         beam = min(beam, n)
         rows = np.arange(len(q))[:, None]
-        dist = np.full((len(q), n), np.inf, np.float32)
         qs = (q**2).sum(axis=1)
+        if beam * self.near.shape[1] >= n:  # the beam would look at all centroids, one by one
+            dist = qs[:, None] + self.sq[None, :] - 2 * q @ self.c.T
+            order = np.argsort(dist, axis=1, kind="stable")[:, :beam]
+            return dist[rows, order], order
+        dist = np.full((len(q), n), np.inf, np.float32)
 
         def visit(mask: np.ndarray) -> None:
             r, c = np.nonzero(mask & np.isinf(dist))
@@ -114,6 +122,20 @@ class Graph:
         order = np.argsort(d, axis=1, kind="stable")
         return d[rows, order], np.asarray(top)[rows, order]
 
+    def within(self, q: np.ndarray, ratio: float, least: int, beam: int) -> list[np.ndarray]:
+        """For each row of q: all centroids up to `ratio` times its nearest distance, and `least` at least, nearest first."""
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(q)
+        todo = np.arange(len(q))
+        while len(todo):
+            beam = min(beam, len(self.c))
+            d, found = self.search(q[todo], beam)
+            count = np.maximum((d <= ratio**2 * np.maximum(d[:, :1], 1e-12)).sum(axis=1), min(least, beam))
+            done = (4 * count <= beam) | (beam == len(self.c))  # with less room around them a graph search misses some
+            for i in np.flatnonzero(done):
+                out[todo[i]] = found[i, : count[i]]
+            todo, beam = todo[~done], 4 * beam
+        return out
+
 
 def balanced_centroids(sample: np.ndarray, lists: int) -> np.ndarray:
     """Means of `lists` equally large parts of the sample, cut at medians of main directions."""
@@ -164,10 +186,15 @@ def lists_of(x: np.ndarray, graph: Graph, c: AnnConfig) -> list[list[int]]:
 
 def probes_of(q: np.ndarray, graph: Graph, c: AnnConfig) -> list[np.ndarray]:
     """For each query: the lists it visits."""
-    d, found = graph.search(q, c.beam)
-    limit = (1 + c.reach) ** 2 * np.maximum(d[:, :1], 1e-12)
-    count = np.clip((d <= limit).sum(axis=1), c.probes, c.max_probes)
-    return [f[:n] for f, n in zip(found, count, strict=True)]
+    return [found[: c.max_probes] for found in graph.within(q, 1 + c.reach, c.probes, c.beam)]
+
+
+def bins_of(centroids: np.ndarray, bins: int) -> np.ndarray:
+    """The bin of each list: neighbours share one."""
+    if bins >= len(centroids):
+        return np.arange(len(centroids), dtype=np.int32)
+    middles = balanced_centroids(centroids, bins)
+    return np.argmin((middles**2).sum(axis=1)[None, :] - 2 * centroids @ middles.T, axis=1).astype(np.int32)
 
 
 def nearest(vectors: DataFrame, queries: Column, config: AnnConfig | None = None) -> DataFrame:
@@ -184,6 +211,9 @@ def nearest(vectors: DataFrame, queries: Column, config: AnnConfig | None = None
     points = materialize(ranked.groupBy("x").agg(F.min("id").alias("rep"), F.sort_array(F.collect_list("id")).alias("ids")), "points")
     stats = points.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)).alias("m")).first()
     total, top = stats["n"], stats["m"] or 0.0
+    bin_rows = c.block
+    if total:
+        bin_rows = max(c.block, int(min(c.block * (total / (4 * c.block)) ** 0.5, c.bin_values / len(points.first()["x"]))))
     lists = int(min(c.max_lists, max(1, total // c.list_rows)))
     bound = lists * c.sample_per_list
     sample = points.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.5 * bound / max(1, total)))).orderBy(F.xxhash64("rep"), "rep").select("x").limit(bound).toPandas()
@@ -194,33 +224,36 @@ def nearest(vectors: DataFrame, queries: Column, config: AnnConfig | None = None
         return np.concatenate([x, np.sqrt(np.maximum(top - (x**2).sum(axis=1), 0))[:, None]], axis=1).astype(np.float32)
 
     graph = Graph(balanced_centroids(raised(np.stack(sample["x"].to_numpy())), lists).astype(np.float32), c.graph_degree)
-    shared = spark.sparkContext.broadcast(graph)  # bounded by max_lists
+    shared = spark.sparkContext.broadcast((graph, bins_of(graph.c, -(-total // bin_rows))))  # bounded by max_lists
 
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        graph, bins = shared.value
         for f in frames:
             if len(f):
-                taken = lists_of(raised(np.stack(f["x"].to_numpy())), shared.value, c)
-                yield pd.DataFrame({"rep": f["rep"], "x": f["x"], "list": taken}).explode("list").astype({"list": "int32"})
+                taken = [np.unique(bins[t]) for t in lists_of(raised(np.stack(f["x"].to_numpy())), graph, c)]
+                yield pd.DataFrame({"rep": f["rep"], "x": f["x"], "bin": taken}).explode("bin").astype({"bin": "int32"})
 
     def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        graph, bins = shared.value
         for f in frames:
             if len(f):
                 x = np.stack(f["x"].to_numpy())
                 q = np.concatenate([x, np.zeros((len(x), 1))], axis=1).astype(np.float32)
-                yield pd.DataFrame({"rep": f["rep"], "x": f["x"], "list": probes_of(q, shared.value, c)}).explode("list").astype({"list": "int32"})
+                taken = [np.unique(bins[t]) for t in probes_of(q, graph, c)]
+                yield pd.DataFrame({"rep": f["rep"], "x": f["x"], "bin": taken}).explode("bin").astype({"bin": "int32"})
 
-    posted = materialize(points.select("rep", "x").mapInPandas(assign, "rep long, x array<double>, list int"), "lists")
+    posted = materialize(points.select("rep", "x").mapInPandas(assign, "rep long, x array<double>, bin int"), "lists")
     asked_rows = rows.where(queries).select("id", "x").distinct()
     asked = asked_rows.join(points.select("x", "rep"), "x").select("id", "rep")
     asked = materialize(asked, "queries")
     distinct = points.join(asked.select("rep").distinct(), "rep").select("rep", "x")
-    probed = materialize(distinct.mapInPandas(probe, "rep long, x array<double>, list int"), "probes")
-    sizes = posted.groupBy("list").agg(F.count(F.lit(1)).alias("n")).join(probed.groupBy("list").agg(F.count(F.lit(1)).alias("m")), "list")
-    cut = lambda n: F.ceil(F.col(n) / c.block).cast("int")
-    sizes = F.broadcast(sizes.select("list", cut("n").alias("vs"), cut("m").alias("qs")))  # a row per list, at most max_lists
+    probed = materialize(distinct.mapInPandas(probe, "rep long, x array<double>, bin int"), "probes")
+    sizes = posted.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).join(probed.groupBy("bin").agg(F.count(F.lit(1)).alias("m")), "bin")
+    cut = lambda n, size: F.ceil(F.col(n) / size).cast("int")
+    sizes = F.broadcast(sizes.select("bin", cut("n", 2 * bin_rows).alias("vs"), cut("m", c.block).alias("qs")))  # a row per bin, at most max_lists
     span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    v = posted.join(sizes, "list").select("list", F.pmod(F.xxhash64("rep"), F.col("vs")).cast("int").alias("v"), span("qs").alias("q"), "rep", "x")
-    q = probed.join(sizes, "list").select("list", span("vs").alias("v"), F.pmod(F.xxhash64("rep"), F.col("qs")).cast("int").alias("q"), "rep", "x")
+    v = posted.join(sizes, "bin").select("bin", F.pmod(F.xxhash64("rep"), F.col("vs")).cast("int").alias("v"), span("qs").alias("q"), "rep", "x")
+    q = probed.join(sizes, "bin").select("bin", span("vs").alias("v"), F.pmod(F.xxhash64("rep"), F.col("qs")).cast("int").alias("q"), "rep", "x")
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -248,7 +281,7 @@ def nearest(vectors: DataFrame, queries: Column, config: AnnConfig | None = None
             scores.append(exact[best])
         return pd.DataFrame({"query": np.concatenate(queries), "rep": np.concatenate(reps), "score": np.concatenate(scores)})
 
-    pairs = v.groupBy("list", "v", "q").cogroup(q.groupBy("list", "v", "q")).applyInPandas(compare, "query long, rep long, score double")
+    pairs = v.groupBy("bin", "v", "q").cogroup(q.groupBy("bin", "v", "q")).applyInPandas(compare, "query long, rep long, score double")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
     pairs = pairs.distinct().withColumn("n", F.row_number().over(best)).where(F.col("n") <= c.k + 1)
     found = pairs.join(points.select("rep", "ids"), "rep").select("query", "score", F.explode("ids").alias("vec_id"))

@@ -129,6 +129,22 @@ def test_all_candidates_if_fewer(spark):
     assert ann.nearest(df, F.col("id") == 0).count() == 5
 
 
+def unit(rng, n, d):
+    x = rng.normal(size=(n, d)).astype(np.float32)
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def test_the_ratio_alone_chooses_lists():
+    rng = np.random.default_rng(3)
+    for n in (600, 4000):  # one look at all, and a beam that widens
+        c, q, k = unit(rng, n, 64) * 0.5, unit(rng, 20, 64), ann.AnnConfig(reach=0.12)
+        d = np.sqrt(((q[:, None] - c[None]) ** 2).sum(axis=2))
+        want = [set(np.flatnonzero(x <= x.min() * (1 + k.reach) - 1e-5).tolist()) for x in d]
+        got = ann.probes_of(q, ann.Graph(c, k.graph_degree), k)
+        assert all(w <= set(g.tolist()) for w, g in zip(want, got, strict=True))
+        assert max(map(len, want)) > 160
+
+
 # --- 2: language
 
 
