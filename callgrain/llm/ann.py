@@ -39,6 +39,8 @@ from pyspark.sql.window import Window
 
 from callgrain.llm.common import materialize, python_ready
 
+CELLS = 1 << 22  # distances held at once while centroids settle
+
 
 @dataclass(frozen=True)
 class AnnConfig:
@@ -162,12 +164,20 @@ def balanced_centroids(sample: np.ndarray, lists: int) -> np.ndarray:
         parts = rest
     c = np.stack([sample[p].mean(axis=0) for p in parts])
     for _ in range(2):  # let the means settle; lists stay near their equal sizes
-        own = np.argmin((c**2).sum(axis=1)[None, :] - 2 * sample @ c.T, axis=1)
-        for i in np.unique(own):
-            c[i] = sample[own == i].mean(axis=0)
+        own = nearest_of(sample, c)
+        order = np.argsort(own, kind="stable")
+        used, at = np.unique(own[order], return_index=True)
+        for i, part in zip(used, np.split(order, at[1:]), strict=True):
+            c[i] = sample[part].mean(axis=0)
     return c
 
 
+def nearest_of(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The nearest row of c for each row of x, over blocks of x of about CELLS distances."""
+    sq, step = (c**2).sum(axis=1)[None, :], max(1, CELLS // len(c))
+    return np.concatenate([np.argmin(sq - 2 * x[at : at + step] @ c.T, axis=1) for at in range(0, len(x), step)])
+
+
 def lists_of(x: np.ndarray, graph: Graph, c: AnnConfig) -> list[list[int]]:
     """For each vector: its nearest list, and further lists across near boundaries."""
     d, found = graph.search(x, min(c.beam, 4 * c.replicas))
@@ -194,7 +204,7 @@ def bins_of(centroids: np.ndarray, bins: int) -> np.ndarray:
     if bins >= len(centroids):
         return np.arange(len(centroids), dtype=np.int32)
     middles = balanced_centroids(centroids, bins)
-    return np.argmin((middles**2).sum(axis=1)[None, :] - 2 * centroids @ middles.T, axis=1).astype(np.int32)
+    return nearest_of(centroids, middles).astype(np.int32)
 
 
 def nearest(vectors: DataFrame, queries: Column, config: AnnConfig | None = None) -> DataFrame:
@@ -216,14 +226,15 @@ def nearest(vectors: DataFrame, queries: Column, config: AnnConfig | None = None
         bin_rows = max(c.block, int(min(c.block * (total / (4 * c.block)) ** 0.5, c.bin_values / len(points.first()["x"]))))
     lists = int(min(c.max_lists, max(1, total // c.list_rows)))
     bound = lists * c.sample_per_list
-    sample = points.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.5 * bound / max(1, total)))).orderBy(F.xxhash64("rep"), "rep").select("x").limit(bound).toPandas()
-    if not len(sample):
+    sample = points.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.5 * bound / max(1, total)))).orderBy(F.xxhash64("rep"), "rep").select("x").limit(bound).toArrow()
+    if not sample.num_rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
     def raised(x: np.ndarray) -> np.ndarray:
         return np.concatenate([x, np.sqrt(np.maximum(top - (x**2).sum(axis=1), 0))[:, None]], axis=1).astype(np.float32)
 
-    graph = Graph(balanced_centroids(raised(np.stack(sample["x"].to_numpy())), lists).astype(np.float32), c.graph_degree)
+    flat = np.concatenate([part.flatten().to_numpy() for part in sample["x"].chunks])
+    graph = Graph(balanced_centroids(raised(flat.reshape(sample.num_rows, -1)), lists).astype(np.float32), c.graph_degree)
     shared = spark.sparkContext.broadcast((graph, bins_of(graph.c, -(-total // bin_rows))))  # bounded by max_lists
 
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

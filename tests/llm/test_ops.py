@@ -145,6 +145,17 @@ def test_the_ratio_alone_chooses_lists():
         assert max(map(len, want)) > 160
 
 
+def test_centroids_hold_no_sample_by_lists_matrix():
+    import tracemalloc
+
+    sample = unit(np.random.default_rng(4), 32_000, 8)
+    tracemalloc.start()
+    c = ann.balanced_centroids(sample, 2000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert c.shape == (2000, 8) and peak < 100 << 20  # the matrix alone has 256 MB
+
+
 # --- 2: language
 
 
