@@ -468,6 +468,14 @@ def test_main_text(page, text):
     assert html.main_text(page) == text
 
 
+def test_teaser_cards_do_not_replace_the_story():
+    story = [f"story {i} " + "long plain words of the story " * 8 for i in range(8)]
+    cards = "".join(f"<article class=card><h3><a href=/{i}>Card {i}</a></h3><p>{'teaser of some other story ' * 5}</p></article>" for i in range(8))
+    page = "<body><div class=wrap><div>" + "".join(f"<div>{x}</div>" for x in story) + f"</div><div class=list>{cards}</div></div></body>"
+    got = html.main_text(page).split("\n")
+    assert [x for x in got if x.startswith("story")] == [x.strip() for x in story]
+
+
 def test_main_text_of_pages(spark, sf):
     """The made pages keep their text in one article element."""
     import html as entities
