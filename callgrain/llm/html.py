@@ -1,8 +1,8 @@
 """Main text of web pages: parser events, text-to-tag ratios, Gaussian smoothing, threshold clustering.
 
 The standard library's streaming parser turns a page into lines, one per block of text.
-Elements that are no article by their tag, role or class (menus, headers, footers, side
-bars, notices, adverts, forms, comments) yield no lines. Each line has the ratio of its
+Elements that are no article by their tag, role or class (menus, headers, footers, bars, notices, adverts, forms, comments) yield no lines. Outside of article and main one
+telling word in a class or id is enough; inside only whole names of containers count., adverts, forms, comments) yield no lines. Each line has the ratio of its
 text to the tags it took. Ratios are smoothed along the page with a Gaussian and split
 into two clusters by the threshold between their means; runs of the upper cluster are
 content. A page's text is the smallest region (the article elements, else the main ones,
@@ -47,6 +47,22 @@ DROPPED_WORDS = frozenset(
     "share sharing social comment comments commentlist feedback responses reply replies respond disqus discussion nav navbar navigation menu menus breadcrumb breadcrumbs "
     "pagination pager footer header masthead topbar toolbar skip hidden login search".split()
 )
+# Inside an article or main element a class counts as a whole: words of the first list, with none but words of the second.
+SURE_WORDS = frozenset(
+    "ad ads adv adbox adslot adunit advert adverts advertisement adsense sponsor sponsored sponsors promo promotion promotions cookie cookies consent gdpr newsletter "
+    "subscribe subscription signup popup overlay modal toast sidebar aside widget widgets related recommended recommendations share sharing social comment comments "
+    "commentlist reply replies respond disqus nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar login hidden".split()
+)
+PLAIN_WORDS = frozenset(
+    "bar banner block body box button buttons card cards container content entry form header icons inline inner item items link links list main notice outer page panel "
+    "post posts article articles section site slot stories top bottom left right thread title unit wrap wrapper area media the js text".split()
+)
+DROPPED_IDS = frozenset(
+    "ad ads adslot comments comment-list commentlist comments-section disqus_thread respond sidebar related-posts related-articles recommended-posts share-buttons share-bar sharing "
+    "cookie-notice cookie-banner cookie-consent newsletter-signup subscribe-form navbar breadcrumb breadcrumbs pagination".split()
+)
+ARTICLE_WORDS = frozenset("comment comments reply ad ads advert sponsored related promo".split())
+TEXT_BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote table tbody thead tfoot tr td th caption figure figcaption dt dd".split())
 CONTENT_NAMES = frozenset("content article main post entry body story text page article-body post-body entry-body main-content post-content page-content entry-content article-content".split())
 PART_OF = ("with-", "has-", "no-", "without-")
 ENDED_BY_BLOCK = frozenset({"p"})
@@ -67,19 +83,23 @@ def is_dropped(tag: str, attrs: list[tuple[str, str | None]], inside_marked: boo
         return True
     if a.get("role", "").lower() in DROPPED_ROLES:
         return True
-    words = {w.lower() for w in _WORDS.findall(f"{a.get('class', '')} {a.get('id', '')}")}
+    classes, ids = a.get("class", "").split(), a.get("id", "").split()
     if tag == "article":
-        return bool(words & {"comment", "comments", "reply", "ad", "ads", "advert", "sponsored", "related", "promo"})
-    if not words & DROPPED_WORDS:
-        return False
-    names = [n for n in f"{a.get('class', '')} {a.get('id', '')}".split() if not n.lower().startswith(PART_OF)]
+        return any(is_boilerplate(n) & ARTICLE_WORDS for n in classes + ids)
+    names = [n for n in classes + ids if not n.lower().startswith(PART_OF)]
     if any(n.lower() in CONTENT_NAMES for n in names):
         return False
-    for n in names:
-        bad = {w.lower() for w in _WORDS.findall(n)} & DROPPED_WORDS
-        if bad - {"header"} or bad and not inside_marked:
-            return True
-    return False
+    if inside_marked:  # names of text elements, and ids made from titles, say what the text is about
+        if tag not in BLOCK or tag in TEXT_BLOCKS:
+            return False
+        return any(is_boilerplate(n) for n in classes) or any(n.lower() in DROPPED_IDS for n in ids)
+    return any({w.lower() for w in _WORDS.findall(n)} & DROPPED_WORDS for n in names)
+
+
+def is_boilerplate(name: str) -> set[str]:
+    """The words that make a whole name one of boilerplate; none if it has other words too."""
+    words = {w.lower() for w in _WORDS.findall(name)}
+    return words & SURE_WORDS if not name.lower().startswith(PART_OF) and words <= SURE_WORDS | PLAIN_WORDS else set()
 
 
 class LineParser(HTMLParser):

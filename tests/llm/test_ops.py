@@ -476,6 +476,28 @@ def test_teaser_cards_do_not_replace_the_story():
     assert [x for x in got if x.startswith("story")] == [x.strip() for x in story]
 
 
+@pytest.mark.parametrize(
+    "part",
+    [
+        '<h2 id="related-work">t</h2>',
+        '<h2 id="search-methods">t</h2>',
+        '<section id="discussion"><p>t</p></section>',
+        '<section id="comments-on-method" class="section"><p>t</p></section>',
+        '<div id="social-history"><p>t</p></div>',
+        '<p id="social-history">t</p>',
+        '<span class="warning">t</span>',
+        '<a id="login" href="#x">t</a>',
+        '<div class="warning"><p>t</p></div>',
+        '<div class="related-work"><p>t</p></div>',
+    ],
+)
+def test_names_made_from_titles_stay(part):
+    assert html.main_text(f"<article><p>a</p>{part}<p>b</p></article>") .split() == ["a", "t", "b"]
+    assert html.main_text(f"<article><p>a {part}</p></article>").split() == ["a", "t"]
+    for name in ("ad", "ads", "share-bar", "related-posts", "post-comments", "article-footer"):
+        assert html.main_text(f"<article><p>a</p><div class={name}>no</div></article>") == "a"
+
+
 def test_main_text_of_pages(spark, sf):
     """The made pages keep their text in one article element."""
     import html as entities
