@@ -226,7 +226,10 @@ def near_duplicates(docs: DataFrame, config: NearDupConfig | None = None) -> Dat
     left = materialize(seen.join(mixed, "band"), "left", made)
     # two members share at most the lesser of what each shares with the leader, and of what else each has;
     # what only one document of a crowd has is shared by none
-    crowded = materialize(left.where("crowd > 4").select(F.col("rep").alias("id")).distinct(), "crowded", made)
+    # (leaders count among the crowd, so what a member has alone is outside of its leader's set too)
+    inside = left.where("crowd > 4").select("band", F.col("rep").alias("id"))
+    ahead = members.where("rep = lead").join(inside.select("band").distinct(), "band", "left_semi").select("rep")
+    crowded = materialize(inside.select("id").union(ahead).distinct(), "crowded", made)
     alone = private_counts(crowded, docs, c)
     left = left.join(alone.withColumnRenamed("id", "rep"), "rep", "left").withColumn("else", F.col("n") - F.col("both") - F.when(F.col("crowd") > 4, F.coalesce("private", F.lit(0))).otherwise(0))
     left = materialize(left.where(100 * (F.col("both") + F.col("else")) >= c.percent * F.col("n")), "left", made)

@@ -282,6 +282,19 @@ def test_group_of_graded_copies(spark):
     assert got == brute_components(rows, 4)
 
 
+def test_shingles_shared_with_the_leader_only(spark):
+    """Two texts are alike, and ten shingles of one are shared by their bucket's leader only; all are in the same two buckets."""
+    c = minhash.NearDupConfig(shingle=1, permutations=1, rows=1)
+    for seed in range(5000):
+        texts = [" ".join(f"w{seed}_{i}" for i in range(n)) for n in (200, 100, 90, 30, 39, 50, 64)]
+        if len({tuple(minhash.band_keys(minhash.shingle_set(t, 1), c)) for t in texts}) == 1:
+            break
+    rows = [(5 + i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, c).collect()}
+    assert got == brute_components(rows, 1) and got[6] == got[7] == 6
+
+
 def test_word_hashes_do_not_depend_on_steps(monkeypatch):
     text = "Ä b\tc " * 50 + "x" * 300 + " tail\n"
     whole = minhash.word_hashes(text)
