@@ -1,20 +1,29 @@
 """Main text of web pages: parser events, text-to-tag ratios, Gaussian smoothing, threshold clustering.
 
 The standard library's streaming parser turns a page into lines, one per block of text.
-Elements that are no article by their tag, role or class (menus, headers, footers, bars, notices, adverts, forms, comments) yield no lines. Outside of article and main one
-telling word in a class or id is enough; inside only whole names of containers count., adverts, forms, comments) yield no lines. Each line has the ratio of its
-text to the tags it took. Ratios are smoothed along the page with a Gaussian and split
-into two clusters by the threshold between their means; runs of the upper cluster are
-content. A page's text is the smallest region (the article elements, else the main ones,
-else the deepest element) that holds three quarters of the text of the content runs; so
-a short paragraph between long ones stays, and link lists outside of the region go. A
-page of no more lines than the smoothing reaches, whose clusters lie close together, has
-no runs to go by: there a marked region with a third of the text is taken.
+Each line has the ratio of its unlinked text to the tags it took. Ratios are smoothed
+along the page with a Gaussian, and one threshold splits the lines into two clusters, so
+that the logarithms in each differ least, weighted by text. The upper cluster is content.
+
+The content lines choose the region: the deepest element that holds three quarters of
+their text, widened to the article element around it, to a parent that adds a further
+eighth of content, and to headings beside it. All lines of the region are the page's
+text, short ones too, but for elements that the method finds to be no content.
+
+Markup is a weak signal beside that. Menus, footers, forms, adverts, comments and the
+like, by tag, role or the whole name of a class or id, have their ratios divided by a
+hundred and are smoothed by themselves. Such an element goes only if most of its text ends
+up below the threshold. One that holds several lines and most of the page's unlinked
+text counts like any other: a page wrapped in a form, or in a menu that was never closed,
+keeps its text. Only elements that hold no page text (scripts, styles, controls) yield no
+lines. On a page of no more lines than the smoothing reaches, article elements (or
+main ones) that hold half of the text are the region.
 
 Defined cases: null and empty html give an empty text. Unclosed elements end with their
 parents, paragraphs and items with the next block. Character references are decoded;
 white space inside a block becomes one space; blocks are joined by one newline. A page
-without any candidate line has an empty text. Extra columns are left alone.
+without any line has an empty text. Time and memory are linear in the page, however deep
+its elements lie. Extra columns are left alone.
 """
 
 from __future__ import annotations
@@ -34,21 +43,13 @@ from callgrain.llm.common import python_ready
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
-    "head header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
-)
-DROPPED = frozenset(
-    "script style noscript template head title nav footer aside form button select textarea option label fieldset iframe object svg canvas audio video "
-    "dialog menu math map applet datalist".split()
-)
-DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form tablist".split())
-DROPPED_WORDS = frozenset(
-    "ad ads adv adbox adslot adunit advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion promotions banner cookie cookies consent gdpr "
-    "notice notices alert alerts warning disclaimer newsletter subscribe subscription signup popup overlay modal toast sidebar aside widget widgets related recommended recommendations "
-    "share sharing social comment comments commentlist feedback responses reply replies respond disqus discussion nav navbar navigation menu menus breadcrumb breadcrumbs "
-    "pagination pager footer header masthead topbar toolbar skip hidden login search".split()
+    "head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-# Inside an article or main element a class counts as a whole: words of the first list, with none but words of the second.
-SURE_WORDS = frozenset(
+NO_TEXT = frozenset("script style noscript template head title button select textarea option datalist iframe object svg canvas audio video math map applet".split())
+WEAK_TAGS = frozenset("nav footer aside header form dialog menu".split())
+WEAK_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form tablist".split())
+# A class name counts as a whole: words of the first list, with none but words of the second.
+WEAK_WORDS = frozenset(
     "ad ads adv adbox adslot adunit advert adverts advertisement adsense sponsor sponsored sponsors promo promotion promotions cookie cookies consent gdpr newsletter "
     "subscribe subscription signup popup overlay modal toast sidebar aside widget widgets related recommended recommendations share sharing social comment comments "
     "commentlist reply replies respond disqus nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar login hidden".split()
@@ -57,158 +58,179 @@ PLAIN_WORDS = frozenset(
     "bar banner block body box button buttons card cards container content entry form header icons inline inner item items link links list main notice outer page panel "
     "post posts article articles section site slot stories top bottom left right thread title unit wrap wrapper area media the js text".split()
 )
-DROPPED_IDS = frozenset(
+WEAK_IDS = frozenset(
     "ad ads adslot comments comment-list commentlist comments-section disqus_thread respond sidebar related-posts related-articles recommended-posts share-buttons share-bar sharing "
     "cookie-notice cookie-banner cookie-consent newsletter-signup subscribe-form navbar breadcrumb breadcrumbs pagination".split()
 )
-ARTICLE_WORDS = frozenset("comment comments reply ad ads advert sponsored related promo".split())
-TEXT_BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote table tbody thead tfoot tr td th caption figure figcaption dt dd".split())
-CONTENT_NAMES = frozenset("content article main post entry body story text page article-body post-body entry-body main-content post-content page-content entry-content article-content".split())
+WEAK_ARTICLES = frozenset("comment comments reply ad ads advert sponsored related promo".split())
+TEXT_BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote table tbody thead tfoot tr td th caption figure figcaption dt dd li".split())
+HEADINGS = frozenset("h1 h2 h3".split())
 PART_OF = ("with-", "has-", "no-", "without-")
-ENDED_BY_BLOCK = frozenset({"p"})
-ENDED_BY_SAME = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr"}, "th": {"tr"}, "option": {"select"}}
-MARKED = frozenset({"article", "main"})
-SIGMA = 2.0
+ENDED_BY_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+SIGMA, WEAK, SPAN = 2.0, 0.01, 10.0  # width of the smoothing in lines; factor of weak elements; ratios further below the highest are alike
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def is_dropped(tag: str, attrs: list[tuple[str, str | None]], inside_marked: bool) -> bool:
-    if tag in DROPPED or tag == "header" and not inside_marked:
+def weak_words(name: str) -> set[str]:
+    """The words that make a whole name one of boilerplate; none if it has other words too."""
+    words = {w.lower() for w in _WORDS.findall(name)}
+    return words & WEAK_WORDS if not name.lower().startswith(PART_OF) and words <= WEAK_WORDS | PLAIN_WORDS else set()
+
+
+def is_hidden(a: dict[str, str]) -> bool:
+    return "hidden" in a or a.get("aria-hidden", "").lower() == "true" or bool(_HIDDEN.search(a.get("style", "")))
+
+
+def is_weak(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
+    """Whether markup speaks against a block element. Names of text elements, and ids made from titles, say what the text is about."""
+    if tag in WEAK_TAGS:
         return True
     if not attrs or tag in ("html", "body", "main"):
         return False
     a = {k: v or "" for k, v in attrs}
-    if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(a.get("style", "")):
-        return True
-    if a.get("role", "").lower() in DROPPED_ROLES:
+    if is_hidden(a) or a.get("role", "").lower() in WEAK_ROLES:
         return True
+    if tag in TEXT_BLOCKS:
+        return False
     classes, ids = a.get("class", "").split(), a.get("id", "").split()
     if tag == "article":
-        return any(is_boilerplate(n) & ARTICLE_WORDS for n in classes + ids)
-    names = [n for n in classes + ids if not n.lower().startswith(PART_OF)]
-    if any(n.lower() in CONTENT_NAMES for n in names):
-        return False
-    if inside_marked:  # names of text elements, and ids made from titles, say what the text is about
-        if tag not in BLOCK or tag in TEXT_BLOCKS:
-            return False
-        return any(is_boilerplate(n) for n in classes) or any(n.lower() in DROPPED_IDS for n in ids)
-    return any({w.lower() for w in _WORDS.findall(n)} & DROPPED_WORDS for n in names)
-
-
-def is_boilerplate(name: str) -> set[str]:
-    """The words that make a whole name one of boilerplate; none if it has other words too."""
-    words = {w.lower() for w in _WORDS.findall(name)}
-    return words & SURE_WORDS if not name.lower().startswith(PART_OF) and words <= SURE_WORDS | PLAIN_WORDS else set()
+        return any(weak_words(n) & WEAK_ARTICLES for n in classes + ids)
+    return any(weak_words(n) for n in (classes if in_article else classes + ids)) or any(n.lower() in WEAK_IDS for n in ids)
 
 
 class LineParser(HTMLParser):
-    """Collects lines: (text, share of text in links, tags, open block elements by number)."""
+    """Collects lines, and block elements by number: each knows its parent only. Number 0 is the page.
+
+    A line is (text, share of it in links, tags, number of its block element).
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int]] = []  # tag, dropped, number
-        self.dropping = self.marked = self.links = self.number = 0
+        self.stack: list[tuple[str, int]] = []  # tag, innermost block element
+        self.open: dict[str, list[int]] = {}  # places in the stack by tag
+        self.blocks: list[int] = []  # places of blocks
+        self.walls: list[int] = []  # places of blocks that no start tag ends
+        self.hidden: list[int] = []  # places of hidden inline elements
+        self.muted = self.links = self.articles = 0
         self.parts: list[str] = []
         self.linked = self.tags = 0
-        self.lines: list[tuple[str, float, int, tuple[int, ...]]] = []
-        self.articles: set[int] = set()
-        self.mains: set[int] = set()
+        self.lines: list[tuple[str, float, int, int]] = []
+        self.parent, self.tag, self.weak = [0], ["page"], [False]
 
     def end_line(self) -> None:
         if self.parts:
-            text = " ".join("".join(self.parts).split())
+            whole = "".join(self.parts)
+            text = " ".join(whole.split())
             if text:
-                self.lines.append((text, self.linked / max(1, len("".join(self.parts))), self.tags, tuple(x[2] for x in self.stack if x[0] in BLOCK)))
+                self.lines.append((text, self.linked / len(whole), self.tags, self.stack[-1][1] if self.stack else 0))
         self.parts, self.linked, self.tags = [], 0, 0
 
     def _pop_to(self, depth: int) -> None:
-        if any(t in BLOCK for t, _, _ in self.stack[depth:]):
+        if self.blocks and self.blocks[-1] >= depth:
             self.end_line()
         while len(self.stack) > depth:
-            tag, dropped, _ = self.stack.pop()
-            self.dropping -= dropped
-            self.marked -= tag in MARKED
+            tag = self.stack.pop()[0]
+            self.open[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+                if tag != "p" and tag not in ENDED_BY_SAME:
+                    self.walls.pop()
+            self.muted -= tag in NO_TEXT
             self.links -= tag == "a"
+            self.articles -= tag == "article"
+        while self.hidden and self.hidden[-1] >= depth:
+            self.hidden.pop()
 
     def _close_implied(self, tag: str) -> None:
-        stop = ENDED_BY_SAME.get(tag)
-        for i in range(len(self.stack) - 1, -1, -1):
-            t = self.stack[i][0]
-            if t in ENDED_BY_BLOCK and tag in BLOCK or stop and (t == tag or {t, tag} in ({"dt", "dd"}, {"td", "th"})):
-                self._pop_to(i)
-                return
-            if t in BLOCK and t not in ENDED_BY_SAME or stop and t in stop:
-                return
+        if tag in BLOCK and self.blocks and self.stack[self.blocks[-1]][0] == "p":
+            self._pop_to(self.blocks[-1])
+        if tag == "body" and self.open.get("head"):
+            self._pop_to(self.open["head"][-1])
+        at = max((self.open[t][-1] for t in ENDED_BY_SAME.get(tag, ()) if self.open.get(t)), default=-1)
+        if at > (self.walls[-1] if self.walls else -1):
+            self._pop_to(at)
 
     def handle_starttag(self, tag, attrs):
+        self._close_implied(tag)
         if tag in BLOCK:
-            self._close_implied(tag)
             self.end_line()
-        elif tag == "option":
-            self._close_implied(tag)
         self.tags += 1
         if tag in VOID:
             if tag == "br":
                 self.handle_data(" ")
             return
-        self.number += 1
-        dropped = is_dropped(tag, attrs, self.marked > 0)
-        if dropped and not self.dropping and tag in BLOCK:
-            self.end_line()
-        self.stack.append((tag, dropped, self.number))
-        self.dropping += dropped
+        at, inner = len(self.stack), self.stack[-1][1] if self.stack else 0
+        if tag in BLOCK:
+            self.blocks.append(at)
+            if tag != "p" and tag not in ENDED_BY_SAME:
+                self.walls.append(at)
+            self.parent.append(inner)
+            self.tag.append("main" if ("role", "main") in attrs else tag)
+            self.weak.append(is_weak(tag, attrs, self.articles > 0))
+            inner = len(self.tag) - 1
+        elif attrs and is_hidden({k: v or "" for k, v in attrs}):
+            self.hidden.append(at)
+        self.stack.append((tag, inner))
+        self.open.setdefault(tag, []).append(at)
+        self.muted += tag in NO_TEXT
         self.links += tag == "a"
-        if tag in MARKED:
-            self.marked += 1
-        if tag == "article":
-            self.articles.add(self.number)
-        elif tag == "main" or ("role", "main") in attrs:
-            self.mains.add(self.number)
+        self.articles += tag == "article"
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag in BLOCK and tag not in VOID and self.stack and tag in ("p", "div"):
-            return  # browsers ignore the slash
-        if tag not in VOID and tag not in BLOCK:
+        if tag not in VOID and tag not in BLOCK:  # browsers ignore the slash of blocks
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
         self.tags += 1
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                self._pop_to(i)
-                return
-            if tag not in BLOCK and self.stack[i][0] in BLOCK:
-                return  # an inline end tag doesn't end blocks
+        places = self.open.get(tag)
+        if places and (tag in BLOCK or not self.blocks or self.blocks[-1] < places[-1]):  # an inline end tag doesn't end blocks
+            self._pop_to(places[-1])
 
     def handle_data(self, data):
-        if not self.dropping:
+        if not self.muted and not self.hidden:
             self.parts.append(data)
             if self.links:
                 self.linked += len(data)
 
 
-def content_runs(ratios: list[float], sigma: float = SIGMA) -> tuple[list[bool], bool]:
-    """Which lines are content: smoothed ratios above the threshold between two cluster means; and whether that tells anything."""
-    n, reach = len(ratios), math.ceil(3 * sigma)
+def smoothed(ratios: list[float], groups: list[int], sigma: float = SIGMA) -> list[float]:
+    """Gaussian means of the ratios along the page, over lines of the same group."""
+    reach = math.ceil(3 * sigma)
     weight = [math.exp(-k * k / (2 * sigma * sigma)) for k in range(reach + 1)]
-    smooth = []
-    for i in range(n):
-        near = range(max(0, i - reach), min(n, i + reach + 1))
-        smooth.append(sum(weight[abs(i - j)] * ratios[j] for j in near) / sum(weight[abs(i - j)] for j in near))
-    low, high = min(smooth), max(smooth)
-    for _ in range(20):
-        cut = (low + high) / 2
-        a, b = [x for x in smooth if x < cut], [x for x in smooth if x >= cut]
-        if not a or not b:
-            break
-        new = (sum(a) / len(a), sum(b) / len(b))
-        if new == (low, high):
-            break
-        low, high = new
-    cut = (low + high) / 2
-    return [x >= cut for x in smooth], n > reach or high >= 1.5 * low
+    out = []
+    for i, g in enumerate(groups):
+        total = mass = 0.0
+        for j in range(max(0, i - reach), min(len(ratios), i + reach + 1)):
+            if groups[j] == g:
+                w = weight[abs(i - j)]
+                total, mass = total + w * ratios[j], mass + w
+        out.append(total / mass)
+    return out
+
+
+def threshold(values: list[float], sizes: list[int]) -> float:
+    """The least value of the upper of two clusters, of which the weighted squared distances from their means sum up to least."""
+    order = sorted(range(len(values)), key=values.__getitem__)
+    n, total = sum(sizes), sum(v * s for v, s in zip(values, sizes, strict=True))
+    best, cut, below, mass = -1.0, values[order[0]], 0.0, 0
+    for a, b in zip(order, order[1:], strict=False):
+        below, mass = below + values[a] * sizes[a], mass + sizes[a]
+        if values[a] < values[b]:
+            apart = (below / mass - (total - below) / (n - mass)) ** 2 * mass * (n - mass)
+            if apart > best:
+                best, cut = apart, values[b]
+    return cut
+
+
+def content_runs(ratios: list[float], groups: list[int], sizes: list[int]) -> list[bool]:
+    """Which lines are content: smoothed ratios at or above the threshold between two clusters."""
+    smooth = smoothed(ratios, groups)
+    floor = max(max(smooth) / SPAN, 1e-9)
+    values = [math.log(max(x, floor)) for x in smooth]
+    cut = threshold(values, sizes)
+    return [v >= cut for v in values]
 
 
 def main_text(html: str | None) -> str:
@@ -218,29 +240,81 @@ def main_text(html: str | None) -> str:
     p.feed(html)
     p.close()
     p.end_line()
-    lines = p.lines
+    lines, parent = p.lines, p.parent
     if not lines:
         return ""
-    ratios = [len(t) * (1 - linked) / max(1, tags) for t, linked, tags, _ in lines]
-    chosen, telling = content_runs(ratios)
-    total = sum(len(x[0]) for x, c in zip(lines, chosen, strict=True) if c)
-    size = lambda keep: sum(len(x[0]) for x, k in zip(lines, keep, strict=True) if k)
-    for marked in (p.articles, p.mains):
-        inside = [any(k in marked for k in x[3]) for x in lines]
-        held_runs = 4 * size([a and b for a, b in zip(inside, chosen, strict=True)]) >= 3 * total
-        if any(inside) and (held_runs or not telling and 3 * size(inside) >= size([True] * len(lines))):
-            return "\n".join(x[0] for x, m in zip(lines, inside, strict=True) if m)
-    # no marked region: the deepest element that holds most of the content runs
-    held: dict[int, int] = {}
-    for x, c in zip(lines, chosen, strict=True):
-        if c:
-            for k in x[3][:-1]:  # the innermost is the line's own paragraph
-                held[k] = held.get(k, 0) + len(x[0])
-    region = max((k for k, v in held.items() if v * 4 >= total * 3), default=None)
-    inside = [x for x in lines if (region is None or region in x[3]) and x[1] <= 0.5]
-    if len(inside) == 1 and len(lines) > 1 and len(inside[0][0]) * 2 < sum(len(x[0]) for x in lines):
-        inside = [x for x, c in zip(lines, chosen, strict=True) if c and x[1] <= 0.5]
-    return "\n".join(x[0] for x in inside)
+    count, at, sizes = len(parent), [x[3] for x in lines], [len(x[0]) for x in lines]
+    def held(amounts: list[int], inner: bool = True) -> list[int]:
+        """Sums over the lines in each element; without inner, not in the block that is the line itself."""
+        out = [0] * count
+        for e, a in zip(at, amounts, strict=True):
+            out[e if inner or p.tag[e] == "article" else parent[e]] += a
+        for e in range(count - 1, 0, -1):
+            out[parent[e]] += out[e]
+        return out
+
+    # an element that holds several lines and most of the unlinked text wraps the page, whatever its name
+    plain, number = held([round(n * (1 - x[1])) for x, n in zip(lines, sizes, strict=True)]), held([1] * len(lines))
+    weak = [w and not (number[e] > 3 and 2 * plain[e] > plain[0]) for e, w in enumerate(p.weak)]
+    group = [0] * count  # the weak element that an element lies in
+    article = [0] * count
+    for e in range(1, count):
+        group[e] = e if weak[e] else group[parent[e]]
+        article[e] = e if p.tag[e] == "article" else article[parent[e]]
+    ratios = [n * (1 - x[1]) / max(1, x[2]) * (WEAK if group[x[3]] else 1.0) for x, n in zip(lines, sizes, strict=True)]
+    runs = content_runs(ratios, [group[e] for e in at], sizes)
+
+    text = held(sizes)
+    content = held([n if c else 0 for n, c in zip(sizes, runs, strict=True)])
+    own_content = held([n if c else 0 for n, c in zip(sizes, runs, strict=True)], inner=False)
+    linked = held([n if x[1] > 0.5 else 0 for x, n in zip(lines, sizes, strict=True)])
+    heads = held([n if p.tag[x[3]] in HEADINGS and x[1] <= 0.5 else 0 for x, n in zip(lines, sizes, strict=True)])
+    low = [weak[e] and 2 * content[e] < text[e] for e in range(count)]
+    gone = [False] * count  # in an element that markup speaks against, and most of whose text lies below the threshold
+    for e in range(1, count):
+        gone[e] = gone[parent[e]] or low[e]
+    left = held([0 if gone[e] else n for e, n in zip(at, sizes, strict=True)])
+    marked = [e for e in range(count) if p.tag[e] == "article" and not low[e] and article[parent[e]] == 0] or [e for e in range(count) if p.tag[e] == "main"]
+    if len(lines) <= math.ceil(3 * SIGMA) and marked and 2 * sum(text[e] for e in marked) >= text[0]:
+        regions = set(marked)
+    else:
+        region = max(e for e in range(count) if 4 * own_content[e] >= 3 * content[0])
+        if article[region] and 2 * content[article[region]] >= left[article[region]]:
+            region = article[region]
+        above = region
+        while above:
+            above = parent[above]
+            more = left[above] - left[region]
+            if more == 0 or 8 * (content[above] - content[region]) >= content[0] or more == heads[above] - heads[region]:
+                region = above
+            else:
+                break
+        regions = {region}
+    inside, kept = [False] * count, []
+    around = {e for r in regions for e in _up(parent, r)}  # what holds the region is kept with it
+    for e in range(count):
+        if e in regions:
+            inside[e] = True
+        elif e:
+            drop = low[e] and e not in around and (p.tag[e] != "header" or regions == {0} or 2 * linked[e] > text[e])
+            inside[e] = inside[parent[e]] and not drop
+    kept = [i for i, e in enumerate(at) if inside[e]]
+    if not kept:
+        return ""
+    if p.tag[max(regions)] in ("page", "html", "body"):  # no element parts the text from menus: links at the ends go
+        linked_only = [lines[i][1] > 0.5 for i in kept]
+        first, last = (next((k for k, x in enumerate(side) if not x), 0) for side in (linked_only, linked_only[::-1]))
+        kept = kept[first if first > 1 else 0 : len(kept) - (last if last > 1 else 0)]
+    before = kept[0] - 1
+    if before >= 0 and p.tag[at[before]] == "h1" and not gone[at[before]] and lines[before][1] <= 0.5 and not any(p.tag[at[i]] == "h1" for i in kept):
+        kept.insert(0, before)
+    return "\n".join(lines[i][0] for i in kept)
+
+
+def _up(parent: list[int], e: int) -> Iterator[int]:
+    while e:
+        yield e
+        e = parent[e]
 
 
 def _main_texts(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

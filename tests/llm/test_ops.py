@@ -511,6 +511,75 @@ def test_names_made_from_titles_stay(part):
         assert html.main_text(f"<article><p>a</p><div class={name}>no</div></article>") == "a"
 
 
+PARAS = [f"Plain words of the story number {i} that go on for a while, so that the line is long enough to count. " * 2 for i in range(6)]
+STORY = "\n".join(x.strip() for x in PARAS)
+P, LINKS = "".join(f"<p>{x}</p>" for x in PARAS), "".join(f'<li><a href="/{i}">Item {i}</a></li>' for i in range(8))
+TEASERS = "".join(f"<div><a href=/{i}>teaser</a> text of teaser</div>" for i in range(6))
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<div class=a1>{LINKS}</div><div class=b1><h2>Head</h2>{P}<ul><li>one<li>two</ul><p>end</p></div><div class=c1><p>Imprint and such</p></div>", f"Head\n{STORY}\none\ntwo\nend"),
+        (f"<div class=a1>{LINKS}</div><div class=w><h1>Head</h1><div class=b1>{P}</div></div><div class=c1>Imprint</div>", f"Head\n{STORY}"),
+        (f"<div>{LINKS}</div><div class=s><div>{P}</div><div>{P}</div><div>{P}</div></div>", "\n".join([STORY] * 3)),
+        (f"<div id=l>{TEASERS}</div><div id=r><h1>H</h1>{P}</div>", f"H\n{STORY}"),
+        (f"<div>{LINKS}</div><div class=b>{P}<p><a href=x>A paragraph that is a link</a></p>{P}</div>", f"{STORY}\nA paragraph that is a link\n{STORY}"),
+        (f"<ul>{LINKS}</ul>{P}<ul>{LINKS}</ul>", STORY),
+        (f"<form><div class=q1><ul>{LINKS}</ul></div><div class=q2><h1>Title</h1>{P}<p>short</p></div><div class=q3>Small print.</div></form>", f"Title\n{STORY}\nshort"),
+        (f"<nav><ul>{LINKS}</ul><div class=q2><h1>Title</h1>{P}</div>", f"Title\n{STORY}"),
+        (f"<nav><ul>{LINKS}</ul></nav><div class='node widget-article'><h1>T</h1>{P}</div><footer>foot text here</footer>", f"T\n{STORY}"),
+        (f"<article>{P}<p class=alert-quote>q</p><p class=social-science>s</p><section id=discussion><h2>Discussion</h2><p>d</p></section></article>", f"{STORY}\nq\ns\nDiscussion\nd"),
+        (f"<article>{P}<section class=comments><p>{PARAS[0]}</p><p>{PARAS[1]}</p></section></article>", STORY),
+        (f"<div>Some teaser text that stands here, longer than a menu, with many words.</div><form><div>{P}</div></form>", STORY),
+    ],
+)
+def test_ratios_choose_the_region(page, text):
+    """Pages without article elements, with names that tell nothing or the wrong thing."""
+    assert html.main_text(f"<html><body>{page}</body></html>") == text
+
+
+def test_clusters_decide(monkeypatch, sf):
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table(f"{sf}/pages.parquet").column("html").to_pylist()
+    before = [html.main_text(x) for x in pages]
+    monkeypatch.setattr(html, "content_runs", lambda ratios, groups, sizes: [True] * len(ratios))
+    assert sum(html.main_text(x) != b for x, b in zip(pages, before, strict=True)) >= len(pages) // 4
+
+
+def test_threshold_against_all_cuts():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 3, 10, 40):
+        v, w = rng.normal(size=n).round(1).tolist(), rng.integers(1, 50, n).tolist()
+
+        def spread(cut):
+            total = 0.0
+            for part in ([(a, b) for a, b in zip(v, w, strict=True) if a < cut], [(a, b) for a, b in zip(v, w, strict=True) if a >= cut]):
+                if part:
+                    mean = sum(a * b for a, b in part) / sum(b for _, b in part)
+                    total += sum(b * (a - mean) ** 2 for a, b in part)
+            return total
+
+        assert spread(html.threshold(v, w)) == pytest.approx(min(map(spread, v)))
+
+
+def test_smoothing_against_the_formula():
+    r, g = [3.0, 0.0, 10.0, 4.0, 4.0], [0, 0, 1, 0, 0]
+    k = lambda d: np.exp(-d * d / 8)
+    assert html.smoothed(r, g)[1] == pytest.approx((3 * k(1) + 4 * k(2) + 4 * k(3)) / (k(0) + k(1) + k(2) + k(3)))
+    assert html.smoothed(r, g)[2] == 10
+
+
+@pytest.mark.parametrize("page", ["<div>a" * 40_000, "<b><p>x</p>" * 30_000, "<i><div>" + "<b>" * 30_000 + "</i>" * 30_000, "<li>" * 40_000 + "x"])
+def test_odd_nesting_is_linear(page):
+    import time
+
+    began = time.time()
+    assert html.main_text(page)[:1] in ("a", "x", "")
+    assert time.time() - began < 6
+
+
 def test_main_text_of_pages(spark, sf):
     """The made pages keep their text in one article element."""
     import html as entities
