@@ -5,7 +5,10 @@ relative term frequency times inverse document frequency. Document frequencies c
 every learnable text. The weights are trained by follow-the-regularised-leader
 (per-coordinate FTRL-proximal) with elastic-net penalties on a bounded sample of
 labelled rows: at most `rows_per_label` rows of each lang value, those with the smallest
-hash of doc_id. A fifth of the sample is held back to fit one softmax temperature.
+hash of doc_id, and `sample_rows` together. A fifth of the sample is held back to fit one
+softmax temperature. The `max_labels` most frequent lang values (ties: first in order) are
+learned, and with many of them features share fewer slots, so that features x labels stay
+within `cells`: that bounds what the fitting task and the broadcast hold.
 
 Defined cases: null texts, empty texts and texts without a letter are `und` with score
 0; so is everything when there is nothing to learn from. Equal probabilities go to the
@@ -16,7 +19,7 @@ Repeated rows are predicted alike. Extra columns are left alone.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -33,6 +36,9 @@ class LangIdConfig:
     bits: int = 17  # features: 2**bits
     orders: tuple[int, ...] = (1, 2, 3)
     rows_per_label: int = 1500  # bound of the fitted sample, per lang value
+    sample_rows: int = 150_000  # and over all
+    max_labels: int = 1024
+    cells: int = 1 << 23  # bound of features x labels
     max_chars: int = 1 << 20  # code points hashed at once; longer texts go in overlapping steps
     epochs: int = 2
     alpha: float = 1.0
@@ -153,15 +159,18 @@ def train(learnable: DataFrame, config: LangIdConfig | None = None) -> LangIdMod
     spark = learnable.sparkSession
     python_ready(spark)
     texts = learnable.select("doc_id", "text", "lang").where(has_letter(F.col("text")))
+    labelled = learnable.where("lang is not null").groupBy("lang").count()
+    counts = [(r["lang"], r["count"]) for r in labelled.orderBy(F.desc("count"), "lang").limit(c.max_labels).collect()]
+    c = replace(c, bits=max(8, min(c.bits, (c.cells // max(1, len(counts))).bit_length() - 1)))
     df, total = document_frequencies(texts, c)
     idf = np.where(df > 0, np.log((1 + total) / (1 + df)) + 0.1, 0.0)
     key = F.xxhash64(F.col("doc_id").cast("string"))
     order = Window.partitionBy("lang").orderBy(key, "doc_id", "text")
     # first a share of each label's rows, by hash, so that no task ranks more than a few times the bound
-    counts = {r["lang"]: r["count"] for r in learnable.where("lang is not null").groupBy("lang").count().collect()}
-    near = [F.when(F.col("lang") == v, F.pmod(key, F.lit(1 << 20)) < int((1 << 20) * 4 * c.rows_per_label / n) + 1) for v, n in counts.items() if n > 4 * c.rows_per_label]
-    sample = texts.where("lang is not null").where(F.coalesce(*near, F.lit(True)))
-    sample = sample.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= c.rows_per_label)
+    each = min(c.rows_per_label, max(5, c.sample_rows // max(1, len(counts))))
+    share = spark.createDataFrame([(v, (1 << 20) * 4 * each // n + 1) for v, n in counts], "lang string, share long")
+    sample = texts.join(F.broadcast(share), "lang").where(F.pmod(key, F.lit(1 << 20)) < F.col("share"))
+    sample = sample.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= each)
     shared = spark.sparkContext.broadcast(idf)
 
     def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -187,12 +196,14 @@ def predictor(spark, model: LangIdModel):
     @F.pandas_udf("lang_pred string, score double")
     def predict(text: pd.Series) -> pd.DataFrame:
         labels, table = shared.value
+        step = max(256, (1 << 20) // max(1, len(labels)))
         out = []
         for t in text:
             total, m = np.zeros(len(labels)), 0
             if t is not None:
                 for h in gram_steps(t, c):
-                    total += np.take(table, h, axis=0).sum(axis=0, dtype=np.float64)
+                    for at in range(0, len(h), step):  # a block of grams x labels at a time
+                        total += np.take(table, h[at : at + step], axis=0).sum(axis=0, dtype=np.float64)
                     m += len(h)
             if t is None or not labels:
                 out.append(("und", 0.0))
