@@ -44,7 +44,8 @@ def targets(sizes: DataFrame, c: MixConfig) -> DataFrame:
 
     With caps, resharing the excess by weight until no target is above its cap gives
     target = min(cap, level * weight) for one level; the level is found from the sources
-    in order of cap / weight. The table has one row per source, so its windows are small.
+    in order of cap / weight. The table has one row per source, and its windows run in
+    one task: sources are names of collections, a few thousand of them, not documents.
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     turn = (F.row_number().over(order) - 1) % len(c.weights) + 1
@@ -62,7 +63,6 @@ def targets(sizes: DataFrame, c: MixConfig) -> DataFrame:
     return s.withColumn("target", F.least("bound", F.coalesce(right, F.lit(float("inf"))) * F.col("weight"))).select("source", "source_size", "target")
 
 
-UNIT = "struct<id:bigint,size:bigint,p:double,u:double>"
 EPS = 1e-9  # mass this near to an integer is that integer: sums of fractions carry rounding errors
 
 
@@ -71,9 +71,10 @@ def _draw(c: MixConfig, *parts: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(c.seed), *parts), F.lit(1 << 53)) / float(1 << 53)
 
 
-def _fold(units: Column) -> Column:
-    """Duel through a block: struct(open: the unit still fractional, if any; done: the units decided)."""
-    start = F.struct(F.lit(None).cast(UNIT).alias("open"), F.array().cast("array<struct<id:bigint,size:bigint,one:boolean>>").alias("done"))
+def _fold(units: Column, kind: str) -> Column:
+    """Duel through a block: struct(open: the unit still fractional, if any; done: the units decided). kind: type of the ids."""
+    unit = f"struct<id:{kind},size:bigint,p:double,u:double>"
+    start = F.struct(F.lit(None).cast(unit).alias("open"), F.array().cast(f"array<struct<id:{kind},size:bigint,one:boolean>>").alias("done"))
     decided = lambda unit, one: F.array(F.struct(unit["id"].alias("id"), unit["size"].alias("size"), one.alias("one")))
 
     def duel(acc: Column, x: Column) -> Column:
@@ -87,15 +88,19 @@ def _fold(units: Column) -> Column:
         moved = F.struct(on["id"].alias("id"), on["size"].alias("size"), left.alias("p"), on["u"].alias("u"))
         done = F.concat(acc["done"], decided(off, full))
         first = F.struct(x.alias("open"), acc["done"].alias("done"))
-        even = F.struct(F.lit(None).cast(UNIT).alias("open"), F.concat(done, decided(on, F.lit(False))).alias("done"))
+        even = F.struct(F.lit(None).cast(unit).alias("open"), F.concat(done, decided(on, F.lit(False))).alias("done"))
         return F.when(held.isNull(), first).when(left < EPS, even).otherwise(F.struct(moved.alias("open"), done.alias("done")))
 
     return F.aggregate(units, start, duel)
 
 
-def round_units(units: DataFrame, c: MixConfig) -> DataFrame:
-    """units(source, id, size, p) with p in (0, 1), id unique: (source, id, size, one) by the reduction tree."""
+def round_units(units: DataFrame, c: MixConfig, scratch: list[str] | None = None) -> DataFrame:
+    """units(source, id, size, p) with p in (0, 1), id unique in its source: (source, id, size, one) by the reduction tree.
+
+    scratch collects the paths of the tables that the result reads.
+    """
     made: list[str] = []
+    kind = units.schema["id"].dataType.simpleString()
     at = units.withColumn("class", F.floor(F.log2("size") * 8).cast("int"))
     blocks = at.groupBy("source", "class").agg(F.ceil(F.count(F.lit(1)) / c.block).cast("long").alias("blocks"))
     blocks = materialize(blocks, "blocks", made)
@@ -109,8 +114,8 @@ def round_units(units: DataFrame, c: MixConfig) -> DataFrame:
         keys = ["source", "class", "block"] if most > 0 else ["source"]
         unit = F.struct("size", _draw(c, F.col("id"), F.lit(level)).alias("h"), "id", "p", _draw(c, F.lit(level), F.lit("duel"), F.col("id")).alias("u"))
         sorted_units = F.transform(F.sort_array(F.collect_list(unit)), lambda x: F.struct(x["id"].alias("id"), x["size"].alias("size"), x["p"].alias("p"), x["u"].alias("u")))
-        folded = at.groupBy(*keys).agg(sorted_units.alias("units")).select(*keys, _fold(F.col("units")).alias("f"))
-        folded = materialize(folded, "duels")
+        folded = at.groupBy(*keys).agg(sorted_units.alias("units")).select(*keys, _fold(F.col("units"), kind).alias("f"))
+        folded = materialize(folded, "duels", scratch)
         done.append(folded.select("source", F.explode("f.done").alias("d")).select("source", "d.id", "d.size", "d.one"))
         open_units = folded.where("f.open is not null").select(*keys, "f.open.id", "f.open.size", "f.open.p")
         level += 1
@@ -127,27 +132,25 @@ def round_units(units: DataFrame, c: MixConfig) -> DataFrame:
     return out
 
 
-def decide(docs: DataFrame, c: MixConfig) -> DataFrame:
+def decide(docs: DataFrame, c: MixConfig, scratch: list[str] | None = None) -> DataFrame:
     """docs(doc_id, source, size): a row per distinct (doc_id, source, size) with rows, source_size, target and copies."""
-    made: list[str] = []
     units = docs.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("rows"))
-    units = materialize(units, "units")
+    units = materialize(units, "units", scratch)
     goals = targets(units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).cast("long").alias("source_size")), c)
-    goals = materialize(goals, "targets")
+    goals = materialize(goals, "targets", scratch)
     factor = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
     goals = goals.withColumn("whole", F.floor(factor + EPS)).withColumn("p", F.greatest(factor - F.col("whole"), F.lit(0.0)))
     side = goals.select(F.col("source").alias("_s"), "source_size", "target", "whole", "p")
     side = F.broadcast(side) if side.count() <= 20_000 else side
     units = units.join(side, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    # a unit's number is its own: a hash of the three columns that tell units apart
-    units = units.withColumn("id", F.xxhash64("doc_id", "source", "size"))
+    # within its source a unit is told by its doc_id and size
+    units = units.withColumn("id", F.struct(F.col("doc_id").alias("doc"), F.col("size").alias("words")))
     duelling = (F.col("size") > 0) & (F.col("p") > EPS)
-    rounded = round_units(units.where(duelling).select("source", "id", (F.col("size") * F.col("rows")).alias("size"), "p"), c)
-    extra = rounded.where("one").groupBy("id").agg(F.lit(1).alias("extra"))
+    rounded = round_units(units.where(duelling).select("source", "id", (F.col("size") * F.col("rows")).alias("size"), "p"), c, scratch)
+    extra = rounded.where("one").select(F.col("source").alias("_s"), F.col("id.doc").alias("_d"), F.col("id.words").alias("_w"), F.lit(1).alias("extra"))
+    same = F.col("source").eqNullSafe(F.col("_s")) & F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("size") == F.col("_w"))
     copies = F.when(F.col("size") > 0, F.col("whole") + F.coalesce("extra", F.lit(0))).otherwise(F.greatest(F.col("whole"), F.lit(1)))
-    out = units.join(extra, "id", "left").select("doc_id", "source", "size", "rows", "source_size", "target", copies.cast("int").alias("copies"))
-    drop(docs.sparkSession, made)
-    return out
+    return units.join(extra, same, "left").select("doc_id", "source", "size", "rows", "source_size", "target", copies.cast("int").alias("copies"))
 
 
 def mixture_table(docs: DataFrame, config: MixConfig | None = None) -> DataFrame:
@@ -161,8 +164,10 @@ def mixture_table(docs: DataFrame, config: MixConfig | None = None) -> DataFrame
 def mix(docs: DataFrame, config: MixConfig | None = None) -> DataFrame:
     """The documents, each as often as the mix takes it, with their own columns."""
     c = config or MixConfig()
-    d = decide(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), c)
+    scratch: list[str] = []
+    d = decide(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), c, scratch)
     d = materialize(d.where("copies > 0").select("doc_id", "source", "size", "copies"), "copies")
+    drop(docs.sparkSession, scratch)
     same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & F.col("row.source").eqNullSafe(F.col("source")) & (F.col("_n") == F.col("size"))
     taken = packed(docs).withColumn("_n", n_words(F.col("row.text"))).join(d, same)
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
