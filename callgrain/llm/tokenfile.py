@@ -18,6 +18,7 @@ Repeated doc_ids stand next to each other, by text. Extra columns are left alone
 from __future__ import annotations
 
 import gc
+import json
 import re
 import struct
 import zlib
@@ -50,6 +51,27 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+# fixed values: the settings of a vocabulary that stretches() may split for
+SPLITTING = {
+    "normalizer": [("NFC", None), ("Replace", "\\s+"), ("Lowercase", None)],
+    "pre_tokenizer": [("Split", "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"), ("ByteLevel", None)],
+    "model": {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "byte_fallback": False, "ignore_merges": False},
+}
+
+
+def splits_at_space(settings: dict) -> bool:
+    """Whether a tokenizer has the settings in SPLITTING, and no added token but those that start with `<|`."""
+
+    def steps(key: str) -> list[tuple[str, str | None]]:
+        part = settings.get(key) or {}
+        listed = part.get("normalizers") or part.get("pretokenizers") or []
+        return [(x["type"], x["pattern"].get("Regex") if "pattern" in x else None) for x in listed]
+
+    model = {k: settings["model"].get(k) for k in SPLITTING["model"]}
+    added = all(x["content"].startswith("<|") and not (x["lstrip"] or x["rstrip"]) for x in settings["added_tokens"])
+    return added and model == SPLITTING["model"] and all(steps(k) == SPLITTING[k] for k in ("normalizer", "pre_tokenizer"))
+
+
 class WordEncoder:
     """Encodes whole texts with the tokenizers library.
 
@@ -57,13 +79,16 @@ class WordEncoder:
     of its stretches, and those of a stretch are remembered. New stretches of letters
     alone go to the library many at a time, joined by spaces; each ends with the only
     piece in it that ends a word. For ASCII letters, which are lower-cased here, the
-    vocabulary's normaliser and splitter would change nothing and are left out.
+    vocabulary's normaliser and splitter would change nothing and are left out. All this
+    holds for vocabularies with the settings in SPLITTING, which is checked on loading;
+    texts are given to any other vocabulary whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.splits = splits_at_space(json.loads(self.tokenizer.to_str()))
         # for lower-case ASCII letters, normalising and byte mapping change nothing
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer, self.plain.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
@@ -97,6 +122,8 @@ class WordEncoder:
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
+        if not self.splits:
+            return self._each([t or "" for t in texts])
         split = [stretches(t) if t else [] for t in texts]
         if len(self.known) >= REMEMBERED:
             self.older, self.known = self.known, {}
