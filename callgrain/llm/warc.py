@@ -30,6 +30,7 @@ from callgrain.llm.common import fresh_dir, materialize, open_folder, python_rea
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 MIN_BYTES = 100
+ROWS = 4096  # records that a reader hands over at once
 
 
 def with_headers(pages: DataFrame) -> DataFrame:
@@ -125,11 +126,15 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
         fs, top = open_folder(folder)
         names = ["page_id", "payload_bytes", "payload_digest", "record_type", "record_id", "refers_to_record"]
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()]
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
         for b in batches:
             for name in b.column(0).to_pylist():
                 rows: list[tuple] = []
                 with fs.open_input_stream(f"{top}/{name}", compression=None) as f:
                     for h, block in read_records(f):
+                        if len(rows) >= ROWS:
+                            yield batch(rows)
+                            rows = []
                         http, _, payload = block.partition(b"\r\n\r\n")
                         digest, kind = h["WARC-Payload-Digest"].removeprefix("sha256:"), h["WARC-Type"]
                         size = int(dict(x.split(": ", 1) for x in http.decode().split("\r\n")[1:])["Content-Length"])
@@ -137,7 +142,7 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
                             raise ValueError(f"{name}: {h['WARC-Record-ID']} is damaged")
                         page = h.get("WARC-Page-ID")
                         rows.append((None if page is None else int(page), size, digest, kind, h["WARC-Record-ID"], h.get("WARC-Refers-To")))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
+                yield batch(rows)
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, record_id string, refers_to_record string"
     return index.select("file").repartition(max(1, index.count())).mapInArrow(read, schema)
