@@ -42,14 +42,19 @@ def python_ready(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """URI of the folder that all executors share: spark.checkpoint.dir, or, on a local master only, one of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         root = spark.sparkContext.getCheckpointDir()
-    return root.rstrip("/")
+    # a plain path means the default file system, for Spark and for the tasks that open files themselves
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    return "file://" + found[5:] if found.startswith("file:/") and not found.startswith("file://") else found
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
@@ -87,7 +92,7 @@ def packed(df: DataFrame) -> DataFrame:
 
 
 def open_folder(uri: str):
-    """(filesystem, path) of a folder that every executor reaches, by its URI; plain paths are local ones."""
+    """(filesystem, path) of a folder that every executor reaches, by its URI (those of fresh_dir have one); plain paths are local."""
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
