@@ -10,8 +10,9 @@ strict, which needs no further correction).
 Defined cases: null and empty texts have no words, hence fail the base rules. A null
 lang is a stratum of its own. Unlabelled strata, and strata with too few labelled
 documents for any bound, get no cutoffs: only the base rules reject there. Repeated
-doc_ids are judged row by row; a repeated label row counts once, and a document with
-contradictory labels counts as good. Extra columns are left alone.
+doc_ids are judged row by row; a repeated label row counts once, a document with
+contradictory labels counts as good, and texts that are equal but for case and white
+space are one trial. Extra columns are left alone.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callgrain.llm.common import drop, materialize, packed, words
+from callgrain.llm.common import materialize, packed, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -49,8 +50,8 @@ def with_features(packed_docs: DataFrame, text: Column) -> DataFrame:
     """Add the counts of the base rules beside the column `row`: one pass over the text, no shuffle.
 
     n_repeat_words is the number of words inside any 5-word window found at least twice
-    in the same text. Windows are compared by their 64-bit hash; only texts with a
-    repeated hash sort their windows.
+    in the same text. Texts without a repeated 64-bit hash of a window have none; in the
+    others windows are sorted, by hash and words, and compared word by word.
     """
     has_word = lambda line: F.length(F.translate(line, " \t\n\x0b\x0c\r", "")) > 0
     full = F.coalesce(text, F.lit(""))
@@ -65,10 +66,11 @@ def with_features(packed_docs: DataFrame, text: Column) -> DataFrame:
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
     )
     windows = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - (WINDOW - 1), F.lit(1))), lambda i: F.xxhash64(F.slice("_w", i, WINDOW)))
-    step = step.withColumn("_h", F.when(F.size("_w") > WINDOW, windows)).drop("_w")
-    tagged = F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    step = step.withColumn("_t", F.when(F.size("_h") > F.size(F.array_distinct("_h")), tagged)).drop("_h")
-    same = lambda s, k: F.coalesce(F.get("_t", k - 1)["h"] == s["h"], F.lit(False)) | F.coalesce(F.get("_t", k + 1)["h"] == s["h"], F.lit(False))
+    step = step.withColumn("_h", F.when(F.size("_w") > WINDOW, windows))
+    tagged = F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), F.slice("_w", i + 1, WINDOW).alias("w"), i.alias("i"))))
+    step = step.withColumn("_t", F.when(F.size("_h") > F.size(F.array_distinct("_h")), tagged)).drop("_h", "_w")
+    like = lambda s, k: F.coalesce((F.get("_t", k)["h"] == s["h"]) & (F.get("_t", k)["w"] == s["w"]), F.lit(False))
+    same = lambda s, k: like(s, k - 1) | like(s, k + 1)
     starts = F.sort_array(F.transform(F.filter("_t", same), lambda s: s["i"]))
     covered = F.aggregate(
         starts,
@@ -146,9 +148,15 @@ def cutoffs(labelled: DataFrame, control: RiskControl) -> DataFrame:
 
 
 def learn_cutoffs(features: DataFrame, labels: DataFrame, control: RiskControl) -> DataFrame:
-    """features(doc_id, stratum, signals..., base_failed) joined to labels; base-failed rows never reach the signals."""
+    """features(doc_id, stratum, signals..., base_failed, content) joined to labels; base-failed rows never reach the signals.
+
+    Trials of a binomial are independent: of rows with equal `content` in a stratum one
+    counts, as good if any of them is labelled so (their signals are equal, too).
+    """
     lab = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    return cutoffs(features.where("not base_failed").join(lab, "doc_id"), control)
+    judged = features.where("not base_failed").join(lab, "doc_id").select("stratum", "content", "quality", *control.grid)
+    once = judged.groupBy("stratum", "content").agg(F.max("quality").alias("quality"), *[F.min(s).alias(s) for s in control.grid])
+    return cutoffs(once, control)
 
 
 def judge(features: DataFrame, cut: DataFrame, control: RiskControl) -> DataFrame:
@@ -168,11 +176,17 @@ def features_of(docs: DataFrame) -> DataFrame:
     return f.withColumns(signals()).withColumn("stratum", F.col("row.lang"))
 
 
+def content_key(text: Column) -> Column:
+    """Equal for texts that differ in case and white space only."""
+    return F.xxhash64(F.translate(F.lower(text), " \t\n\x0b\x0c\r", ""))
+
+
 def quality_table(docs: DataFrame, labels: DataFrame, control: RiskControl | None = None) -> DataFrame:
     """Counts and verdict per document. The counts are computed once and kept in a narrow table."""
     control = control or RiskControl()
     f = features_of(docs.select("doc_id", "lang", "text")).select(
-        F.col("row.doc_id").alias("doc_id"), "stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *control.grid
+        F.col("row.doc_id").alias("doc_id"), "stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *control.grid,
+        content_key(F.col("row.text")).alias("content"),
     )
     f = materialize(f, "quality")
     cut = materialize(learn_cutoffs(f, labels, control), "cutoffs")
@@ -180,17 +194,16 @@ def quality_table(docs: DataFrame, labels: DataFrame, control: RiskControl | Non
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, control: RiskControl | None = None) -> DataFrame:
-    """The kept documents, with their own columns. Labelled rows are measured first, to learn the cutoffs."""
+    """The kept documents, with their own columns.
+
+    Every text is measured once: documents that pass the base rules are written with
+    their signals; the cutoffs are learned from that table and applied to it.
+    """
     control = control or RiskControl()
-    made: list[str] = []
-    f = features_of(docs.select("doc_id", "lang", "text"))
-    f = materialize(f.select(F.col("row.doc_id").alias("doc_id"), "stratum", "base_failed", *control.grid), "quality", made)
-    cut = materialize(learn_cutoffs(f, labels, control), "cutoffs")
-    # the row number keeps the filter above the projections: pushed below, it would compute the words anew for every window
-    f = features_of(docs).withColumn("_number", F.monotonically_increasing_id())
-    out = judge(f, cut, control).where(F.col("kept") & (F.col("_number") >= 0)).select("row.*")
-    drop(docs.sparkSession, made)
-    return out
+    f = features_of(docs).where("not base_failed").select("row", "stratum", "base_failed", *control.grid, content_key(F.col("row.text")).alias("content"))
+    f = materialize(f, "quality")
+    cut = materialize(learn_cutoffs(f.withColumn("doc_id", F.col("row.doc_id")), labels, control), "cutoffs")
+    return judge(f, cut, control).where("kept").select("row.*")
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
