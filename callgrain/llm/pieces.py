@@ -1,19 +1,28 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The machine is the composition of three parts, expanded only where an input goes:
-
-* the normaliser: copies characters, writes U+2581 for a space and one U+2581 in front;
-* the piece machine: an arc reads the characters of a vocabulary piece and writes its
-  id. Its states are the piece read last, and an arc from piece s to piece t has weight
-  0 if merging s + t ends in exactly (s, t), else infinity. A sequence of pieces whose
-  neighbours all pass is what byte-pair merging makes of the whole text, so the tropical
-  shortest path is the encoding of the merge model, and unique;
-* byte fallback: a character that is no piece is read by an arc that writes its UTF-8
-  bytes' ids; it joins with nothing, so every neighbour passes.
-
-The search is linear in the length, up to a factor of the longest piece. No piece has U+2581 behind another character, and none holds a fallback character
-(both are checked on loading). So paths through different stretches of text are
-independent, and a stretch's path is remembered in a bounded table.
+Three machines are compiled from the model file and composed with each input:
+
+* the normaliser: an arc that writes U+2581 in front, and one that writes it for a space
+  (each only if the model says so); other characters are copied;
+* the piece machine: a trie of the vocabulary. A path through it reads the characters of
+  a piece, writes its id and costs the piece's negated score. The state it ends in is that
+  piece, and the arc from piece s to piece t costs nothing more if merging s + t leaves
+  the two as they are, else infinity. Of two pieces, each knows how its inner and outer
+  edge grow while it is merged (`Track`); running two tracks side by side shows whether
+  a merge across them comes first;
+* byte fallback: an arc that reads a character of no piece and writes its UTF-8 bytes'
+  ids. It joins with nothing, so it costs the same behind and before every piece.
+
+The encoding is the shortest path in the tropical semiring: states are pairs of position
+and last piece, relaxed from left to right, and the least sum of costs wins. A sequence
+of pieces whose neighbours all pass is what byte-pair merging makes of the whole text, so
+just one path has a finite cost.
+
+No piece has U+2581 behind another character, and none holds a fallback character (both
+are checked on loading). So paths through different stretches of text are independent,
+and a stretch's path is remembered in a bounded table. Models with other settings
+(another kind of model, a table of character replacements, removal of extra white space,
+suffix white space, user-defined or unused pieces, no byte fallback) are refused.
 
 Decoding is the inverse machine: pieces to characters, runs of bytes through UTF-8 with
 U+FFFD for each invalid byte, U+2581 to a space, and the added first space dropped. A
@@ -25,6 +34,7 @@ Defined cases: null text is empty text, which has no ids. Extra columns are left
 from __future__ import annotations
 
 import codecs
+import math
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -37,7 +47,7 @@ from pyspark.sql import functions as F
 from callgrain.llm.common import packed, python_ready
 
 SPACE = "▁"
-REMEMBERED, REMEMBERED_CHARS = 400_000, 64
+REMEMBERED, REMEMBERED_CHARS, PAIRS = 400_000, 64, 1_000_000
 codecs.register_error("one-by-one", lambda e: ("\ufffd" * (e.end - e.start), e.end))
 
 
@@ -47,111 +57,168 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # fixed values of the public model format: kinds of pieces
+MERGE_MODEL = 2
+START = -1  # the state in front of the text, and behind a fallback character
+END = ""  # the trie's key of a finished piece
+
+
+class Track:
+    """How the edges of a piece grow while its characters are merged.
+
+    steps: scores of its merges, in order; left and right: the outermost parts before
+    each of them, and at the end. whole: whether all of it becomes one part.
+    """
+
+    __slots__ = ("left", "right", "steps", "whole")
+
+    def __init__(self, piece: str, score: dict[str, float]):
+        parts = list(piece)
+        self.steps, self.left, self.right = [], [parts[0]], [parts[-1]]
+        while True:
+            best, at = None, -1
+            for i in range(len(parts) - 1):
+                s = score.get(parts[i] + parts[i + 1])
+                if s is not None and (best is None or s > best):
+                    best, at = s, i
+            if at < 0:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            self.steps.append(best)
+            self.left.append(parts[0])
+            self.right.append(parts[-1])
+        self.steps.append(-math.inf)
+        self.whole = len(parts) == 1
+
+
 class PieceMachine:
-    """The composed transducer of one merge model with identity normalisation and byte fallback."""
+    """The compiled machines of one merge model."""
 
     def __init__(self, path: str):
-        import sentencepiece
-
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        n = model.get_piece_size()
-        self.text = [model.id_to_piece(i) for i in range(n)]
-        special = [model.is_control(i) or model.is_unknown(i) or model.is_byte(i) for i in range(n)]
-        self.bytes = {i: int(self.text[i][3:5], 16) for i in range(n) if model.is_byte(i)}
+        from sentencepiece import sentencepiece_model_pb2
+
+        model = sentencepiece_model_pb2.ModelProto()
+        with open(path, "rb") as f:
+            model.ParseFromString(f.read())
+        spec, kinds = model.normalizer_spec, [p.type for p in model.pieces]
+        self.text = [p.piece for p in model.pieces]
+        self.bytes = {i: int(self.text[i][3:5], 16) for i, k in enumerate(kinds) if k == BYTE}
         self.byte_id = {b: i for i, b in self.bytes.items()}
-        self.silent = {i for i in range(n) if special[i] and i not in self.bytes}
-        self.unknown = model.unk_id()
-        self.id = {p: i for i, p in enumerate(self.text) if not special[i]}
-        self.score = {p: model.get_score(i) for p, i in self.id.items()}
-        self.longest = max(map(len, self.id))
+        self.silent = {i for i, k in enumerate(kinds) if k in (UNKNOWN, CONTROL)}
+        self.unknown = kinds.index(UNKNOWN)
+        self.id = {p: i for i, p in enumerate(self.text) if kinds[i] == NORMAL}
+        self.score = {p: model.pieces[i].score for p, i in self.id.items()}
         chars = set("".join(self.id))
-        if any(SPACE in p.lstrip(SPACE) for p in self.id) or any(c not in self.id for c in chars) or len(self.byte_id) != 256:
-            raise ValueError("this vocabulary has pieces that cross words, or no byte fallback")
+        if model.trainer_spec.model_type != MERGE_MODEL or set(kinds) - {NORMAL, UNKNOWN, CONTROL, BYTE} or len(self.byte_id) != 256:
+            raise ValueError("only merge models with byte fallback and plain pieces are supported")
+        if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.escape_whitespaces or model.trainer_spec.treat_whitespace_as_suffix:
+            raise ValueError("this model's normaliser is not supported")
+        if any(SPACE in p.lstrip(SPACE) for p in self.id) or any(c not in self.id for c in chars):
+            raise ValueError("this vocabulary has pieces that cross words, or whose characters are none")
+        self.prefix, self.arcs = SPACE if spec.add_dummy_prefix else "", {" ": SPACE}
+        self.trie: dict = {}
+        for p, i in self.id.items():
+            node = self.trie
+            for c in p:
+                node = node.setdefault(c, {})
+            node[END] = i
+        self.cost = [-p.score for p in model.pieces]
+        self.tracks: list[Track | None] = [None] * len(self.text)
         # letters and other characters part too if no piece holds both behind its leading U+2581
         odd = "".join(sorted(c for c in chars if re.match(r"[^\W\d_]", c) and not c.isalpha()))
         letter, other = f"[^\\W\\d_{odd}]", f"(?:[\\d_{odd}]|[^\\w{SPACE}])"
         mixed = any(re.search(letter, q) and re.search(other, q) for q in (p.lstrip(SPACE) for p in self.id))
         self.stretch = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if mixed else f"{SPACE}*(?:{letter}+|{other}+)|{SPACE}+")
-        self.passes: dict[int, bool] = {}
+        self.joins: dict[int, float] = {}
         self.known: dict[str, bytes] = {}
 
-    def merged(self, s: str) -> list[str]:
-        """Byte-pair merging as the model defines it: best score first, leftmost first among equals."""
-        parts = list(s)
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                score = self.score.get(parts[i] + parts[i + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, i
-            if at < 0:
-                return parts
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    def track(self, t: int) -> Track:
+        found = self.tracks[t]
+        if found is None:
+            found = self.tracks[t] = Track(self.text[t], self.score)
+        return found
 
-    def _fits(self, s: int, t: int) -> bool:
-        """Whether the arc from state s to piece t has finite weight."""
+    def join(self, s: int, t: int) -> float:
+        """The cost of reading piece t in state s: nothing or infinity."""
         key = s << 20 | t
-        ok = self.passes.get(key)
-        if ok is None:
-            if len(self.passes) >= 2_000_000:
-                self.passes.clear()
-            a, b = self.text[s], self.text[t]
-            ok = self.passes[key] = self.merged(a + b) == [a, b]
-        return ok
-
-    def _path(self, s: str) -> list[int]:
-        """Ids along the shortest path through a stretch.
-
-        Finite weights are all 0, so the first complete path of finite arcs is shortest.
-        Arcs are followed depth first, longer pieces first. All finite paths to a position
-        come in the same state, so a position that leads nowhere is closed for good.
+        cost = self.joins.get(key)
+        if cost is None:
+            if len(self.joins) >= PAIRS:
+                self.joins.clear()
+            cost = self.joins[key] = 0.0 if self._apart(s, t) else math.inf
+        return cost
+
+    def _apart(self, s: int, t: int) -> bool:
+        """Whether merging s + t ends in these two: no merge across them is ever the next, the best one or the first of equals."""
+        b = self.track(t)
+        if s == START:
+            return b.whole
+        a, score, i, j = self.track(s), self.score, 0, 0
+        if not (a.whole and b.whole):
+            return False
+        while True:
+            x, y, across = a.steps[i], b.steps[j], score.get(a.right[i] + b.left[j])
+            if across is not None and across > x and across >= y:
+                return False
+            if x == y == -math.inf:
+                return True
+            if x >= y:
+                i += 1
+            else:
+                j += 1
+
+    def shortest(self, s: str) -> tuple[float, list[int]]:
+        """Cost and ids of the shortest path through a stretch: positions in order, each relaxing what its arcs reach.
+
+        What a finite path has read is merged to the pieces that it wrote, and merging has
+        one result. So a position has one state of finite cost, and is relaxed once.
         """
-        ids, fits, n, longest = self.id, self._fits, len(s), self.longest
-        closed = bytearray(n + 1)
-        out: list[int] = []
-        trail: list[tuple[int, int, int, int]] = []  # position, state, length of the arc, ids before it
-        pos, state, size = 0, -1, min(longest, n)
-        while pos < n:
-            while size:
-                t = ids.get(s[pos : pos + size])
-                if t is not None and not closed[pos + size] and (fits(state, t) if state >= 0 else self._alone(t)):
+        n, inf, trie, cost, joins, join = len(s), math.inf, self.trie, self.cost, self.joins, self.join
+        dist, state, back = [inf] * (n + 1), [START] * (n + 1), [0] * (n + 1)
+        dist[0] = 0.0
+        for pos in range(n):
+            d = dist[pos]
+            if d == inf:
+                continue
+            node, at, last = trie.get(s[pos]), pos + 1, state[pos] << 20
+            if node is None:
+                dist[at], state[at], back[at] = d, START, pos
+            while node is not None:
+                t = node.get(END)
+                if t is not None and dist[at] == inf:
+                    w = joins.get(last | t)
+                    if w is None:
+                        w = join(last >> 20, t)
+                    if w < inf:
+                        dist[at], state[at], back[at] = d + w + cost[t], t, pos
+                if at == n:
                     break
-                size -= 1
-            if size:
-                trail.append((pos, state, size, len(out)))
-                out.append(t)
-                pos, state = pos + size, t
-                size = min(longest, n - pos)
-            elif s[pos] not in ids and not closed[pos + 1]:
-                trail.append((pos, state, 1, len(out)))
-                out.extend(map(self.byte_id.__getitem__, s[pos].encode("utf-8", "surrogatepass")))
-                pos, state = pos + 1, -1
-                size = min(longest, n - pos)
+                node, at = node.get(s[at]), at + 1
+        if dist[n] == inf:
+            raise ValueError("no path")
+        pos, out = n, []
+        while pos:
+            if state[pos] == START:
+                out.extend(self.byte_id[b] for b in reversed(s[back[pos]].encode("utf-8", "surrogatepass")))
             else:
-                closed[pos] = 1
-                if not trail:
-                    raise ValueError("no path")
-                pos, state, size, k = trail.pop()
-                del out[k:]
-                size -= 1
-        return out
-
-    def _alone(self, t: int) -> bool:
-        key = -1 - t
-        ok = self.passes.get(key)
-        if ok is None:
-            ok = self.passes[key] = self.merged(self.text[t]) == [self.text[t]]
-        return ok
+                out.append(state[pos])
+            pos = back[pos]
+        return dist[n], out[::-1]
+
+    def normalise(self, text: str) -> str:
+        for read, write in self.arcs.items():
+            text = text.replace(read, write)
+        return self.prefix + text
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a whole text."""
         if not text:
             return np.zeros(0, np.uint32)
         known, out = self.known, []
-        for s in self.stretch.findall(SPACE + text.replace(" ", SPACE)):
+        for s in self.stretch.findall(self.normalise(text)):
             got = known.get(s)
             if got is None:
-                got = np.array(self._path(s), "<u4").tobytes()
+                got = np.array(self.shortest(s)[1], "<u4").tobytes()
                 if len(s) <= REMEMBERED_CHARS:
                     if len(known) >= REMEMBERED:
                         known.clear()
@@ -175,7 +242,7 @@ class PieceMachine:
         if raw:
             out.append(raw.decode("utf-8", "one-by-one"))
         text = "".join(out).replace(SPACE, " ")
-        return text[1:] if text.startswith(" ") else text
+        return text[1:] if self.prefix and text.startswith(" ") else text
 
 
 _MACHINES: dict[str, PieceMachine] = {}

@@ -179,6 +179,56 @@ def test_gram_steps_cover_text_once():
     assert (whole == parts).all()
 
 
+def plain_ftrl(rows, k, c):
+    """The published update, one coordinate at a time."""
+    z, n = Counter(), Counter()
+
+    def weight(j, y):
+        v = z[j, y]
+        return 0.0 if abs(v) <= c.l1 else -(v - np.sign(v) * c.l1) / ((c.beta + n[j, y] ** 0.5) / c.alpha + c.l2)
+
+    train = [r for i, r in enumerate(rows) if i % 5 != 4]
+    rng = np.random.default_rng(7)
+    for _ in range(c.epochs):
+        for i in rng.permutation(len(train)):
+            at, x, label = train[i]
+            scores = [sum(v * weight(j, y) for j, v in zip(at, x, strict=True)) for y in range(k)]
+            e = np.exp(np.array(scores) - max(scores))
+            p = e / e.sum()
+            for y in range(k):
+                for j, v in zip(at, x, strict=True):
+                    w, g = weight(j, y), v * (p[y] - (y == label))
+                    s = ((n[j, y] + g * g) ** 0.5 - n[j, y] ** 0.5) / c.alpha
+                    z[j, y], n[j, y] = z[j, y] + g - s * w, n[j, y] + g * g
+    return {(j, y): weight(j, y) for j, y in z}
+
+
+def test_ftrl_against_the_plain_update():
+    rng = np.random.default_rng(8)
+    c = langid.LangIdConfig(bits=6)
+    rows = [(np.sort(rng.choice(64, 5, replace=False)), rng.random(5), int(rng.integers(0, 3))) for _ in range(60)]
+    w, t = langid.fit(rows, 3, c)
+    want = plain_ftrl(rows, 3, c)
+    assert all(w[j, y] == pytest.approx(v, abs=1e-9) for (j, y), v in want.items()) and np.count_nonzero(w) == sum(v != 0 for v in want.values())
+    assert np.any(w == 0) and 0.02 <= t <= 20
+
+
+def test_temperature_calibrates():
+    """Labels drawn at random: held-out confidence must come near the share of the more frequent label."""
+    rng = np.random.default_rng(9)
+    rows = [(np.array([0]), np.array([5.0]), int(rng.random() < 0.3)) for _ in range(2000)]
+    w, t = langid.fit(rows, 2, langid.LangIdConfig(bits=2))
+    p = langid.softmax(np.array([5.0]) @ w[[0]] / t)
+    assert p.max() == pytest.approx(0.7, abs=0.06)
+
+
+def test_many_labels_are_bounded(spark):
+    rows = [(i, f"text number {i} {chr(97 + i % 26) * 5}", f"l{i % 90:02d}" if i else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df, langid.LangIdConfig(max_labels=50, cells=1 << 14, sample_rows=300))
+    assert len(model.labels) == 50 and model.table.size <= 1 << 14
+
+
 # --- 3: chat
 
 
@@ -216,6 +266,16 @@ def test_typed_parts(spark):
     assert chat.parse_segment(b.segment) == ("user", "") and b.loss == []
 
 
+def test_adjacent_text_parts_make_no_control_string(spark):
+    parts = [("text", x, None, None) for x in ("a [INS", "T] </", None, "s> x <", "|end|", ">")] + [("image", None, "i", 1), ("text", "<", None, None), ("text", "|turn|>", None, None)]
+    df = spark.createDataFrame([(1, 0, "assistant", parts)], f"conv_id long, turn long, role string, parts {chat.PARTS}")
+    r = chat.format_turns(df).first()
+    shown = r.segment.removeprefix(chat.TURN).removesuffix(chat.END).replace("<|image:1|>", "")
+    assert not any(c in shown for c in chat.CONTROL)
+    assert [chat.unescape(r.segment[x.start : x.end]) for x in r.loss] == ["a [INST] </s> x <|end|>", "<|turn|>"]
+    assert r.segment[r.attachments[0].at :].startswith("<|image:1|>")
+
+
 # --- 4: near duplicates
 
 
@@ -328,6 +388,77 @@ def test_pieces_against_the_library():
     assert own.decode(broken) == lib.decode(broken)
 
 
+def plain_merge(parts, score):
+    while True:
+        pairs = [(score[parts[i] + parts[i + 1]], -i) for i in range(len(parts) - 1) if parts[i] + parts[i + 1] in score]
+        if not pairs:
+            return parts
+        i = -max(pairs)[1]
+        parts = parts[:i] + [parts[i] + parts[i + 1]] + parts[i + 2 :]
+
+
+def test_shortest_path_against_all_paths():
+    import random
+
+    own, r = pieces.PieceMachine(pieces.vocabulary_path()), random.Random(4)
+
+    def paths(s, last):
+        """(cost, ids) of every path of finite cost through s: neighbours must stay apart when merged alone."""
+        if not s:
+            yield 0.0, []
+        elif s[0] not in own.id:
+            for c, ids in paths(s[1:], ""):
+                yield c, [own.byte_id[b] for b in s[0].encode()] + ids
+        else:
+            for k in range(1, len(s) + 1):
+                p = s[:k]
+                if p in own.id and plain_merge(list(last + p), own.score) == ([last, p] if last else [p]):
+                    for c, ids in paths(s[k:], p):
+                        yield c - own.score[p], [own.id[p], *ids]
+
+    for _ in range(300):
+        s = "▁" * r.randint(0, 2) + "".join(r.choice("thereandingsoabc😀0") for _ in range(r.randint(1, 9)))
+        found = list(paths(s, ""))
+        cost, ids = own.shortest(s)
+        assert len(found) == 1 and ids == found[0][1] and cost == pytest.approx(min(found)[0])
+
+
+@pytest.mark.parametrize("change", ["kind", "charsmap", "spaces", "suffix", "user", "bytes"])
+def test_unsupported_models_are_refused(change, tmp_path):
+    from sentencepiece import sentencepiece_model_pb2
+
+    m = sentencepiece_model_pb2.ModelProto()
+    m.ParseFromString(open(pieces.vocabulary_path(), "rb").read())
+    if change == "kind":
+        m.trainer_spec.model_type = 1
+    elif change == "charsmap":
+        m.normalizer_spec.precompiled_charsmap = b"x"
+    elif change == "spaces":
+        m.normalizer_spec.remove_extra_whitespaces = True
+    elif change == "suffix":
+        m.trainer_spec.treat_whitespace_as_suffix = True
+    elif change == "user":
+        m.pieces[500].type = 4
+    else:
+        del m.pieces[100]
+    (tmp_path / "m").write_bytes(m.SerializeToString())
+    with pytest.raises(ValueError):
+        pieces.PieceMachine(str(tmp_path / "m"))
+
+
+def test_prefix_comes_from_the_model(tmp_path):
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    m = sentencepiece_model_pb2.ModelProto()
+    m.ParseFromString(open(pieces.vocabulary_path(), "rb").read())
+    m.normalizer_spec.add_dummy_prefix = False
+    (tmp_path / "m").write_bytes(m.SerializeToString())
+    lib, own = sentencepiece.SentencePieceProcessor(model_file=str(tmp_path / "m")), pieces.PieceMachine(str(tmp_path / "m"))
+    for s in ("the end", " the end", "  x", "a"):
+        assert own.encode(s).tolist() == lib.encode(s) and own.decode(own.encode(s)) == lib.decode(lib.encode(s))
+
+
 def test_pieces_odd_rows(spark, tables):
     got = {r.doc_id: r for r in pieces.op5_sentencepiece(spark, tables[0]).collect()}
     assert got[1].n_tokens == got[2].n_tokens == 0 and all(r.round_trip for r in got.values())
@@ -364,6 +495,18 @@ def test_special_strings_inside_words():
     assert [list(np.frombuffer(b, "<u4")) for b in own.encode_all(texts)] == [lib.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_settings_are_checked_on_loading(name):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    lib, own = Tokenizer.from_file(path), tokenfile.WordEncoder(path)
+    assert own.splits == (name == "word_bpe_49k.json")
+    texts = ["Two  words, and\n\nmore... 12's", None, ""]
+    assert [list(np.frombuffer(b, "<u4")) for b in own.encode_all(texts)] == [lib.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
 def test_reader_opens_only_wanted_frames(tmp_path):
     from pyarrow import fs
 
@@ -431,6 +574,25 @@ def test_quality_counts(spark, tables, sf):
             assert r.base_failed == (n[0] < 10 or 100 * n[4] > 20 * n[0]) and not (r.base_failed and r.kept)
 
 
+def test_windows_with_equal_hashes_are_compared(spark, monkeypatch):
+    monkeypatch.setattr(quality.F, "xxhash64", lambda *x: F.lit(7).cast("long"))
+    t = [" ".join(f"w{i}" for i in range(30)), "a b c d e f a b c d e g", "x " * 9]
+    df = quality.with_features(spark.createDataFrame([(x,) for x in t], "text string").select(F.struct("text").alias("row")), F.col("row.text"))
+    assert {r.row.text: r.n_repeat_words for r in df.collect()} == {x: brute_counts(x)[4] for x in t}
+
+
+def test_copies_among_labelled_rows_are_one_trial(spark):
+    """900 copies of one good document prove nothing."""
+    text = "some good words that are here all the time and once more "
+    docs = spark.createDataFrame([(i, text.upper() if i % 2 else text + " ", "en") for i in range(900)], "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    f = quality.features_of(docs).withColumn("doc_id", F.col("row.doc_id")).withColumn("content", quality.content_key(F.col("row.text")))
+    assert quality.learn_cutoffs(f, labels, quality.RiskControl()).count() == 0
+    distinct = docs.withColumn("text", F.concat("text", F.lit(" x"), "doc_id"))
+    f = quality.features_of(distinct).withColumn("doc_id", F.col("row.doc_id")).withColumn("content", quality.content_key(F.col("row.text")))
+    assert quality.learn_cutoffs(f, labels, quality.RiskControl()).first().cut_symbols_per_word is not None
+
+
 def exact_cdf(k, n, p):
     from math import exp, lgamma, log, log1p
 
