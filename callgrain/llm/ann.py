@@ -2,14 +2,16 @@
 
 Index: inner products become Euclidean distances by one more coordinate, sqrt(M^2 -
 |x|^2), 0 for queries, M being the largest norm. Centroids come from a bounded sample,
-cut again and again at the median of its main direction, so lists are balanced; their
-number grows with the table (`list_rows` vectors each) up to `max_lists`. A vector goes to its nearest
+cut again and again at the median of its main direction, so lists are balanced; lists
+that are twice too long after the means have settled are cut again. Their number grows
+with the table (`list_rows` vectors each) up to about `max_lists`. A vector goes to its nearest
 list and, near a boundary, to further lists: those within (1 + `closure`) of the nearest
 distance, if each list taken before is more than `apart` times as far from them as the
-vector is. Centroids are searched by a beam search on an in-memory neighbour graph.
+vector is. Centroids are searched on an in-memory neighbour graph: a query's frontier of
+bounded size moves to its nearest centroids, and floods their surroundings from there.
 
 Search: a query visits all lists within (1 + `reach`) of its nearest centroid's
-distance, `probes` of them at least; the beam widens until it reaches well beyond that distance.
+distance, `probes` of them at least, and more while those hold too few vectors.
 Neighbouring lists form bins, and a query compares itself with the whole of each bin that
 holds a list it visits. So it is sent, and answers, once a bin instead of once a list.
 Bins hold about `block` vectors in small tables, and grow with the square root of the
@@ -22,12 +24,13 @@ double precision, in order of the components; ties go to the smaller id.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components
 take no part, nor do those of another length than most (ties: the longer). Rows with a
-null id take no part. Repeated rows of one id and vector count once. With k candidates
-or fewer, all lists are visited. Extra columns are left alone.
+null id take no part. Repeated rows of one id and vector count once. Queries always get
+k neighbours, or all candidates if there are fewer. Extra columns are left alone.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,6 +43,7 @@ from pyspark.sql.window import Window
 from callgrain.llm.common import materialize, python_ready
 
 CELLS = 1 << 22  # distances held at once while centroids settle
+SLACK = 1.1**2  # a flood of the graph goes so far beyond its limit
 
 
 @dataclass(frozen=True)
@@ -54,8 +58,9 @@ class AnnConfig:
     reach: float = 0.2
     probes: int = 16
     max_probes: int | None = None  # no bound
-    graph_degree: int = 16
-    beam: int = 160  # at first; it widens as far as `reach` asks
+    graph_degree: int = 24
+    beam: int = 24  # centroids in a query's frontier
+    sample_values: int = 1 << 25  # and so many components, at most
     block: int = 2048
     bin_values: int = 1 << 19
 
@@ -70,8 +75,13 @@ def clean(vectors: DataFrame) -> DataFrame:
     return d.where(F.size("x") == (size["dim"] if size else 0))
 
 
+def squared(q: np.ndarray, c: np.ndarray, sq: np.ndarray) -> np.ndarray:
+    """Squared distances of the rows of q from those of c, whose squared lengths are sq."""
+    return (q**2).sum(axis=1)[:, None] + sq[None, :] - 2 * q @ c.T
+
+
 class Graph:
-    """Centroids with their neighbours; search() is a beam search for many queries at once."""
+    """Centroids, each with its nearest neighbours and a few long links, and a top layer of evenly drawn ones to start from."""
 
     def __init__(self, centroids: np.ndarray, degree: int):
         self.c = centroids
@@ -82,60 +92,92 @@ class Graph:
         for at in range(0, n, 512):
             d = self.sq[None, :] - 2 * centroids[at : at + 512] @ centroids.T
             d[np.arange(len(d)), np.arange(at, at + len(d))] = np.inf
-            self.near[at : at + 512] = np.argsort(d, axis=1, kind="stable")[:, :m] if n > 1 else 0
+            self.near[at : at + 512] = np.argpartition(d, m - 1, axis=1)[:, :m] if n > 1 else 0
         # long links keep the graph connected: every node also knows a few nodes spread over all
         spread = (np.arange(n)[:, None] * 7919 + np.arange(1, 5)[None, :] * max(1, n // 5)) % n
         self.near = np.concatenate([self.near, spread.astype(np.int32)], axis=1)
-        self.entry = np.unique(np.linspace(0, n - 1, min(n, 32)).astype(np.int64))
+        self.top = np.unique(np.linspace(0, n - 1, min(n, 2 * math.isqrt(n) + 1)).astype(np.int32))
 
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """Squared distances and numbers of the `beam` nearest centroids found for each row of q, nearest first."""
-        n = len(self.c)
+        """Squared distances and numbers of the `beam` nearest centroids found for each row of q, nearest first.
+
+        A query holds a frontier of `beam` centroids. At each step the nearest few that
+        weren't are expanded: their neighbours join, and the best `beam` stay.
+        """
+        n, width = len(self.c), self.near.shape[1]
         beam = min(beam, n)
-        rows = np.arange(len(q))[:, None]
-        qs = (q**2).sum(axis=1)
-        if beam * self.near.shape[1] >= n:  # the beam would look at all centroids, one by one
-            dist = qs[:, None] + self.sq[None, :] - 2 * q @ self.c.T
-            order = np.argsort(dist, axis=1, kind="stable")[:, :beam]
-            return dist[rows, order], order
-        dist = np.full((len(q), n), np.inf, np.float32)
-
-        def visit(mask: np.ndarray) -> None:
-            r, c = np.nonzero(mask & np.isinf(dist))
-            for at in range(0, len(r), 1 << 17):
-                i, j = r[at : at + (1 << 17)], c[at : at + (1 << 17)]
-                dist[i, j] = qs[i] + self.sq[j] - 2 * np.einsum("ij,ij->i", q[i], self.c[j])
-
-        mask = np.zeros(dist.shape, bool)
-        mask[:, self.entry] = True
-        visit(mask)
-        expanded = np.zeros(dist.shape, bool)
+        d = squared(q, self.c[self.top], self.sq[self.top])
+        k = min(beam, len(self.top))
+        at = np.argpartition(d, k - 1, axis=1)[:, :k]
+        ids = np.full((len(q), beam), -1, np.int32)
+        dist = np.full((len(q), beam), np.inf, np.float32)
+        ids[:, :k], dist[:, :k] = self.top[at], np.take_along_axis(d, at, axis=1)
+        done = ids < 0
         while True:
-            top = np.argpartition(dist, beam - 1, axis=1)[:, :beam] if beam < n else np.broadcast_to(np.arange(n), dist.shape)
-            fresh = ~expanded[rows, top] & np.isfinite(dist[rows, top])
-            if not fresh.any():
+            open_ = np.where(done, np.inf, dist)
+            step = min(4, beam)
+            pick = np.argpartition(open_, step - 1, axis=1)[:, :step]
+            fresh = np.isfinite(np.take_along_axis(open_, pick, axis=1))
+            rows = np.flatnonzero(fresh.any(axis=1))
+            if not len(rows):
                 break
-            r, k = np.nonzero(fresh)
-            expanded[r, top[r, k]] = True
-            mask = np.zeros(dist.shape, bool)
-            mask[np.repeat(r, self.near.shape[1]), self.near[top[r, k]].ravel()] = True
-            visit(mask)
-        d = dist[rows, top]
-        order = np.argsort(d, axis=1, kind="stable")
-        return d[rows, order], np.asarray(top)[rows, order]
+            pick, fresh = pick[rows], fresh[rows]
+            done[rows[:, None], pick] = True
+            new = self.near[np.where(fresh, ids[rows[:, None], pick], 0)].reshape(len(rows), -1)
+            far = (q[rows] ** 2).sum(axis=1)[:, None] + self.sq[new] - 2 * np.matmul(self.c[new], q[rows][:, :, None])[:, :, 0]
+            far[np.repeat(~fresh, width, axis=1)] = np.inf
+            all_ids = np.concatenate([ids[rows], new], axis=1)
+            all_dist = np.concatenate([dist[rows], far.astype(np.float32)], axis=1)
+            all_done = np.concatenate([done[rows], np.zeros(new.shape, bool)], axis=1)
+            order = np.argsort(all_ids, axis=1, kind="stable")  # of equal numbers the one in the frontier is first
+            same = np.take_along_axis(all_ids, order, axis=1)
+            again = np.zeros(same.shape, bool)
+            again[:, 1:] = same[:, 1:] == same[:, :-1]
+            np.put_along_axis(all_dist, order, np.where(again, np.inf, np.take_along_axis(all_dist, order, axis=1)), axis=1)
+            best = np.argpartition(all_dist, beam - 1, axis=1)[:, :beam]
+            ids[rows], dist[rows] = np.take_along_axis(all_ids, best, axis=1), np.take_along_axis(all_dist, best, axis=1)
+            done[rows] = np.take_along_axis(all_done, best, axis=1) | np.isinf(dist[rows])
+        order = np.argsort(dist, axis=1, kind="stable")
+        return np.take_along_axis(dist, order, axis=1), np.take_along_axis(ids, order, axis=1)
 
     def within(self, q: np.ndarray, ratio: float, least: int, beam: int) -> list[np.ndarray]:
-        """For each row of q: all centroids up to `ratio` times its nearest distance, and `least` at least, nearest first."""
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(q)
-        todo = np.arange(len(q))
-        while len(todo):
-            beam = min(beam, len(self.c))
-            d, found = self.search(q[todo], beam)
-            count = np.maximum((d <= ratio**2 * np.maximum(d[:, :1], 1e-12)).sum(axis=1), min(least, beam))
-            done = (4 * count <= beam) | (beam == len(self.c))  # with less room around them a graph search misses some
-            for i in np.flatnonzero(done):
-                out[todo[i]] = found[i, : count[i]]
-            todo, beam = todo[~done], 4 * beam
+        """For each row of q: all centroids up to `ratio` times its nearest distance, and `least` at least, nearest first.
+
+        From the frontier of search() the query floods the graph as far as a little beyond
+        that distance, looking at each centroid once. Where it has seen an eighth of all
+        centroids, it looks at the others as well, in one product.
+        """
+        n = len(self.c)
+        d, found = self.search(q, max(beam, least))
+        limit = ratio**2 * np.maximum(d[:, 0], 1e-12)
+        dist = np.full((len(q), n), np.inf, np.float32)  # a block of queries x lists, both bounded
+        ok = found >= 0
+        r, v = np.nonzero(ok)
+        dist[r, found[ok]] = d[ok]
+        all_ = np.zeros(len(q), bool)
+        r, v = np.nonzero(np.isfinite(dist) & (dist <= SLACK * limit[:, None]))
+        while len(r):
+            seen = np.isfinite(dist).sum(axis=1)
+            all_ |= 8 * seen >= n
+            go = ~all_[r]
+            key = np.unique((r[go, None].astype(np.int64) * n + self.near[v[go]]).ravel())
+            r, v = key // n, key % n
+            go = np.isinf(dist[r, v])
+            r, v = r[go], v[go]
+            for at in range(0, len(r), 1 << 16):
+                i, j = r[at : at + (1 << 16)], v[at : at + (1 << 16)]
+                dist[i, j] = (q[i] ** 2).sum(axis=1) + self.sq[j] - 2 * np.einsum("ij,ij->i", q[i], self.c[j])
+            go = dist[r, v] <= SLACK * limit[r]
+            r, v = r[go], v[go]
+        if all_.any():
+            dist[all_] = squared(q[all_], self.c, self.sq)
+            limit[all_] = ratio**2 * np.maximum(dist[all_].min(axis=1), 1e-12)
+        k = min(least, n)
+        reach = np.maximum(limit, np.partition(dist, k - 1, axis=1)[:, k - 1])
+        out = []
+        for x, top in zip(dist, reach, strict=True):
+            near = np.flatnonzero((x <= top) & np.isfinite(x))
+            out.append(near[np.argsort(x[near], kind="stable")])
         return out
 
 
@@ -151,16 +193,7 @@ def balanced_centroids(sample: np.ndarray, lists: int) -> np.ndarray:
             if len(p) < 2:
                 rest.append(p)
                 continue
-            x = sample[p] - sample[p].mean(axis=0)
-            v = x[int(np.argmax((x**2).sum(axis=1)))].copy()
-            for _ in range(6):
-                v = x.T @ (x @ v)
-                size = np.linalg.norm(v)
-                if size == 0:
-                    break
-                v /= size
-            order = np.argsort(x @ v, kind="stable")
-            rest += [p[order[: len(p) // 2]], p[order[len(p) // 2 :]]]
+            rest += halves(sample, p)
         parts = rest
     c = np.stack([sample[p].mean(axis=0) for p in parts])
     for _ in range(2):  # let the means settle; lists stay near their equal sizes
@@ -169,7 +202,38 @@ def balanced_centroids(sample: np.ndarray, lists: int) -> np.ndarray:
         used, at = np.unique(own[order], return_index=True)
         for i, part in zip(used, np.split(order, at[1:]), strict=True):
             c[i] = sample[part].mean(axis=0)
-    return c
+    return split_crowded(sample, c, 2 * max(1, len(sample) // lists))
+
+
+def halves(x: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A part of the rows of x, cut at the median of its main direction."""
+    y = x[part] - x[part].mean(axis=0)
+    v = y[int(np.argmax((y**2).sum(axis=1)))].copy()
+    for _ in range(6):
+        v = y.T @ (y @ v)
+        size = np.linalg.norm(v)
+        if size == 0:
+            break
+        v /= size
+    order = np.argsort(y @ v, kind="stable")
+    return part[order[: len(part) // 2]], part[order[len(part) // 2 :]]
+
+
+def split_crowded(sample: np.ndarray, c: np.ndarray, most: int) -> np.ndarray:
+    """Centroids whose lists hold more than `most` rows of the sample are replaced by those of its halves, until none does."""
+    own = nearest_of(sample, c)
+    order = np.argsort(own, kind="stable")
+    used, at = np.unique(own[order], return_index=True)
+    todo, out = np.split(order, at[1:]), []
+    for i, part in zip(used, list(todo), strict=True):
+        stack, whole = [part], len(part) <= most
+        while stack:
+            p = stack.pop()
+            if len(p) > most and (sample[p] != sample[p[0]]).any():
+                stack += halves(sample, p)
+            else:
+                out.append(c[i] if whole else sample[p].mean(axis=0))
+    return np.stack(out)
 
 
 def nearest_of(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -180,7 +244,7 @@ def nearest_of(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 def lists_of(x: np.ndarray, graph: Graph, c: AnnConfig) -> list[list[int]]:
     """For each vector: its nearest list, and further lists across near boundaries."""
-    d, found = graph.search(x, min(c.beam, 4 * c.replicas))
+    d, found = graph.search(x, 4 * c.replicas)
     d = np.sqrt(np.maximum(d, 0))
     out = []
     for dist, near in zip(d, found, strict=True):
@@ -199,6 +263,19 @@ def probes_of(q: np.ndarray, graph: Graph, c: AnnConfig) -> list[np.ndarray]:
     return [found[: c.max_probes] for found in graph.within(q, 1 + c.reach, c.probes, c.beam)]
 
 
+def enough(q: np.ndarray, visited: np.ndarray, graph: Graph, bins: np.ndarray, rows: np.ndarray, least: int) -> np.ndarray:
+    """The bins of a query: those of the lists it visits, and of the next nearest lists until they hold `least` rows together."""
+    taken = np.unique(bins[visited])
+    if rows[taken].sum() >= least:
+        return taken
+    chosen = set(taken.tolist())
+    for i in np.argsort(squared(q[None], graph.c, graph.sq)[0], kind="stable"):
+        if rows[list(chosen)].sum() >= least:
+            break
+        chosen.add(int(bins[i]))
+    return np.array(sorted(chosen))
+
+
 def bins_of(centroids: np.ndarray, bins: int) -> np.ndarray:
     """The bin of each list: neighbours share one."""
     if bins >= len(centroids):
@@ -221,20 +298,23 @@ def nearest(vectors: DataFrame, queries: Column, config: AnnConfig | None = None
     points = materialize(ranked.groupBy("x").agg(F.min("id").alias("rep"), F.sort_array(F.collect_list("id")).alias("ids")), "points")
     stats = points.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)).alias("m")).first()
     total, top = stats["n"], stats["m"] or 0.0
-    bin_rows = c.block
+    bin_rows, dim = c.block, 1
     if total:
-        bin_rows = max(c.block, int(min(c.block * (total / (4 * c.block)) ** 0.5, c.bin_values / len(points.first()["x"]))))
-    lists = int(min(c.max_lists, max(1, total // c.list_rows)))
-    bound = lists * c.sample_per_list
-    sample = points.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.5 * bound / max(1, total)))).orderBy(F.xxhash64("rep"), "rep").select("x").limit(bound).toArrow()
+        dim = len(points.first()["x"])
+        bin_rows = max(c.block, int(min(c.block * (total / (4 * c.block)) ** 0.5, c.bin_values / dim)))
+    lists = int(min(c.max_lists, max(1, total // c.list_rows), max(1, c.sample_values // dim // 4)))
+    bound = min(lists * c.sample_per_list, max(1, c.sample_values // dim))
+    sample = points.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.5 * bound / max(1, total)))).orderBy(F.xxhash64("rep"), "rep").select(F.col("x").cast("array<float>").alias("x")).limit(bound).toArrow()
     if not sample.num_rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
     def raised(x: np.ndarray) -> np.ndarray:
-        return np.concatenate([x, np.sqrt(np.maximum(top - (x**2).sum(axis=1), 0))[:, None]], axis=1).astype(np.float32)
+        last = np.sqrt(np.maximum(top - np.einsum("ij,ij->i", x, x, dtype=np.float64), 0))
+        return np.concatenate([x.astype(np.float32), last.astype(np.float32)[:, None]], axis=1)
 
     flat = np.concatenate([part.flatten().to_numpy() for part in sample["x"].chunks])
     graph = Graph(balanced_centroids(raised(flat.reshape(sample.num_rows, -1)), lists).astype(np.float32), c.graph_degree)
+    del flat, sample
     shared = spark.sparkContext.broadcast((graph, bins_of(graph.c, -(-total // bin_rows))))  # bounded by max_lists
 
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -244,16 +324,21 @@ def nearest(vectors: DataFrame, queries: Column, config: AnnConfig | None = None
                 taken = [np.unique(bins[t]) for t in lists_of(raised(np.stack(f["x"].to_numpy())), graph, c)]
                 yield pd.DataFrame({"rep": f["rep"], "x": f["x"], "bin": taken}).explode("bin").astype({"bin": "int32"})
 
+    posted = materialize(points.select("rep", "x").mapInPandas(assign, "rep long, x array<double>, bin int"), "lists")
+    # a row per bin, at most max_lists. A vector is in at most `replicas` bins, so so many rows hold k + 1 vectors
+    counted = posted.groupBy("bin").count().collect()
+    held, least = np.zeros(int(shared.value[1].max()) + 1, np.int64), c.replicas * (c.k + 1)
+    held[[r["bin"] for r in counted]] = [r["count"] for r in counted]
+
     def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         graph, bins = shared.value
         for f in frames:
             if len(f):
                 x = np.stack(f["x"].to_numpy())
                 q = np.concatenate([x, np.zeros((len(x), 1))], axis=1).astype(np.float32)
-                taken = [np.unique(bins[t]) for t in probes_of(q, graph, c)]
+                taken = [enough(y, t, graph, bins, held, least) for y, t in zip(q, probes_of(q, graph, c), strict=True)]
                 yield pd.DataFrame({"rep": f["rep"], "x": f["x"], "bin": taken}).explode("bin").astype({"bin": "int32"})
 
-    posted = materialize(points.select("rep", "x").mapInPandas(assign, "rep long, x array<double>, bin int"), "lists")
     asked_rows = rows.where(queries).select("id", "x").distinct()
     asked = asked_rows.join(points.select("x", "rep"), "x").select("id", "rep")
     asked = materialize(asked, "queries")
