@@ -86,6 +86,21 @@ def drop(spark: SparkSession, paths: list[str]) -> None:
     paths.clear()
 
 
+def join_counted(left: DataFrame, right: DataFrame, key: str, rows: str, salt: str, least: int = 256) -> DataFrame:
+    """Inner join on a key that right holds once, beside the number of rows that left holds of it (column `rows`).
+
+    A key with many rows is dealt over several tasks by the hash of left's column `salt`;
+    right's row goes to each of them. What counts as many grows with the table, so at
+    most 200,000 keys do, and those are broadcast. right is read twice: give a written table.
+    """
+    bound = max(least, (right.agg(F.sum(rows)).first()[0] or 0) // 200_000)
+    parts = F.ceil(F.col(rows) / bound).cast("int")
+    hot = right.where(F.col(rows) > bound).select(key, parts.alias("_parts"))
+    left = left.join(F.broadcast(hot), key, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(salt), F.col("_parts")), F.lit(0)).cast("int"))
+    right = right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
+    return left.drop("_parts").join(right, [key, "_part"]).drop("_part")
+
+
 def packed(df: DataFrame) -> DataFrame:
     """One struct column `row` holding all columns, so that columns added beside it can't clash with them."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))

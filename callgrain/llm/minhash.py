@@ -4,21 +4,31 @@ Each permutation of the shingle hashes contributes its minimum and its maximum,
 signature of 2 x `permutations` values costs half the evaluations. Bands of `rows`
 minima, and bands of `rows` maxima, are the candidate keys.
 
-Steps: (1) one pass over the texts makes set size, set digest and band keys; (2) texts
-with equal sets form a class with one representative; (3) in every band bucket the
-member that shares most buckets leads, and is compared with each other member; (4)
-links give components; in buckets that still hold several components the remaining
+Steps: (1) one pass over the texts makes set size, digest of the word sequence and band
+keys; (2) texts of equal words form a class; classes that share a band with others are
+candidates, and one text of each is written to a table of its own; (3) in every band
+bucket the class that shares most buckets leads, and is compared with each other one;
+(4) links give components; in buckets that still hold several components the remaining
 pairs are compared too, except those whose similarity is ruled out by the triangle
 inequality of the Jaccard distance (towards the leader) or by the sizes of the sets,
-where shingles that no other member has can't be shared; (5) components again.
-Comparisons intersect full shingle sets (by 64-bit hash). A leader's text travels once
-per block of its partners, so hot groups spread over tasks.
+where shingles that no other class has can't be shared; (5) components again.
+
+Sets are compared by 64-bit hashes. A pair that these link is confirmed on the shingles
+themselves, byte by byte; those that only share a hash are taken off again. Bytes of a
+word are hashed by tables of random numbers, one per place, and words of more than
+WORD_BYTES bytes by BLAKE2, so no two words collide but by chance.
+
+Hot groups are dealt: a leader's text travels once per block of its partners; the
+remaining pairs of a bucket are formed between blocks of classes whose distances to the
+leader are near enough; keys with many rows are split in joins (join_counted).
 
 Defined cases: words are maximal runs without space and U+0009-U+000D, A-Z lower-cased.
 Null texts and texts without a word have an empty set and link with nothing. Fewer words
 than a shingle holds make one shingle of the whole sequence. Rows that share a doc_id
-count as one document. A null doc_id links like others, but never names a component
-unless its whole component has no id. Extra columns are left alone.
+count as one document: it has the links of all its rows' texts, and a row without words
+has the component of the others. Rows with a null doc_id are documents of their own, link
+like others, and never name a component unless all its documents have no id. Extra
+columns are left alone.
 """
 
 from __future__ import annotations
@@ -29,21 +39,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callgrain.llm.common import drop, materialize, python_ready
+from callgrain.llm.common import drop, join_counted, materialize, packed, python_ready
 from callgrain.llm.components import connected_components
 
 U = np.uint64
-BASE, BASE_INVERSE = U(0x9E3779B97F4A7C15), U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 STEP = 1 << 20  # bytes hashed at once
+WORD_BYTES = 64
+SIGN = -(1 << 63)
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_POWERS: list[np.ndarray] = []
+_TABLE = np.random.default_rng(19).integers(0, 1 << 64, WORD_BYTES * 256, dtype=U)
 
 
 @dataclass(frozen=True)
@@ -53,14 +64,7 @@ class NearDupConfig:
     permutations: int = 40
     rows: int = 4
     block: int = 256  # partners of one leader per task group
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 16)
-        grow = lambda b: np.concatenate([np.ones(1, U), np.multiply.accumulate(np.full(size - 1, b, U))])
-        _POWERS[:] = [grow(BASE), grow(BASE_INVERSE)]
-    return _POWERS[0], _POWERS[1]
+    pair_block: int = 128  # classes of one bucket that meet at once
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -69,39 +73,90 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """64-bit hashes of the lower-cased words of a whole text, in order: differences of polynomial prefix sums."""
+def lower_steps(text: str) -> Iterator[np.ndarray]:
+    """Bytes of the lower-cased text, in steps that split no word."""
     raw = _LOWER[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
-    out, at = [], 0
+    at = 0
     while at < len(raw):
         end = min(len(raw), at + STEP)
-        if end < len(raw):  # cut behind a separator, so that no word is split
+        if end < len(raw):  # cut behind a separator
             gaps = np.flatnonzero(_SPACE[raw[at:end]])
             if len(gaps):
                 end = at + int(gaps[-1]) + 1
             else:
                 later = np.flatnonzero(_SPACE[raw[end:]])
                 end = end + int(later[0]) + 1 if len(later) else len(raw)
-        b = raw[at:end]
-        gap = np.concatenate([[True], _SPACE[b], [True]])
-        starts, ends = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
-        power, inverse = _powers(len(b) + 1)
-        sums = np.concatenate([np.zeros(1, U), np.cumsum((b.astype(U) + U(1)) * power[: len(b)])])
-        out.append(_mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U)))
+        yield raw[at:end]
         at = end
-    return np.concatenate(out) if out else np.zeros(0, U)
+
+
+@dataclass
+class Words:
+    """The words of a text: 64-bit hashes, and places in `joined`, the words with one space behind each."""
+
+    hashes: np.ndarray
+    sizes: np.ndarray
+    joined: bytes
+
+
+def words_of(text: str | None) -> Words:
+    hashes, sizes, joined = [np.zeros(0, U)], [np.zeros(0, np.int64)], []
+    for b in lower_steps(text or ""):
+        inside = ~_SPACE[b]
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).view(np.int8)))
+        starts, ends = edge[::2], edge[1::2]
+        if not len(starts):
+            continue
+        size = ends - starts
+        first = np.cumsum(size) - size
+        letters = b[inside]
+        place = np.arange(len(letters)) - np.repeat(first, size)
+        h = np.add.reduceat(_TABLE[np.minimum(place, WORD_BYTES - 1) << 8 | letters], first)
+        for i in np.flatnonzero(size > WORD_BYTES):
+            h[i] = int.from_bytes(hashlib.blake2b(b[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+        spaced = np.full(len(letters) + len(size), 32, np.uint8)
+        spaced[np.arange(len(letters)) + np.repeat(np.arange(len(size)), size)] = letters
+        hashes.append(_mix(h + size.astype(U)))
+        sizes.append(size)
+        joined.append(spaced.tobytes())
+    return Words(np.concatenate(hashes), np.concatenate(sizes), b"".join(joined))
+
+
+def shingle_hashes(w: Words, n: int) -> np.ndarray:
+    """64-bit hashes of the shingles of n words, in order; of the whole sequence if it is shorter."""
+    k = len(w.hashes)
+    if not k:
+        return w.hashes
+    m = min(n, k)
+    h = np.full(k - m + 1, U(m))
+    for i in range(m):
+        h = h * U(0xD6E8FEB86659FD93) + w.hashes[i : k - m + 1 + i]
+    return _mix(h)
 
 
 def shingle_set(text: str | None, n: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles of n words; of the whole sequence if it is shorter."""
-    w = word_hashes(text) if text else np.zeros(0, U)
-    if not len(w):
-        return w
-    m = min(n, len(w))
-    h = np.full(len(w) - m + 1, U(m))
-    for k in range(m):
-        h = h * U(0xD6E8FEB86659FD93) + w[k : len(w) - m + 1 + k]
-    return np.unique(_mix(h))
+    """Sorted distinct hashes of the shingles of a whole text."""
+    return np.unique(shingle_hashes(words_of(text), n))
+
+
+class ShingleSet:
+    """The distinct shingles of a whole text: sorted hashes, and where each first stands."""
+
+    def __init__(self, text: str | None, n: int):
+        w = words_of(text)
+        self.hashes, at = np.unique(shingle_hashes(w, n), return_index=True)
+        ends = np.cumsum(w.sizes + 1)
+        self.starts, self.ends = ends[at] - w.sizes[at] - 1, ends[at + min(n, max(1, len(w.sizes))) - 1]
+        self.joined = w.joined
+
+    def shared(self, other: ShingleSet, percent: int) -> int:
+        """Number of shared shingles: by hash; if that links the two, by the words themselves."""
+        both, i, j = np.intersect1d(self.hashes, other.hashes, assume_unique=True, return_indices=True)
+        n = len(both)
+        if 100 * n < percent * (len(self.hashes) + len(other.hashes) - n):
+            return n
+        a, b, spans = self.joined, other.joined, (self.starts[i], self.ends[i], other.starts[j], other.ends[j])
+        return sum(a[p:q] == b[r:s] for p, q, r, s in zip(*(x.tolist() for x in spans), strict=True))
 
 
 def band_keys(s: np.ndarray, c: NearDupConfig) -> np.ndarray:
@@ -123,147 +178,237 @@ def band_keys(s: np.ndarray, c: NearDupConfig) -> np.ndarray:
     return h.view(np.int64)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key (a hash that tells the texts of one doc_id apart) and text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+
+
 def signatures(docs: DataFrame, c: NearDupConfig) -> DataFrame:
-    """docs(doc_id, text): doc_id, n_shingles, digest of the set (null if empty) and band keys."""
+    """docs(doc_id, text): doc_id, text_key, n_shingles, digest of the words (null if there are none) and band keys."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes, digests, bands = [], [], []
-            for text in b.column(1).to_pylist():
-                s = shingle_set(text, c.shingle)
+            for text in b.column(2).to_pylist():
+                w = words_of(text)
+                s = np.unique(shingle_hashes(w, c.shingle))
                 sizes.append(len(s))
-                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                digests.append(hashlib.blake2b(w.joined, digest_size=16).digest() if len(s) else None)
                 bands.append(band_keys(s, c) if len(s) else np.zeros(0, np.int64))
             values = pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64))
             offsets = pa.array(np.cumsum([0, *map(len, bands)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(offsets, values)],
-                ["doc_id", "n_shingles", "digest", "bands"],
+                [b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(offsets, values)],
+                ["doc_id", "text_key", "n_shingles", "digest", "bands"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return keyed(docs).mapInArrow(sign, "doc_id long, text_key long, n_shingles long, digest binary, bands array<long>")
+
+
+def node_key(doc_id: Column, digest: Column) -> Column:
+    """A class's key: in order of its smallest doc_id, null last, and then of its digest."""
+    number = F.unhex(F.lpad(F.hex(F.coalesce(doc_id, F.lit(0)).bitwiseXOR(F.lit(SIGN))), 16, "0"))
+    return F.concat(F.when(doc_id.isNull(), F.lit(bytearray(b"\x01"))).otherwise(F.lit(bytearray(b"\x00"))), number, digest)
+
 
+def doc_of(node: Column) -> Column:
+    number = F.conv(F.hex(F.substring(node, 2, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(SIGN))
+    return F.when(F.substring(node, 1, 1) == F.lit(bytearray(b"\x00")), number)
 
-def wanted_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, text) of the documents in ids. Up to 500,000 ids are broadcast, so that no other text is shuffled; more are joined."""
-    text = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    small = ids.limit(500_001).count() <= 500_000
-    return text.join(F.broadcast(ids) if small else ids, "id", "left_semi")
 
+def texts_of(classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """classes(node, doc_id, text_key): (node, text), one row each. Up to 500,000 are broadcast, so that no other text is shuffled; more are joined."""
+    wanted = classes.select("node", F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"))
+    n = wanted.count()
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_k"))
+    found = materialize(keyed(docs).join(F.broadcast(wanted) if n <= 500_000 else wanted, same).select("node", "text"), "texts")
+    if found.count() > n:  # rows that repeat
+        found = materialize(found.groupBy("node").agg(F.min("text").alias("text")), "texts")
+    return found
 
-def private_counts(ids: DataFrame, docs: DataFrame, c: NearDupConfig) -> DataFrame:
-    """For each document in ids: how many of its shingles no other document in ids has."""
+
+def private_counts(nodes: DataFrame, texts: DataFrame, c: NearDupConfig) -> DataFrame:
+    """For each class in nodes: how many of its shingles no other class in nodes has."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [shingle_set(t, c.shingle).view(np.int64) for t in b.column(1).to_pylist()]
-            owners = np.repeat(np.array(b.column(0).to_pylist(), np.int64), [len(x) for x in found])
-            yield pa.RecordBatch.from_arrays([pa.array(owners), pa.array(np.concatenate(found) if found else owners)], ["id", "shingle"])
-
-    held = wanted_texts(docs, ids).mapInArrow(sets, "id long, shingle long").groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("other"))
-    return held.where("id = other").groupBy("id").agg(F.count(F.lit(1)).alias("private"))
-
-
-def compare(pairs: DataFrame, docs: DataFrame, c: NearDupConfig) -> DataFrame:
-    """pairs(a, b) of documents with words: adds the sizes of intersection and union of their full sets."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    text = wanted_texts(docs, materialize(ids, "compared-ids"))
-    blocks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / c.block).cast("int").alias("blocks"))
-    partner = pairs.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"))
-    partner = partner.join(text.withColumnRenamed("id", "b"), "b").select("a", "block", "b", "text")
-    leader = text.withColumnRenamed("id", "a").join(blocks, "a")
-    leader = leader.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("long").alias("b"), "text")
+            for node, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                s = shingle_set(t, c.shingle).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([node] * len(s), pa.binary()), pa.array(s)], ["node", "shingle"])
+
+    held = texts.join(nodes, "node", "left_semi").mapInArrow(sets, "node binary, shingle long")
+    once = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.first("node").alias("node")).where("n = 1")
+    return once.groupBy("node").agg(F.count(F.lit(1)).alias("private"))
+
+
+def compare(pairs: DataFrame, texts: DataFrame, c: NearDupConfig, made: list[str]) -> DataFrame:
+    """pairs(a, b) of classes: adds the sizes of intersection and union of their full sets."""
+    partners = materialize(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("partners")), "partners", made)
+    blocks = F.ceil(F.col("partners") / c.block).cast("int")
+    partner = join_counted(pairs, partners, "a", "partners", "b").select("a", "b", F.pmod(F.xxhash64("b"), blocks).cast("int").alias("block"))
+    partner = partner.join(texts.withColumnRenamed("node", "b"), "b").select("a", "block", "b", "text")
+    leader = texts.withColumnRenamed("node", "a").join(partners.select("a", blocks.alias("blocks")), "a")
+    leader = leader.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("binary").alias("b"), "text")
     dealt = leader.unionByName(partner).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
 
     def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead, own = None, np.zeros(0, U)
+        lead, own = None, None
         for batch in batches:
-            rows: list[tuple[int, int, int, int]] = []
+            rows: list[tuple] = []
             for a, b, t in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
-                s = shingle_set(t, c.shingle)
+                s = ShingleSet(t, c.shingle)
                 if b is None:
                     lead, own = a, s
                 elif lead == a:
-                    both = len(np.intersect1d(own, s, assume_unique=True))
-                    rows.append((a, b, both, len(own) + len(s) - both))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], ["a", "b", "both", "either"])
+                    both = own.shared(s, c.percent)
+                    rows.append((a, b, both, len(own.hashes) + len(s.hashes) - both))
+            types = (pa.binary(), pa.binary(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(types)], ["a", "b", "both", "either"])
 
-    return dealt.mapInArrow(intersect, "a long, b long, both long, either long")
+    return dealt.mapInArrow(intersect, "a binary, b binary, both long, either long")
 
 
-def near_duplicates(docs: DataFrame, config: NearDupConfig | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per row of docs(doc_id, text)."""
-    c = config or NearDupConfig()
+def remaining_pairs(left: DataFrame, c: NearDupConfig, made: list[str]) -> DataFrame:
+    """left(band, node, n, comp, both, else, d, bands): pairs (a, b) of one bucket and of different components that no bound rules out.
+
+    Distances d to the leader differ by at most `reach` within a pair. So classes meet
+    those of their own cell of that width and of the next, in blocks of `pair_block`: the
+    work of a task does not grow with its bucket.
+    """
+    reach = 1 - c.percent / 100 + 1e-9
+    left = left.withColumn("cell", F.floor(F.col("d") / reach).cast("int"))
+    cells = left.groupBy("band", "cell").agg(F.count(F.lit(1)).alias("n"))
+    cells = cells.groupBy("band").agg(F.map_from_entries(F.collect_list(F.struct("cell", F.ceil(F.col("n") / c.pair_block).cast("int").alias("n")))).alias("blocks"), F.sum("n").alias("rows"))
+    cells = materialize(cells.where("rows > 1"), "cells", made)
+    left = join_counted(left, cells, "band", "rows", "node").drop("rows")
+    blocks = lambda cell: F.coalesce(F.try_element_at("blocks", cell), F.lit(0))
+    left = left.withColumn("block", F.pmod(F.xxhash64("node"), blocks(F.col("cell"))).cast("int"))
+    own, block = F.col("cell"), F.col("block")
+    every = lambda n: F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: i < n)
+    ahead = F.concat(
+        F.transform(F.filter(every(blocks(own)), lambda i: i >= block), lambda i: F.struct(own.alias("c1"), block.alias("b1"), own.alias("c2"), i.alias("b2"))),
+        F.transform(every(blocks(own + 1)), lambda i: F.struct(own.alias("c1"), block.alias("b1"), (own + 1).alias("c2"), i.alias("b2"))),
+    )
+    behind = F.concat(
+        F.transform(F.filter(every(blocks(own)), lambda i: i <= block), lambda i: F.struct(own.alias("c1"), i.alias("b1"), own.alias("c2"), block.alias("b2"))),
+        F.transform(every(blocks(own - 1)), lambda i: F.struct((own - 1).alias("c1"), i.alias("b1"), own.alias("c2"), block.alias("b2"))),
+    )
+    columns = ["node", "n", "comp", "both", "else", "d", "bands"]
+    x = left.select("band", F.explode(ahead).alias("m"), F.struct(*columns).alias("x")).select("band", "m.*", "x")
+    y = left.select("band", F.explode(behind).alias("m"), F.struct(*columns).alias("y")).select("band", "m.*", "y")
+    most = F.least("x.both", "y.both") + F.least("x.else", "y.else")
+    met = x.join(y, ["band", "c1", "b1", "c2", "b2"]).where(
+        ((F.col("c1") < F.col("c2")) | (F.col("b1") < F.col("b2")) | (F.col("x.node") < F.col("y.node")))
+        & (F.col("x.comp") != F.col("y.comp"))
+        & (100 * most >= c.percent * (F.col("x.n") + F.col("y.n") - most))
+        & (F.abs(F.col("x.d") - F.col("y.d")) <= reach)
+        & (F.col("band") == F.array_min(F.array_intersect("x.bands", "y.bands")))  # in the first bucket that both are left in
+    )
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def component_classes(docs: DataFrame, c: NearDupConfig) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """signed(doc_id, text_key, n_shingles, digest), a row per row of docs(doc_id, text);
+    classes(digest, rows, doc_id, text_key, component): the smallest row of each class, and its component's key;
+    shared(doc_id, digest): the doc_ids of several rows, with the digest of one of their texts, null if none has words.
+    """
     spark = docs.sparkSession
     python_ready(spark)
     made: list[str] = []
     docs = docs.select("doc_id", "text")
     signed = materialize(signatures(docs, c), "signatures")
-    reps = signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    rows = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_key")
+    reps = signed.where("digest is not null").groupBy("digest").agg(
+        F.min(rows).alias("row"), F.count(F.lit(1)).alias("rows"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
+    )
+    reps = reps.select("digest", "rows", "n", "bands", "row.doc_id", "row.text_key", node_key(F.col("row.doc_id"), F.col("digest")).alias("node"))
     reps = materialize(reps, "classes", made)
-    keys = reps.where("rep is not null").select("rep", "n", F.explode("bands").alias("band"))
-    crowds = keys.groupBy("band").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
-    members = materialize(keys.join(crowds, "band"), "members", made)
+    shared = signed.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min("digest").alias("digest"), F.max("digest").alias("other"))
+    shared = materialize(shared.where("rows > 1"), "repeated-ids")
+    several = shared.where("digest < other").select("doc_id", F.col("digest").alias("first"))
+    same = signed.where("digest is not null").join(several, "doc_id").where("digest <> first").select("first", "digest").distinct()
+    node = lambda side: reps.select(F.col("digest").alias(side), F.col("node").alias(f"{side}_node"))
+    same = same.join(node("first"), "first").join(node("digest"), "digest").select(F.col("first_node").alias("a"), F.col("digest_node").alias("b"))
+    same = materialize(same, "same-ids", made)
+
+    keys = reps.select("node", "n", F.explode("bands").alias("band"))
+    crowds = materialize(keys.groupBy("band").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1"), "crowds", made)
+    members = materialize(join_counted(keys, crowds, "band", "crowd", "node"), "members", made)
     # the member that shares most buckets leads: in a group of copies of one original, that is the original
-    share = members.groupBy("rep").agg(F.sum("crowd").alias("share"))
-    ranked = members.join(share, "rep")
-    lead = ranked.groupBy("band").agg(F.max_by(F.struct(F.col("rep").alias("lead"), F.col("n").alias("lead_n")), F.struct("share", -F.col("rep"))).alias("l"))
-    members = materialize(members.join(lead, "band").select("band", "rep", "n", "l.lead", "l.lead_n"), "led", made)
-    first = members.where(F.col("rep") != F.col("lead")).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    first = materialize(compare(first, docs, c), "compared", made)
+    share = materialize(members.groupBy("node").agg(F.sum("crowd").alias("share")), "shares", made)
+    texts = texts_of(share.select("node").join(reps.select("node", "doc_id", "text_key"), "node"), docs)
+    lead = members.join(share, "node").groupBy("band").agg(F.max_by("node", F.struct("share", F.xxhash64("node"))).alias("lead"), F.count(F.lit(1)).alias("crowd"))
+    lead = materialize(lead, "leaders", made)
+    members = materialize(join_counted(members.drop("crowd"), lead, "band", "crowd", "node").drop("crowd"), "led", made)
+    first = members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    first = materialize(compare(first, texts, c, made), "compared", made)
     linked = 100 * F.col("both") >= c.percent * F.col("either")
-    links = first.where(linked).select("a", "b")
-    found = materialize(connected_components(links), "components", made)
+    found = materialize(connected_components(first.where(linked).select("a", "b").unionByName(same)), "components", made)
     # pairs left: other components of the same bucket, unless sizes or the distances to the leader rule them out
     seen = (
-        members.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-        .join(first.select(F.col("a").alias("lead"), F.col("b").alias("rep"), "both", (1 - F.col("both") / F.col("either")).alias("d")), ["lead", "rep"])
-        .select("band", "rep", "n", F.coalesce("component", "rep").alias("comp"), "both", "d")
+        members.join(found, "node", "left")
+        .join(first.select(F.col("a").alias("lead"), F.col("b").alias("node"), "both", (1 - F.col("both") / F.col("either")).alias("d")), ["lead", "node"])
+        .select("band", "node", "n", F.coalesce("component", "node").alias("comp"), "both", "d")
     )
     seen = materialize(seen, "seen", made)
-    heads = members.where("rep = lead").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("band", F.coalesce("component", "rep").alias("comp"))
+    heads = members.where("node = lead").join(found, "node", "left").select("band", F.coalesce("component", "node").alias("comp"))
     mixed = seen.select("band", "comp").unionByName(heads).groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("crowd")).where("lo < hi").select("band", "crowd")
-    left = materialize(seen.join(mixed, "band"), "left", made)
+    mixed = materialize(mixed, "mixed", made)
+    left = materialize(join_counted(seen, mixed, "band", "crowd", "node"), "left", made)
     # two members share at most the lesser of what each shares with the leader, and of what else each has;
-    # what only one document of a crowd has is shared by none
+    # what only one class of a crowd has is shared by none
     # (leaders count among the crowd, so what a member has alone is outside of its leader's set too)
-    inside = left.where("crowd > 4").select("band", F.col("rep").alias("id"))
-    ahead = members.where("rep = lead").join(inside.select("band").distinct(), "band", "left_semi").select("rep")
-    crowded = materialize(inside.select("id").union(ahead).distinct(), "crowded", made)
-    alone = private_counts(crowded, docs, c)
-    left = left.join(alone.withColumnRenamed("id", "rep"), "rep", "left").withColumn("else", F.col("n") - F.col("both") - F.when(F.col("crowd") > 4, F.coalesce("private", F.lit(0))).otherwise(0))
+    inside = left.where("crowd > 4").select("band", "node")
+    ahead = members.where("node = lead").join(inside.select("band").distinct(), "band", "left_semi").select("node")
+    crowded = materialize(inside.select("node").union(ahead).distinct(), "crowded", made)
+    alone = private_counts(crowded, texts, c)
+    left = left.join(alone, "node", "left").withColumn("else", F.col("n") - F.col("both") - F.when(F.col("crowd") > 4, F.coalesce("private", F.lit(0))).otherwise(0))
     left = materialize(left.where(100 * (F.col("both") + F.col("else")) >= c.percent * F.col("n")), "left", made)
-    # a pair is looked at in the first bucket that both are left in
-    own = left.groupBy("rep").agg(F.collect_set("band").alias("bands"))
-    left = materialize(left.join(own, "rep"), "left", made)
-    x, y = left.alias("x"), left.alias("y")
-    most = F.least("x.both", "y.both") + F.least("x.else", "y.else")
-    reach = 1 - c.percent / 100 + 1e-9
-    rest = x.join(
-        y,
-        (F.col("x.band") == F.col("y.band"))
-        & (F.col("x.rep") < F.col("y.rep"))
-        & (F.col("x.comp") != F.col("y.comp"))
-        & (100 * most >= c.percent * (F.col("x.n") + F.col("y.n") - most))
-        & (F.abs(F.col("x.d") - F.col("y.d")) <= reach)
-        & (F.col("x.band") == F.array_min(F.array_intersect("x.bands", "y.bands"))),
-    )
-    rest = materialize(rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), "rest", made)
-    more = compare(rest, docs, c).where(linked).select("a", "b")
-    links = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
-    labels = connected_components(links)
-    classes = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
+    own = left.groupBy("node").agg(F.collect_set("band").alias("bands"))
+    left = materialize(left.join(own, "node"), "left", made)
+    rest = materialize(remaining_pairs(left, c, made), "rest", made)
+    more = compare(rest, texts, c, made).where(linked).select("a", "b")
+    labels = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    classes = reps.join(labels, "node", "left").select("digest", "rows", "doc_id", "text_key", F.coalesce("component", "node").alias("component"))
     classes = materialize(classes, "labels")
     drop(spark, made)
-    full = signed.where("digest is not null").select("doc_id", "n_shingles", "digest").join(classes, "digest").drop("digest")
-    empty = signed.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return signed.drop("bands"), classes, shared.select("doc_id", "digest")
+
+
+def near_duplicates(docs: DataFrame, config: NearDupConfig | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row per row of docs(doc_id, text)."""
+    signed, classes, shared = component_classes(docs, config or NearDupConfig())
+    full = join_counted(signed.where("digest is not null"), classes.select("digest", "rows", "component"), "digest", "rows", "doc_id")
+    full = full.select("doc_id", "n_shingles", doc_of(F.col("component")).alias("component_id"))
+    # rows without words: alone, unless their document has words elsewhere
+    other = shared.where("digest is not null").join(classes.select("digest", "component"), "digest").select("doc_id", doc_of(F.col("component")).alias("other"))
+    empty = signed.where("digest is null").join(other, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("other", "doc_id").alias("component_id"))
     return full.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def near_dup_filter(docs: DataFrame, config: NearDupConfig | None = None) -> DataFrame:
-    """One document of each component stays: that with the smallest doc_id."""
-    gone = near_duplicates(docs, config).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """One row of each component stays: that of the smallest doc_id, null last; of several such rows, that of the smallest hash.
+
+    Rows without words stay, unless their doc_id has a row with words.
+    """
+    signed, classes, shared = component_classes(docs, config or NearDupConfig())
+    rows = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_key")
+    stay = materialize(classes.groupBy("component").agg(F.min(rows).alias("r")).select("r.doc_id", "r.text_key"), "stay")
+    null_safe = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.text_key") == F.col(f"{b}.text_key"))
+    gone = signed.where("digest is not null").select("doc_id", "text_key").distinct().alias("g").join(stay.alias("s"), null_safe("g", "s"), "left_anti")
+    blank = signed.where("digest is null").join(shared.where("digest is not null"), "doc_id", "left_semi").select("doc_id", "text_key").distinct()
+    gone = materialize(gone.select("doc_id", "text_key").unionByName(blank), "gone")
+    again = stay.where("doc_id is null").unionByName(stay.join(shared.select("doc_id"), "doc_id", "left_semi"))
+    again = materialize(again, "again")
+    every = packed(docs).select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64("row.text").alias("text_key")).alias("d")
+    small = lambda df: F.broadcast(df) if df.count() <= 1_000_000 else df
+    kept = every.join(small(gone).alias("g"), null_safe("d", "g"), "left_anti")
+    if again.count() == 0:
+        return kept.select("row.*")
+    repeated = every.join(small(again).alias("a"), null_safe("d", "a"), "left_semi")
+    one = repeated.groupBy("doc_id", "text_key").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    single = kept.join(small(again).alias("a"), null_safe("d", "a"), "left_anti")
+    return single.select("row.*").unionByName(one.select("row.*"))
 
 
 def op4_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

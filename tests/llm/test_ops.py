@@ -136,7 +136,7 @@ def unit(rng, n, d):
 
 def test_the_ratio_alone_chooses_lists():
     rng = np.random.default_rng(3)
-    for n in (600, 4000):  # one look at all, and a beam that widens
+    for n in (600, 4000):
         c, q, k = unit(rng, n, 64) * 0.5, unit(rng, 20, 64), ann.AnnConfig(reach=0.12)
         d = np.sqrt(((q[:, None] - c[None]) ** 2).sum(axis=2))
         want = [set(np.flatnonzero(x <= x.min() * (1 + k.reach) - 1e-5).tolist()) for x in d]
@@ -145,6 +145,46 @@ def test_the_ratio_alone_chooses_lists():
         assert max(map(len, want)) > 160
 
 
+def test_default_recall_and_balance(spark):
+    """The parameters of op1, on vectors in loose groups."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(150, 32))[rng.integers(0, 150, 12_000)] + 0.6 * rng.normal(size=(12_000, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.nearest(df, F.col("id") % 100 == 0).collect():
+        got[r.query_id].append(r.vec_id)
+    hits = 0
+    for q in range(0, 12_000, 100):
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert len(got[q]) == 20
+        hits += len(set(got[q]) & set(np.argsort(-s)[:20].tolist()))
+    assert hits >= 0.9 * 120 * 20
+    x = x.astype("f4")
+    own = np.bincount(ann.nearest_of(x, ann.balanced_centroids(x, 90)))
+    assert own.max() <= 2 * 12_000 // 90 + 20
+
+
+def test_few_vectors_in_the_lists_visited(spark):
+    """One far group is nearest to the query, but too small: further bins are searched."""
+    rows = [(i, [1.0, 1e-3 * i]) for i in range(400)] + [(1000 + i, [-9.0, 1e-3 * i]) for i in range(3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    c = ann.AnnConfig(k=20, list_rows=10, probes=1, reach=0.0, block=10)
+    got = ann.nearest(df, F.col("id") >= 1000, c).collect()
+    assert Counter(r.query_id for r in got) == {1000 + i: 20 for i in range(3)}
+
+
+def test_frontier_against_a_scan():
+    rng = np.random.default_rng(13)
+    c = unit(rng, 300, 16)[rng.integers(0, 300, 3000)] + 0.1 * rng.normal(size=(3000, 16)).astype("f4")
+    g, q = ann.Graph(c, 24), c[::30] + 0.02
+    d, found = g.search(q, 24)
+    exact = ann.squared(q, c, g.sq)
+    assert (np.take_along_axis(exact, found, axis=1) - d < 1e-3).all() and (np.diff(d, axis=1) >= 0).all()
+    assert all(len(set(f)) == 24 for f in found.tolist())
+    assert np.mean(found[:, 0] == exact.argmin(axis=1)) > 0.95
+
+
 def test_centroids_hold_no_sample_by_lists_matrix():
     import tracemalloc
 
@@ -357,9 +397,98 @@ def test_shingles_shared_with_the_leader_only(spark):
 
 def test_word_hashes_do_not_depend_on_steps(monkeypatch):
     text = "Ä b\tc " * 50 + "x" * 300 + " tail\n"
-    whole = minhash.word_hashes(text)
+    whole = minhash.words_of(text)
     monkeypatch.setattr(minhash, "STEP", 16)
-    assert (minhash.word_hashes(text) == whole).all() and len(whole) == len(WORD.findall(text))
+    parts = minhash.words_of(text)
+    assert (parts.hashes == whole.hashes).all() and parts.joined == whole.joined and len(whole.hashes) == len(WORD.findall(text))
+
+
+def thue_morse(n):
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s
+
+
+def test_words_that_collide_in_polynomials(spark):
+    """Polynomial hashes modulo 2^64 give these two words one value, whatever the base is."""
+    w = thue_morse(4096)
+    other = w.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{w} {w} {w} {w} {w}"), (2, " ".join([other] * 5)), (3, f"{w} x {w} {w} y"), (4, f"{other} x {other} {other} y")]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i for i in range(1, 5)}
+
+
+def test_links_are_confirmed_on_the_words(spark, monkeypatch):
+    """Two texts whose shingles have the same hashes share what their words share."""
+    a, b = minhash.ShingleSet("one two three four five six", 2), minhash.ShingleSet("one two three four nine ten", 2)
+    b.hashes = a.hashes
+    assert a.shared(b, 80) < 5 and a.shared(a, 80) == 5
+    assert minhash.ShingleSet("x y", 5).shared(minhash.ShingleSet("X  Y", 5), 80) == 1
+
+
+def variants(n, base, changed, seed, words=60):
+    """n texts of so many words around one base, each with up to `changed` words of its own."""
+    rng = np.random.default_rng(seed)
+    for i in range(n):
+        w = [f"{base}{k}" for k in range(words)]
+        for k in rng.choice(words, int(rng.integers(0, changed + 1)), replace=False):
+            w[k] = f"x{i}_{k}"
+        yield " ".join(w)
+
+
+def test_null_and_repeated_ids(spark):
+    c = minhash.NearDupConfig(shingle=3)
+    near = list(variants(12, "a", 2, 1, 200))
+    rows = [(5, near[0]), (None, near[1]), (None, "all alone here with no id at all"), (None, "  "), (7, ""), (7, near[2]), (8, None), (8, None)]
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), c).collect())
+    assert got == Counter({(5, 5, True): 1, (None, 5, False): 1, (None, None, True): 2, (7, 5, False): 2, (8, 8, True): 2})
+    # every doc_id has two texts; links of either count
+    rows = []
+    for base in range(6):
+        texts = list(variants(8, f"b{base}_", 3, base))
+        rows += [(10 * base + k, texts[k]) for k in range(4)] + [(10 * ((base + 3) % 6) + k + 5, texts[k + 4]) for k in range(2)]
+        rows += [(10 * base + 5, f"one more {base} text")]
+    rows += [(200 + k, t) for k, t in enumerate(variants(6, "b0_", 2, 40))] + [(-3, rows[0][1]), (-(1 << 63), "least of all numbers"), ((1 << 63) - 1, "least of all numbers")]
+    got = defaultdict(set)
+    for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), c).collect():
+        got[r.doc_id].add(r.component_id)
+    assert {i: v.pop() for i, v in got.items() if len(v) == 1} == brute_components(rows, 3)
+
+
+def test_filter_leaves_one_row_of_each_component(spark):
+    near = list(variants(6, "a", 1, 2, 200))
+    rows = [(5, near[0], 1), (5, near[0], 1), (5, near[0], 2), (None, near[1], 3), (9, near[2], 4), (None, "alone without an id here", 5), (None, "alone without an id here", 6), (7, "", 7), (7, "", 8), (9, None, 9), (11, "some other text of five words", 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row int")
+    got = minhash.near_dup_filter(df)
+    assert got.columns == df.columns
+    kept = Counter((r.doc_id, r.text) for r in got.collect())
+    assert kept == Counter({(5, near[0]): 1, (None, "alone without an id here"): 1, (7, ""): 2, (11, "some other text of five words"): 1})
+
+
+def test_remaining_pairs_in_blocks(spark):
+    """Blocks of two classes: every pair of a bucket that the bounds leave open is formed once."""
+    c = minhash.NearDupConfig(pair_block=2)
+    rng = np.random.default_rng(3)
+    rows = [(b, bytes([b, i]), 100, bytes([i % 3]), int(rng.integers(70, 100)), int(rng.integers(0, 10)), float(rng.random() * 0.6), [b]) for b in range(3) for i in range(25)]
+    left = spark.createDataFrame(rows, "band long, node binary, n long, comp binary, both long, else long, d double, bands array<long>")
+    got = Counter((bytes(r.a), bytes(r.b)) for r in minhash.remaining_pairs(left, c, []).collect())
+    want = set()
+    for x in rows:
+        for y in rows:
+            most = min(x[4], y[4]) + min(x[5], y[5])
+            if x[0] == y[0] and x[1] < y[1] and x[3] != y[3] and abs(x[6] - y[6]) <= 0.2 + 1e-9 and 100 * most >= 80 * (200 - most):
+                want.add((x[1], y[1]))
+    assert set(got) == want and set(got.values()) == {1}
+
+
+def test_counted_join(spark):
+    from callgrain.llm.common import join_counted
+
+    left = spark.createDataFrame([(k % 7 if k % 3 else 0, k) for k in range(600)], "key long, x long")
+    right = left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("key <> 3")
+    got = join_counted(left, right, "key", "n", "x", least=10)
+    assert sorted(map(tuple, got.select("key", "x", "n").collect())) == sorted(map(tuple, left.join(right, "key").select("key", "x", "n").collect()))
 
 
 def test_components_of_a_chain(spark):
