@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from callgrain.functions.text import is_commitment, is_decision, is_question, is_task_candidate, render_line
 from callgrain.schemas import INSIGHT_KINDS
 
+#: Fixed values.
 NO_CONTENT = "No transcript content available."
+FALLBACK_LANGUAGE, FALLBACK_REASON = "mixed", "deterministic fallback analysis"
 
 
 def ordered(value: Column, order: Column, keep: Column | None = None) -> Column:
@@ -30,7 +32,16 @@ def build_clean_transcript(segments: DataFrame) -> DataFrame:
 def call_signals(segments: DataFrame) -> DataFrame:
     """Per call, on uncleaned text: first ten decisions, questions and commitments, and every task candidate as a struct."""
     t, i = F.col("text"), F.col("seg_idx")
-    task = F.struct(number_tasks(i).alias("task_id"), t.alias("text"), F.col("start_sec").alias("source_timestamp"), t.alias("source_quote"))
+    task = F.struct(
+        number_tasks(i).alias("task_id"),
+        t.alias("text"),
+        F.lit("unknown").alias("owner"),
+        F.lit("task").alias("type"),
+        F.col("start_sec").alias("source_timestamp"),
+        t.alias("source_quote"),
+        F.lit("new").alias("status"),
+        F.lit(0.5).alias("confidence"),
+    )
     return segments.groupBy("call_id").agg(
         cap_per_call(ordered(t, i, is_decision(t)), 10).alias("decisions"),
         cap_per_call(ordered(t, i, is_question(t)), 10).alias("open_questions"),
@@ -44,12 +55,12 @@ def number_tasks(position: Column) -> Column:
 
 
 def extractive_summary(transcripts: DataFrame) -> DataFrame:
-    """transcripts(call_id, lines): first non-blank line, first eight joined, first five."""
+    """transcripts(call_id, lines): first non-blank line, first eight joined, first five. Calls without a line get a fixed text for both summaries."""
     full = F.filter("lines", lambda x: x.rlike(r"(?U)\S"))
     return transcripts.select(
         "call_id",
         F.coalesce(F.get(full, 0), F.lit(NO_CONTENT)).alias("short_summary"),
-        F.array_join(cap_per_call(full, 8), " ").alias("detailed_summary"),
+        F.when(F.size(full) > 0, F.array_join(cap_per_call(full, 8), " ")).otherwise(NO_CONTENT).alias("detailed_summary"),
         cap_per_call(full, 5).alias("key_points"),
     )
 
@@ -59,6 +70,13 @@ def analysis_confidence(tasks: Column) -> Column:
     return F.when(F.size(tasks) > 0, 0.45).otherwise(0.3)
 
 
+def fallback_analysis(signals: DataFrame, summaries: DataFrame) -> DataFrame:
+    """The whole analysis of calls without a payload: signals and summaries of the same calls, confidence, language and reason."""
+    return signals.join(summaries, "call_id").withColumns(
+        {"analysis_confidence": analysis_confidence(F.col("tasks")), "analysis_language": F.lit(FALLBACK_LANGUAGE), "low_confidence_reason": F.lit(FALLBACK_REASON)}
+    )
+
+
 def mean_action_confidence(items: DataFrame) -> DataFrame:
     """items(call_id, items array): mean confidence, 0.5 where missing, 0 without items."""
     total = F.aggregate("items", F.lit(0.0), lambda a, x: a + F.coalesce(x["confidence"], F.lit(0.5)))
@@ -72,10 +90,10 @@ def insight_counts(insights: DataFrame) -> DataFrame:
 
 
 def translation_candidates(calls: DataFrame, translations: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """calls(call_id, text, language, confidence): what needs translation, and the text to use."""
+    """calls(call_id, text, language, confidence): what needs translation, and the text to use: a translation, if there is one and it isn't empty."""
     needs = (F.lower("language") != "en") & (F.lower("language") != "english") & (F.col("confidence") > threshold)
     j = calls.join(translations.select("call_id", "translation"), "call_id", "left")
-    use = needs & F.col("translation").isNotNull()
+    use = needs & (F.coalesce("translation", F.lit("")) != "")
     return j.select(
         "call_id",
         "language",

@@ -14,22 +14,37 @@ def select_transcription_preference(calls: DataFrame, preferences: DataFrame, de
     return j.withColumn("provider", F.coalesce(F.nullif("provider", F.lit("")), F.lit(default))).withColumn("model", F.nullif("model", F.lit("")))
 
 
-def first_successful_provider(attempts: DataFrame, preferred: DataFrame, fallback: str = "cloud", cloud_enabled: bool = True) -> DataFrame:
+#: The providers' own models.
+DEFAULT_MODELS = {"local": "large-v3-turbo", "cloud": "whisper-1"}
+
+
+def first_successful_provider(
+    attempts: DataFrame, preferred: DataFrame, fallback: str = "cloud", cloud_enabled: bool = True, models: dict[str, str] = DEFAULT_MODELS
+) -> DataFrame:
     """attempts(call_id, provider, ok, text, error) tried in order: preferred(call_id, provider), then the fallback. First success wins; otherwise the errors, joined.
 
-    A provider that is neither is never tried; `cloud` only if enabled.
+    A provider that is neither is never tried; `cloud` only if enabled. Where attempts
+    have a column `model`, only those by the chosen model count: the preferred provider
+    uses the model in preferred(call_id, provider, model), if there is one; the fallback,
+    and a preference without a model, use the provider's own.
     """
-    p = preferred.select("call_id", F.col("provider").alias("_p"))
+    chosen = F.col("model") if "model" in preferred.columns else F.lit(None).cast("string")
+    p = preferred.select("call_id", F.col("provider").alias("_p"), chosen.alias("_m"))
     a = attempts.join(p, "call_id")
     rank = F.when(F.col("provider") == F.col("_p"), 0).when(F.col("provider") == fallback, 1)
     a = a.withColumn("rank", rank).where(F.col("rank").isNotNull())
     if not cloud_enabled:
         a = a.where("provider <> 'cloud'")
-    best = F.min_by(F.struct("provider", "text"), F.when(F.col("ok"), F.col("rank")))
+    if "model" in attempts.columns:
+        own = F.coalesce(*[F.when(F.col("provider") == k, v) for k, v in models.items()])
+        a = a.where(F.col("model") == F.coalesce(F.when(F.col("rank") == 0, F.nullif("_m", F.lit(""))), own))
+    else:
+        a = a.withColumn("model", F.lit(None).cast("string"))
+    best = F.min_by(F.struct("provider", "model", "text"), F.when(F.col("ok"), F.col("rank")))
     errors = F.transform(F.sort_array(F.collect_list(F.when(~F.col("ok"), F.struct("rank", F.concat_ws(": ", "provider", "error").alias("e"))))), lambda x: x["e"])
     g = a.groupBy("call_id").agg(best.alias("b"), F.bool_or("ok").alias("ok"), errors.alias("errors"))
     won = F.col("ok")
-    return g.select("call_id", F.when(won, F.col("b.provider")).alias("provider"), F.when(won, F.col("b.text")).alias("text"), F.when(~won, F.array_join("errors", "; ")).alias("error"))
+    return g.select("call_id", F.when(won, F.col("b.provider")).alias("provider"), F.when(won, F.col("b.model")).alias("model"), F.when(won, F.col("b.text")).alias("text"), F.when(~won, F.array_join("errors", "; ")).alias("error"))
 
 
 def model_comparison(runs: DataFrame) -> DataFrame:

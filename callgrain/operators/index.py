@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from callgrain.functions.text import last_error, strip
 from callgrain.operators.analysis import ordered
-from callgrain.operators.ingest import rank_first
+from callgrain.operators.ingest import dedupe_first
+from callgrain.operators.tasks import union_task_sources, unique_task_ids
 
+# What a new transcription replaces.
 RESET_STAGES = ("transcription", "diarization", "transcript_clean", "analysis", "indexing")
-RESET_ARTIFACTS = ("transcript_raw", "segments", "transcript_clean", "analysis", "tasks")
+RESET_ARTIFACTS = ("transcript_raw", "transcript_segments", "transcript_clean", "summary", "tasks")
 
 
 def build_search_text(clean: Column, short: Column, detailed: Column, tasks: Column, reviewed: Column) -> Column:
@@ -29,20 +31,37 @@ def index_rows(metadata: DataFrame, texts: DataFrame) -> DataFrame:
     return m.join(texts.select("call_id", "search_text"), "call_id", "left")
 
 
-def upsert_calls(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows of new replace those of old, but sha256 and imported_at of an indexed call stay, and recorded_at only gives way to a value."""
-    keep_old, fill_old = ("sha256", "imported_at"), ("recorded_at",)
-    o = old.select(F.col("call_id").alias("_id"), F.struct(*old.columns).alias("_o"))
-    n = new.select(F.col("call_id").alias("_nid"), F.struct(*[F.col(c) for c in old.columns]).alias("_n"))
-    j = o.join(n, F.col("_id") == F.col("_nid"), "full_outer")
+def fold_changes(changes: DataFrame, order: Column) -> DataFrame:
+    """Many states of a call in order, reduced to what applying them one by one leaves.
+
+    The first sha256, the first known imported_at and the last known recorded_at stay; of
+    the other columns the last values. Combined before the shuffle, so a call with very
+    many changes costs a task no more than others.
+    """
 
     def value(c: str) -> Column:
-        was, now = F.col(f"_o.{c}"), F.col(f"_n.{c}")
-        if c in keep_old:
-            return F.when(F.col("_id").isNotNull(), was if c == "sha256" else F.coalesce(was, now)).otherwise(now)
-        return F.coalesce(now, was) if c in fill_old else F.when(F.col("_nid").isNotNull(), now).otherwise(was)
+        known = F.when(F.col(c).isNotNull(), order)
+        if c == "sha256":
+            return F.min_by(c, order)
+        return F.min_by(c, known) if c == "imported_at" else F.max_by(c, known) if c == "recorded_at" else F.max_by(c, order)
+
+    return changes.groupBy("call_id").agg(*[value(c).alias(c) for c in changes.columns if c != "call_id"]).select(*changes.columns)
+
 
-    return j.select(*[value(c).alias(c) for c in old.columns])
+def upsert_calls(old: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
+    """Rows of new replace those of old, but sha256 and imported_at of an indexed call stay, and recorded_at only gives way to a value.
+
+    Several rows of new for one call are applied in order of the column `order`, those
+    with equal order (or without one) in order of their JSON.
+    """
+    columns = old.columns
+    as_json = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    step = F.struct(F.lit(1).alias("new"), (F.col(order) if order else F.lit(0)).alias("at"), as_json.alias("json"))
+    n = new.withColumn("_step", step).select(*columns, "_step")
+    kind = n.schema["_step"].dataType["at"].dataType
+    o = old.withColumn("_step", F.struct(F.lit(0).alias("new"), F.lit(None).cast(kind).alias("at"), F.lit("").alias("json")))
+    both = o.unionByName(n)
+    return fold_changes(both, F.col("_step")).select(*columns)
 
 
 def replace_rows(old: DataFrame, new: DataFrame, touched: DataFrame | None = None) -> DataFrame:
@@ -63,10 +82,21 @@ def replace_artifacts(old: DataFrame, listing: DataFrame, touched: DataFrame | N
 
 def rebuild_index(metadata: DataFrame, texts: DataFrame) -> DataFrame:
     """The whole index from the archive's artifacts; one row per call, the first imported for a hash."""
-    return rank_first(index_rows(metadata, texts), "sha256", "imported_at", "call_id")
+    return dedupe_first(index_rows(metadata, texts), "sha256", "imported_at", "call_id")
+
+
+def rebuild_all(metadata: DataFrame, texts: DataFrame, extracted: DataFrame, reviewed: DataFrame, listing: DataFrame) -> dict[str, DataFrame]:
+    """The index's three tables from the archive: calls; the tasks of indexed calls, extracted (call_id, task_id, pos, ...) and reviewed, with ids of
+    their own; and a row per artifact of listing(call_id, kind, path)."""
+    calls = rebuild_index(metadata, texts)
+    own = calls.select("call_id", "imported_at")
+    tasks = unique_task_ids(union_task_sources(extracted, reviewed).join(own.select("call_id"), "call_id", "left_semi"))
+    found = listing.drop("imported_at").join(own, "call_id")
+    blank = found.select("call_id", F.lit("").alias("artifact_id"), "kind", "path", F.col("imported_at").alias("created_at")).where(F.lit(False))
+    return {"calls": calls, "tasks": tasks, "artifacts": replace_artifacts(blank, found)}
 
 
-def invalidate_downstream(requests: DataFrame, calls: DataFrame, jobs: DataFrame, tasks: DataFrame, artifacts: DataFrame, as_of: Column) -> dict[str, DataFrame]:
+def invalidate_downstream(requests: DataFrame, calls: DataFrame, jobs: DataFrame, tasks: DataFrame, artifacts: DataFrame, as_of: Column, max_attempts: int = 2) -> dict[str, DataFrame]:
     """For requests(call_id, provider, model): calls go back to audio_prepared, later results and jobs go, one transcription job comes."""
     ids = requests.select("call_id").distinct()
     hit = calls.join(ids.withColumn("_hit", F.lit(True)), "call_id", "left")
@@ -83,7 +113,7 @@ def invalidate_downstream(requests: DataFrame, calls: DataFrame, jobs: DataFrame
                 "status": F.lit("queued"),
                 "priority": F.lit(0),
                 "attempt_count": F.lit(0),
-                "max_attempts": F.lit(2),
+                "max_attempts": F.lit(max_attempts),
                 "available_at": as_of,
             }
             .get(c, F.lit(None))
@@ -101,6 +131,29 @@ def invalidate_downstream(requests: DataFrame, calls: DataFrame, jobs: DataFrame
     }
 
 
+def reset_metadata(requests: DataFrame, metadata: DataFrame) -> DataFrame:
+    """For requests(call_id, provider, model): the preference is theirs; speaker mapping, its review and errors are cleared."""
+    r = requests.groupBy("call_id").agg(F.max(F.struct("provider", "model")).alias("_choice"))
+    j = metadata.join(r, "call_id", "left")
+    cleared = {
+        "current_state": F.lit("audio_prepared"),
+        "review_state": F.lit("pending"),
+        "transcription_preference": F.col("_choice"),
+        "speaker_mapping": F.create_map(),
+        "speaker_mapping_reviewed_at": F.lit(None),
+        "speaker_mapping_source": F.lit("none"),
+        "errors": F.array(),
+    }
+    typed = lambda c: cleared[c] if c == "transcription_preference" else cleared[c].cast(metadata.schema[c].dataType)
+    new = lambda c: F.when(F.col("_choice").isNotNull(), typed(c)).otherwise(F.col(c)).alias(c)
+    return j.select(*[new(c) if c in cleared else F.col(c) for c in metadata.columns])
+
+
+def reset_log(requests: DataFrame, as_of: Column) -> DataFrame:
+    """The log entries of requests(call_id, provider, model)."""
+    return requests.select("call_id", F.lit("retranscribe_requested").alias("event"), as_of.alias("at"), "provider", "model")
+
+
 def patch_call_metadata(calls: DataFrame, patches: DataFrame) -> DataFrame:
     """patches(call_id, seq, column set_<c> and value <c> ...): keys that are set change, to null as well; the last patch of a key wins."""
     fields = [c for c in calls.columns if c != "call_id" and f"set_{c}" in patches.columns]
@@ -118,8 +171,24 @@ def call_task_counts(calls: DataFrame, tasks: DataFrame) -> DataFrame:
     return calls.join(n, "call_id", "left").withColumn("task_count", F.coalesce("task_count", F.lit(0)))
 
 
-def call_detail(calls: DataFrame, segments: DataFrame, tasks: DataFrame, reviewed: DataFrame, events: DataFrame, default: str = "local:base") -> DataFrame:
-    """Calls with segments, tasks, reviewed tasks, clusters and log as ordered arrays, empty where there are none."""
+def call_detail(
+    calls: DataFrame,
+    segments: DataFrame,
+    tasks: DataFrame,
+    reviewed: DataFrame,
+    events: DataFrame,
+    metadata: DataFrame | None = None,
+    summaries: DataFrame | None = None,
+    transcripts: DataFrame | None = None,
+    default_model: str = "large-v3-turbo",
+) -> DataFrame:
+    """Calls with segments, tasks, reviewed tasks, clusters and log as ordered arrays, empty where there are none.
+
+    metadata and summaries (call_id, ...) become structs, null where there are none;
+    transcripts(call_id, clean_text) a text, empty where there is none. The speaker
+    mapping is that of the metadata, or empty; the selected model is its preference, or
+    local with the default model, each part by itself.
+    """
 
     def nested(df: DataFrame, order: str, name: str) -> DataFrame:
         return df.groupBy("call_id").agg(ordered(F.struct(*[c for c in df.columns if c != "call_id"]), F.col(order)).alias(name))
@@ -129,6 +198,17 @@ def call_detail(calls: DataFrame, segments: DataFrame, tasks: DataFrame, reviewe
     for df, order, name in parts:
         n = nested(df, order, name)
         out = out.join(n, "call_id", "left").withColumn(name, F.coalesce(name, F.array().cast(n.schema[name].dataType)))
+    for df, name in ((metadata, "metadata"), (summaries, "summary")):
+        if df is None:
+            out = out.withColumn(name, F.lit(None))
+        else:
+            out = out.join(df.select("call_id", F.struct(*[c for c in df.columns if c != "call_id"]).alias(name)), "call_id", "left")
+    if transcripts is None:
+        out = out.withColumn("transcript_clean", F.lit(""))
+    else:
+        out = out.join(transcripts.select("call_id", F.col("clean_text").alias("transcript_clean")), "call_id", "left").withColumn("transcript_clean", F.coalesce("transcript_clean", F.lit("")))
+    has = lambda c: metadata is not None and c in metadata.columns
     clusters = F.sort_array(F.array_distinct(F.filter(F.transform("segments", lambda s: s["speaker_cluster_id"]), lambda x: x.isNotNull() & (x != ""))))
-    choice = F.col("preference") if "preference" in calls.columns else F.lit(None).cast("string")
-    return out.withColumn("clusters", clusters).withColumn("selected_model", F.coalesce(F.nullif(choice, F.lit("")), F.lit(default)))
+    choice = lambda k, d: F.coalesce(F.col(f"metadata.transcription_preference.{k}") if has("transcription_preference") else F.lit(None), F.lit(d))
+    mapping = F.coalesce(F.col("metadata.speaker_mapping") if has("speaker_mapping") else F.lit(None), F.create_map().cast("map<string,string>"))
+    return out.withColumns({"clusters": clusters, "speaker_mapping": mapping, "selected_model": F.concat(choice("provider", "local"), F.lit(":"), choice("model", default_model))})

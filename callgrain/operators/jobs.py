@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from callgrain.functions.text import truncate_error
-from callgrain.schemas import ACTIVE, STAGES, STATE_AFTER, STATE_EDGES
+from callgrain.schemas import ACTIVE, PRECONDITIONS, STAGES, STATE_AFTER, STATE_EDGES
 
-STALE_MESSAGE = "Stale running job reclaimed"
+#: Fixed value.
+STALE_MESSAGE = "Reclaimed stale running job after worker interruption"
 
 
 def _map(d: dict) -> Column:
@@ -73,6 +74,12 @@ def transition_violations(events: DataFrame) -> DataFrame:
     return steps.where(~F.array_contains(allowed, F.concat("previous", F.lit(">"), "state"))).select("call_id", "event_id", "previous", "state")
 
 
+def missing_preconditions(states: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """states(call_id, state) against artifacts(call_id, kind): (call_id, state, kind) for each artifact that a state presupposes and that isn't there."""
+    needed = F.explode(F.try_element_at(F.create_map(*[x for k, v in PRECONDITIONS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]), F.col("state")))
+    return states.select("call_id", "state", needed.alias("kind")).join(artifacts.select("call_id", "kind").distinct(), ["call_id", "kind"], "left_anti").select("call_id", "state", "kind")
+
+
 def ready_jobs_topk(jobs: DataFrame, k: int = 1) -> DataFrame:
     """The next k queued jobs: priority, then waiting time, then id."""
     return jobs.where("status = 'queued'").orderBy(F.desc("priority"), "available_at", "job_id").limit(k)

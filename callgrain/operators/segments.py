@@ -10,6 +10,9 @@ from callgrain.functions.text import is_blank, strip
 from callgrain.schemas import ROLES
 
 
+TIER = 64  # time buckets that a turn covers at most
+
+
 def coalesce_transcript_keys(df: DataFrame) -> DataFrame:
     """Missing provider, model and language become `unknown`."""
     return df.withColumns({c: F.coalesce(c, F.lit("unknown")) for c in ("provider", "model", "language")})
@@ -26,8 +29,10 @@ def synthesize_single_segment(df: DataFrame) -> DataFrame:
 def normalize_raw_segments(df: DataFrame) -> DataFrame:
     """One row per non-blank segment of transcripts(call_id, segments), numbered over all of them, so that dropped blanks leave gaps.
 
-    start_sec falls back to start, then 0; likewise for the end. Text is stripped, confidence is avg_logprob.
+    start_sec falls back to start, then 0; likewise for the end. Text is stripped. A stored
+    confidence stays; one that isn't stored is avg_logprob.
     """
+    fields = df.schema["segments"].dataType.elementType.names
     s = df.select("call_id", F.posexplode("segments").alias("seg_idx", "s"))
     time = lambda a, b: F.coalesce(F.col(f"s.{a}"), F.col(f"s.{b}"), F.lit(0.0))
     out = s.where(~is_blank(F.col("s.text"))).select(
@@ -37,7 +42,7 @@ def normalize_raw_segments(df: DataFrame) -> DataFrame:
         time("start_sec", "start").alias("start_sec"),
         time("end_sec", "end").alias("end_sec"),
         strip(F.col("s.text")).alias("text"),
-        F.col("s.avg_logprob").alias("confidence"),
+        F.coalesce(*[F.col(f"s.{c}") for c in ("confidence", "avg_logprob") if c in fields], F.lit(None).cast("double")).alias("confidence"),
         F.col("s.speaker").alias("speaker"),
     )
     return out
@@ -87,17 +92,29 @@ def _labelled(segments: DataFrame, best: DataFrame) -> DataFrame:
 
 
 def align_turns_bucketed(segments: DataFrame, turns: DataFrame, seconds: float = 30.0) -> DataFrame:
-    """As align_turns, with work linear in segments and turns for turns of bounded length.
+    """As align_turns, with work linear in segments and turns.
 
     Turns are dealt over the time buckets they cover, and a segment meets those of its
-    midpoint's bucket. The rest look up the nearest end before and the nearest start
+    midpoint's bucket. Buckets have three widths, each TIER times the one before, and a
+    turn uses the least width of which it covers TIER at most; a longer one, of a broken
+    end time, say, has one bucket for the whole call. So no turn is dealt more than TIER + 1 times. The rest look up the nearest end before and the nearest start
     behind their midpoint, by two ordered windows over all of a call's times.
     """
-    bucket = lambda c: F.floor(c / seconds)
+    widths = [seconds * TIER**k for k in range(3)]
+    bucket = lambda c, k: F.floor(c / widths[k])
     mid = segments.withColumn("mid", midpoint()).select("call_id", "seg_idx", "mid")
     t = turns.withColumn("t", F.struct("turn_idx", "start_sec", "end_sec", "speaker_cluster_id", "confidence")).select("call_id", "t")
-    spread = t.where("t.start_sec <= t.end_sec").withColumn("bucket", F.explode(F.sequence(bucket(F.col("t.start_sec")), bucket(F.col("t.end_sec")))))
-    hit = mid.withColumn("bucket", bucket(F.col("mid"))).join(spread, ["call_id", "bucket"]).where("t.start_sec <= mid and mid <= t.end_sec")
+    start, end = F.col("t.start_sec"), F.col("t.end_sec")
+    covered, places = F.array(F.lit(-1).cast("bigint")), [F.struct(F.lit(3).alias("tier"), F.lit(-1).cast("bigint").alias("bucket"))]
+    tier = F.lit(3)
+    for k in (2, 1, 0):
+        fits = end - start <= TIER * widths[k]
+        tier = F.when(fits, k).otherwise(tier)
+        covered = F.when(fits, F.sequence(bucket(start, k), bucket(end, k))).otherwise(covered)
+        places.append(F.struct(F.lit(k).alias("tier"), bucket(F.col("mid"), k).alias("bucket")))
+    spread = t.where("t.start_sec <= t.end_sec").withColumn("tier", tier).withColumn("bucket", F.explode(covered))
+    met = mid.withColumn("p", F.explode(F.array(*places))).select("call_id", "seg_idx", "mid", "p.tier", "p.bucket")
+    hit = met.join(spread, ["call_id", "tier", "bucket"]).where("t.start_sec <= mid and mid <= t.end_sec")
     inside = hit.groupBy("call_id", "seg_idx").agg(F.min_by("t", F.col("t.turn_idx")).alias("t"))
     rest = mid.join(inside, ["call_id", "seg_idx"], "left_anti")
     ends = t.select("call_id", F.explode(F.array("t.start_sec", "t.end_sec")).alias("at"), "t").groupBy("call_id", "at").agg(F.min_by("t", F.col("t.turn_idx")).alias("t"))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from callgrain.functions import payloads, text
 from callgrain.operators import analysis, compare, index, ingest, jobs, search, segments, tasks
 from callgrain.plans.fixtures import fixture, with_tables
+from callgrain.plans.scratch import scratch
+from callgrain.sources import recordings as recordings_source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,7 +49,7 @@ def kept_seg(spark, d):
 
 
 def labelled(spark, d):
-    return segments.align_turns(kept_seg(spark, d), fixture(spark, d, "tur"))
+    return segments.align_turns_bucketed(kept_seg(spark, d), fixture(spark, d, "tur"))
 
 
 # SQL fragments shared by oracles
@@ -79,7 +81,7 @@ def clean_transcript(spark, d):
 
 @query("ref_align_turns", f"SELECT call_id, seg_idx, cluster AS speaker_cluster_id, confidence AS diarization_confidence FROM ({ALIGNED}) a", "seg", "tur")
 def align_turns(spark, d):
-    return labelled(spark, d).select("call_id", "seg_idx", "speaker_cluster_id", "diarization_confidence")
+    return segments.align_turns(kept_seg(spark, d), fixture(spark, d, "tur")).select("call_id", "seg_idx", "speaker_cluster_id", "diarization_confidence")
 
 
 @query("ref_align_turns_bucketed", f"SELECT call_id, seg_idx, cluster AS speaker_cluster_id, confidence AS diarization_confidence FROM ({ALIGNED}) a", "seg", "tur")
@@ -162,7 +164,7 @@ def clean(spark, d):
     return seg(spark, d).select("call_id", "seg_idx", text.clean_text(F.col("text")).alias("cleaned"))
 
 
-MARK = " OR ".join(f"contains(lower(text), '{m}')" for m in text.TASK_MARKERS)
+MARK = " OR ".join(f"contains(lower(text), '{m}')" for m in ("need to", "should", "will", "follow up", "send", "call", "review"))
 WORD = r"regexp_matches(lower(text), '\b({})\b')"
 DECIDED, PROMISED = WORD.format("decided|agreed|confirm"), WORD.format("i will|we will|promise")
 
@@ -192,16 +194,31 @@ def signals(spark, d):
 
 @query(
     "ref_extractive_summary",
-    f"""SELECT call_id, coalesce(l[1], '{analysis.NO_CONTENT}') AS short_summary, array_to_string(l[1:8], ' ') AS detailed_summary, array_to_string(l[1:5], '|') AS key_points
-    FROM (SELECT call_id, list({LINE} ORDER BY seg_idx) AS l FROM ({ALIGNED}) a GROUP BY call_id) t""",
+    f"""SELECT call_id, CASE WHEN call_id % 9 = 0 THEN 'No transcript content available.' ELSE l[1] END AS short_summary, CASE WHEN call_id % 9 = 0 THEN 'No transcript content available.' ELSE array_to_string(l[1:8], ' ') END AS detailed_summary,
+    CASE WHEN call_id % 9 = 0 THEN '' ELSE array_to_string(l[1:5], '|') END AS key_points FROM (SELECT call_id, list({LINE} ORDER BY seg_idx) AS l FROM ({ALIGNED}) a GROUP BY call_id) t""",
     "seg",
     "tur",
 )
 def summary(spark, d):
     t = analysis.build_clean_transcript(labelled(spark, d).withColumn("speaker_label", F.col("speaker_cluster_id")))
+    t = t.withColumn("lines", F.when(F.col("call_id") % 9 == 0, F.array(F.lit("  "))).otherwise(F.col("lines")))
     return analysis.extractive_summary(t).withColumn("key_points", F.array_join("key_points", "|"))
 
 
+@query(
+    "ref_fallback_analysis",
+    f"""SELECT call_id, 'mixed' AS analysis_language, 'deterministic fallback analysis' AS low_confidence_reason, CASE WHEN count(*) FILTER (WHERE {MARK}) > 0 THEN CAST(0.45 AS DOUBLE) ELSE CAST(0.3 AS DOUBLE) END AS analysis_confidence,
+    coalesce(array_to_string(list(concat_ws(':', printf('task_%04d', seg_idx + 1), 'unknown', 'task', 'new', '0.5', text) ORDER BY seg_idx) FILTER (WHERE {MARK}), '|'), '') AS tasks FROM ({ALIGNED}) a GROUP BY call_id""",
+    "seg",
+    "tur",
+)
+def fallback(spark, d):
+    s = labelled(spark, d).withColumn("speaker_label", F.col("speaker_cluster_id"))
+    a = analysis.fallback_analysis(analysis.call_signals(s), analysis.extractive_summary(analysis.build_clean_transcript(s)))
+    one = F.transform("tasks", lambda t: F.concat_ws(":", t["task_id"], t["owner"], t["type"], t["status"], t["confidence"].cast("string"), t["text"]))
+    return a.select("call_id", "analysis_language", "low_confidence_reason", F.col("analysis_confidence").cast("double").alias("analysis_confidence"), F.array_join(one, "|").alias("tasks"))
+
+
 def tasks_of(spark, d):
     return fixture(spark, d, "tasks")
 
@@ -328,9 +345,7 @@ def latest(spark, d):
 
 @query("ref_content_hash", "SELECT doc_id, sha256(text) AS sha256 FROM documents")
 def content_hash(spark, d):
-    from callgrain.sources.recordings import content_hash as hashed
-
-    return hashed(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), "text").select("doc_id", "sha256")
+    return recordings_source.content_hash(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), "text").select("doc_id", "sha256")
 
 
 def recordings(spark, d):
@@ -399,7 +414,7 @@ def stale(spark, d):
     return jobs.stale_jobs(jobs_of(spark, d), as_of()).select("job_id", "call_id")
 
 
-@query("ref_stale_resolution", f"SELECT job_id, CASE WHEN attempt_count < max_attempts THEN 'queued' ELSE 'failed' END AS status, '{AS_OF}' AS finished_at, '{jobs.STALE_MESSAGE}' AS error_message, attempt_count FROM jobs WHERE {STALE}", "jobs")
+@query("ref_stale_resolution", f"SELECT job_id, CASE WHEN attempt_count < max_attempts THEN 'queued' ELSE 'failed' END AS status, '{AS_OF}' AS finished_at, 'Reclaimed stale running job after worker interruption' AS error_message, attempt_count FROM jobs WHERE {STALE}", "jobs")
 def stale_resolution(spark, d):
     return jobs.stale_resolution(jobs_of(spark, d), as_of()).select("job_id", "status", stamp("finished_at").alias("finished_at"), "error_message", "attempt_count")
 
@@ -445,13 +460,29 @@ def call_state(spark, d):
 @query(
     "ref_transition_violations",
     f"""SELECT call_id, event_id, previous, state FROM (SELECT call_id, event_id, {AFTER} AS state, lag({AFTER}) OVER (PARTITION BY call_id ORDER BY "at", event_id) AS previous FROM ev WHERE event = 'finished') t
-    WHERE previous IS NOT NULL AND concat(previous, '>', state) NOT IN ('imported>audio_prepared', 'audio_prepared>transcribed', 'transcribed>diarized', 'diarized>transcript_clean', 'transcript_clean>analyzed', 'analyzed>indexed', 'indexed>reviewed')""",
+    WHERE previous IS NOT NULL AND concat(previous, '>', state) NOT IN ('imported>audio_prepared', 'audio_prepared>transcribed', 'transcribed>diarized', 'diarized>analyzed', 'diarized>transcript_clean', 'transcript_clean>analyzed', 'analyzed>indexed', 'indexed>reviewed')""",
     "ev",
 )
 def violations(spark, d):
     return jobs.transition_violations(fixture(spark, d, "ev"))
 
 
+NEEDED = "SELECT 'transcribed' AS state, 'audio_normalized' AS kind UNION ALL SELECT 'diarized', 'transcript_raw' UNION ALL SELECT 'analyzed', 'transcript_segments' UNION ALL SELECT 'indexed', 'summary' UNION ALL SELECT 'indexed', 'tasks'"
+
+
+@query(
+    "ref_missing_preconditions",
+    f"""SELECT e.call_id, e.state, n.kind, count(*) AS n FROM (SELECT call_id, {AFTER} AS state FROM ev WHERE event = 'finished') e JOIN ({NEEDED}) n ON e.state = n.state
+    WHERE NOT (n.kind <> 'summary' AND e.call_id % 3 = 0) GROUP BY 1, 2, 3""",
+    "ev",
+)
+def preconditions(spark, d):
+    e = fixture(spark, d, "ev").where("event = 'finished'")
+    states = e.select("call_id", F.expr(AFTER).alias("state"))
+    there = e.where("call_id % 3 = 0").select("call_id", F.explode(F.array(*map(F.lit, ("metadata", "audio_normalized", "transcript_raw", "transcript_segments", "tasks")))).alias("kind"))
+    return jobs.missing_preconditions(states, there).groupBy("call_id", "state", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("ref_ready_jobs_topk", "SELECT job_id, priority FROM jobs WHERE status = 'queued' ORDER BY priority DESC, available_at, job_id LIMIT 10", "jobs")
 def topk(spark, d):
     return jobs.ready_jobs_topk(jobs_of(spark, d), 10).select("job_id", "priority")
@@ -505,6 +536,23 @@ def upsert(spark, d):
     return index.upsert_calls(call_rows(spark, d, "old"), call_rows(spark, d, "new"))
 
 
+@query(
+    "ref_upsert_changes",
+    """SELECT doc_id AS call_id, concat(CASE WHEN doc_id % 3 <> 0 THEN 'old' ELSE 'first' END, CAST(doc_id AS VARCHAR)) AS sha256, CASE WHEN doc_id % 3 <> 0 THEN 1 WHEN doc_id % 4 = 0 THEN 3 ELSE 2 END AS imported_at,
+    CASE WHEN doc_id % 6 = 0 THEN 21 WHEN doc_id % 2 = 0 THEN 20 WHEN doc_id % 3 <> 0 THEN 10 END AS recorded_at, CASE WHEN doc_id % 2 = 0 THEN 'second' ELSE 'indexed' END AS current_state FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 2 = 0""",
+)
+def upsert_changes(spark, d):
+    """Two changes of each even call, in one batch."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("call_id"))
+    i = F.col("call_id")
+    row = lambda df, at, sha, imported, recorded, state: df.select("call_id", F.concat(F.lit(sha), i.cast("string")).alias("sha256"), imported.alias("imported_at"), recorded.alias("recorded_at"), F.lit(state).alias("current_state"), F.lit(at).alias("at"))
+    old = row(docs.where("call_id % 3 <> 0"), 0, "old", F.lit(1), F.lit(10), "indexed").drop("at")
+    even = docs.where("call_id % 2 = 0")
+    later = row(even, 2, "second", F.lit(3), F.when(i % 6 == 0, 21), "second")
+    new = later.unionByName(row(even, 1, "first", F.when(i % 4 != 0, 2), F.lit(20), "first"))
+    return index.upsert_calls(old, new, "at")
+
+
 @query("ref_replace_tasks", "SELECT call_id, pos, kind FROM tasks WHERE call_id % 3 <> 0 UNION ALL SELECT call_id, pos, 'new' FROM tasks WHERE call_id % 3 = 0 AND pos % 4 = 1", "tasks")
 def replace_tasks(spark, d):
     t = tasks_of(spark, d)
@@ -533,7 +581,9 @@ def rebuild(spark, d):
 def reset_parts(spark, d):
     calls = fixture(spark, d, "calls").select("call_id", "current_state", F.lit("reviewed").alias("review_state"), "search_text", F.lit("e").alias("last_error"))
     requests = calls.where("call_id % 10 = 0").select("call_id", F.lit("cloud").alias("provider"), F.lit("m").alias("model"))
-    return index.invalidate_downstream(requests, calls, jobs_of(spark, d), tasks_of(spark, d), artifacts(spark, d), as_of())
+    kinds = F.explode(F.array(*map(F.lit, ("metadata", "audio_normalized", "transcript_raw", "transcript_segments", "transcript_clean", "summary", "tasks", "tasks_reviewed", "processing_log"))))
+    every = artifacts(spark, d).withColumn("kind", kinds)
+    return index.invalidate_downstream(requests, calls, jobs_of(spark, d), tasks_of(spark, d), every, as_of())
 
 
 @query("ref_reset_calls", "SELECT call_id, CASE WHEN call_id % 10 = 0 THEN 'audio_prepared' ELSE current_state END AS current_state, CASE WHEN call_id % 10 = 0 THEN 'pending' ELSE 'reviewed' END AS review_state, CASE WHEN call_id % 10 <> 0 THEN length(search_text) END AS n FROM calls", "calls")
@@ -551,11 +601,87 @@ def reset_jobs(spark, d):
     return reset_parts(spark, d)["jobs"].select("job_id", "call_id", "stage", "status")
 
 
-@query("ref_reset_artifacts", "SELECT call_id, 'tasks' AS kind FROM calls WHERE call_id % 10 <> 0", "calls")
+@query(
+    "ref_reset_artifacts",
+    """SELECT call_id, kind FROM (SELECT call_id, unnest(['metadata', 'audio_normalized', 'transcript_raw', 'transcript_segments', 'transcript_clean', 'summary', 'tasks', 'tasks_reviewed', 'processing_log']) AS kind FROM calls) t
+    WHERE call_id % 10 <> 0 OR kind IN ('metadata', 'audio_normalized', 'tasks_reviewed', 'processing_log')""",
+    "calls",
+)
 def reset_artifacts(spark, d):
     return reset_parts(spark, d)["artifacts"].select("call_id", "kind")
 
 
+@query("ref_reset_tasks", "SELECT call_id, pos, task_id FROM tasks WHERE call_id % 10 <> 0 OR call_id NOT IN (SELECT call_id FROM calls)", "tasks", "calls")
+def reset_tasks(spark, d):
+    return reset_parts(spark, d)["tasks"].select("call_id", "pos", "task_id")
+
+
+def metadata_of(spark, d):
+    i = F.col("call_id")
+    c = fixture(spark, d, "calls")
+    return c.select(
+        "call_id",
+        "current_state",
+        F.lit("reviewed").alias("review_state"),
+        F.when(i % 4 == 0, F.struct(F.lit("cloud").alias("provider"), F.when(i % 8 == 0, "m").alias("model"))).alias("transcription_preference"),
+        F.when(i % 5 == 0, F.create_map(F.lit("speaker_1"), F.lit("me"))).alias("speaker_mapping"),
+        F.lit("2024-01-02").alias("speaker_mapping_reviewed_at"),
+        F.lit("ui").alias("speaker_mapping_source"),
+        F.array(F.lit("e1"), F.lit("e2")).alias("errors"),
+    )
+
+
+def requests_of(spark, d):
+    choice = text.parse_model_choice(F.concat(F.lit("cloud:m:"), "source_filename"))
+    return fixture(spark, d, "calls").where("call_id % 10 = 0").select("call_id", choice["provider"].alias("provider"), choice["model"].alias("model"))
+
+
+@query(
+    "ref_reset_metadata",
+    """SELECT call_id, CASE WHEN call_id % 10 = 0 THEN 'audio_prepared' ELSE current_state END AS current_state, CASE WHEN call_id % 10 = 0 THEN 'pending' ELSE 'reviewed' END AS review_state,
+    CASE WHEN call_id % 10 = 0 THEN concat('cloud:m:', source_filename) WHEN call_id % 8 = 0 THEN 'cloud:m' WHEN call_id % 4 = 0 THEN 'cloud' ELSE '' END AS choice, CASE WHEN call_id % 10 = 0 THEN 0 WHEN call_id % 5 = 0 THEN 1 ELSE -1 END AS n_mapping,
+    CASE WHEN call_id % 10 <> 0 THEN '2024-01-02' END AS reviewed_at, CASE WHEN call_id % 10 = 0 THEN 'none' ELSE 'ui' END AS mapping_source, CASE WHEN call_id % 10 = 0 THEN 0 ELSE 2 END AS n_errors FROM calls""",
+    "calls",
+)
+def reset_metadata(spark, d):
+    m = index.reset_metadata(requests_of(spark, d), metadata_of(spark, d))
+    choice = F.concat_ws(":", "transcription_preference.provider", "transcription_preference.model")
+    return m.select("call_id", "current_state", "review_state", choice.alias("choice"), F.coalesce(F.size("speaker_mapping"), F.lit(-1)).alias("n_mapping"), F.col("speaker_mapping_reviewed_at").alias("reviewed_at"), F.col("speaker_mapping_source").alias("mapping_source"), F.size("errors").alias("n_errors"))
+
+
+@query("ref_reset_log", f"SELECT call_id, 'retranscribe_requested' AS event, '{AS_OF}' AS at_time, 'cloud' AS provider, concat('m:', source_filename) AS model FROM calls WHERE call_id % 10 = 0", "calls")
+def reset_log(spark, d):
+    return index.reset_log(requests_of(spark, d), as_of()).withColumn("at_time", stamp("at")).drop("at")
+
+
+def rebuilt(spark, d):
+    c = fixture(spark, d, "calls").withColumn("call_id", F.col("call_id").cast("string"))
+    m = c.select("call_id", "imported_at", F.sha2(F.col("search_text").cast("binary"), 256).alias("sha256"), "low_confidence", F.array(F.lit("a")).alias("errors"))
+    t = tasks_of(spark, d).withColumn("call_id", F.col("call_id").cast("string")).drop("kind")
+    listing = c.select("call_id", F.explode(F.array(F.lit("metadata"), F.lit("summary"))).alias("kind"), F.col("source_filename").alias("path"))
+    return index.rebuild_all(m, c.select("call_id", "search_text"), t, t.where("pos % 4 = 1"), listing)
+
+
+FIRSTS = "SELECT arg_min(call_id, (imported_at, CAST(call_id AS VARCHAR))) AS call_id, min(imported_at) AS imported_at FROM calls GROUP BY sha256(search_text)"
+
+
+@query(
+    "ref_rebuild_tasks",
+    f"""SELECT CAST(call_id AS VARCHAR) AS call_id, pos, concat(CAST(call_id AS VARCHAR), ':', k, ':', task_id, CASE WHEN rn > 1 THEN concat(':', CAST(rn AS VARCHAR)) ELSE '' END) AS stored_id FROM (
+      SELECT *, row_number() OVER (PARTITION BY call_id, k, task_id ORDER BY pos) AS rn FROM (SELECT call_id, pos, task_id, 'extracted' AS k FROM tasks UNION ALL SELECT call_id, pos, task_id, 'reviewed' FROM tasks WHERE pos % 4 = 1) u
+      WHERE call_id IN (SELECT call_id FROM ({FIRSTS}) f)) t""",
+    "tasks",
+    "calls",
+)
+def rebuild_tasks(spark, d):
+    return rebuilt(spark, d)["tasks"].select("call_id", "pos", "stored_id")
+
+
+@query("ref_rebuild_artifacts", f"SELECT CAST(f.call_id AS VARCHAR) AS call_id, unnest(['metadata', 'summary']) AS kind, strftime(f.imported_at, '%Y-%m-%d') AS created FROM ({FIRSTS}) f", "calls")
+def rebuild_artifacts(spark, d):
+    return rebuilt(spark, d)["artifacts"].select("call_id", "kind", F.date_format("created_at", "yyyy-MM-dd").alias("created"))
+
+
 @query("ref_patch_call_metadata", "SELECT call_id, CASE WHEN call_id % 3 = 0 THEN NULL ELSE source_filename END AS source_filename, CASE WHEN call_id % 3 = 0 THEN 'late' ELSE current_state END AS current_state FROM calls", "calls")
 def patch(spark, d):
     c = fixture(spark, d, "calls").select("call_id", "source_filename", "current_state")
@@ -567,7 +693,8 @@ def patch(spark, d):
 
 @query(
     "ref_call_detail",
-    """SELECT c.call_id, coalesce(s.n, 0) AS n_segments, coalesce(t.n, 0) AS n_tasks, coalesce(s.clusters, '') AS clusters, 'local:base' AS selected_model, coalesce(e.n, 0) AS n_log FROM calls c
+    """SELECT c.call_id, coalesce(s.n, 0) AS n_segments, coalesce(t.n, 0) AS n_tasks, coalesce(s.clusters, '') AS clusters, CASE WHEN c.call_id % 8 = 0 THEN 'cloud:m' WHEN c.call_id % 4 = 0 THEN 'cloud:large-v3-turbo' ELSE 'local:large-v3-turbo' END AS selected_model, coalesce(e.n, 0) AS n_log,
+      CASE WHEN c.call_id % 5 = 0 THEN 1 ELSE 0 END AS n_mapping, c.current_state AS state, CASE WHEN c.call_id % 2 = 0 THEN c.source_filename END AS short_summary, CASE WHEN c.call_id % 3 = 0 THEN length(c.search_text) ELSE 0 END AS n_text FROM calls c
     LEFT JOIN (SELECT call_id, count(*) AS n, string_agg(DISTINCT role, ',' ORDER BY role) AS clusters FROM seg GROUP BY call_id) s ON c.call_id = s.call_id
     LEFT JOIN (SELECT call_id, count(*) AS n FROM tasks GROUP BY call_id) t ON c.call_id = t.call_id
     LEFT JOIN (SELECT call_id, count(*) AS n FROM ev GROUP BY call_id) e ON c.call_id = e.call_id""",
@@ -579,9 +706,23 @@ def patch(spark, d):
 def detail(spark, d):
     s = seg(spark, d).withColumnRenamed("role", "speaker_cluster_id")
     t = tasks_of(spark, d)
-    out = index.call_detail(fixture(spark, d, "calls").select("call_id"), s, t, t.where("pos % 4 = 1"), fixture(spark, d, "ev"))
+    c = fixture(spark, d, "calls")
+    summaries = c.where("call_id % 2 = 0").select("call_id", F.col("source_filename").alias("short_summary"))
+    texts = c.where("call_id % 3 = 0").select("call_id", F.col("search_text").alias("clean_text"))
+    out = index.call_detail(c.select("call_id"), s, t, t.where("pos % 4 = 1"), fixture(spark, d, "ev"), metadata_of(spark, d), summaries, texts)
     n = lambda c: F.size(c).cast("long")
-    return out.select("call_id", n("segments").alias("n_segments"), n("tasks").alias("n_tasks"), F.array_join("clusters", ",").alias("clusters"), "selected_model", n("log").alias("n_log"))
+    return out.select(
+        "call_id",
+        n("segments").alias("n_segments"),
+        n("tasks").alias("n_tasks"),
+        F.array_join("clusters", ",").alias("clusters"),
+        "selected_model",
+        n("log").alias("n_log"),
+        F.size("speaker_mapping").alias("n_mapping"),
+        F.col("metadata.current_state").alias("state"),
+        F.col("summary.short_summary").alias("short_summary"),
+        F.length("transcript_clean").alias("n_text"),
+    )
 
 
 def runs(spark, d):
@@ -627,6 +768,32 @@ def model_matrix(spark, d):
     return compare.model_matrix(runs(spark, d), ["m0", "m1", "m2"])
 
 
+@query(
+    "ref_classify_failure",
+    "SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'transport' WHEN 1 THEN 'timeout' WHEN 2 THEN 'auth' WHEN 3 THEN 'auth' WHEN 4 THEN 'rate_limit' WHEN 5 THEN 'api_validation' ELSE 'unknown' END AS kind FROM documents",
+)
+def failure_kinds(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", (F.col("doc_id") % 8).cast("int").alias("i"))
+    kind = F.get(F.array(*map(F.lit, ("connection", "timeout", "status", "status", "status", "status", "status", None))), F.col("i"))
+    status = F.get(F.array(*map(F.lit, (None, None, 401, 403, 429, 422, 503, None))), F.col("i"))
+    return docs.select("doc_id", text.classify_failure(kind, status).alias("kind"))
+
+
+@query(
+    "ref_provider_models",
+    """SELECT doc_id AS call_id, CASE WHEN doc_id % 2 = 0 THEN 'cloud' ELSE 'local' END AS provider, CASE WHEN doc_id % 2 = 0 THEN 'whisper-1' WHEN doc_id % 3 = 0 THEN 'small' ELSE 'large-v3-turbo' END AS model FROM documents""",
+)
+def provider_models(spark, d):
+    """Local runs of two models and cloud runs of two; local is preferred, by name of a model for every third call, and fails for even ones."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("call_id"))
+    i = F.col("call_id")
+    runs = F.explode(F.array(*[F.struct(F.lit(p).alias("provider"), F.lit(m).alias("model")) for p, m in (("local", "small"), ("local", "large-v3-turbo"), ("cloud", "small"), ("cloud", "whisper-1"))]))
+    ok = (i % 2 == 1) | (F.col("provider") == "cloud")
+    a = docs.withColumn("r", runs).select("call_id", "r.*").withColumns({"ok": ok, "text": F.when(ok, "t"), "error": F.when(~ok, "E")})
+    preferred = docs.select("call_id", F.lit("local").alias("provider"), F.when(i % 3 == 0, "small").alias("model"))
+    return compare.first_successful_provider(a, preferred).select("call_id", "provider", "model")
+
+
 @query(
     "ref_first_successful_provider",
     """SELECT call_id, CASE WHEN p_ok THEN 'local' WHEN c_ok THEN 'cloud' END AS provider, CASE WHEN NOT p_ok AND NOT c_ok THEN 'local: E; cloud: E' END AS error
@@ -656,42 +823,47 @@ def scalars(spark, d):
 @query("ref_translation_candidates", "SELECT call_id, language <> 'en' AND call_id % 10 > 7 AS needs_translation, language <> 'en' AND call_id % 10 = 8 AS translation_needed, length(CASE WHEN language <> 'en' AND call_id % 10 = 8 THEN concat(search_text, '!') ELSE search_text END) AS n FROM calls", "calls")
 def translation(spark, d):
     c = fixture(spark, d, "calls").select("call_id", F.col("search_text").alias("text"), "language", ((F.col("call_id") % 10) / 10).cast("double").alias("confidence"))
-    tr = c.where("call_id % 2 = 0").select("call_id", F.concat("text", F.lit("!")).alias("translation"))
+    tr = c.where("call_id % 10 >= 8").select("call_id", F.when(F.col("call_id") % 10 == 8, F.concat("text", F.lit("!"))).otherwise("").alias("translation"))
     return analysis.translation_candidates(c, tr).select("call_id", "needs_translation", "translation_needed", F.length("text").alias("n"))
 
 
 def payload():
     """JSON text in four forms, by call: good, a task without text, null tasks, malformed."""
     i = F.col("call_id") % 4
-    good = F.to_json(F.struct(F.col("source_filename").alias("short_summary"), F.array(F.struct(F.lit("do it").alias("text"), F.col("source_filename").alias("owner"))).alias("tasks")))
+    good = F.to_json(F.struct(F.col("source_filename").alias("short_summary"), F.array(F.struct(F.lit("do it").alias("text"), F.col("source_filename").alias("owner"))).alias("tasks"), F.lit(0.75).alias("analysis_confidence"), F.when(F.col("call_id") % 8 == 0, "he").alias("analysis_language")))
     return F.when(i == 0, good).when(i == 1, F.lit('{"tasks":[{"owner":"z"}]}')).when(i == 2, F.lit('{"tasks":null}')).otherwise(F.lit("not json"))
 
 
-@query("ref_parse_analysis_json", "SELECT call_id, call_id % 4 <> 0 AS fallback, CASE WHEN call_id % 4 = 0 THEN source_filename END AS short_summary, CASE WHEN call_id % 4 = 0 THEN 'unknown' END AS language, CASE WHEN call_id % 4 = 0 THEN concat('task_0001:do it:', source_filename, ':task:new') END AS tasks FROM calls", "calls")
+@query("ref_parse_analysis_json", "SELECT call_id, call_id % 4 <> 0 AS fallback, CASE WHEN call_id % 4 = 0 THEN source_filename END AS short_summary, CASE WHEN call_id % 8 = 0 THEN 'he' WHEN call_id % 4 = 0 THEN 'unknown' END AS analysis_language, CASE WHEN call_id % 4 = 0 THEN CAST(0.75 AS DOUBLE) END AS analysis_confidence, CASE WHEN call_id % 4 = 0 THEN concat('task_0001:do it:', source_filename, ':task:new') END AS tasks FROM calls", "calls")
 def analysis_json(spark, d):
     c = fixture(spark, d, "calls").withColumn("a", payloads.parse_analysis_json(payload()))
     one = F.transform("a.tasks", lambda t: F.concat_ws(":", t["task_id"], t["text"], t["owner"], t["type"], t["status"]))
-    return c.select("call_id", F.col("a").isNull().alias("fallback"), "a.short_summary", "a.language", F.array_join(one, "|").alias("tasks"))
+    return c.select("call_id", F.col("a").isNull().alias("fallback"), "a.short_summary", "a.analysis_language", "a.analysis_confidence", F.array_join(one, "|").alias("tasks"))
 
 
-@query("ref_action_items", "SELECT call_id, CASE WHEN call_id % 3 = 0 THEN 0 ELSE 2 END AS n_items, CASE WHEN call_id % 3 = 0 THEN CAST(0.0 AS DOUBLE) ELSE CAST(0.625 AS DOUBLE) END AS mean_confidence FROM calls", "calls")
+@query("ref_action_items", "SELECT call_id, CASE WHEN call_id % 3 = 0 THEN 0 ELSE 2 END AS n_items, CASE WHEN call_id % 3 = 0 THEN '' ELSE 'a/me/friday/high/work/said so|b/Ann' END AS items, CASE WHEN call_id % 3 = 0 THEN CAST(0.0 AS DOUBLE) ELSE CAST(0.625 AS DOUBLE) END AS mean_confidence FROM calls", "calls")
 def action_items(spark, d):
-    raw = F.when(F.col("call_id") % 3 == 0, "[broken").otherwise('[{"task":"a","confidence":0.75},{"task":"b"}]')
+    raw = F.when(F.col("call_id") % 3 == 0, "[broken").otherwise('[{"description":"a","responsible":"me","deadline":"friday","priority":"high","category":"work","confidence":0.75,"context":"said so"},{"description":"b","responsible":"Ann","deadline":null}]')
     c = fixture(spark, d, "calls").select("call_id", payloads.parse_action_items(raw).alias("items"))
-    return analysis.mean_action_confidence(c).join(c.select("call_id", F.size("items").alias("n_items")), "call_id").select("call_id", "n_items", "mean_confidence")
+    one = F.transform("items", lambda x: F.concat_ws("/", x["description"], x["responsible"], x["deadline"], x["priority"], x["category"], x["context"]))
+    shown = c.select("call_id", F.size("items").alias("n_items"), F.array_join(one, "|").alias("items"))
+    return analysis.mean_action_confidence(c).join(shown, "call_id").select("call_id", "n_items", "items", "mean_confidence")
 
 
-@query("ref_insight_counts", "SELECT call_id, 'topics' AS kind, 2 AS n FROM calls UNION ALL SELECT call_id, 'contacts', 1 FROM calls WHERE call_id % 2 = 0", "calls")
+@query("ref_insight_counts", "SELECT call_id, 'people' AS kind, 2 AS n FROM calls UNION ALL SELECT call_id, unnest(['projects', 'preferences', 'commitments', 'patterns']), 1 FROM calls WHERE call_id % 2 = 0", "calls")
 def insights(spark, d):
-    raw = F.when(F.col("call_id") % 2 == 0, '{"topics":[{"a":"1"},{"a":"2"}],"contacts":[{"n":"x"}],"locations":[]}').otherwise('{"topics":[{"a":"1"},{"a":"2"}]}')
+    people = '"people":[{"name":"Ann","relationship":"friend","role":"","notes":""},{"name":"Bo"}]'
+    more = ',"projects":[{"name":"p","status":"open"}],"preferences":[{"type":"t","description":"d","confidence":0.8}],"commitments":[{"description":"d","from_who":"me","to_who":"Ann"}],"events":[],"patterns":[{"observation":"o","confidence":0.7}]'
+    raw = F.when(F.col("call_id") % 2 == 0, "{" + people + more + "}").otherwise("{" + people + "}")
     return analysis.insight_counts(fixture(spark, d, "calls").select("call_id", payloads.parse_insights(raw).alias("insights")))
 
 
-@query("ref_call_summary_json", "SELECT call_id, source_filename AS summary, 'a|b' AS topics, true AS follow_up FROM calls", "calls")
+@query("ref_call_summary_json", "SELECT call_id, source_filename AS outcome, '5 minutes' AS duration_estimate, 'me|Ann' AS participants, 'a|b' AS topics, 'business' AS call_type, 'casual' AS mood_tone, true AS follow_up FROM calls", "calls")
 def call_summary(spark, d):
-    raw = F.to_json(F.struct(F.col("source_filename").alias("summary"), F.array(F.lit("a"), F.lit("b")).alias("main_topics"), F.lit(True).alias("follow_up_needed")))
+    said = '{"duration_estimate":"5 minutes","participants":["me","Ann"],"main_topics":["a","b"],"call_type":"business","mood_tone":"casual","follow_up_needed":true,"outcome":"'
+    raw = F.concat(F.lit(said), "source_filename", F.lit('"}'))
     c = fixture(spark, d, "calls").select("call_id", payloads.parse_call_summary(raw).alias("s"))
-    return c.select("call_id", "s.summary", F.array_join("s.main_topics", "|").alias("topics"), F.col("s.follow_up_needed").alias("follow_up"))
+    return c.select("call_id", "s.outcome", "s.duration_estimate", F.array_join("s.participants", "|").alias("participants"), F.array_join("s.main_topics", "|").alias("topics"), "s.call_type", "s.mood_tone", F.col("s.follow_up_needed").alias("follow_up"))
 
 
 @query("ref_coalesce_transcript_keys", "SELECT doc_id AS call_id, CASE WHEN doc_id % 2 = 0 THEN source ELSE 'unknown' END AS provider, 'unknown' AS model, CASE WHEN doc_id % 3 = 0 THEN lang ELSE 'unknown' END AS language FROM documents")
@@ -700,3 +872,38 @@ def transcript_keys(spark, d):
     i = F.col("doc_id")
     t = docs.select(i.alias("call_id"), F.when(i % 2 == 0, F.col("source")).alias("provider"), F.lit(None).cast("string").alias("model"), F.when(i % 3 == 0, F.col("lang")).alias("language"))
     return segments.coalesce_transcript_keys(t)
+
+
+@query(
+    "ref_scan_recordings",
+    "SELECT concat(t, '.parquet') AS file, 64 AS n_digest FROM (SELECT unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations']) AS t) u",
+)
+def scan(spark, d):
+    """The tables' own files as recordings, found by suffix and hashed whole; tables that are folders have files of their own."""
+    found = None
+    for table in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
+        files = recordings_source.content_hash(recordings_source.scan_recordings(spark, f"{d}/{table}.parquet", (".parquet",)))
+        one = files.agg(F.max(F.length("sha256")).alias("n_digest")).select(F.lit(f"{table}.parquet").alias("file"), "n_digest")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+@query("ref_artifact_round_trip", "SELECT CAST(doc_id AS VARCHAR) AS call_id, text, lang, concat(source, '|ü') AS errors FROM documents")
+def artifact_round_trip(spark, d):
+    """Every document as a call's artifact, written as JSON lines to the shared folder and read back."""
+    folder = scratch(spark, "artifacts")
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    rows = docs.select(F.col("doc_id").cast("string").alias("call_id"), "text", "lang", F.array("source", F.lit("ü")).alias("errors"))
+    recordings_source.write_artifacts(rows, folder)
+    back = recordings_source.read_artifacts(spark, folder, "call_id string, text string, lang string, errors array<string>", whole=False)
+    return back.select("call_id", "text", "lang", F.array_join("errors", "|").alias("errors"))
+
+
+@query("ref_append_events", "SELECT call_id, event, count(*) AS n, count(error) AS n_errors FROM ev GROUP BY call_id, event", "ev")
+def append_events(spark, d):
+    """The event log, appended in two parts and read back."""
+    folder = scratch(spark, "events")
+    e = fixture(spark, d, "ev").withColumns({"at": F.col("at").cast("timestamp"), "call_id": F.col("call_id").cast("string")})
+    for part in (0, 1):
+        recordings_source.append_events(e.where(F.col("event_id") % 2 == part), folder)
+    return recordings_source.read_events(spark, folder).groupBy(F.col("call_id").cast("long").alias("call_id"), "event").agg(F.count(F.lit(1)).alias("n"), F.count("error").alias("n_errors"))

@@ -2,24 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from callgrain.plans.fixtures import EVENTS
 from callgrain.plans.queries import query
+from callgrain.plans.scratch import scratch
 from callgrain.streaming import streams
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share: under spark.checkpoint.dir, or a temporary one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{root or tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/callgrain-stream-{uuid.uuid4().hex}"
-
-
 def drain(writer: DataStreamWriter, folder: str) -> None:
     writer.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
 
@@ -31,7 +23,7 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query("ref_stream_import", "SELECT DISTINCT sha256(text) AS sha256 FROM documents")
 def stream_import(spark, d):
-    folder = scratch(spark)
+    folder = scratch(spark, "stream")
     stream = streams.first_by_content(table_stream(spark, d, "documents").select("doc_id", "text"), "text")
     drain(stream.writeStream.format("parquet").option("path", f"{folder}/out"), folder)
     return spark.read.parquet(f"{folder}/out").select("sha256")
@@ -39,13 +31,11 @@ def stream_import(spark, d):
 
 @query("ref_stream_index", "SELECT doc_id AS call_id, sha256(text) AS sha256, 1 AS imported_at, CAST(n_chars AS INTEGER) AS recorded_at FROM documents")
 def stream_index(spark, d):
-    folder = scratch(spark)
+    folder = scratch(spark, "stream")
     docs = table_stream(spark, d, "documents")
     rows = docs.select(F.col("doc_id").alias("call_id"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.lit(1).alias("imported_at"), F.col("n_chars").cast("int").alias("recorded_at"))
     drain(streams.stream_index(rows, f"{folder}/index"), folder)
-    all_versions = spark.read.parquet(f"{folder}/index")
-    last = all_versions.agg(F.max("version")).first()[0]
-    return all_versions.where(F.col("version") == last).drop("version")
+    return streams.read_index(spark, f"{folder}/index", rows.schema)
 
 
 OVERDUE = """SELECT s.call_id, s.stage, strftime(s."at", '%Y-%m-%d %H:%M:%S') AS started_at FROM ev s
@@ -55,7 +45,7 @@ AND NOT EXISTS (SELECT 1 FROM ev f WHERE f.event = 'finished' AND f.call_id = s.
 
 @query("ref_stream_stale_jobs", OVERDUE, "ev")
 def stream_stale_jobs(spark, d):
-    folder = scratch(spark)
+    folder = scratch(spark, "stream")
 
     def ended(event: str, name: str) -> DataFrame:
         e = spark.sql(EVENTS.replace("FROM events", "FROM {events}"), events=table_stream(spark, d, "events"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.types import StructType
 
-from callgrain.operators.index import replace_rows, upsert_calls
+from callgrain.operators.index import fold_changes, upsert_calls
 
 BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -26,36 +30,79 @@ def first_by_content(stream: DataFrame, content: str) -> DataFrame:
     return stream.withColumn("sha256", F.sha2(F.col(content).cast("binary"), 256)).drop(content).dropDuplicates(["sha256"])
 
 
-def stream_index(changes: DataFrame, folder: str) -> DataStreamWriter:
-    """foreachBatch sink that upserts index rows into versions of a Parquet table.
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete batches under a folder."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return []
+    found = [s.getPath() for s in files.listStatus(root) if s.getPath().getName().startswith("batch=")]
+    return sorted(int(p.getName()[6:]) for p in found if files.exists(p.suffix("/_SUCCESS")))
 
-    Each batch reads the version before its own and writes its own; a repeated batch
-    overwrites the same version, so retries change nothing. The newest complete version
-    is the index.
-    """
-    schema = changes.schema
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = f"{folder}/version={batch_id - 1}"
-        old = spark.read.schema(schema).parquet(before) if batch_id else spark.createDataFrame([], schema)
-        upsert_calls(old, batch).write.mode("overwrite").parquet(f"{folder}/version={batch_id}")
+def _drop(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
-    return changes.writeStream.foreachBatch(apply)
+
+def _versions(spark: SparkSession, folder: str, schema: StructType, upto: int | None = None) -> DataFrame | None:
+    """The newest base and the changes after it, with their batch numbers; those up to a batch, if one is given."""
+    fits = lambda n: upto is None or n <= upto
+    base = max(filter(fits, _batches(spark, f"{folder}/base")), default=-1)
+    paths = [(base, f"{folder}/base/batch={base}")] if base >= 0 else []
+    paths += [(n, f"{folder}/changes/batch={n}") for n in _batches(spark, f"{folder}/changes") if n > base and fits(n)]
+    parts = [spark.read.schema(schema).parquet(p).withColumn("_batch", F.lit(n)) for n, p in paths]
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def read_index(spark: SparkSession, folder: str, schema: StructType, upto: int | None = None) -> DataFrame:
+    """The index that stream_index keeps in a folder: a row per call."""
+    every = _versions(spark, folder, schema, upto)
+    return spark.createDataFrame([], schema) if every is None else fold_changes(every, F.col("_batch")).drop("_batch")
 
 
-def stream_replace(changes: DataFrame, folder: str) -> DataStreamWriter:
-    """As stream_index, for tables in which a call has many rows."""
+def read_replaced(spark: SparkSession, folder: str, schema: StructType, upto: int | None = None) -> DataFrame:
+    """The table that stream_replace keeps in a folder: of each call the rows of its last batch."""
+    every = _versions(spark, folder, schema, upto)
+    if every is None:
+        return spark.createDataFrame([], schema)
+    last = every.groupBy("call_id").agg(F.max("_batch").alias("_batch"))
+    return every.join(last, ["call_id", "_batch"], "left_semi").select(*schema.names)
+
+
+def _keep(changes: DataFrame, folder: str, compact_every: int, reduced: Callable, read: Callable) -> DataStreamWriter:
     schema = changes.schema
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        old = spark.read.schema(schema).parquet(f"{folder}/version={batch_id - 1}") if batch_id else spark.createDataFrame([], schema)
-        replace_rows(old, batch).write.mode("overwrite").parquet(f"{folder}/version={batch_id}")
+        reduced(batch).write.mode("overwrite").parquet(f"{folder}/changes/batch={batch_id}")
+        if (batch_id + 1) % compact_every == 0:
+            read(spark, folder, schema, batch_id).write.mode("overwrite").parquet(f"{folder}/base/batch={batch_id}")
+            for part in ("base", "changes"):
+                for n in _batches(spark, f"{folder}/{part}"):
+                    if n < batch_id or n == batch_id and part == "changes":
+                        _drop(spark, f"{folder}/{part}/batch={n}")
 
     return changes.writeStream.foreachBatch(apply)
 
 
+def stream_index(changes: DataFrame, folder: str, order: str | None = None, compact_every: int = 16) -> DataStreamWriter:
+    """foreachBatch sink that upserts index rows; read_index gives the table.
+
+    A batch writes its own changes only, one row per call (several are applied in order
+    of the column `order`); a repeated batch overwrites them, so retries change nothing.
+    Every `compact_every` batches the table is written whole as a new base, and what it
+    replaces is deleted: bytes written per batch follow the batch, and few files stay.
+    """
+    none = changes.sparkSession.createDataFrame([], changes.schema)
+    return _keep(changes, folder, compact_every, lambda b: upsert_calls(none, b, order), read_index)
+
+
+def stream_replace(changes: DataFrame, folder: str, compact_every: int = 16) -> DataStreamWriter:
+    """As stream_index, for tables in which a call has many rows; read_replaced gives the table."""
+    return _keep(changes, folder, compact_every, lambda b: b, read_replaced)
+
+
 def stream_stale_jobs(started: DataFrame, finished: DataFrame, threshold: str = "300 seconds", delay: str = "60 seconds") -> DataFrame:
     """Starts (call_id, stage, started_at) without a finish (call_id, stage, finished_at) within the threshold, once both watermarks have passed it."""
     s = started.withWatermark("started_at", delay).alias("s")

@@ -151,7 +151,7 @@ def test_payload_defaults(spark):
     df = spark.createDataFrame([('{"tasks":[{"text":"a"},{"text":"b","type":null}]}',), ("{}",), ('{"tasks":null}',), ('{"tasks":[{"owner":"x"}]}',), ("[]",), ("",), (None,)], "p string")
     got = [r[0] for r in df.select(payloads.parse_analysis_json(F.col("p"))).collect()]
     assert [t["task_id"] for t in got[0]["tasks"]] == ["task_0001", "task_0002"] and got[0]["tasks"][1]["type"] == "task"
-    assert got[1]["language"] == "unknown" and got[1]["tasks"] == [] and got[2:] == [None] * 5
+    assert got[1]["analysis_language"] == "unknown" and got[1]["analysis_confidence"] is None and got[1]["tasks"] == [] and got[2:] == [None] * 5
 
 
 def test_provider_choice(spark):
@@ -163,6 +163,62 @@ def test_provider_choice(spark):
 
 def test_empty_calls_give_defaults(spark):
     lines = spark.createDataFrame([("a", [" ", "x"]), ("b", [])], "call_id string, lines array<string>")
-    assert rows(analysis.extractive_summary(lines), "call_id", "short_summary") == [("a", "x"), ("b", analysis.NO_CONTENT)]
+    none = "No transcript content available."
+    assert rows(analysis.extractive_summary(lines), "call_id", "short_summary", "detailed_summary") == [("a", "x", "x"), ("b", none, none)]
     merged = segments.parse_role_mapping(spark.createDataFrame([("a", ["s", "s", "t"], ["me", "other", "bad"])], "call_id string, clusters array<string>, roles array<string>"))
     assert merged.collect()[0]["mapping"] == {"s": "other"}
+
+
+def test_payload_keys(spark):
+    p = [
+        ('[{"description":"d","responsible":"me","deadline":null,"priority":"high","category":"work","confidence":0.9,"context":"c"}]', '{"duration_estimate":"5 minutes","mood_tone":"casual","outcome":"o","participants":["a"],"follow_up_needed":false}', '{"people":[{"name":"A","role":"r"}],"patterns":[{"observation":"x","confidence":0.7}],"events":[]}'),
+        ("nope", "nope", "nope"),
+    ]
+    df = spark.createDataFrame(p, "items string, summary string, insights string")
+    a, b = df.select(payloads.parse_action_items(F.col("items")).alias("i"), payloads.parse_call_summary(F.col("summary")).alias("s"), payloads.parse_insights(F.col("insights")).alias("n")).collect()
+    assert a.i[0].asDict() == {"description": "d", "responsible": "me", "deadline": None, "priority": "high", "category": "work", "confidence": 0.9, "context": "c"}
+    assert (a.s.duration_estimate, a.s.mood_tone, a.s.outcome, a.s.participants, a.s.follow_up_needed) == ("5 minutes", "casual", "o", ["a"], False)
+    assert a.n.people[0].name == "A" and a.n.patterns[0].confidence == 0.7 and a.n.events == [] and a.n.projects is None
+    assert b.i == []
+
+
+def test_several_changes_of_a_call_in_one_batch(spark):
+    k = "call_id int, sha256 string, imported_at int, recorded_at int, current_state string"
+    old = spark.createDataFrame([(1, "h", None, 5, "x")], k)
+    changes = [(1, "b", 7, None, "second", 2), (1, "a", 6, 4, "first", 1), (2, "d", None, 9, "second", 2), (2, "c", None, None, "first", 1), (2, "e", 8, None, "third", 3)]
+    new = spark.createDataFrame(changes, k + ", at int")
+    want = old
+    for at in (1, 2, 3):
+        want = index.upsert_calls(want, new.where(F.col("at") == at).drop("at"))
+    once = index.upsert_calls(old, new, "at")
+    assert rows(once, *once.columns) == rows(want, *once.columns) == [(1, "h", 6, 4, "second"), (2, "c", 8, 9, "third")]
+    assert index.upsert_calls(old, new.drop("at")).count() == 2
+
+
+def test_empty_translation_keeps_the_text(spark):
+    c = spark.createDataFrame([("a", "t", "de", 0.9), ("b", "t", "de", 0.9), ("c", "t", "en", 0.9)], "call_id string, text string, language string, confidence double")
+    tr = spark.createDataFrame([("a", ""), ("b", "u"), ("c", "u")], "call_id string, translation string")
+    assert rows(analysis.translation_candidates(c, tr), "call_id", "translation_needed", "text") == [("a", False, "t"), ("b", True, "u"), ("c", False, "t")]
+
+
+def test_stored_confidence_stays(spark):
+    kind = "call_id string, segments array<struct<start_sec:double,start:double,end_sec:double,end:double,text:string,confidence:double,avg_logprob:double,speaker:string>>"
+    df = spark.createDataFrame([("a", [(0.0, None, 1.0, None, "x", 0.25, -1.0, None), (0.0, None, 1.0, None, "y", None, -1.0, None)])], kind)
+    assert rows(segments.normalize_raw_segments(df), "text", "confidence") == [("x", 0.25), ("y", -1.0)]
+
+
+def test_broken_turn_times_do_not_explode(spark):
+    s = spark.createDataFrame([("a", i, float(i), i + 1.0, "x") for i in range(5)], SEG)
+    t = spark.createDataFrame([("a", 0, 2.0, 1e300, "s1", None), ("a", 1, 0.0, 1e7, "s2", None), ("a", 2, 3.0, 90_000.0, "s3", None), ("a", 3, 1.0, 3.0, "s4", None), ("a", 4, float("nan"), 1.0, "s5", None)], TURN)
+    columns = ("call_id", "seg_idx", "speaker_cluster_id", "diarization_confidence")
+    assert rows(segments.align_turns_bucketed(s, t.where("turn_idx < 4")), *columns) == rows(segments.align_turns(s, t.where("turn_idx < 4")), *columns)
+
+
+def test_archive_listing(spark, tmp_path):
+    for name in ("call_1/metadata.json", "call_1/summary.json", "call_2/audio_normalized.wav", "call_2/other.txt"):
+        f = tmp_path / "2024" / "05" / name
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text("{}")
+    (tmp_path / "w.wma").write_bytes(b"x")
+    assert rows(recordings.artifact_listing(spark, str(tmp_path)), "call_id", "kind") == [("1", "metadata"), ("1", "summary"), ("2", "audio_normalized")]
+    assert recordings.scan_recordings(spark, str(tmp_path)).count() == 1

@@ -40,10 +40,38 @@ def test_stream_index_is_batch_index(spark, tmp_path):
         df.coalesce(1).write.mode("append").parquet(str(src))
         want = index.upsert_calls(want, df)
         drain(streams.stream_index(spark.readStream.schema(kind).parquet(str(src)), str(tmp_path / "t")), tmp_path, "x")
-    got = spark.read.schema(kind).parquet(str(tmp_path / "t" / "version=1"))
+    got = streams.read_index(spark, str(tmp_path / "t"), want.schema)
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
 
 
+def test_batches_write_their_changes_only(spark, tmp_path):
+    kind = "call_id int, sha256 string, imported_at int, recorded_at int, state string, at int"
+    src, want, sizes = tmp_path / "src", spark.createDataFrame([], kind), []
+    t = str(tmp_path / "t")
+    for i in range(7):
+        p = [(k, f"h{i}", i, i if k % 2 else None, f"s{i}", k % 3) for k in range(0 if i == 0 else i, 2000 if i == 0 else i + 3)] + [(1, f"x{i}", i, None, "again", 9)]
+        df = spark.createDataFrame(p, kind)
+        df.coalesce(1).write.mode("append").parquet(str(src))
+        want = spark.createDataFrame(index.upsert_calls(want, df, "at").collect(), df.schema)
+        drain(streams.stream_index(spark.readStream.schema(kind).parquet(str(src)), t, "at", compact_every=4), tmp_path, "x")
+        changed = tmp_path / "t" / "changes" / f"batch={i}"
+        sizes.append(sum(f.stat().st_size for f in changed.rglob("*.parquet")) if changed.exists() else None)
+    got = streams.read_index(spark, t, want.schema)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    assert sizes[3] is None and all(x < sizes[0] for x in sizes[1:] if x is not None)
+    assert [p.name for p in (tmp_path / "t" / "base").iterdir()] == ["batch=3"] and sorted(p.name for p in (tmp_path / "t" / "changes").iterdir()) == ["batch=4", "batch=5", "batch=6"]
+
+
+def test_stream_replace_keeps_the_last_batch_of_a_call(spark, tmp_path):
+    kind = "call_id int, task string"
+    src, t = tmp_path / "src", str(tmp_path / "t")
+    for part in ([(1, "a"), (1, "b"), (2, "c")], [(1, "d")], [(3, "e"), (3, "f")]):
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(str(src))
+        drain(streams.stream_replace(spark.readStream.schema(kind).parquet(str(src)), t, compact_every=2), tmp_path, "x")
+    got = streams.read_replaced(spark, t, spark.createDataFrame([], kind).schema)
+    assert sorted(map(tuple, got.collect())) == [(1, "d"), (2, "c"), (3, "e"), (3, "f")]
+
+
 def test_stream_stale_jobs_is_batch_stale_jobs(spark, tmp_path):
     at = lambda m: T0 + dt.timedelta(minutes=m)
     starts = [("a", "s", at(0)), ("b", "s", at(1)), ("c", "s", at(2)), ("z", "s", at(60)), ("z", "s", at(90))]
