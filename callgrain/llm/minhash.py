@@ -64,7 +64,7 @@ class NearDupConfig:
     permutations: int = 40
     rows: int = 4
     block: int = 256  # partners of one leader per task group
-    pair_block: int = 128  # classes of one bucket that meet at once
+    pair_block: int = 2048  # classes of one bucket that meet at once
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
