@@ -63,7 +63,7 @@ class NearDupConfig:
     percent: int = 80  # linked if 100 * |intersection| >= percent * |union|
     permutations: int = 40
     rows: int = 4
-    block: int = 256  # partners of one leader per task group
+    block: int = 64  # partners of one leader per task group
     pair_block: int = 2048  # classes of one bucket that meet at once
 
 
