@@ -36,6 +36,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -107,18 +108,25 @@ def words_of(text: str | None) -> Words:
         starts, ends = edge[::2], edge[1::2]
         if not len(starts):
             continue
-        size = ends - starts
-        first = np.cumsum(size) - size
+        size = (ends - starts).astype(np.int32)
+        first = np.cumsum(size, dtype=np.int32) - size
         letters = b[inside]
-        place = np.arange(len(letters)) - np.repeat(first, size)
-        h = np.add.reduceat(_TABLE[np.minimum(place, WORD_BYTES - 1) << 8 | letters], first)
-        for i in np.flatnonzero(size > WORD_BYTES):
+        cell = np.arange(len(letters), dtype=np.int32) - np.repeat(first, size)  # place in the word
+        long = np.flatnonzero(size > WORD_BYTES)
+        if len(long):
+            np.minimum(cell, WORD_BYTES - 1, out=cell)
+        cell <<= 8
+        cell |= letters
+        h = np.add.reduceat(_TABLE[cell], first)
+        for i in long:
             h[i] = int.from_bytes(hashlib.blake2b(b[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
-        spaced = np.full(len(letters) + len(size), 32, np.uint8)
-        spaced[np.arange(len(letters)) + np.repeat(np.arange(len(size)), size)] = letters
+        keep = inside
+        keep[ends[ends < len(b)]] = True  # the separator behind each word
+        spaced = b[keep]
+        spaced[np.cumsum(size + 1, dtype=np.int32)[: len(size) - int(ends[-1] == len(b))] - 1] = 32
         hashes.append(_mix(h + size.astype(U)))
         sizes.append(size)
-        joined.append(spaced.tobytes())
+        joined.append(spaced.tobytes() + b" " * int(ends[-1] == len(b)))
     return Words(np.concatenate(hashes), np.concatenate(sizes), b"".join(joined))
 
 
@@ -159,17 +167,23 @@ class ShingleSet:
         return sum(a[p:q] == b[r:s] for p, q, r, s in zip(*(x.tolist() for x in spans), strict=True))
 
 
+@cache
+def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(11)
+    a = rng.integers(0, 1 << 63, n, dtype=U) * U(2) + U(1)
+    return a[:, None], rng.integers(0, 1 << 63, n, dtype=U)[:, None]
+
+
 def band_keys(s: np.ndarray, c: NearDupConfig) -> np.ndarray:
     """Min-max signature of a non-empty set, folded into band keys (int64)."""
-    rng = np.random.default_rng(11)
-    a = rng.integers(0, 1 << 63, c.permutations, dtype=U) * U(2) + U(1)
-    b = rng.integers(0, 1 << 63, c.permutations, dtype=U)
+    a, b = _permutations(c.permutations)
     low, high = np.full(c.permutations, ~U(0)), np.zeros(c.permutations, U)
-    for at in range(0, len(s), 2048):
-        v = s[at : at + 2048, None] * a + b
+    for at in range(0, len(s), 512):
+        v = a * s[None, at : at + 512]
+        v += b
         v ^= v >> U(32)
         v *= a
-        low, high = np.minimum(low, v.min(axis=0)), np.maximum(high, v.max(axis=0))
+        low, high = np.minimum(low, v.min(axis=1)), np.maximum(high, v.max(axis=1))
     signature = np.stack([low, high])
     bands = signature.reshape(-1, c.rows)
     h = np.arange(len(bands)).astype(U)
