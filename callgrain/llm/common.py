@@ -91,9 +91,12 @@ def join_counted(left: DataFrame, right: DataFrame, key: str, rows: str, salt: s
 
     A key with many rows is dealt over several tasks by the hash of left's column `salt`;
     right's row goes to each of them. What counts as many grows with the table, so at
-    most 200,000 keys do, and those are broadcast. right is read twice: give a written table.
+    most 200,000 keys do, and those are broadcast. right is read again: give a written table.
     """
-    bound = max(least, (right.agg(F.sum(rows)).first()[0] or 0) // 200_000)
+    most, total = right.agg(F.max(rows), F.sum(rows)).first()
+    bound = max(least, (total or 0) // 200_000)
+    if (most or 0) <= bound:
+        return left.join(right, key)
     parts = F.ceil(F.col(rows) / bound).cast("int")
     hot = right.where(F.col(rows) > bound).select(key, parts.alias("_parts"))
     left = left.join(F.broadcast(hot), key, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(salt), F.col("_parts")), F.lit(0)).cast("int"))

@@ -33,7 +33,7 @@ def connected_components(edges: DataFrame, max_steps: int = 60) -> DataFrame:
         made.clear()
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n")), "lowest", old)
-        large = join_counted(both.where("v > u"), low, "u", "n", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = join_counted(both.where("v > u"), low, "u", "n", "v").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialize(large, "large", old)
         low2 = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "lowest", old)
         rest = join_counted(large, low2.where("n > 1"), "u", "n", "v").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
