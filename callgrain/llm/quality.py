@@ -200,7 +200,8 @@ def quality_filter(docs: DataFrame, labels: DataFrame, control: RiskControl | No
     their signals; the cutoffs are learned from that table and applied to it.
     """
     control = control or RiskControl()
-    f = features_of(docs).where("not base_failed").select("row", "stratum", "base_failed", *control.grid, content_key(F.col("row.text")).alias("content"))
+    # the row number keeps the filter above the projections: pushed below, it would compute the words anew for every window
+    f = features_of(docs).withColumn("_number", F.monotonically_increasing_id()).where("not base_failed and _number >= 0").select("row", "stratum", "base_failed", *control.grid, content_key(F.col("row.text")).alias("content"))
     f = materialize(f, "quality")
     cut = materialize(learn_cutoffs(f.withColumn("doc_id", F.col("row.doc_id")), labels, control), "cutoffs")
     return judge(f, cut, control).where("kept").select("row.*")
