@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from callgrain.llm import ann, chat, html, langid, minhash, mixing, pieces, quality, tokenfile, warc
+from callgrain.llm import ann, chat, html, langid, minhash, mixing, oracles, pieces, quality, tokenfile, warc
 
 
 def queries() -> dict:
@@ -23,4 +23,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.ORACLES)
