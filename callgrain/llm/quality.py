@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callgrain.llm.common import materialize, packed, words
+from callgrain.llm.common import drop, materialize, packed, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -196,15 +196,22 @@ def quality_table(docs: DataFrame, labels: DataFrame, control: RiskControl | Non
 def quality_filter(docs: DataFrame, labels: DataFrame, control: RiskControl | None = None) -> DataFrame:
     """The kept documents, with their own columns.
 
-    Every text is measured once: documents that pass the base rules are written with
-    their signals; the cutoffs are learned from that table and applied to it.
+    Labelled documents are measured first, to learn the cutoffs, then all: so no text is
+    written. Up to 2,000,000 labelled ids are broadcast; with more, all are measured twice.
     """
     control = control or RiskControl()
+    made: list[str] = []
+    ids = labels.where("quality is not null").select("doc_id").distinct()
+    measured = docs.select("doc_id", "lang", "text")
+    if ids.limit(2_000_001).count() <= 2_000_000:
+        measured = measured.join(F.broadcast(ids), "doc_id", "left_semi")
+    f = features_of(measured).select(F.col("row.doc_id").alias("doc_id"), "stratum", "base_failed", *control.grid, content_key(F.col("row.text")).alias("content"))
+    cut = materialize(learn_cutoffs(materialize(f, "quality", made), labels, control), "cutoffs")
     # the row number keeps the filter above the projections: pushed below, it would compute the words anew for every window
-    f = features_of(docs).withColumn("_number", F.monotonically_increasing_id()).where("not base_failed and _number >= 0").select("row", "stratum", "base_failed", *control.grid, content_key(F.col("row.text")).alias("content"))
-    f = materialize(f, "quality")
-    cut = materialize(learn_cutoffs(f.withColumn("doc_id", F.col("row.doc_id")), labels, control), "cutoffs")
-    return judge(f, cut, control).where("kept").select("row.*")
+    f = features_of(docs).withColumn("_number", F.monotonically_increasing_id())
+    out = judge(f, cut, control).where(F.col("kept") & (F.col("_number") >= 0)).select("row.*")
+    drop(docs.sparkSession, made)
+    return out
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
