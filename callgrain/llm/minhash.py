@@ -40,7 +40,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callgrain.llm.common import drop, join_counted, materialize, packed, python_ready
@@ -49,7 +49,6 @@ from callgrain.llm.components import connected_components
 U = np.uint64
 STEP = 1 << 20  # bytes hashed at once
 WORD_BYTES = 64
-SIGN = -(1 << 63)
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -219,17 +218,6 @@ def signatures(docs: DataFrame, c: NearDupConfig) -> DataFrame:
     return keyed(docs).mapInArrow(sign, "doc_id long, text_key long, n_shingles long, digest binary, bands array<long>")
 
 
-def node_key(doc_id: Column, digest: Column) -> Column:
-    """A class's key: in order of its smallest doc_id, null last, and then of its digest."""
-    number = F.unhex(F.lpad(F.hex(F.coalesce(doc_id, F.lit(0)).bitwiseXOR(F.lit(SIGN))), 16, "0"))
-    return F.concat(F.when(doc_id.isNull(), F.lit(bytearray(b"\x01"))).otherwise(F.lit(bytearray(b"\x00"))), number, digest)
-
-
-def doc_of(node: Column) -> Column:
-    number = F.conv(F.hex(F.substring(node, 2, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(SIGN))
-    return F.when(F.substring(node, 1, 1) == F.lit(bytearray(b"\x00")), number)
-
-
 def texts_of(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """classes(node, doc_id, text_key): (node, text), one row each. Up to 500,000 are broadcast, so that no other text is shuffled; more are joined."""
     wanted = classes.select("node", F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"))
@@ -246,12 +234,12 @@ def private_counts(nodes: DataFrame, texts: DataFrame, c: NearDupConfig) -> Data
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for node, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = shingle_set(t, c.shingle).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([node] * len(s), pa.binary()), pa.array(s)], ["node", "shingle"])
+            found = [shingle_set(t, c.shingle).view(np.int64) for t in b.column(1).to_pylist()]
+            owners = np.repeat(np.array(b.column(0).to_pylist(), np.int64), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([pa.array(owners), pa.array(np.concatenate(found) if found else owners)], ["node", "shingle"])
 
-    held = texts.join(nodes, "node", "left_semi").mapInArrow(sets, "node binary, shingle long")
-    once = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.first("node").alias("node")).where("n = 1")
+    held = texts.join(nodes, "node", "left_semi").mapInArrow(sets, "node long, shingle long")
+    once = held.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other")
     return once.groupBy("node").agg(F.count(F.lit(1)).alias("private"))
 
 
@@ -262,7 +250,7 @@ def compare(pairs: DataFrame, texts: DataFrame, c: NearDupConfig, made: list[str
     partner = join_counted(pairs, partners, "a", "partners", "b").select("a", "b", F.pmod(F.xxhash64("b"), blocks).cast("int").alias("block"))
     partner = partner.join(texts.withColumnRenamed("node", "b"), "b").select("a", "block", "b", "text")
     leader = texts.withColumnRenamed("node", "a").join(partners.select("a", blocks.alias("blocks")), "a")
-    leader = leader.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("binary").alias("b"), "text")
+    leader = leader.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("long").alias("b"), "text")
     dealt = leader.unionByName(partner).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
 
     def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,10 +264,9 @@ def compare(pairs: DataFrame, texts: DataFrame, c: NearDupConfig, made: list[str
                 elif lead == a:
                     both = own.shared(s, c.percent)
                     rows.append((a, b, both, len(own.hashes) + len(s.hashes) - both))
-            types = (pa.binary(), pa.binary(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(types)], ["a", "b", "both", "either"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], ["a", "b", "both", "either"])
 
-    return dealt.mapInArrow(intersect, "a binary, b binary, both long, either long")
+    return dealt.mapInArrow(intersect, "a long, b long, both long, either long")
 
 
 def remaining_pairs(left: DataFrame, c: NearDupConfig, made: list[str]) -> DataFrame:
@@ -323,7 +310,7 @@ def remaining_pairs(left: DataFrame, c: NearDupConfig, made: list[str]) -> DataF
 
 def component_classes(docs: DataFrame, c: NearDupConfig) -> tuple[DataFrame, DataFrame, DataFrame]:
     """signed(doc_id, text_key, n_shingles, digest), a row per row of docs(doc_id, text);
-    classes(digest, rows, doc_id, text_key, component): the smallest row of each class, and its component's key;
+    classes(digest, rows, doc_id, text_key, component, component_id): the smallest row of each class, its component's number and smallest doc_id;
     shared(doc_id, digest): the doc_ids of several rows, with the digest of one of their texts, null if none has words.
     """
     spark = docs.sparkSession
@@ -335,8 +322,8 @@ def component_classes(docs: DataFrame, c: NearDupConfig) -> tuple[DataFrame, Dat
     reps = signed.where("digest is not null").groupBy("digest").agg(
         F.min(rows).alias("row"), F.count(F.lit(1)).alias("rows"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
     )
-    reps = reps.select("digest", "rows", "n", "bands", "row.doc_id", "row.text_key", node_key(F.col("row.doc_id"), F.col("digest")).alias("node"))
-    reps = materialize(reps, "classes", made)
+    reps = reps.select("digest", "rows", "n", "bands", "row.doc_id", "row.text_key", F.monotonically_increasing_id().alias("node"))
+    reps = materialize(reps, "classes", made)  # numbers are fixed by writing them
     shared = signed.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min("digest").alias("digest"), F.max("digest").alias("other"))
     shared = materialize(shared.where("rows > 1"), "repeated-ids")
     several = shared.where("digest < other").select("doc_id", F.col("digest").alias("first"))
@@ -383,8 +370,10 @@ def component_classes(docs: DataFrame, c: NearDupConfig) -> tuple[DataFrame, Dat
     rest = materialize(remaining_pairs(left, c, made), "rest", made)
     more = compare(rest, texts, c, made).where(linked).select("a", "b")
     labels = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    classes = reps.join(labels, "node", "left").select("digest", "rows", "doc_id", "text_key", F.coalesce("component", "node").alias("component"))
-    classes = materialize(classes, "labels")
+    classes = reps.join(labels, "node", "left").select("node", "digest", "rows", "doc_id", "text_key", F.coalesce("component", "node").alias("component"))
+    classes = materialize(classes, "labels", made)
+    names = materialize(classes.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("classes")), "names", made)
+    classes = materialize(join_counted(classes, names, "component", "classes", "node").drop("node", "classes"), "named")
     drop(spark, made)
     return signed.drop("bands"), classes, shared.select("doc_id", "digest")
 
@@ -392,10 +381,10 @@ def component_classes(docs: DataFrame, c: NearDupConfig) -> tuple[DataFrame, Dat
 def near_duplicates(docs: DataFrame, config: NearDupConfig | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of docs(doc_id, text)."""
     signed, classes, shared = component_classes(docs, config or NearDupConfig())
-    full = join_counted(signed.where("digest is not null"), classes.select("digest", "rows", "component"), "digest", "rows", "doc_id")
-    full = full.select("doc_id", "n_shingles", doc_of(F.col("component")).alias("component_id"))
+    full = join_counted(signed.where("digest is not null"), classes.select("digest", "rows", "component_id"), "digest", "rows", "doc_id")
+    full = full.select("doc_id", "n_shingles", "component_id")
     # rows without words: alone, unless their document has words elsewhere
-    other = shared.where("digest is not null").join(classes.select("digest", "component"), "digest").select("doc_id", doc_of(F.col("component")).alias("other"))
+    other = shared.where("digest is not null").join(classes.select("digest", "component_id"), "digest").select("doc_id", F.col("component_id").alias("other"))
     empty = signed.where("digest is null").join(other, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("other", "doc_id").alias("component_id"))
     return full.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
