@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from callgrain.llm import ann, chat, html, langid, minhash, mixing, oracles, pieces, quality, tokenfile, warc
+from callgrain.llm import alignment, ann, chat, collocations, html, langid, minhash, mixing, oracles, packing, pieces, quality, tokenfile, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,9 @@ def queries() -> dict:
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_html_main_text": html.op9_html_main_text,
         "op10_mix_sources": mixing.op10_mix_sources,
+        "op11_best_fit_packing": packing.op11_best_fit_packing,
+        "op12_collocations": collocations.op12_collocations,
+        "op13_cross_tokenizer_alignment": alignment.op13_cross_tokenizer_alignment,
         "pipeline": corpus_pipeline.run,
     }
 

@@ -74,3 +74,23 @@ LEFT JOIN cut y ON y.signal = 'lines' AND y.lang IS NOT DISTINCT FROM b.lang
 LEFT JOIN cut z ON z.signal = 'repeats' AND z.lang IS NOT DISTINCT FROM b.lang"""
 
 ORACLES = {"op3_chat_format": CHAT, "op4_minhash_near_dedup": NEAR_DUPLICATES, "op7_warc_revisits": WARC, "op8_quality_rules": QUALITY}
+
+COLLOCATIONS = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+sizes AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+places AS (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS k)),
+f AS (SELECT lang, k, array_to_string(ws[i : i + k - 1], ' ') AS phrase, count(*) AS c FROM places GROUP BY ALL HAVING count(*) >= 100),
+inner_parts AS (SELECT DISTINCT lang, c, array_to_string(string_split(phrase, ' ')[i : i + j - 1], ' ') AS phrase
+  FROM (SELECT *, unnest(range(1, k - j + 2)) AS i FROM f, (SELECT unnest(range(2, 5)) AS j) WHERE j < k)),
+absorbed AS (SELECT lang, phrase, max(c) AS longer FROM inner_parts GROUP BY ALL),
+kept AS (SELECT f.* FROM f LEFT JOIN absorbed b USING (lang, phrase) WHERE f.k >= 2 AND (b.longer IS NULL OR 100 * b.longer < 100 * f.c)),
+cuts AS (SELECT *, array_to_string(string_split(phrase, ' ')[1 : cut], ' ') AS x, array_to_string(string_split(phrase, ' ')[cut + 1 :], ' ') AS y
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM kept)),
+scored AS (SELECT c.lang, c.phrase, c.cut, c.c AS a, fx.c AS l, fy.c AS r, s.n,
+    (1000::HUGEINT * c.c::HUGEINT * s.n::HUGEINT // (fx.c::HUGEINT * fy.c::HUGEINT))::BIGINT AS score
+  FROM cuts c JOIN f fx ON fx.lang = c.lang AND fx.phrase = c.x JOIN f fy ON fy.lang = c.lang AND fy.phrase = c.y JOIN sizes s ON s.lang = c.lang),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM lowest)
+SELECT * FROM ranked WHERE rank <= 2000"""
+ORACLES["op12_collocations"] = COLLOCATIONS
