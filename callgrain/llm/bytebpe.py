@@ -22,7 +22,8 @@ REMEMBERED, REMEMBERED_CHARS = 300_000, 48
 PART_CHARS = 1 << 20
 _STRETCH = re.compile(r" ?[^\t-\r ]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 _CUT = re.compile(r"(?<=[^\t-\r ]) (?=[^\t-\r ])")
-_RUNS = re.compile(r"[\t-\r ][\t-\r ]|[\t\x0b-\r]")
+# what makes a single space, or a line end, stand beside other white space
+_RUNS = ("  ", "\t", "\x0b", "\x0c", "\r", " \n", "\n ", "\n\n")
 WHITE = "\t\n\x0b\x0c\r "
 # a word of Latin letters, perhaps first in its line, and the signs after it
 _TAIL = re.compile(r"(\n?[A-Za-zÀ-ÖØ-öø-ſ]+)([!-&(-/:-@\[-`{-~]*)\Z")
@@ -30,6 +31,11 @@ _TAIL = re.compile(r"(\n?[A-Za-zÀ-ÖØ-öø-ſ]+)([!-&(-/:-@\[-`{-~]*)\Z")
 _ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  ⁠　﻿]")
 
 
+def has_runs(text: str) -> bool:
+    """Whether white space other than single spaces and line ends occurs."""
+    return any(run in text for run in _RUNS)
+
+
 def byte_alphabet() -> dict[str, int]:
     """The published byte-level alphabet: printable bytes stand for themselves, the others for characters from U+0100 on, in order."""
     kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -155,7 +161,7 @@ class ByteEncoder:
 
     def apart(self, text: str) -> bool:
         """Whether every space of a text stands between two other characters, so that a token starts with each, and one with a space before the text."""
-        return self.splits and not self.whole(text) and text[0] not in WHITE and text[-1] not in WHITE and _RUNS.search(text) is None
+        return self.splits and not self.whole(text) and text[0] not in WHITE and text[-1] not in WHITE and not has_runs(text)
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers; null texts are empty."""
@@ -167,9 +173,9 @@ class ByteEncoder:
                 continue
             if self.whole(t):
                 out[i] = self._each([t])
-            elif t[-1] not in WHITE and t[0] == " " != t[1:2] and not _RUNS.search(t):
+            elif t[-1] not in WHITE and t[0] == " " != t[1:2] and not has_runs(t):
                 easy.append((i, t[1:].replace("\n", " \n").split(" ")))
-            elif t[0] in WHITE or t[-1] in WHITE or _RUNS.search(t):
+            elif t[0] in WHITE or t[-1] in WHITE or has_runs(t):
                 at = _STRETCH.findall(t)
                 spaced = [k for k, s in enumerate(at) if s[0] == " " and len(s) > 1 and s[1] not in WHITE]
                 out[i] = [b""] * len(at)
