@@ -11,6 +11,7 @@ from callgrain.functions import payloads, text
 from callgrain.operators import analysis, compare, index, ingest, jobs, search, segments, tasks
 from callgrain.plans.fixtures import fixture, with_tables
 from callgrain.plans.scratch import scratch
+from callgrain.sources import archive
 from callgrain.sources import recordings as recordings_source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -876,16 +877,48 @@ def transcript_keys(spark, d):
 
 @query(
     "ref_scan_recordings",
-    "SELECT concat(t, '.parquet') AS file, 64 AS n_digest FROM (SELECT unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations']) AS t) u",
+    """SELECT concat(CAST(doc_id AS VARCHAR), CASE doc_id % 4 WHEN 0 THEN '.wav' WHEN 1 THEN '.MP3' ELSE '.Flac' END) AS file, strlen(text) AS length, sha256(text) AS sha256
+    FROM documents WHERE doc_id % 4 < 3 AND doc_id % 3 > 0""",
 )
 def scan(spark, d):
-    """The tables' own files as recordings, found by suffix and hashed whole; tables that are folders have files of their own."""
-    found = None
-    for table in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
-        files = recordings_source.content_hash(recordings_source.scan_recordings(spark, f"{d}/{table}.parquet", (".parquet",)))
-        one = files.agg(F.max(F.length("sha256")).alias("n_digest")).select(F.lit(f"{table}.parquet").alias("file"), "n_digest")
-        found = one if found is None else found.unionByName(one)
-    return found
+    """Every document as a file: suffixes of both cases, some not allowed, a third of them one folder deeper; listed, then hashed in chunks."""
+    folder = scratch(spark, "recordings")
+    i = F.col("doc_id")
+    suffix = F.when(i % 4 == 0, ".wav").when(i % 4 == 1, ".MP3").when(i % 4 == 2, ".Flac").otherwise(".txt")
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    archive.write_files(docs.select(F.concat(F.when(i % 3 == 0, "deeper/").otherwise(""), i.cast("string"), suffix).alias("name"), F.col("text").alias("body")), folder)
+    found = recordings_source.hash_files(recordings_source.scan_recordings(spark, folder, content=False))
+    return found.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "length", "sha256")
+
+
+ARCHIVED = f"""SELECT CAST(call_id AS VARCHAR) AS call_id, source_filename, current_state, strftime(imported_at, '%Y-%m-%d') AS day, 'short ' || source_filename AS short_summary, language AS language_summary,
+  strftime(imported_at, '%Y/%m/%d/call_') || CAST(call_id AS VARCHAR) AS folder, coalesce(n, 0) + CASE WHEN n IS NOT NULL AND call_id % 2 = 0 THEN 1 ELSE 0 END AS n_tasks,
+  3 + CASE WHEN n IS NULL THEN 0 ELSE 1 END + CASE WHEN n IS NOT NULL AND call_id % 2 = 0 THEN 1 ELSE 0 END AS n_artifacts,
+  sha256(regexp_replace(concat(coalesce(search_text, ''), chr(10), 'short ', source_filename, chr(10), chr(10), coalesce(texts, ''), chr(10), CASE WHEN n IS NOT NULL AND call_id % 2 = 0 THEN 'checked' ELSE '' END), '{EDGE}', '', 'g')) AS search_sha
+FROM (SELECT c.*, t.n, t.texts FROM calls c JOIN (SELECT arg_min(call_id, (imported_at, CAST(call_id AS VARCHAR))) AS call_id FROM calls GROUP BY sha256(coalesce(search_text, ''))) f ON c.call_id = f.call_id
+  LEFT JOIN (SELECT call_id, count(*) AS n, string_agg(text, ' ' ORDER BY pos) AS texts FROM tasks GROUP BY call_id) t ON t.call_id = c.call_id) own"""
+
+
+@query("ref_rebuild_archive", ARCHIVED, "calls", "tasks")
+def rebuild_archive(spark, d):
+    """Every call as a folder of JSON and text artifacts, written by the executors; then the folders are walked and the index rebuilt from them."""
+    root = scratch(spark, "archive")
+    c = fixture(spark, d, "calls").withColumn("call_id", F.col("call_id").cast("string"))
+    t = tasks_of(spark, d).groupBy(F.col("call_id").cast("string").alias("call_id")).agg(F.to_json(analysis.ordered(F.struct("task_id", "text", "status"), F.col("pos"))).alias("tasks"))
+    folder = F.concat(F.date_format("imported_at", "yyyy/MM/dd"), F.lit("/call_"), "call_id", F.lit("/"))
+    meta = F.to_json(F.struct("call_id", "source_filename", "imported_at", F.sha2(F.coalesce("search_text", F.lit("")).cast("binary"), 256).alias("sha256"), "current_state", "low_confidence", F.array(F.lit("e1"), F.lit("e2")).alias("errors")))
+    summary = F.to_json(F.struct(F.concat(F.lit("short "), "source_filename").alias("short_summary"), F.lit("").alias("detailed_summary"), F.col("language").alias("analysis_language")))
+    reviewed = F.when(F.col("tasks").isNotNull() & (F.col("call_id").cast("long") % 2 == 0), F.lit('[{"task_id":"reviewed_a","text":"checked"}]'))
+    bodies = {"metadata.json": meta, "summary.json": summary, "transcript_clean.txt": F.coalesce("search_text", F.lit("")), "tasks.json": F.col("tasks"), "tasks_reviewed.json": reviewed}
+    files = c.join(t, "call_id", "left").select(F.explode(F.array(*[F.struct(F.concat(folder, F.lit(n)).alias("name"), b.alias("body")) for n, b in bodies.items()])).alias("f")).select("f.*")
+    archive.write_files(files.where("body is not null"), root)
+    parts = archive.rebuild_archive(spark, root)
+    n = lambda df, name: df.groupBy("call_id").agg(F.count(F.lit(1)).alias(name))
+    calls = parts["calls"].join(n(parts["tasks"], "n_tasks"), "call_id", "left").join(n(parts["artifacts"], "n_artifacts"), "call_id", "left")
+    return calls.select(
+        "call_id", "source_filename", "current_state", F.date_format("imported_at", "yyyy-MM-dd").alias("day"), "short_summary", "language_summary",
+        F.regexp_extract("archive_path", r"(\d{4}/\d\d/\d\d/call_[^/]+)$", 1).alias("folder"), F.coalesce("n_tasks", F.lit(0)).alias("n_tasks"), "n_artifacts", F.sha2(F.col("search_text").cast("binary"), 256).alias("search_sha"),
+    )
 
 
 @query("ref_artifact_round_trip", "SELECT CAST(doc_id AS VARCHAR) AS call_id, text, lang, concat(source, '|ü') AS errors FROM documents")

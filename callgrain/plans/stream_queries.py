@@ -21,12 +21,27 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")  # a pattern: the table may be one file
 
 
-@query("ref_stream_import", "SELECT DISTINCT sha256(text) AS sha256 FROM documents")
+@query("ref_stream_import", "SELECT sha256(text) AS sha256, min(doc_id) AS doc_id FROM documents GROUP BY sha256(text)")
 def stream_import(spark, d):
+    """The first document of each content; the stream holds no state of its own."""
     folder = scratch(spark, "stream")
-    stream = streams.first_by_content(table_stream(spark, d, "documents").select("doc_id", "text"), "text")
-    drain(stream.writeStream.format("parquet").option("path", f"{folder}/out"), folder)
-    return spark.read.parquet(f"{folder}/out").select("sha256")
+    hashed = lambda b: b.withColumn("sha256", F.sha2(F.col("text").cast("binary"), 256)).drop("text")
+    rows = table_stream(spark, d, "documents").select("doc_id", "text")
+    drain(streams.stream_new(rows, f"{folder}/calls", "sha256", ("doc_id",), prepare=hashed), folder)
+    return streams.read_new(spark, f"{folder}/calls", hashed(rows).schema).select("sha256", "doc_id")
+
+
+SEEN = "SELECT concat('/in/', CAST(doc_id AS STRING), '.wav') AS path, n_chars + CASE WHEN doc_id % 5 = 0 THEN i ELSE 0 END AS length, TIMESTAMP'2024-01-01 00:00:00' AS mtime, TIMESTAMP'2024-01-02 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, 5 * i) AS observed_at FROM {docs} LATERAL VIEW explode(sequence(1, 4)) t AS i WHERE doc_id % 7 > 0 OR i < 4"
+
+
+@query("ref_stream_stable_files", "SELECT concat('/in/', CAST(doc_id AS VARCHAR), '.wav') AS path, n_chars AS length FROM documents WHERE doc_id % 5 > 0 AND doc_id % 7 > 0")
+def stream_stable_files(spark, d):
+    """Every document as a file that is observed four times; every fifth grows, every seventh is seen three times only."""
+    folder = scratch(spark, "stream")
+    seen = spark.sql(SEEN, docs=table_stream(spark, d, "documents").select("doc_id", "n_chars"))
+    stable = streams.stream_stable_files(seen)
+    drain(stable.writeStream.format("parquet").option("path", f"{folder}/out"), folder)
+    return spark.read.parquet(f"{folder}/out").select("path", "length")
 
 
 @query("ref_stream_index", "SELECT doc_id AS call_id, sha256(text) AS sha256, 1 AS imported_at, CAST(n_chars AS INTEGER) AS recorded_at FROM documents")
