@@ -6,7 +6,7 @@ along the page with a Gaussian, and one threshold splits the lines into two clus
 that the logarithms in each differ least, weighted by text. The upper cluster is content.
 
 The content lines choose the region: the deepest element that holds three quarters of
-their text, widened to the article element around it, to a parent that adds a further
+their text, widened to the article (or else main) element around it, to a parent that adds a further
 eighth of content, and to headings beside it. All lines of the region are the page's
 text, short ones too, but for elements that the method finds to be no content.
 
@@ -16,8 +16,8 @@ hundred and are smoothed by themselves. Such an element goes only if most of its
 up below the threshold. One that holds several lines and most of the page's unlinked
 text counts like any other: a page wrapped in a form, or in a menu that was never closed,
 keeps its text. Only elements that hold no page text (scripts, styles, controls) yield no
-lines. On a page of no more lines than the smoothing reaches, article elements (or
-main ones) that hold half of the text are the region.
+lines. A heading that no text follows is as weak. Links at the ends of the region go only
+where no element parts them from the text, never within the element chosen first.
 
 Defined cases: null and empty html give an empty text. Unclosed elements end with their
 parents, paragraphs and items with the next block. Character references are decoded;
@@ -257,39 +257,43 @@ def main_text(html: str | None) -> str:
     plain, number = held([round(n * (1 - x[1])) for x, n in zip(lines, sizes, strict=True)]), held([1] * len(lines))
     weak = [w and not (number[e] > 3 and 2 * plain[e] > plain[0]) for e, w in enumerate(p.weak)]
     group = [0] * count  # the weak element that an element lies in
-    article = [0] * count
+    article = [0] * count  # the article element that an element lies in, or else the main one
     for e in range(1, count):
         group[e] = e if weak[e] else group[parent[e]]
-        article[e] = e if p.tag[e] == "article" else article[parent[e]]
-    ratios = [n * (1 - x[1]) / max(1, x[2]) * (WEAK if group[x[3]] else 1.0) for x, n in zip(lines, sizes, strict=True)]
-    runs = content_runs(ratios, [group[e] for e in at], sizes)
+        article[e] = e if p.tag[e] == "article" or p.tag[e] == "main" and not article[parent[e]] else article[parent[e]]
+    # a heading that no text follows heads a list of links, or nothing
+    bare, follows = [False] * len(lines), False
+    for i in range(len(lines) - 1, -1, -1):
+        heading = p.tag[at[i]] in HEADINGS
+        bare[i] = heading and not follows
+        follows = follows if heading else lines[i][1] <= 0.5 and not group[at[i]]
+    ratios = [n * (1 - x[1]) / max(1, x[2]) * (WEAK if group[x[3]] or b else 1.0) for x, n, b in zip(lines, sizes, bare, strict=True)]
+    runs = content_runs(ratios, [-1 if b else group[e] for e, b in zip(at, bare, strict=True)], sizes)
 
     text = held(sizes)
     content = held([n if c else 0 for n, c in zip(sizes, runs, strict=True)])
     own_content = held([n if c else 0 for n, c in zip(sizes, runs, strict=True)], inner=False)
     linked = held([n if x[1] > 0.5 else 0 for x, n in zip(lines, sizes, strict=True)])
-    heads = held([n if p.tag[x[3]] in HEADINGS and x[1] <= 0.5 else 0 for x, n in zip(lines, sizes, strict=True)])
+    heads = held([n if p.tag[x[3]] in HEADINGS and x[1] <= 0.5 and not b else 0 for x, n, b in zip(lines, sizes, bare, strict=True)])
     low = [weak[e] and 2 * content[e] < text[e] for e in range(count)]
     gone = [False] * count  # in an element that markup speaks against, and most of whose text lies below the threshold
     for e in range(1, count):
         gone[e] = gone[parent[e]] or low[e]
     left = held([0 if gone[e] else n for e, n in zip(at, sizes, strict=True)])
-    marked = [e for e in range(count) if p.tag[e] == "article" and not low[e] and article[parent[e]] == 0] or [e for e in range(count) if p.tag[e] == "main"]
-    if len(lines) <= math.ceil(3 * SIGMA) and marked and 2 * sum(text[e] for e in marked) >= text[0]:
-        regions = set(marked)
-    else:
-        region = max(e for e in range(count) if 4 * own_content[e] >= 3 * content[0])
-        if article[region] and 2 * content[article[region]] >= left[article[region]]:
-            region = article[region]
-        above = region
-        while above:
-            above = parent[above]
-            more = left[above] - left[region]
-            if more == 0 or 8 * (content[above] - content[region]) >= content[0] or more == heads[above] - heads[region]:
-                region = above
-            else:
-                break
-        regions = {region}
+    region = max(e for e in range(count) if 4 * own_content[e] >= 3 * content[0])
+    if article[region] and 2 * content[article[region]] >= left[article[region]]:
+        region = article[region]
+    inner, above = region, region
+    while above:
+        above = parent[above]
+        more = left[above] - left[region]
+        if more == 0:
+            continue  # the same text: an element further up has to bring more
+        if 8 * (content[above] - content[region]) >= content[0] or more == heads[above] - heads[region]:
+            inner, region = region, above
+        else:
+            break
+    regions = {region}
     inside, kept = [False] * count, []
     around = {e for r in regions for e in _up(parent, r)}  # what holds the region is kept with it
     for e in range(count):
@@ -301,8 +305,11 @@ def main_text(html: str | None) -> str:
     kept = [i for i, e in enumerate(at) if inside[e]]
     if not kept:
         return ""
-    if p.tag[max(regions)] in ("page", "html", "body"):  # no element parts the text from menus: links at the ends go
-        linked_only = [lines[i][1] > 0.5 for i in kept]
+    if p.tag[region] in ("page", "html", "body"):  # no element parts the text from menus: links at the ends go, but for those of the element that it grew from
+        own = [False] * count
+        for e in range(1, count):
+            own[e] = e == inner and p.tag[e] not in ("html", "body") or own[parent[e]]
+        linked_only = [lines[i][1] > 0.5 and not own[at[i]] for i in kept]
         first, last = (next((k for k, x in enumerate(side) if not x), 0) for side in (linked_only, linked_only[::-1]))
         kept = kept[first if first > 1 else 0 : len(kept) - (last if last > 1 else 0)]
     before = kept[0] - 1

@@ -934,3 +934,28 @@ def test_tree_rounds_to_the_nearest_count(spark):
     units = spark.range(1000).select(F.lit("s").alias("source"), "id", (F.col("id") % 50 + 1).alias("size"), F.lit(0.3).alias("p"))
     rounded = mixing.round_units(units, mixing.MixConfig(block=8)).collect()
     assert len(rounded) == 1000 and sum(r.one for r in rounded) in (299, 300, 301)
+
+
+SOURCES = "<p><a href=x>Source one of the story</a></p><p><a href=y>Source two of it</a></p>"
+MENU = f"<nav><ul>{LINKS}</ul></nav>"
+FOOT = "<footer><p>Copyright 2024</p><a href=t>Terms</a></footer>"
+
+
+@pytest.mark.parametrize("before, after", [("", ""), (MENU, ""), (MENU, FOOT), (f"<ul>{LINKS}</ul>", f"<ul>{LINKS}</ul>")])
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_links_at_the_end_of_the_story_stay(tag, before, after):
+    page = f"<html><body>{before}<{tag}>{P}{SOURCES}</{tag}>{after}</body></html>"
+    assert html.main_text(page) == f"{STORY}\nSource one of the story\nSource two of it"
+    listed = f"<html><body>{before}<{tag}><ul><li><a href=1>First</a><li><a href=2>Second</a></ul>{P}</{tag}>{after}</body></html>"
+    assert html.main_text(listed) == f"First\nSecond\n{STORY}"
+
+
+def test_smoothing_keeps_short_lines_and_drops_a_long_one(monkeypatch):
+    """Short lines inside long text, and one long line inside a list: alone, their ratios say the wrong thing."""
+    ratios = [2.0] * 9 + [60.0] + [2.0] * 9 + [160.0, 3.0, 4.0] * 6
+    sizes = [2] * 9 + [60] + [2] * 9 + [160, 3, 4] * 6
+    runs = html.content_runs(ratios, [0] * len(ratios), sizes)
+    assert runs == [False] * 19 + [True] * 18 or runs == [False] * 18 + [True] * 19
+    monkeypatch.setattr(html, "smoothed", lambda r, g, s=0: list(r))
+    raw = html.content_runs(ratios, [0] * len(ratios), sizes)
+    assert raw[9] and sum(raw[-18:]) == 6
