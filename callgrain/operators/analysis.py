@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from callgrain.functions.text import is_commitment, is_decision, is_question, is_task_candidate, render_line
 from callgrain.schemas import INSIGHT_KINDS
@@ -42,12 +43,18 @@ def call_signals(segments: DataFrame) -> DataFrame:
         F.lit("new").alias("status"),
         F.lit(0.5).alias("confidence"),
     )
-    return segments.groupBy("call_id").agg(
-        cap_per_call(ordered(t, i, is_decision(t)), 10).alias("decisions"),
-        cap_per_call(ordered(t, i, is_question(t)), 10).alias("open_questions"),
-        cap_per_call(ordered(t, i, is_commitment(t)), 10).alias("commitments"),
-        ordered(task, i, is_task_candidate(t)).alias("tasks"),
-    )
+    rules = {"decisions": is_decision(t), "open_questions": is_question(t), "commitments": is_commitment(t)}
+    said = F.filter(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]), lambda k: k.isNotNull())
+    marked = segments.select("call_id", "seg_idx", "text", F.explode(said).alias("kind"))
+    # only the first ten of a kind leave the task that finds them
+    first = Window.partitionBy("call_id", "kind").orderBy("seg_idx")
+    ten = marked.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= 10).drop("_n")
+    none = F.lit(None).cast("string")
+    tasks = segments.where(is_task_candidate(t)).select("call_id", "seg_idx", none.alias("text"), F.lit("tasks").alias("kind"), task.alias("task"))
+    calls = segments.select("call_id", F.lit(None).cast(segments.schema["seg_idx"].dataType).alias("seg_idx"), none.alias("text"), none.alias("kind")).distinct()
+    every = ten.unionByName(calls).withColumn("task", F.lit(None).cast(tasks.schema["task"].dataType)).unionByName(tasks)
+    of = lambda name, value: F.filter(ordered(value, i, F.col("kind") == name), lambda x: x.isNotNull()).alias(name)
+    return every.groupBy("call_id").agg(*[of(name, t) for name in rules], of("tasks", F.col("task")))
 
 
 def number_tasks(position: Column) -> Column:

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Characters of a gram; folders of postings and of texts.
+GRAM, POSTING_BUCKETS, TEXT_BLOCKS = 3, 64, 64
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
 def like_ascii(value: Column, pattern: str) -> Column:
     """LIKE that ignores the case of A-Z only; % and _ in the user's text are wildcards, and nothing escapes.
 
@@ -19,6 +26,10 @@ def like_ascii(value: Column, pattern: str) -> Column:
 
 def archive_search(calls: DataFrame, q: str = "", source: str = "", date: str = "") -> DataFrame:
     """Calls that match all given terms, newest first. A date such as 2024-03 also prunes partitions if year, month, day are columns."""
+    return newest_calls(_matching(calls, q, source, date))
+
+
+def _matching(calls: DataFrame, q: str, source: str, date: str) -> DataFrame:
     out = calls
     if date:
         for part, name in zip(date[:10].split("-"), ("year", "month", "day"), strict=False):
@@ -29,12 +40,12 @@ def archive_search(calls: DataFrame, q: str = "", source: str = "", date: str =
         out = out.where(like_ascii(F.col("source_filename"), f"%{source}%"))
     if q:  # last: the cheap conditions leave fewer texts to look through
         out = out.where(like_ascii(F.col("search_text"), f"%{q}%"))
-    return newest_calls(out)
+    return out
 
 
 def archive_search_ext(calls: DataFrame, q: str = "", status: str | None = None, low_confidence: bool | None = None, sources: tuple[str, ...] = (), since: str | None = None, until: str | None = None) -> DataFrame:
     """Search with status, confidence, list of sources and range of dates (both ends included)."""
-    out = archive_search(calls, q)
+    out = calls
     if status is not None:
         out = out.where(F.col("current_state") == status)
     if low_confidence is not None:
@@ -45,7 +56,7 @@ def archive_search_ext(calls: DataFrame, q: str = "", status: str | None = None,
         out = out.where(F.to_date("imported_at") >= F.lit(since).cast("date"))
     if until is not None:
         out = out.where(F.to_date("imported_at") <= F.lit(until).cast("date"))
-    return out
+    return newest_calls(_matching(out, q, "", ""))  # the text comes last
 
 
 def newest_calls(calls: DataFrame, n: int | None = None) -> DataFrame:
@@ -56,3 +67,59 @@ def newest_calls(calls: DataFrame, n: int | None = None) -> DataFrame:
 def get_call(calls: DataFrame, call_id: str | None = None) -> DataFrame:
     """One call by id, or the newest."""
     return newest_calls(calls, 1) if call_id is None else calls.where(F.col("call_id") == call_id)
+
+
+def grams(text: Column, n: int = GRAM) -> Column:
+    """The different runs of n characters of a text, A-Z in lower case; linear in the text."""
+    chars = F.split(F.translate(text, _UPPER, _LOWER), "")
+    windows = F.arrays_zip(*[F.slice(chars, k + 1, F.greatest(F.size(chars) - n + 1, F.lit(0))).alias(f"c{k}") for k in range(n)])
+    return F.array_distinct(F.transform(windows, lambda w: F.concat(*[w[f"c{k}"] for k in range(n)])))
+
+
+def _bucket(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(POSTING_BUCKETS)).cast("int")
+
+
+def build_search_index(calls: DataFrame, folder: str) -> None:
+    """Write calls(call_id, search_text, ...) for indexed_search: the rows in TEXT_BLOCKS folders, neighbours by time together,
+    and a posting (gram, call, block) for every different gram of a text, in POSTING_BUCKETS folders sorted by gram.
+
+    A gram that all texts share has a posting a call, in many rows of files, never in one value.
+    """
+    spark = calls.sparkSession
+    blocks = calls.repartitionByRange(TEXT_BLOCKS, "imported_at", "call_id").withColumn("block", F.spark_partition_id())
+    blocks.write.mode("overwrite").partitionBy("block").parquet(f"{folder}/texts")
+    texts = _texts(spark, folder)
+    postings = texts.select("call_id", "block", F.explode(grams(F.coalesce("search_text", F.lit("")))).alias("gram")).withColumn("bucket", _bucket(F.col("gram")))
+    dealt = postings.repartition(POSTING_BUCKETS, "bucket", F.pmod(F.xxhash64("call_id"), F.lit(4))).sortWithinPartitions("bucket", "gram", "block", "call_id")
+    dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+
+
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/texts").withColumn("block", F.col("block").cast("int"))
+
+
+def search_candidates(spark: SparkSession, folder: str, q: str) -> DataFrame | None:
+    """(call_id, block) of the calls that hold every gram of the parts of q between its wildcards; None if no part is long enough."""
+    low = q.translate(str.maketrans(_UPPER, _LOWER))
+    wanted = sorted({part[i : i + GRAM] for part in re.split("[%_]", low) for i in range(len(part) - GRAM + 1)})
+    if not wanted:
+        return None
+    postings = spark.read.parquet(f"{folder}/postings")
+    buckets = [r[0] for r in spark.createDataFrame([(g,) for g in wanted], "gram string").select(_bucket(F.col("gram"))).distinct().collect()]
+    found = postings.where(F.col("bucket").isin(buckets) & F.col("gram").isin(wanted))
+    return found.groupBy("call_id", "block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(wanted)).drop("n")
+
+
+def indexed_search(spark: SparkSession, folder: str, q: str, source: str = "", date: str = "") -> DataFrame:
+    """archive_search over a folder of build_search_index: postings first, then only the blocks of texts that hold candidates, and in them LIKE.
+
+    The blocks, at most TEXT_BLOCKS numbers, come to the driver. A q without a part of
+    GRAM characters between wildcards looks through all texts.
+    """
+    texts = _texts(spark, folder)
+    found = search_candidates(spark, folder, q)
+    if found is not None:
+        blocks = [r.block for r in found.select("block").distinct().collect()]
+        texts = texts.where(F.col("block").isin(blocks)).join(found.drop("block"), "call_id", "left_semi") if blocks else texts.where(F.lit(False))
+    return newest_calls(_matching(texts.drop("block"), q, source, date))

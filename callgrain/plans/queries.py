@@ -251,8 +251,8 @@ def task_source(spark, d):
 
 @query(
     "ref_merge_review_edits",
-    """SELECT f.call_id, f.pos, concat('reviewed_', f.task_id) AS task_id, f.text, CASE WHEN f.pos % 2 = 0 THEN NULL ELSE 'me' END AS owner, 'task' AS type,
-      CASE WHEN f.pos % 3 = 0 THEN 'edited' ELSE 'confirmed' END AS status, CAST(NULL AS VARCHAR) AS deadline, o.text AS source_quote, 'ui' AS review_source
+    f"""SELECT f.call_id, f.pos, concat('reviewed_', f.task_id) AS task_id, f.text, CASE WHEN f.pos % 2 = 0 THEN NULL ELSE 'me' END AS owner, 'task' AS type,
+      CASE WHEN f.pos % 3 = 0 THEN 'edited' ELSE 'confirmed' END AS status, CAST(NULL AS VARCHAR) AS deadline, o.text AS source_quote, 'ui' AS review_source, f.task_id AS original_task_id, '{AS_OF}' AS reviewed_at
     FROM (SELECT call_id, rn - 1 AS pos, CASE WHEN rn % 4 = 0 THEN 'nope' ELSE task_id END AS task_id, text FROM (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY pos) AS rn FROM tasks) t) f
     LEFT JOIN (SELECT call_id, task_id, arg_max(text, pos) AS text FROM tasks GROUP BY call_id, task_id) o ON f.call_id = o.call_id AND f.task_id = o.task_id""",
     "tasks",
@@ -271,7 +271,7 @@ def review(spark, d):
         pick(lambda x: F.lit("")).alias("deadline"),
     )
     e = t.select("call_id", "task_id", F.col("text").alias("source_quote"), F.lit(0.0).alias("source_timestamp"), F.col("pos").alias("ord"))
-    return tasks.merge_review_edits(f, e).drop("source_timestamp", "confidence")
+    return tasks.merge_review_edits(f, e, as_of()).drop("source_timestamp", "confidence").withColumn("reviewed_at", stamp("reviewed_at"))
 
 
 @query(
@@ -325,6 +325,29 @@ def archive_search(spark, d):
     return search.archive_search(fixture(spark, d, "calls"), q="The_and", source="SRC1", date="2024-0").select("call_id", F.date_format("imported_at", "yyyy-MM-dd").alias("day"))
 
 
+@query(
+    "ref_indexed_search",
+    "SELECT call_id, strftime(imported_at, '%Y-%m-%d') AS day FROM calls WHERE translate(search_text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%the%onhe_%and%' AND source_filename LIKE '%src%' AND strftime(imported_at, '%Y-%m-%d') LIKE '2024-0%'",
+    "calls",
+)
+def indexed_search(spark, d):
+    """Postings for all texts are written to the shared folder, then one search goes by them."""
+    folder = scratch(spark, "postings")
+    search.build_search_index(fixture(spark, d, "calls"), folder)
+    return search.indexed_search(spark, folder, "tHe%onhe_%and", "SRC", "2024-0").select("call_id", F.date_format("imported_at", "yyyy-MM-dd").alias("day"))
+
+
+@query(
+    "ref_apply_review",
+    "SELECT call_id, CASE WHEN call_id IN (SELECT call_id FROM tasks) THEN 'reviewed' ELSE current_state END AS current_state, CASE WHEN call_id IN (SELECT call_id FROM tasks) THEN 'reviewed' ELSE 'pending' END AS review_state FROM calls",
+    "calls",
+    "tasks",
+)
+def apply_review(spark, d):
+    calls = fixture(spark, d, "calls").select("call_id", "current_state", F.lit("pending").alias("review_state"))
+    return tasks.apply_review(calls, tasks_of(spark, d).select("call_id"))
+
+
 @query(
     "ref_archive_search_ext",
     "SELECT call_id, source_filename FROM calls WHERE lower(search_text) LIKE '%and%' AND current_state = 'indexed' AND NOT low_confidence AND source_filename IN ('src1', 'src2', 'src3') AND imported_at BETWEEN DATE '2024-02-01' AND DATE '2024-09-30'",
