@@ -12,9 +12,9 @@ bounded size moves to its nearest centroids, and floods their surroundings from
 
 Search: a query visits all lists within (1 + `reach`) of its nearest centroid's
 distance, `probes` of them at least, and more while those hold too few vectors.
-Neighbouring lists form bins, and a query compares itself with the whole of each bin that
-holds a list it visits. So it is sent, and answers, once a bin instead of once a list.
-Bins hold about `block` vectors in small tables, and grow with the square root of the
+Neighbouring lists form bins. A query is sent to each bin that holds a list it visits,
+with the numbers of its lists there, is compared with the vectors of those lists only,
+and answers once a bin. Bins hold about `block` vectors in small tables, and grow with the square root of the
 table up to `bin_values` components. Bins and their queries meet in blocks of two bins'
 vectors and `block` queries, so a crowded bin spreads over tasks.
 
@@ -43,6 +43,7 @@ from pyspark.sql.window import Window
 from callgrain.llm.common import materialize, python_ready
 
 CELLS = 1 << 22  # distances held at once while centroids settle
+POSTED = "rep long, x array<double>, bin int, lists array<int>"
 SLACK = 1.1**2  # a flood of the graph goes so far beyond its limit
 
 
@@ -54,8 +55,8 @@ class AnnConfig:
     sample_per_list: int = 16  # the sample has so many rows per list, at most
     closure: float = 0.1
     apart: float = 0.6
-    replicas: int = 3
-    reach: float = 0.2
+    replicas: int = 2
+    reach: float = 0.165
     probes: int = 16
     max_probes: int | None = None  # no bound
     graph_degree: int = 24
@@ -263,17 +264,35 @@ def probes_of(q: np.ndarray, graph: Graph, c: AnnConfig) -> list[np.ndarray]:
     return [found[: c.max_probes] for found in graph.within(q, 1 + c.reach, c.probes, c.beam)]
 
 
-def enough(q: np.ndarray, visited: np.ndarray, graph: Graph, bins: np.ndarray, rows: np.ndarray, least: int) -> np.ndarray:
-    """The bins of a query: those of the lists it visits, and of the next nearest lists until they hold `least` rows together."""
-    taken = np.unique(bins[visited])
-    if rows[taken].sum() >= least:
-        return taken
-    chosen = set(taken.tolist())
-    for i in np.argsort(squared(q[None], graph.c, graph.sq)[0], kind="stable"):
-        if rows[list(chosen)].sum() >= least:
-            break
-        chosen.add(int(bins[i]))
-    return np.array(sorted(chosen))
+def enough(q: np.ndarray, visited: np.ndarray, graph: Graph, rows: np.ndarray, least: int) -> np.ndarray:
+    """The lists of a query: those it visits, and the next nearest until they hold `least` rows together."""
+    if rows[visited].sum() >= least:
+        return visited
+    order = np.argsort(squared(q[None], graph.c, graph.sq)[0], kind="stable")
+    order = np.concatenate([visited, order[~np.isin(order, visited)]])
+    return order[: int(np.searchsorted(np.cumsum(rows[order]), least)) + 1]
+
+
+def by_bin(frame: pd.DataFrame, lists: list, bins: np.ndarray) -> pd.DataFrame:
+    """A row of rep and x for each bin that holds one of the row's lists, with its lists there."""
+    at, bin_of, held = [], [], []
+    for i, own in enumerate(lists):
+        own = np.asarray(own, np.int32)
+        for b in np.unique(bins[own]):
+            at.append(i)
+            bin_of.append(b)
+            held.append(own[bins[own] == b])
+    out = frame[["rep", "x"]].iloc[at].reset_index(drop=True)
+    return out.assign(bin=np.array(bin_of, np.int32), lists=pd.Series(held, dtype=object))
+
+
+def members(lists: list[np.ndarray]) -> dict[int, np.ndarray]:
+    """The rows of each list, from the lists of each row."""
+    size = np.array([len(x) for x in lists], np.int64)
+    rows, flat = np.repeat(np.arange(len(lists)), size), np.concatenate(lists)
+    order = np.argsort(flat, kind="stable")
+    used, at = np.unique(flat[order], return_index=True)
+    return dict(zip(used.tolist(), np.split(rows[order], at[1:]), strict=True))
 
 
 def bins_of(centroids: np.ndarray, bins: int) -> np.ndarray:
@@ -321,14 +340,13 @@ def nearest(vectors: DataFrame, queries: Column, config: AnnConfig | None = None
         graph, bins = shared.value
         for f in frames:
             if len(f):
-                taken = [np.unique(bins[t]) for t in lists_of(raised(np.stack(f["x"].to_numpy())), graph, c)]
-                yield pd.DataFrame({"rep": f["rep"], "x": f["x"], "bin": taken}).explode("bin").astype({"bin": "int32"})
+                yield by_bin(f, lists_of(raised(np.stack(f["x"].to_numpy())), graph, c), bins)
 
-    posted = materialize(points.select("rep", "x").mapInPandas(assign, "rep long, x array<double>, bin int"), "lists")
-    # a row per bin, at most max_lists. A vector is in at most `replicas` bins, so so many rows hold k + 1 vectors
-    counted = posted.groupBy("bin").count().collect()
-    held, least = np.zeros(int(shared.value[1].max()) + 1, np.int64), c.replicas * (c.k + 1)
-    held[[r["bin"] for r in counted]] = [r["count"] for r in counted]
+    posted = materialize(points.select("rep", "x").mapInPandas(assign, POSTED), "lists")
+    # a row per list, at most max_lists. A vector is in at most `replicas` lists, so so many rows hold k + 1 vectors
+    counted = posted.select(F.explode("lists").alias("list")).groupBy("list").count().collect()
+    held, least = np.zeros(len(graph.c), np.int64), c.replicas * (c.k + 1)
+    held[[r["list"] for r in counted]] = [r["count"] for r in counted]
 
     def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         graph, bins = shared.value
@@ -336,46 +354,47 @@ def nearest(vectors: DataFrame, queries: Column, config: AnnConfig | None = None
             if len(f):
                 x = np.stack(f["x"].to_numpy())
                 q = np.concatenate([x, np.zeros((len(x), 1))], axis=1).astype(np.float32)
-                taken = [enough(y, t, graph, bins, held, least) for y, t in zip(q, probes_of(q, graph, c), strict=True)]
-                yield pd.DataFrame({"rep": f["rep"], "x": f["x"], "bin": taken}).explode("bin").astype({"bin": "int32"})
+                yield by_bin(f, [enough(y, t, graph, held, least) for y, t in zip(q, probes_of(q, graph, c), strict=True)], bins)
 
     asked_rows = rows.where(queries).select("id", "x").distinct()
     asked = asked_rows.join(points.select("x", "rep"), "x").select("id", "rep")
     asked = materialize(asked, "queries")
     distinct = points.join(asked.select("rep").distinct(), "rep").select("rep", "x")
-    probed = materialize(distinct.mapInPandas(probe, "rep long, x array<double>, bin int"), "probes")
+    probed = materialize(distinct.mapInPandas(probe, POSTED), "probes")
     sizes = posted.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).join(probed.groupBy("bin").agg(F.count(F.lit(1)).alias("m")), "bin")
     cut = lambda n, size: F.ceil(F.col(n) / size).cast("int")
     sizes = F.broadcast(sizes.select("bin", cut("n", 2 * bin_rows).alias("vs"), cut("m", c.block).alias("qs")))  # a row per bin, at most max_lists
     span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    v = posted.join(sizes, "bin").select("bin", F.pmod(F.xxhash64("rep"), F.col("vs")).cast("int").alias("v"), span("qs").alias("q"), "rep", "x")
-    q = probed.join(sizes, "bin").select("bin", span("vs").alias("v"), F.pmod(F.xxhash64("rep"), F.col("qs")).cast("int").alias("q"), "rep", "x")
+    v = posted.join(sizes, "bin").select("bin", F.pmod(F.xxhash64("rep"), F.col("vs")).cast("int").alias("v"), span("qs").alias("q"), "rep", "x", "lists")
+    q = probed.join(sizes, "bin").select("bin", span("vs").alias("v"), F.pmod(F.xxhash64("rep"), F.col("qs")).cast("int").alias("q"), "rep", "x", "lists")
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"query": [], "rep": [], "score": []})
         if not len(left) or not len(right):
-            return pd.DataFrame({"query": [], "rep": [], "score": []})
+            return none
         x, y = np.stack(left["x"].to_numpy()), np.stack(right["x"].to_numpy())
-        ids = left["rep"].to_numpy()
-        keep = min(len(x), c.k + 1)
+        ids, asked = left["rep"].to_numpy(), members(right["lists"].to_list())
         size = np.sqrt((x**2).sum(axis=1).max())
-        queries, reps, scores = [], [], []
-        for at in range(0, len(y), 256):
-            part = y[at : at + 256]
-            s = part @ x.T  # these scores only preselect: all that may tie with the last place stay
-            last = -np.partition(-s, keep - 1, axis=1)[:, keep - 1]
-            slack = 1e-12 * size * np.sqrt((part**2).sum(axis=1))
-            i, j = np.nonzero(s >= (last - slack)[:, None])
-            exact = np.zeros(len(i))
-            for d in range(x.shape[1]):
-                exact += part[i, d] * x[j, d]
-            order = np.lexsort((ids[j], -exact, i))
-            i, j, exact = i[order], j[order], exact[order]
-            place = np.arange(len(i)) - np.searchsorted(i, i)
-            best = place < keep
-            queries.append(right["rep"].to_numpy()[at : at + 256][i[best]])
-            reps.append(ids[j[best]])
-            scores.append(exact[best])
-        return pd.DataFrame({"query": np.concatenate(queries), "rep": np.concatenate(reps), "score": np.concatenate(scores)})
+        slack = 1e-12 * size * np.sqrt((y**2).sum(axis=1))
+        near = []
+        for number, rows in members(left["lists"].to_list()).items():
+            own, keep = x[rows], min(len(rows), c.k + 1)
+            for at in range(0, len(asked.get(number, ())), 256):
+                i = asked[number][at : at + 256]
+                s = y[i] @ own.T  # these scores only preselect: all that may tie with the last place stay
+                last = -np.partition(-s, keep - 1, axis=1)[:, keep - 1]
+                a, b = np.nonzero(s >= (last - slack[i])[:, None])
+                near.append(i[a] * len(x) + rows[b])
+        if not near:
+            return none
+        i, j = np.divmod(np.unique(np.concatenate(near)), len(x))  # a vector of two lists once
+        exact = np.zeros(len(i))
+        for d in range(x.shape[1]):
+            exact += y[i, d] * x[j, d]
+        order = np.lexsort((ids[j], -exact, i))
+        i, j, exact = i[order], j[order], exact[order]
+        best = np.arange(len(i)) - np.searchsorted(i, i) < c.k + 1
+        return pd.DataFrame({"query": right["rep"].to_numpy()[i[best]], "rep": ids[j[best]], "score": exact[best]})
 
     pairs = v.groupBy("bin", "v", "q").cogroup(q.groupBy("bin", "v", "q")).applyInPandas(compare, "query long, rep long, score double")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "rep")

@@ -959,3 +959,31 @@ def test_smoothing_keeps_short_lines_and_drops_a_long_one(monkeypatch):
     monkeypatch.setattr(html, "smoothed", lambda r, g, s=0: list(r))
     raw = html.content_runs(ratios, [0] * len(ratios), sizes)
     assert raw[9] and sum(raw[-18:]) == 6
+
+
+def compared_share(x, queries, c):
+    """Rows that queries are compared with, as a share of all, and the recall of what they meet, by the index's own parts."""
+    n, top = len(x), (x**2).sum(axis=1).max()
+    raised = np.concatenate([x, np.sqrt(np.maximum(top - (x**2).sum(axis=1), 0))[:, None]], axis=1).astype("f4")
+    lists = n // c.list_rows
+    sample = raised[np.random.default_rng(0).permutation(n)[: lists * c.sample_per_list]]
+    graph = ann.Graph(ann.balanced_centroids(sample, lists).astype("f4"), c.graph_degree)
+    held = ann.members([np.array(t) for at in range(0, n, 4000) for t in ann.lists_of(raised[at : at + 4000], graph, c)])
+    q = np.concatenate([x[queries], np.zeros((len(queries), 1))], axis=1).astype("f4")
+    work = hits = 0
+    for at, visited in zip(queries, ann.probes_of(q, graph, c), strict=True):
+        rows = [held[v] for v in visited.tolist() if v in held]
+        work += sum(map(len, rows))
+        s = x @ x[at]
+        s[at] = -np.inf
+        hits += len(np.intersect1d(np.concatenate(rows), np.argsort(-s)[:20]))
+    return work / len(queries) / n, hits / len(queries) / 20
+
+
+@pytest.mark.parametrize("kind, most", [("groups", 0.15), ("random", 1.0)])
+def test_work_and_recall_of_the_default_parameters(kind, most):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(150, 64))[rng.integers(0, 150, 40_000)] + 0.6 * rng.normal(size=(40_000, 64)) if kind == "groups" else unit(rng, 40_000, 64)
+    share, recall = compared_share(np.asarray(x, np.float64), list(range(0, 40_000, 800)), ann.AnnConfig())
+    print(kind, share, recall)
+    assert share <= most and recall >= 0.9
