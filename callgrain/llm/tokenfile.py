@@ -12,7 +12,7 @@ A reader takes the two tables from the end of the file and decompresses only the
 that hold the documents it was asked for; every frame read is held against its checksum.
 
 Defined cases: null and empty texts have the end id alone. Null doc_ids come first.
-Repeated doc_ids stand next to each other, by text. Extra columns are left alone.
+Repeated doc_ids stand next to each other, in order of a hash of their texts. Extra columns are left alone.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,7 @@ SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEK_MAGIC, HAS_CHECKSUMS = 0x184D2A50, 0x184D2
 FRAME_IDS = 1 << 16
 REMEMBERED, REMEMBERED_CHARS = 500_000, 64  # stretches in each of two generations
 END_ID = 2
+READ_ROWS = 20_000  # handed over together
 _WORD = re.compile("[^ \t\n\x0b\x0c\r]+")
 # runs of ASCII signs and digits that touch no apostrophe
 _RUN = re.compile(r"(?<![!-@\[-`{-~])([!-&(-@\[-`{-~]++)(?!')")
@@ -293,8 +295,10 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = END
         gc.enable()
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (task.partitionId(), name, *counts)], ["part", "file", "n_docs", "n_ids"])
 
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first())
-    dealt = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # the rows of one doc_id, however many, are dealt over several files by their texts
+    order = [F.col("doc_id").asc_nulls_first(), F.col("_text")]
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_text")).repartitionByRange(*order)
+    dealt = dealt.sortWithinPartitions(*order, "text").drop("_text")
     return materialize(dealt.mapInArrow(write, "part long, file string, n_docs long, n_ids long"), "tokens")
 
 
@@ -307,11 +311,10 @@ def read_token_files(index: DataFrame, folder: str) -> DataFrame:
         fs, top = open_folder(folder)
         for b in batches:
             for name, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows: list[tuple] = []
                 with fs.open_input_file(f"{top}/{name}") as f:
-                    for doc_id, start, data in read_documents(f):
-                        rows.append((doc_id, base + start, len(data) // 4, zlib.crc32(data)))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    found = ((doc_id, base + start, len(data) // 4, zlib.crc32(data)) for doc_id, start, data in read_documents(f))
+                    while rows := list(islice(found, READ_ROWS)):
+                        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     dealt = bases.select("file", F.col("base").cast("long").alias("base")).repartition(n)
     return dealt.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -987,3 +987,19 @@ def test_work_and_recall_of_the_default_parameters(kind, most):
     share, recall = compared_share(np.asarray(x, np.float64), list(range(0, 40_000, 800)), ann.AnnConfig())
     print(kind, share, recall)
     assert share <= most and recall >= 0.9
+
+
+def test_a_doc_id_of_a_third_of_all_rows_is_dealt_over_files(spark, tmp_path):
+    rows = [(7 if i % 3 == 0 else i, f"text {i} with a few words") for i in range(6000)] + [(7, None), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    folder = f"file://{tmp_path}/files"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as if the files were large
+    try:
+        index = tokenfile.write_token_files(docs, folder, tokenfile.vocabulary_path())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = sorted(r.n_docs for r in index.collect())
+    assert len(sizes) > 2 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    back = tokenfile.read_token_files(index, folder).orderBy("start").collect()
+    assert [r.doc_id for r in back] == sorted(d for d, _ in rows)
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(back, back[1:], strict=False))
