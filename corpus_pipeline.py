@@ -3,6 +3,13 @@
 language ID -> quality rules -> near-duplicate removal -> mixing -> SentencePiece ids.
 All stages but the last return the columns of documents; the last returns doc_id, source,
 n_tokens and token_ids, one row for every copy that the mix takes.
+
+Defined cases: null and empty texts, and those without letters, are of no known language
+and go in the first stage; shorter ones than ten words go in the second. Null lang and
+source values are strata of their own. Rows that repeat are judged alike, and the third
+stage keeps one of them. Null doc_ids are documents like others. Columns beyond those of
+documents, whatever their names, go through all stages but the last, which leaves them
+out. Texts of any length are read whole. Empty tables give no rows.
 """
 
 from __future__ import annotations
