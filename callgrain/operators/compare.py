@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from callgrain.functions.text import excerpt
 
@@ -63,6 +64,35 @@ def model_comparison(runs: DataFrame) -> DataFrame:
     )
 
 
+def report_lines(runs: DataFrame, order: str = "run_id") -> DataFrame:
+    """The text report of runs as rows: (file, run_pos, line_no, line), to be read in that order.
+
+    runs also has `file_size_bytes` and `input_path` (null: no such line). A file's own
+    lines have run_pos 0, its runs are numbered from 1 by `order`. Unlike the comparison,
+    a failed run's error stands whole, apart from its kind. Files are ordered by name.
+    """
+    ok, text = F.col("ok"), F.coalesce("text", F.lit(""))
+    name = F.concat_ws(":", F.coalesce("provider", F.lit("")), F.coalesce("model_name", F.lit("")))
+    line = lambda label, value: F.concat(F.lit(f"{label}: "), F.coalesce(value.cast("string"), F.lit("")))
+    some = lambda c, other: F.coalesce(F.nullif(c, F.lit("")), F.lit(other))
+    own = F.array(
+        name,
+        F.repeat(F.lit("-"), F.length(name)),
+        line("status", F.when(ok, "ok").otherwise("failed")),
+        line("language", some("language", "unknown")),
+        line("elapsed_seconds", F.format_string("%.2f", F.coalesce("elapsed_seconds", F.lit(0.0)))),
+        F.when(F.col("input_path") != "", line("input_path", F.col("input_path"))),
+    )
+    good = F.array(line("chars", F.length(text)), line("excerpt", excerpt(text)))
+    bad = F.array(line("failure_kind", some("failure_kind", "unknown")), line("error", F.col("error")))
+    lines = F.array_compact(F.concat(own, F.when(ok, good).otherwise(bad), F.array(F.lit(""))))
+    n = F.row_number().over(Window.partitionBy("file").orderBy(order)).alias("run_pos")
+    body = runs.select("file", n, lines.alias("lines"))
+    heads = runs.groupBy("file").agg(F.max("file_size_bytes").alias("n"))
+    top = heads.select("file", F.lit(0).alias("run_pos"), F.array(F.repeat(F.lit("="), F.lit(80)), F.coalesce("file", F.lit("")), line("File size bytes", F.col("n")), F.lit("")).alias("lines"))
+    return body.unionByName(top).select("file", "run_pos", F.posexplode("lines").alias("line_no", "line"))
+
+
 def model_summary(runs: DataFrame) -> DataFrame:
     """Runs, share of successes and mean seconds of each model."""
     return runs.groupBy("provider", "model_name").agg(

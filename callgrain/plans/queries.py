@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callgrain.functions import payloads, text
-from callgrain.operators import analysis, compare, index, ingest, jobs, search, segments, tasks
+from callgrain.operators import analysis, compare, index, ingest, jobs, mapping, search, segments, tasks
 from callgrain.plans.fixtures import fixture, with_tables
 from callgrain.plans.scratch import scratch
-from callgrain.sources import archive
+from callgrain.sources import archive, layout
 from callgrain.sources import recordings as recordings_source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,7 +138,7 @@ def flag_low(spark, d):
     return segments.flag_low_confidence(t, reasons)
 
 
-def mapping(spark, d):
+def role_forms(spark, d):
     c = seg(spark, d).select("call_id").distinct()
     return c.select("call_id", F.array(F.lit("speaker_1"), F.lit("speaker_2"), F.lit("speaker_1")).alias("clusters"), F.array(F.lit("me"), F.when(F.col("call_id") % 2 == 0, "other").otherwise("boss"), F.when(F.col("call_id") % 3 == 0, "unknown").otherwise("x")).alias("roles"))
 
@@ -150,7 +150,7 @@ def mapping(spark, d):
     "tur",
 )
 def speaker_mapping(spark, d):
-    m = segments.parse_role_mapping(mapping(spark, d))
+    m = segments.parse_role_mapping(role_forms(spark, d))
     s = labelled(spark, d).withColumn("speaker_label", F.lit(None).cast("string"))
     return segments.apply_speaker_mapping(s, m).select("call_id", "seg_idx", "speaker_label")
 
@@ -491,7 +491,7 @@ def violations(spark, d):
     return jobs.transition_violations(fixture(spark, d, "ev"))
 
 
-NEEDED = "SELECT 'transcribed' AS state, 'audio_normalized' AS kind UNION ALL SELECT 'diarized', 'transcript_raw' UNION ALL SELECT 'analyzed', 'transcript_segments' UNION ALL SELECT 'indexed', 'summary' UNION ALL SELECT 'indexed', 'tasks'"
+NEEDED = "SELECT 'audio_prepared' AS state, 'audio_original' AS kind UNION ALL SELECT 'transcribed', 'audio_normalized' UNION ALL SELECT 'diarized', 'transcript_raw' UNION ALL SELECT 'analyzed', 'transcript_segments' UNION ALL SELECT 'indexed', 'summary' UNION ALL SELECT 'indexed', 'tasks'"
 
 
 @query(
@@ -503,7 +503,7 @@ NEEDED = "SELECT 'transcribed' AS state, 'audio_normalized' AS kind UNION ALL SE
 def preconditions(spark, d):
     e = fixture(spark, d, "ev").where("event = 'finished'")
     states = e.select("call_id", F.expr(AFTER).alias("state"))
-    there = e.where("call_id % 3 = 0").select("call_id", F.explode(F.array(*map(F.lit, ("metadata", "audio_normalized", "transcript_raw", "transcript_segments", "tasks")))).alias("kind"))
+    there = e.where("call_id % 3 = 0").select("call_id", F.explode(F.array(*map(F.lit, ("metadata", "audio_original", "audio_normalized", "transcript_raw", "transcript_segments", "tasks")))).alias("kind"))
     return jobs.missing_preconditions(states, there).groupBy("call_id", "state", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -728,12 +728,26 @@ def patch(spark, d):
     "ev",
 )
 def detail(spark, d):
+    return detail_digest(index.call_detail(*detail_parts(spark, d).values()))
+
+
+def detail_parts(spark, d):
     s = seg(spark, d).withColumnRenamed("role", "speaker_cluster_id")
     t = tasks_of(spark, d)
     c = fixture(spark, d, "calls")
-    summaries = c.where("call_id % 2 = 0").select("call_id", F.col("source_filename").alias("short_summary"))
-    texts = c.where("call_id % 3 = 0").select("call_id", F.col("search_text").alias("clean_text"))
-    out = index.call_detail(c.select("call_id"), s, t, t.where("pos % 4 = 1"), fixture(spark, d, "ev"), metadata_of(spark, d), summaries, texts)
+    return {
+        "calls": c.select("call_id"),
+        "segments": s,
+        "tasks": t,
+        "reviewed": t.where("pos % 4 = 1"),
+        "events": fixture(spark, d, "ev"),
+        "metadata": metadata_of(spark, d),
+        "summaries": c.where("call_id % 2 = 0").select("call_id", F.col("source_filename").alias("short_summary")),
+        "transcripts": c.where("call_id % 3 = 0").select("call_id", F.col("search_text").alias("clean_text")),
+    }
+
+
+def detail_digest(out):
     n = lambda c: F.size(c).cast("long")
     return out.select(
         "call_id",
@@ -749,6 +763,80 @@ def detail(spark, d):
     )
 
 
+@query("ref_call_detail_by_call", ORACLES["ref_call_detail"])
+def detail_by_call(spark, d):
+    """The same from tables laid out by call: eight inputs, no shuffle after the layout."""
+    return detail_digest(index.call_detail(*laid_out(spark, detail_parts(spark, d)).values()))
+
+
+def laid_out(spark, parts):
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder = scratch(spark, "by-call")
+    tag = folder.rsplit("-", 1)[1]
+    for name, df in parts.items():
+        layout.save_by_call(df, f"{name}_{tag}", f"{folder}/{name}", buckets)
+    return {name: layout.by_call(spark, f"{name}_{tag}") for name in parts}
+
+
+def mapping_saved(spark, d):
+    """Forms of every second call, two for those divisible by four; the earlier one is overruled."""
+    forms = role_forms(spark, d).where("call_id % 2 = 0")
+    early = forms.where("call_id % 4 = 0").withColumns({"seq": F.lit(1), "roles": F.array(F.lit("other"), F.lit("other"), F.lit("other"))})
+    forms = forms.withColumn("seq", F.lit(2)).unionByName(early)
+    s = labelled(spark, d).withColumn("speaker_label", F.col("speaker_cluster_id"))
+    c = fixture(spark, d, "calls").select("call_id", "search_text", "current_state")
+    texts = c.select("call_id", F.lit("s").alias("short"), F.when(F.col("call_id") % 3 == 0, "d").alias("detailed"), F.lit("").alias("tasks"), F.lit("r").alias("reviewed"))
+    return mapping.save_speaker_mapping(forms, metadata_of(spark, d), s, texts, c, as_of())
+
+
+MAPPED = f"""SELECT call_id, seg_idx, text, start_sec, CASE WHEN call_id % 2 <> 0 THEN cluster WHEN cluster = 'speaker_1' THEN CASE WHEN call_id % 3 = 0 THEN 'unknown' ELSE 'me' END ELSE 'other' END AS cluster FROM ({ALIGNED}) a"""
+
+
+@query("ref_save_mapping_segments", f"SELECT call_id, seg_idx, cluster AS speaker_label FROM ({MAPPED}) m", "seg", "tur")
+def save_mapping_segments(spark, d):
+    return mapping_saved(spark, d)["segments"].select("call_id", "seg_idx", "speaker_label")
+
+
+@query("ref_save_mapping_transcripts", f"SELECT s.call_id, coalesce(t.text, '') AS clean_text FROM (SELECT DISTINCT call_id FROM seg WHERE call_id % 2 = 0) s LEFT JOIN (SELECT call_id, string_agg({LINE}, chr(10) ORDER BY seg_idx) AS text FROM ({MAPPED}) m GROUP BY call_id) t ON s.call_id = t.call_id", "seg", "tur")
+def save_mapping_transcripts(spark, d):
+    return mapping_saved(spark, d)["transcripts"].select("call_id", "clean_text")
+
+
+@query(
+    "ref_save_mapping_calls",
+    rf"""SELECT c.call_id, c.current_state, CASE WHEN f.call_id IS NULL THEN c.search_text ELSE regexp_replace(concat(coalesce(t.text, ''), chr(10), 's', chr(10), CASE WHEN c.call_id % 3 = 0 THEN 'd' ELSE '' END, chr(10), chr(10), 'r'), '{EDGE}', '', 'g') END AS search_text
+    FROM calls c LEFT JOIN (SELECT DISTINCT call_id FROM seg WHERE call_id % 2 = 0) f ON c.call_id = f.call_id
+    LEFT JOIN (SELECT call_id, string_agg({LINE}, chr(10) ORDER BY seg_idx) AS text FROM ({MAPPED}) m GROUP BY call_id) t ON c.call_id = t.call_id""",
+    "seg",
+    "tur",
+    "calls",
+)
+def save_mapping_calls(spark, d):
+    return mapping_saved(spark, d)["calls"]
+
+
+@query(
+    "ref_save_mapping_metadata",
+    f"""SELECT c.call_id, CASE WHEN f.call_id IS NOT NULL THEN 2 WHEN c.call_id % 5 = 0 THEN 1 ELSE -1 END AS n_mapping, CASE WHEN f.call_id IS NOT NULL THEN '{AS_OF}' ELSE '2024-01-02' END AS reviewed_at, 'ui' AS mapping_source, current_state
+    FROM calls c LEFT JOIN (SELECT DISTINCT call_id FROM seg WHERE call_id % 2 = 0) f ON c.call_id = f.call_id""",
+    "seg",
+    "calls",
+)
+def save_mapping_metadata(spark, d):
+    m = mapping_saved(spark, d)["metadata"]
+    return m.select("call_id", F.coalesce(F.size("speaker_mapping"), F.lit(-1)).alias("n_mapping"), F.col("speaker_mapping_reviewed_at").alias("reviewed_at"), F.col("speaker_mapping_source").alias("mapping_source"), "current_state")
+
+
+@query(
+    "ref_save_mapping_log",
+    f"""SELECT call_id, seq, 'speaker_mapping_saved' AS event, '{AS_OF}' AS at_time, CASE WHEN seq = 1 THEN 'other' WHEN call_id % 3 = 0 THEN 'unknown' ELSE 'me' END AS first_role, 'other' AS second_role
+    FROM (SELECT DISTINCT call_id FROM seg WHERE call_id % 2 = 0) f, (SELECT 1 AS seq UNION ALL SELECT 2) n WHERE seq = 2 OR call_id % 4 = 0""",
+    "seg",
+)
+def save_mapping_log(spark, d):
+    return mapping_saved(spark, d)["log"].select("call_id", "seq", "event", stamp("at").alias("at_time"), F.col("mapping")["speaker_1"].alias("first_role"), F.col("mapping")["speaker_2"].alias("second_role"))
+
+
 def runs(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet")
     i = F.col("doc_id")
@@ -782,6 +870,24 @@ def model_comparison(spark, d):
     return compare.model_comparison(runs(spark, d))
 
 
+@query(
+    "ref_report_lines",
+    rf"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY doc_id) AS run_pos, concat(provider, ':', model_name) AS name, {SQUASH} AS flat FROM ({RUNS}) x),
+    l AS (SELECT file, run_pos, unnest(list_filter([name, repeat('-', length(name)), concat('status: ', CASE WHEN ok THEN 'ok' ELSE 'failed' END), concat('language: ', coalesce(nullif(language, ''), 'unknown')),
+      concat('elapsed_seconds: ', printf('%.2f', elapsed_seconds)), CASE WHEN doc_id % 4 = 1 THEN concat('input_path: /in/', CAST(doc_id AS VARCHAR)) END,
+      CASE WHEN ok THEN concat('chars: ', CAST(length(text) AS VARCHAR)) ELSE concat('failure_kind: ', kind) END,
+      CASE WHEN ok THEN concat('excerpt: ', CASE WHEN length(flat) > 240 THEN concat(substr(flat, 1, 237), '...') ELSE flat END) ELSE 'error: HTTP  error' END, ''], lambda e: e IS NOT NULL)) AS line,
+      generate_subscripts(list_filter([1, 2, 3, 4, 5, CASE WHEN doc_id % 4 = 1 THEN 6 END, 7, 8, 9], lambda e: e IS NOT NULL), 1) - 1 AS line_no FROM r)
+    SELECT file, run_pos, line_no, line FROM l
+    UNION ALL SELECT file, 0, line_no, CASE line_no WHEN 0 THEN repeat('=', 80) WHEN 1 THEN file WHEN 2 THEN concat('File size bytes: ', CAST(n AS VARCHAR)) ELSE '' END
+    FROM (SELECT concat('f', CAST(CAST(floor(doc_id / 3) AS BIGINT) AS VARCHAR)) AS file, max(n_chars) AS n FROM documents GROUP BY 1) f, (SELECT unnest([0, 1, 2, 3]) AS line_no) i""",
+)
+def report_lines(spark, d):
+    sizes = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("run_id"), F.col("n_chars").alias("file_size_bytes"))
+    path = F.when(F.col("run_id") % 4 == 1, F.concat(F.lit("/in/"), F.col("run_id").cast("string")))
+    return compare.report_lines(runs(spark, d).join(sizes, "run_id").withColumn("input_path", path))
+
+
 @query("ref_model_summary", f"SELECT provider, model_name, count(*) AS runs, count(*) FILTER (WHERE ok) AS ok_runs, round(100.0 * count(*) FILTER (WHERE ok) / count(*), 2) AS ok_percent, avg(elapsed_seconds) AS mean_seconds FROM ({RUNS}) r GROUP BY 1, 2")
 def model_summary(spark, d):
     return compare.model_summary(runs(spark, d)).withColumn("ok_percent", F.col("ok_percent").cast("double"))

@@ -51,6 +51,7 @@ STATE_EDGES = (
     ("indexed", "reviewed"),
 )
 PRECONDITIONS = {
+    "audio_prepared": ("audio_original",),
     "transcribed": ("audio_normalized",),
     "diarized": ("transcript_raw",),
     "analyzed": ("transcript_segments",),
