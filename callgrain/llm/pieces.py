@@ -2,26 +2,33 @@
 
 Three machines are compiled from the model file and composed with each input:
 
-* the normaliser: an arc that writes U+2581 in front, and one that writes it for a space
-  (each only if the model says so); other characters are copied;
+* the normaliser: an arc that reads nothing and writes U+2581, taken once in front of a
+  text (only if the model says so), and one that reads a space and writes U+2581; other
+  characters are copied. The second is composed with the piece machine on loading, so the
+  machine reads spaces of the input itself;
 * the piece machine: a trie of the vocabulary. A path through it reads the characters of
   a piece, writes its id and costs the piece's negated score. The state it ends in is that
-  piece, and the arc from piece s to piece t costs nothing more if merging s + t leaves
-  the two as they are, else infinity. Of two pieces, each knows how its inner and outer
-  edge grow while it is merged (`Track`); running two tracks side by side shows whether
-  a merge across them comes first;
+  piece. In a unigram model every piece may follow every other at no further cost, so the
+  scores alone decide. In a merge (BPE) model the arc from piece s to piece t costs
+  nothing more if merging s + t leaves the two as they are, else infinity. Of two pieces,
+  each knows how its inner and outer edge grow while it is merged (`Track`); running two
+  tracks side by side shows whether a merge across them comes first;
 * byte fallback: an arc that reads a character of no piece and writes its UTF-8 bytes'
-  ids. It joins with nothing, so it costs the same behind and before every piece.
+  ids, behind and before any piece. It costs ten more than the worst piece in a unigram
+  model; in a merge model, where no path can avoid it, nothing.
 
 The encoding is the shortest path in the tropical semiring: states are pairs of position
-and last piece, relaxed from left to right, and the least sum of costs wins. A sequence
-of pieces whose neighbours all pass is what byte-pair merging makes of the whole text, so
-just one path has a finite cost.
+and last piece, relaxed from left to right, and the least sum of costs wins; of equals,
+the one whose last piece begins first. In a merge model a sequence of pieces whose
+neighbours all pass is what merging makes of the whole text, so one path has a finite
+cost. Costs are summed in double precision. The library sums those of unigram models in
+single precision, over the whole text: of paths whose costs are equal, or differ by less
+than that rounding, it may take another one (&&& as && & instead of & &&).
 
 No piece has U+2581 behind another character, and none holds a fallback character (both
 are checked on loading). So paths through different stretches of text are independent,
 and a stretch's path is remembered in a bounded table. Models with other settings
-(another kind of model, a table of character replacements, removal of extra white space,
+(word or character models, a table of character replacements, removal of extra white space,
 suffix white space, user-defined or unused pieces, no byte fallback) are refused.
 
 Decoding is the inverse machine: pieces to characters, runs of bytes through UTF-8 with
@@ -58,7 +65,8 @@ def vocabulary_path() -> str:
 
 
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # fixed values of the public model format: kinds of pieces
-MERGE_MODEL = 2
+UNIGRAM_MODEL, MERGE_MODEL = 1, 2
+FALLBACK_COST = 10.0  # fixed value: how much more a character of no piece costs than the worst piece
 START = -1  # the state in front of the text, and behind a fallback character
 END = ""  # the trie's key of a finished piece
 
@@ -92,7 +100,7 @@ class Track:
 
 
 class PieceMachine:
-    """The compiled machines of one merge model."""
+    """The compiled machines of one unigram or merge model."""
 
     def __init__(self, path: str):
         from sentencepiece import sentencepiece_model_pb2
@@ -109,8 +117,9 @@ class PieceMachine:
         self.id = {p: i for i, p in enumerate(self.text) if kinds[i] == NORMAL}
         self.score = {p: model.pieces[i].score for p, i in self.id.items()}
         chars = set("".join(self.id))
-        if model.trainer_spec.model_type != MERGE_MODEL or set(kinds) - {NORMAL, UNKNOWN, CONTROL, BYTE} or len(self.byte_id) != 256:
-            raise ValueError("only merge models with byte fallback and plain pieces are supported")
+        self.merges = model.trainer_spec.model_type == MERGE_MODEL
+        if model.trainer_spec.model_type not in (UNIGRAM_MODEL, MERGE_MODEL) or set(kinds) - {NORMAL, UNKNOWN, CONTROL, BYTE} or len(self.byte_id) != 256:
+            raise ValueError("only unigram and merge models with byte fallback and plain pieces are supported")
         if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.escape_whitespaces or model.trainer_spec.treat_whitespace_as_suffix:
             raise ValueError("this model's normaliser is not supported")
         if any(SPACE in p.lstrip(SPACE) for p in self.id) or any(c not in self.id for c in chars):
@@ -122,16 +131,30 @@ class PieceMachine:
             for c in p:
                 node = node.setdefault(c, {})
             node[END] = i
+        self._compose(self.trie)
         self.cost = [-p.score for p in model.pieces]
+        self.fallback = 0.0 if self.merges else max((self.cost[i] for i in self.id.values()), default=0.0) + FALLBACK_COST
         self.tracks: list[Track | None] = [None] * len(self.text)
         # letters and other characters part too if no piece holds both behind its leading U+2581
         odd = "".join(sorted(c for c in chars if re.match(r"[^\W\d_]", c) and not c.isalpha()))
-        letter, other = f"[^\\W\\d_{odd}]", f"(?:[\\d_{odd}]|[^\\w{SPACE}])"
+        letter, other = f"[^\\W\\d_{odd}]", f"(?:[\\d_{odd}]|[^\\w{SPACE}{''.join(self.arcs)}])"
         mixed = any(re.search(letter, q) and re.search(other, q) for q in (p.lstrip(SPACE) for p in self.id))
-        self.stretch = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if mixed else f"{SPACE}*(?:{letter}+|{other}+)|{SPACE}+")
+        gap = f"[{SPACE}{''.join(self.arcs)}]"  # what the normaliser makes U+2581 of
+        self.stretch = re.compile(f"{gap}*[^{gap[1:]}+|{gap}+" if mixed else f"{gap}*(?:{letter}+|{other}+)|{gap}+")
         self.joins: dict[int, float] = {}
         self.known: dict[str, bytes] = {}
 
+    def _compose(self, node: dict) -> None:
+        """The normaliser's arcs in front of the piece machine: what it reads leads where what it writes does."""
+        for c, below in list(node.items()):
+            if c != END:
+                self._compose(below)
+        for read, write in self.arcs.items():
+            if write in node:
+                node[read] = node[write]
+            else:
+                node.pop(read, None)
+
     def track(self, t: int) -> Track:
         found = self.tracks[t]
         if found is None:
@@ -170,10 +193,11 @@ class PieceMachine:
     def shortest(self, s: str) -> tuple[float, list[int]]:
         """Cost and ids of the shortest path through a stretch: positions in order, each relaxing what its arcs reach.
 
-        What a finite path has read is merged to the pieces that it wrote, and merging has
-        one result. So a position has one state of finite cost, and is relaxed once.
+        In a unigram model the last piece bars no arc. In a merge model what a finite path
+        has read is merged to the pieces that it wrote, and merging has one result. So in
+        both the cheapest state of a position stands for all of its states.
         """
-        n, inf, trie, cost, joins, join = len(s), math.inf, self.trie, self.cost, self.joins, self.join
+        n, inf, trie, cost, joins, merges = len(s), math.inf, self.trie, self.cost, self.joins, self.merges
         dist, state, back = [inf] * (n + 1), [START] * (n + 1), [0] * (n + 1)
         dist[0] = 0.0
         for pos in range(n):
@@ -181,15 +205,17 @@ class PieceMachine:
             if d == inf:
                 continue
             node, at, last = trie.get(s[pos]), pos + 1, state[pos] << 20
-            if node is None:
-                dist[at], state[at], back[at] = d, START, pos
+            if node is None and d + self.fallback < dist[at]:
+                dist[at], state[at], back[at] = d + self.fallback, START, pos
             while node is not None:
                 t = node.get(END)
-                if t is not None and dist[at] == inf:
-                    w = joins.get(last | t)
-                    if w is None:
-                        w = join(last >> 20, t)
-                    if w < inf:
+                if t is not None and d + cost[t] < dist[at]:
+                    w = 0.0
+                    if merges:
+                        w = joins.get(last | t)
+                        if w is None:
+                            w = self.join(last >> 20, t)
+                    if d + w + cost[t] < dist[at]:
                         dist[at], state[at], back[at] = d + w + cost[t], t, pos
                 if at == n:
                     break
@@ -205,17 +231,12 @@ class PieceMachine:
             pos = back[pos]
         return dist[n], out[::-1]
 
-    def normalise(self, text: str) -> str:
-        for read, write in self.arcs.items():
-            text = text.replace(read, write)
-        return self.prefix + text
-
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a whole text."""
         if not text:
             return np.zeros(0, np.uint32)
         known, out = self.known, []
-        for s in self.stretch.findall(self.normalise(text)):
+        for s in self.stretch.findall(self.prefix + text):
             got = known.get(s)
             if got is None:
                 got = np.array(self.shortest(s)[1], "<u4").tobytes()

@@ -559,7 +559,7 @@ def test_unsupported_models_are_refused(change, tmp_path):
     m = sentencepiece_model_pb2.ModelProto()
     m.ParseFromString(open(pieces.vocabulary_path(), "rb").read())
     if change == "kind":
-        m.trainer_spec.model_type = 1
+        m.trainer_spec.model_type = 3
     elif change == "charsmap":
         m.normalizer_spec.precompiled_charsmap = b"x"
     elif change == "spaces":
@@ -575,6 +575,72 @@ def test_unsupported_models_are_refused(change, tmp_path):
         pieces.PieceMachine(str(tmp_path / "m"))
 
 
+def unigram_model(path, seed, low=-14.0):
+    """The given pieces with random scores, as a unigram model: nothing is trained."""
+    import random
+
+    from sentencepiece import sentencepiece_model_pb2
+
+    m, r = sentencepiece_model_pb2.ModelProto(), random.Random(seed)
+    m.ParseFromString(open(pieces.vocabulary_path(), "rb").read())
+    m.trainer_spec.model_type = 1
+    for p in m.pieces:
+        if p.type == pieces.NORMAL:
+            p.score = r.uniform(low, -1.0)
+    path.write_bytes(m.SerializeToString())
+    return str(path)
+
+
+def test_unigram_models_against_the_library(spark, tmp_path):
+    import random
+
+    import sentencepiece
+
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect()]
+    alphabet = list("abcdefghij thein er on ▁  ,.!0123\n\t'éüß日本語ゼ😀執<>s0x41²·_") + ["\x00", "é", "   ", "ing", "the"]
+    coded = []
+    for seed in (1, 2):
+        path, r = unigram_model(tmp_path / f"u{seed}", seed), random.Random(3)
+        lib, own = sentencepiece.SentencePieceProcessor(model_file=path), pieces.PieceMachine(path)
+        strings = texts + ["".join(r.choice(alphabet) for _ in range(r.randint(0, 50))) for _ in range(2000)]
+        ids, theirs = [own.encode(s).tolist() for s in strings], [lib.encode(s) for s in strings]
+        cost = lambda v: sum(own.cost[i] for i in v)
+        other = [(cost(a), cost(b)) for a, b in zip(ids, theirs, strict=True) if a != b]
+        # the library sums in single precision, so of all but equal paths it may take another; never a cheaper one
+        assert len(other) <= 4 and all(0 <= b - a + 1e-9 < 1e-6 * a + 1e-9 for a, b in other)
+        assert all(own.decode(v) == lib.decode(v) for v in ids)
+        coded.append(ids)
+    differ = sum(a != b for a, b in zip(*coded, strict=True))
+    assert differ > 1500  # the scores decide
+
+
+def test_unigram_shortest_path_against_all_paths(tmp_path):
+    import random
+
+    own, r = pieces.PieceMachine(unigram_model(tmp_path / "u", 5)), random.Random(6)
+    worst = max(-x for x in own.score.values())
+
+    def paths(s):
+        if not s:
+            yield 0.0, []
+        if s and s[0] not in own.id and s[0] != " ":
+            yield from ((c + worst + 10, [own.byte_id[b] for b in s[0].encode()] + ids) for c, ids in paths(s[1:]))
+        for k in range(1, len(s) + 1):
+            p = s[:k].replace(" ", "▁")
+            if p in own.id:
+                yield from ((c - own.score[p], [own.id[p], *ids]) for c, ids in paths(s[k:]))
+
+    several = 0
+    for _ in range(300):
+        s = r.choice(["", " ", "▁", "▁ "]) + "".join(r.choice("thereandingsoabc😀0") for _ in range(r.randint(1, 9)))
+        found = list(paths(s))
+        cost, ids = own.shortest(s)
+        several += len(found) > 1
+        assert cost == pytest.approx(min(found)[0])
+        assert ids in [v for c, v in found if c == pytest.approx(cost, abs=1e-9)]  # paths of equal cost
+    assert several > 250
+
+
 def test_prefix_comes_from_the_model(tmp_path):
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2
