@@ -6,9 +6,11 @@ every learnable text. The weights are trained by follow-the-regularised-leader
 (per-coordinate FTRL-proximal) with elastic-net penalties on a bounded sample of
 labelled rows: at most `rows_per_label` rows of each lang value, those with the smallest
 hash of doc_id, and `sample_rows` together. A fifth of the sample is held back to fit one
-softmax temperature. The `max_labels` most frequent lang values (ties: first in order) are
-learned, and with many of them features share fewer slots, so that features x labels stay
-within `cells`: that bounds what the fitting task and the broadcast hold.
+softmax temperature. Every lang value is learned. With more than `cells` / 2**`bits` of
+them features share fewer slots, so that features x labels stay within `cells`: that
+bounds what the fitting task and the broadcast hold. Labels that would leave features
+fewer than 2**FEWEST slots raise an error; more `cells` take them, at the cost of memory.
+`max_labels` is for callers who want the most frequent values only (ties: first in order).
 
 Defined cases: null texts, empty texts and texts without a letter are `und` with score
 0; so is everything when there is nothing to learn from. Equal probabilities go to the
@@ -31,13 +33,17 @@ from pyspark.sql.window import Window
 from callgrain.llm.common import packed, python_ready
 
 
+#: Features have at least 2**FEWEST slots.
+FEWEST = 8
+
+
 @dataclass(frozen=True)
 class LangIdConfig:
     bits: int = 17  # features: 2**bits
     orders: tuple[int, ...] = (1, 2, 3)
     rows_per_label: int = 1500  # bound of the fitted sample, per lang value
     sample_rows: int = 150_000  # and over all
-    max_labels: int = 1024
+    max_labels: int | None = None
     cells: int = 1 << 23  # bound of features x labels
     max_chars: int = 1 << 20  # code points hashed at once; longer texts go in overlapping steps
     epochs: int = 2
@@ -160,8 +166,12 @@ def train(learnable: DataFrame, config: LangIdConfig | None = None) -> LangIdMod
     python_ready(spark)
     texts = learnable.select("doc_id", "text", "lang").where(has_letter(F.col("text")))
     labelled = learnable.where("lang is not null").groupBy("lang").count()
-    counts = [(r["lang"], r["count"]) for r in labelled.orderBy(F.desc("count"), "lang").limit(c.max_labels).collect()]
-    c = replace(c, bits=max(8, min(c.bits, (c.cells // max(1, len(counts))).bit_length() - 1)))
+    bound = max(1, c.cells >> FEWEST)
+    wanted = bound + 1 if c.max_labels is None else min(c.max_labels, bound + 1)
+    counts = [(r["lang"], r["count"]) for r in labelled.orderBy(F.desc("count"), "lang").limit(wanted).collect()]
+    if len(counts) > bound:
+        raise ValueError(f"more than {bound} values of lang: raise LangIdConfig.cells ({c.cells}), {1 << FEWEST} for each value at least")
+    c = replace(c, bits=max(FEWEST, min(c.bits, (c.cells // max(1, len(counts))).bit_length() - 1)))
     df, total = document_frequencies(texts, c)
     idf = np.where(df > 0, np.log((1 + total) / (1 + df)) + 0.1, 0.0)
     key = F.xxhash64(F.col("doc_id").cast("string"))

@@ -269,6 +269,19 @@ def test_many_labels_are_bounded(spark):
     assert len(model.labels) == 50 and model.table.size <= 1 << 14
 
 
+def test_every_label_is_learned(spark):
+    word = lambda i: "".join(chr(97 + i // 26**k % 26) * 4 for k in range(3))
+    rows = [(3 * i + j, f"{word(i)} {word(i)}", f"l{i:04d}") for i in range(1300) for j in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    config = langid.LangIdConfig(rows_per_label=3, cells=1 << 21)
+    model = langid.train(df, config)
+    assert len(model.labels) == 1300 and model.table.size <= 1 << 21
+    found = df.where("doc_id % 300 = 0").select("lang", langid.predictor(spark, model)(df["text"]).alias("p")).collect()
+    assert sum(r.lang == r.p.lang_pred for r in found) >= 0.8 * len(found)
+    with pytest.raises(ValueError, match="more than 64 values"):
+        langid.train(df, langid.LangIdConfig(cells=1 << 14))
+
+
 # --- 3: chat
 
 
