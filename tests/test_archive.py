@@ -4,6 +4,7 @@ import datetime as dt
 import hashlib
 import json
 import resource
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -69,6 +70,26 @@ def test_archive_is_walked(spark, tmp_path):
     assert kinds == {("a", k) for k in ("metadata", "summary", "transcript_clean", "tasks", "tasks_reviewed", "audio_normalized")} | {("b", "metadata"), ("b", "tasks"), ("b", "summary")}
 
 
+def test_an_archive_is_read_once(spark, tmp_path):
+    at = "2024-01-05T10:00:00+00:00"
+    root = tmp_path / "a rchive ü%20"
+    put(root, "1/2/call_a", {"metadata.json": "\ufeff" + json.dumps({"call_id": "a", "sha256": "h1", "imported_at": at}), "transcript_clean.txt": "text", "tasks.json": [{"text": "t1"}], "processing_log.json": "", "transcript_raw.json": "{"})
+    put(root, "call_b", {"metadata.json": [{"call_id": "b", "sha256": "h2", "imported_at": at}], "tasks.json": {"text": "alone"}, "summary.json": {"short_summary": 1}})
+    put(root, ".call_c", {"metadata.json": {"call_id": "c", "sha256": "h3", "imported_at": at}})
+    put(root, "_call_d", {"metadata.json": {"call_id": "d", "sha256": "h4", "imported_at": at}})
+    put(root, "empty", {})
+    parts = archive.rebuild_archive(spark, str(root))
+    for df in parts.values():  # the files are no part of what is returned, so each is opened once
+        assert df.inputFiles() and not any("rchive" in f for f in df.inputFiles())
+    shutil.rmtree(root)
+    calls = {r.call_id: r.search_text for r in parts["calls"].collect()}
+    assert calls == {"a": "text\n\n\nt1", "b": "1\n\nalone"}
+    found = sorted((r.call_id, r.kind, r.path.startswith("file:/")) for r in parts["artifacts"].collect())
+    assert found == [("a", k, True) for k in ("metadata", "tasks", "transcript_clean", "transcript_raw")] + [("b", k, True) for k in ("metadata", "summary", "tasks")]
+    with pytest.raises(Exception, match="rchive"):
+        archive.load_archive(spark, str(root))
+
+
 def test_files_are_written_again_by_repeated_tasks(spark, tmp_path):
     files = spark.createDataFrame([("x/y/a.json", "ü"), ("b.txt", "")], "name string, body string")
     for _ in range(2):
