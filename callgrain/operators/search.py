@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Characters of a gram; folders of postings and of texts.
 GRAM, POSTING_BUCKETS, TEXT_BLOCKS = 3, 64, 64
+#: Characters of texts whose postings one task makes, that one task writes, and whose postings one task sorts: tasks become more with the texts, not larger.
+MADE_CHARS, WRITTEN_CHARS, SORTED_CHARS = 1 << 23, 1 << 25, 1 << 22
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -87,11 +90,16 @@ def build_search_index(calls: DataFrame, folder: str) -> None:
     A gram that all texts share has a posting a call, in many rows of files, never in one value.
     """
     spark = calls.sparkSession
-    blocks = calls.repartitionByRange(TEXT_BLOCKS, "imported_at", "call_id").withColumn("block", F.spark_partition_id())
+    chars = calls.agg(F.sum(F.length("search_text").cast("long"))).first()[0] or 0
+    share = lambda folders, most: max(1, math.ceil(chars / folders / most))
+    parts = share(TEXT_BLOCKS, WRITTEN_CHARS)  # ranges in a row are one block
+    blocks = calls.repartitionByRange(TEXT_BLOCKS * parts, "imported_at", "call_id").withColumn("block", F.floor(F.spark_partition_id() / parts).cast("int"))
     blocks.write.mode("overwrite").partitionBy("block").parquet(f"{folder}/texts")
-    texts = _texts(spark, folder)
+    texts = _texts(spark, folder).select("call_id", "block", "search_text").repartition(max(TEXT_BLOCKS, share(1, MADE_CHARS)), "call_id")
     postings = texts.select("call_id", "block", F.explode(grams(F.coalesce("search_text", F.lit("")))).alias("gram")).withColumn("bucket", _bucket(F.col("gram")))
-    dealt = postings.repartition(POSTING_BUCKETS, "bucket", F.pmod(F.xxhash64("call_id"), F.lit(4))).sortWithinPartitions("bucket", "gram", "block", "call_id")
+    parts = share(POSTING_BUCKETS, SORTED_CHARS)
+    place = F.col("bucket") * parts + F.pmod(F.xxhash64("call_id"), F.lit(parts)).cast("int")
+    dealt = postings.repartitionById(POSTING_BUCKETS * parts, place).sortWithinPartitions("bucket", "gram", "block", "call_id")
     dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
 
 

@@ -100,3 +100,19 @@ def test_search_by_postings(spark, tmp_path):
     assert len(found) == 8 and len({x.block for x in found}) <= 8  # of 64 blocks
     plan = search.indexed_search(spark, folder, "zebra")._jdf.queryExecution().executedPlan().toString()
     assert "block" in plan and search.search_candidates(spark, folder, "a_b") is None
+
+
+def test_index_tasks_grow_in_number_not_in_size(spark, tmp_path, monkeypatch):
+    from callgrain.operators import search
+
+    calls = spark.range(400).selectExpr("id call_id", "date_add(date'2024-01-01', int(id)) imported_at", "'s' source_filename", "concat('the same words ', id, ' and ', id * 7919) search_text")
+    for name, n in (("MADE_CHARS", 100), ("WRITTEN_CHARS", 50), ("SORTED_CHARS", 20)):
+        monkeypatch.setattr(search, name, n, raising=False)
+    search.build_search_index(calls, str(tmp_path))
+    found = search.indexed_search(spark, str(tmp_path), "wOrds%39_ and")
+    assert [r.call_id for r in found.orderBy("call_id").collect()] == list(range(390, 400))
+    postings = spark.read.parquet(f"{tmp_path}/postings")
+    frequent = postings.groupBy("bucket").count().orderBy("count", ascending=False).first().bucket
+    files = [r["count"] for r in postings.where(f"bucket = {frequent}").groupBy("_metadata.file_path").count().collect()]
+    assert len(files) > 4 and max(files) < sum(files) / 4  # of the largest folder: one file, or four, whatever its size
+    assert spark.read.parquet(f"{tmp_path}/texts").select("block").distinct().count() <= search.TEXT_BLOCKS
