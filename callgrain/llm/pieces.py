@@ -41,8 +41,10 @@ Defined cases: null text is empty text, which has no ids. Extra columns are left
 from __future__ import annotations
 
 import codecs
+import itertools
 import math
 import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -132,6 +134,9 @@ class PieceMachine:
                 node = node.setdefault(c, {})
             node[END] = i
         self._compose(self.trie)
+        self.start = self._flat(self.trie, {})
+        # what each id is in the output; None for silent ones
+        self.spelled = [bytes([self.bytes[i]]) if i in self.bytes else " ⁇ ".encode() if i == self.unknown else None if i in self.silent else p.encode() for i, p in enumerate(self.text)]
         self.cost = [-p.score for p in model.pieces]
         self.fallback = 0.0 if self.merges else max((self.cost[i] for i in self.id.values()), default=0.0) + FALLBACK_COST
         self.tracks: list[Track | None] = [None] * len(self.text)
@@ -155,6 +160,13 @@ class PieceMachine:
             else:
                 node.pop(read, None)
 
+    def _flat(self, node: dict, done: dict) -> tuple[int, dict]:
+        """A node as (id of the piece that ends there or -1, nodes below), which takes one lookup a character; shared nodes stay shared."""
+        found = done.get(id(node))
+        if found is None:
+            found = done[id(node)] = (node.get(END, -1), {c: self._flat(below, done) for c, below in node.items() if c != END})
+        return found
+
     def track(self, t: int) -> Track:
         found = self.tracks[t]
         if found is None:
@@ -197,29 +209,29 @@ class PieceMachine:
         has read is merged to the pieces that it wrote, and merging has one result. So in
         both the cheapest state of a position stands for all of its states.
         """
-        n, inf, trie, cost, joins, merges = len(s), math.inf, self.trie, self.cost, self.joins, self.merges
+        n, inf, first, cost, joins, merges = len(s), math.inf, self.start[1], self.cost, self.joins, self.merges
         dist, state, back = [inf] * (n + 1), [START] * (n + 1), [0] * (n + 1)
         dist[0] = 0.0
         for pos in range(n):
             d = dist[pos]
             if d == inf:
                 continue
-            node, at, last = trie.get(s[pos]), pos + 1, state[pos] << 20
+            node, at, last = first.get(s[pos]), pos + 1, state[pos] << 20
             if node is None and d + self.fallback < dist[at]:
                 dist[at], state[at], back[at] = d + self.fallback, START, pos
             while node is not None:
-                t = node.get(END)
-                if t is not None and d + cost[t] < dist[at]:
+                t, below = node
+                if t >= 0 and (total := d + cost[t]) < dist[at]:
                     w = 0.0
                     if merges:
                         w = joins.get(last | t)
                         if w is None:
                             w = self.join(last >> 20, t)
-                    if d + w + cost[t] < dist[at]:
-                        dist[at], state[at], back[at] = d + w + cost[t], t, pos
+                    if w == 0.0:
+                        dist[at], state[at], back[at] = total, t, pos
                 if at == n:
                     break
-                node, at = node.get(s[at]), at + 1
+                node, at = below.get(s[at]), at + 1
         if dist[n] == inf:
             raise ValueError("no path")
         pos, out = n, []
@@ -235,34 +247,33 @@ class PieceMachine:
         """Ids of a whole text."""
         if not text:
             return np.zeros(0, np.uint32)
-        known, out = self.known, []
-        for s in self.stretch.findall(self.prefix + text):
-            got = known.get(s)
-            if got is None:
-                got = np.array(self.shortest(s)[1], "<u4").tobytes()
+        known, stretches = self.known, self.stretch.findall(self.prefix + text)
+        out = list(map(known.get, stretches))
+        if None in out:
+            now: dict[str, bytes] = {}
+            for k, (s, got) in enumerate(zip(stretches, out, strict=True)):
+                if got is None:
+                    got = now.get(s)
+                    if got is None:
+                        got = now[s] = struct.pack(f"<{len(ids := self.shortest(s)[1])}I", *ids)
+                    out[k] = got
+            for s, got in now.items():
                 if len(s) <= REMEMBERED_CHARS:
                     if len(known) >= REMEMBERED:
                         known.clear()
                     known[s] = got
-            out.append(got)
         return np.frombuffer(b"".join(out), "<u4")
 
+    def _spelled(self, ids: list[int]) -> str:
+        """Pieces are whole characters, so bytes beside them neither add to them nor take from them; silent ids part runs of bytes."""
+        out = list(map(self.spelled.__getitem__, ids))
+        if None not in out:
+            return b"".join(out).decode("utf-8", "one-by-one")
+        at = [-1, *(k for k, b in enumerate(out) if b is None), len(out)]
+        return "".join(b"".join(out[i + 1 : j]).decode("utf-8", "one-by-one") for i, j in itertools.pairwise(at))
+
     def decode(self, ids) -> str:
-        out, raw = [], bytearray()
-        for i in ids:
-            if i in self.bytes:
-                raw.append(self.bytes[i])
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "one-by-one"))
-                raw.clear()
-            if i == self.unknown:
-                out.append(" ⁇ ")
-            elif i not in self.silent:
-                out.append(self.text[i])
-        if raw:
-            out.append(raw.decode("utf-8", "one-by-one"))
-        text = "".join(out).replace(SPACE, " ")
+        text = self._spelled(ids).replace(SPACE, " ")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 

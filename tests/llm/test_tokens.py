@@ -210,3 +210,30 @@ def test_merge_of_runs_is_a_sum():
     for run in runs:
         want.update(dict(run))
     assert list(alignment.merged([(np.array([k for k, _ in x], np.int64), np.array([n for _, n in x], np.int64)) for x in runs])) == sorted(want.items())
+
+
+def test_decoding_by_tables_is_decoding_by_runs():
+    from callgrain.llm import pieces
+
+    own, r = pieces.machine(pieces.vocabulary_path()), random.Random(9)
+
+    def by_runs(ids):
+        out, raw = [], bytearray()
+        for i in [*ids, None]:
+            if i in own.bytes:
+                raw.append(own.bytes[i])
+                continue
+            out.append(raw.decode("utf-8", "one-by-one"))
+            raw.clear()
+            out.append("" if i is None or i in own.silent and i != own.unknown else " ⁇ " if i == own.unknown else own.text[i])
+        text = "".join(out).replace("▁", " ")
+        return text[1:] if own.prefix and text.startswith(" ") else text
+
+    odd = [*own.bytes, *own.silent]
+    for _ in range(3000):
+        ids = [r.choice(odd) if r.random() < 0.7 else r.randrange(len(own.text)) for _ in range(r.randint(0, 12))]
+        assert own.decode(ids) == by_runs(ids)
+    # the flat machine is the trie, one lookup a character
+    assert own.start[1][" "] is own.start[1]["▁"]
+    t, below = own.start[1]["t"][1]["h"]
+    assert (t, below["e"][0]) == (own.id["th"], own.id["the"])
