@@ -9,10 +9,12 @@ end with it; so four words come from five, three from four, and two from three.
 
 Two things keep the graph small without changing a count that matters:
 
-* A phrase with enough occurrences has only pairs of words with enough. Pairs are
+* A phrase with enough occurrences has only parts with enough. Pairs of words are
   counted by a 64-bit hash; the hashes that reach the bound are marked in a bitmap of
-  2**FILTER_BITS bits, the only thing broadcast. A pair that is not marked ends a piece.
-  Hashes or bits that coincide only leave rare pairs in.
+  2**FILTER_BITS bits, the only thing broadcast. Then so are the runs of three words whose
+  pairs are marked, the runs of four whose runs of three are, and so on, in the same bitmap.
+  A run that is not marked is no edge: where it would go on, its first words end a piece.
+  Hashes or bits that coincide only leave rare runs in.
 * Unary paths, nodes with one edge in and one out of the same weight, are compacted in
   the task that finds them: a passage that repeats is one path with one weight, not a row
   per edge. Whole-graph compaction is what absorbs a phrase into a longer one: a phrase is
@@ -74,7 +76,26 @@ class Words:
         h = _mixed((sums[self.end] - sums[self.start]) * self._inverse[self.start])
         piece = np.cumsum(kind == 2)[self.start]
         self.joined = piece[1:] == piece[:-1]  # a word and the next are of one piece
-        self.pairs = _mixed(h[:-1] * _BASE + h[1:] + np.uint64(lang))
+        self._h, self._lang = h, np.uint64(lang)
+
+    def runs(self, k: int, at: np.ndarray) -> np.ndarray:
+        """Hashes of the runs of k words that start at the words `at`."""
+        h = self._h[at]
+        for i in range(1, k):
+            h = h * _BASE + self._h[at + i]
+        return _mixed(h + self._lang)
+
+    def inner(self, marked: np.ndarray, k: int) -> Iterator[np.ndarray]:
+        """For 2 to k words: whether the run that starts at each word is of one piece and it and all runs within it are marked."""
+        ok = self.joined
+        for size in range(2, k + 1):
+            if size > 2:
+                ok = ok[:-1] & ok[1:]
+            at = np.flatnonzero(ok)
+            bit = self.runs(size, at) >> np.uint64(64 - FILTER_BITS)
+            ok = np.zeros(len(ok), bool)
+            ok[at] = marked[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1
+            yield ok
 
 
 def _lang_number(lang: str) -> int:
@@ -124,11 +145,13 @@ def count_words(docs: DataFrame) -> DataFrame:
     return parts.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def pair_bits(docs: DataFrame, least: int) -> bytes:
-    """Bitmap of the hashes of pairs of words that occur often enough; its size is fixed, so it may be broadcast."""
+def _often(docs: DataFrame, least: int, k: int, bits: bytes | None) -> bytearray:
+    """Bitmap of the hashes of runs of k words that occur often enough; with bits, only runs whose shorter runs are marked there are counted."""
+    mask = docs.sparkSession.sparkContext.broadcast(bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
+        marked = None if mask.value is None else np.frombuffer(mask.value, np.uint8)
 
         def out() -> pa.RecordBatch:
             h, n = np.unique(np.concatenate(held), return_counts=True)
@@ -136,7 +159,11 @@ def pair_bits(docs: DataFrame, least: int) -> bytes:
 
         for lang, data in stretches(batches):
             w = Words(data, _lang_number(lang))
-            held.append(w.pairs[w.joined])
+            ok = w.joined
+            if marked is not None:
+                *_, ok = w.inner(marked, k - 1)
+                ok = ok[:-1] & ok[1:]
+            held.append(w.runs(k, np.flatnonzero(ok)))
             size += len(held[-1])
             if size > HASHES:
                 yield out()
@@ -150,7 +177,21 @@ def pair_bits(docs: DataFrame, least: int) -> bytes:
     out = bytearray(1 << FILTER_BITS - 3)
     for r in pages.collect():  # at most 2**FILTER_BITS bits in all
         out[4096 * (r.page - 1) : 4096 * r.page] = r.bits
-    return bytes(out)
+    mask.destroy()
+    return out
+
+
+def pair_bits(docs: DataFrame, least: int) -> bytes:
+    """Bitmap of the hashes of pairs of words that occur often enough; its size is fixed, so it may be broadcast."""
+    return bytes(_often(docs, least, 2, None))
+
+
+def run_bits(docs: DataFrame, least: int, longest: int = LONGEST) -> bytes:
+    """The bitmap of pairs, with the runs of three to `longest` words that occur often enough marked too."""
+    bits = pair_bits(docs, least)
+    for k in range(3, longest + 1):
+        bits = (np.frombuffer(bits, np.uint8) | np.frombuffer(_often(docs, least, k, bits), np.uint8)).tobytes()
+    return bits
 
 
 def compacted(edges: dict[bytes, int]) -> Iterator[tuple[bytes, int]]:
@@ -183,8 +224,8 @@ def compacted(edges: dict[bytes, int]) -> Iterator[tuple[bytes, int]]:
 
 
 def find_paths(docs: DataFrame, bits: bytes, longest: int = LONGEST) -> DataFrame:
-    """lang, path, n: of runs of marked pairs, paths of longest words or more, each run of `longest` words in it having n
-    occurrences in the task; and shorter runs that end a piece n times."""
+    """lang, path, n: paths of longest words or more, each run of `longest` words in it being marked and having n
+    occurrences in the task; and shorter marked runs that end a piece n times, as no marked run of one word more starts there."""
     mask = docs.sparkSession.sparkContext.broadcast(bits)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,16 +243,15 @@ def find_paths(docs: DataFrame, bits: bytes, longest: int = LONGEST) -> DataFram
 
         for lang, data in stretches(batches):
             w = Words(data, _lang_number(lang))
-            bit = w.pairs >> np.uint64(64 - FILTER_BITS)
-            good = w.joined & (marked[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-            edge = np.flatnonzero(np.diff(np.r_[False, good, False].astype(np.int8)))
-            e, s = edges[lang], ends[lang]
-            for a, b in zip(w.start[edge[::2]].tolist(), w.end[edge[1::2]].tolist(), strict=True):
-                words = data[a:b].split()
-                for i in range(len(words) - longest + 1):
-                    e[b" ".join(words[i : i + longest])] += 1
-                for i in range(max(0, len(words) - longest + 1), len(words) - 1):
-                    s[b" ".join(words[i:])] += 1
+            words = data.translate(_SPACED).split()
+            inner = [*w.inner(marked, longest)]
+            for k, ok in enumerate(inner, 2):
+                own = edges[lang] if k == longest else ends[lang]
+                if k < longest:
+                    ok = ok.copy()
+                    ok[:-1] &= ~inner[k - 1]
+                for i in np.flatnonzero(ok).tolist():
+                    own[b" ".join(words[i : i + k])] += 1
             if sum(map(len, edges.values())) + sum(map(len, ends.values())) > HELD:
                 yield from out()
         yield from out()
@@ -223,7 +263,7 @@ def find_paths(docs: DataFrame, bits: bytes, longest: int = LONGEST) -> DataFram
 def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, made: list[str] | None = None) -> DataFrame:
     """lang, phrase, k, n: all phrases of 2 to longest words of docs(lang, text) with at least `least` occurrences."""
     made = [] if made is None else made
-    paths = materialize(find_paths(docs, pair_bits(docs, least), longest), "paths", made)
+    paths = materialize(find_paths(docs, run_bits(docs, least, longest), longest), "paths", made)
     words = F.split("path", " ")
     cut = F.transform(F.sequence(F.lit(1), F.size(words) - longest + 1), lambda i: F.array_join(F.slice(words, i, longest), " "))
     grams = paths.where(F.size(words) >= longest).select("lang", F.explode(cut).alias("phrase"), "n")

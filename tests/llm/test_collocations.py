@@ -55,6 +55,27 @@ def test_a_full_bitmap_changes_nothing(spark, docs, monkeypatch):
     assert sorted(tuple(x) for x in c.collocations(frame, 20, 50).collect()) == brute(docs, 20, 50)
 
 
+def test_windows_only_where_all_their_parts_are_frequent(spark, monkeypatch):
+    r = random.Random(9)
+    docs = [("en", " ".join(r.choice("abcdefghijkl") for _ in range(10)) + (". one two three four five six" if i % 40 == 0 else ".")) for i in range(2000)]
+    kept, seen = c.materialize, {}
+
+    def materialize(df, label, made=None):
+        out = kept(df, label, made)
+        seen.setdefault(label, sorted((x.path, x.n) for x in out.collect()) if label == "paths" else None)
+        return out
+
+    monkeypatch.setattr(c, "materialize", materialize)
+    frame = spark.createDataFrame(docs, "lang string, text string").coalesce(1)
+    assert sorted(tuple(x) for x in c.collocations(frame, 40, 200).collect()) == brute(docs, 40, 200)
+    # every pair of letters is frequent and no three are: counted as pairs, not as windows of five
+    assert [p for p in seen["paths"] if p[0].count(" ") >= 4] == [("one two three four five six", 50)]
+    letters = [p for p in seen["paths"] if len(p[0].split()[0]) == 1]
+    assert {len(p) for p, _ in letters} == {3} and sum(n for _, n in letters) == 9 * 2000
+    # a word starts one run at most: no more rows than words, whatever the groups
+    assert sum(n * max(1, p.count(" ") - 3) for p, n in seen["paths"]) <= sum(len(t.replace(".", " ").split()) for _, t in docs)
+
+
 def test_small_parts_and_long_pieces(spark, docs, monkeypatch):
     whole = [("en", d) for _, d in c.stretches(iter([_rows(docs)]))]
     for size in (7, 50):
