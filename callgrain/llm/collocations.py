@@ -2,17 +2,21 @@
 
 Pieces of text, between line ends and signs, are runs of words. The graph's nodes are
 runs of four words, an edge joins two that overlap in three: it is a run of five and
-weighs its occurrences. Only these longest grams are aggregated, and the runs of two to
-four words at which pieces end. The count of a shorter phrase is the flow out of its
-node, the weights of all grams of one word more that start with it, plus the pieces that
-end with it; so four words come from five, three from four, and two from three.
+weighs its occurrences. Only these longest grams are aggregated, and the runs of four words
+at which pieces end. The count of a phrase of four words is the flow out of its node, the
+weights of all grams of five words that start with it, plus the pieces that end with it.
+Runs of two and three words are the edges of the graphs whose nodes are single words and
+pairs. All filters start from their weights, so they are weighed once, beforehand, and not
+handed on with the longer runs: those that are frequent lie in nearly every task, and would
+make as many rows as there are tasks times such runs.
 
 Two things keep the graph small without changing a count that matters:
 
-* A phrase with enough occurrences has only parts with enough. Pairs of words are
-  counted by a 64-bit hash; the hashes that reach the bound are marked in a bitmap of
-  2**FILTER_BITS bits, the only thing broadcast. Then so are the runs of three words whose
-  pairs are marked, the runs of four whose runs of three are, and so on, in the same bitmap.
+* A phrase with enough occurrences has only parts with enough. Words that reach the bound
+  are marked by a 64-bit hash in a bitmap of 2**FILTER_BITS bits, the only thing broadcast;
+  pairs are made of these only. Pairs that reach it are marked in another, runs of three
+  words are made of these only, and marked in the same. Then runs of four words whose runs
+  of three are marked are counted by hash and marked too, and so on.
   A run that is not marked is no edge: where it would go on, its first words end a piece.
   Hashes or bits that coincide only leave rare runs in.
 * Unary paths, nodes with one edge in and one out of the same weight, are compacted in
@@ -31,9 +35,11 @@ from __future__ import annotations
 import gc
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,8 +48,10 @@ from callgrain.llm.common import drop, materialize, python_ready
 
 LEAST, FIRST, LONGEST = 100, 2000, 5
 FILTER_BITS = 27
-#: Entries of a task's counts before they are handed on, hashes before they are counted, bytes looked at together.
-HELD, HASHES, PART_BYTES = 400_000, 4_000_000, 1 << 21
+#: Entries of a task's counts before they are handed on, hashes before they are counted, bytes looked at together, rows of a batch of runs.
+HELD, HASHES, PART_BYTES, RUN_ROWS = 400_000, 4_000_000, 1 << 21, 1 << 16
+#: Runs of up to so many words are weighed beforehand.
+WEIGHED = 3
 # fixed values: what ends a piece, and what parts words
 BREAKS, GAPS = b".,;:!?\n\x0b\x0c\r", b" \t"
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -85,6 +93,11 @@ class Words:
             h = h * _BASE + self._h[at + i]
         return _mixed(h + self._lang)
 
+    def marks(self, marked: np.ndarray, k: int, at: np.ndarray) -> np.ndarray:
+        """Whether the runs of k words that start at the words `at` are marked."""
+        bit = self.runs(k, at) >> np.uint64(64 - FILTER_BITS)
+        return (marked[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
     def inner(self, marked: np.ndarray, k: int) -> Iterator[np.ndarray]:
         """For 2 to k words: whether the run that starts at each word is of one piece and it and all runs within it are marked."""
         ok = self.joined
@@ -92,11 +105,18 @@ class Words:
             if size > 2:
                 ok = ok[:-1] & ok[1:]
             at = np.flatnonzero(ok)
-            bit = self.runs(size, at) >> np.uint64(64 - FILTER_BITS)
             ok = np.zeros(len(ok), bool)
-            ok[at] = marked[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1
+            ok[at] = self.marks(marked, size, at)
             yield ok
 
+    def candidates(self, marked: np.ndarray, k: int) -> np.ndarray:
+        """The words at which a run of k words of one piece starts whose shorter runs are marked; for two words, both words."""
+        if k == 2:
+            known = self.marks(marked, 1, np.arange(len(self.start)))
+            return np.flatnonzero(self.joined & known[:-1] & known[1:])
+        *_, ok = self.inner(marked, k - 1)
+        return np.flatnonzero(ok[:-1] & ok[1:])
+
 
 def _lang_number(lang: str) -> int:
     return int(_mixed(np.frombuffer(lang.encode()[:8].ljust(8, b"\0"), "<u8") + np.uint64(len(lang)))[0])
@@ -145,13 +165,23 @@ def count_words(docs: DataFrame) -> DataFrame:
     return parts.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def _often(docs: DataFrame, least: int, k: int, bits: bytes | None) -> bytearray:
-    """Bitmap of the hashes of runs of k words that occur often enough; with bits, only runs whose shorter runs are marked there are counted."""
+def _bitmap(hashes: DataFrame) -> bytearray:
+    """Bitmap of hashes(h)."""
+    bit = F.shiftrightunsigned("h", 64 - FILTER_BITS) + 1
+    pages = hashes.groupBy(F.bitmap_bucket_number(bit).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+    out = bytearray(1 << FILTER_BITS - 3)
+    for r in pages.collect():  # at most 2**FILTER_BITS bits in all
+        out[4096 * (r.page - 1) : 4096 * r.page] = r.bits
+    return out
+
+
+def _often(docs: DataFrame, least: int, k: int, bits: bytes) -> bytearray:
+    """Bitmap of the hashes of runs of k words that occur often enough; only runs whose shorter runs are marked in bits are counted."""
     mask = docs.sparkSession.sparkContext.broadcast(bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        marked = None if mask.value is None else np.frombuffer(mask.value, np.uint8)
+        marked = np.frombuffer(mask.value, np.uint8)
 
         def out() -> pa.RecordBatch:
             h, n = np.unique(np.concatenate(held), return_counts=True)
@@ -159,11 +189,7 @@ def _often(docs: DataFrame, least: int, k: int, bits: bytes | None) -> bytearray
 
         for lang, data in stretches(batches):
             w = Words(data, _lang_number(lang))
-            ok = w.joined
-            if marked is not None:
-                *_, ok = w.inner(marked, k - 1)
-                ok = ok[:-1] & ok[1:]
-            held.append(w.runs(k, np.flatnonzero(ok)))
+            held.append(w.runs(k, w.candidates(marked, k)))
             size += len(held[-1])
             if size > HASHES:
                 yield out()
@@ -171,27 +197,76 @@ def _often(docs: DataFrame, least: int, k: int, bits: bytes | None) -> bytearray
         if held:
             yield out()
 
-    often = docs.select("lang", "text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    bit = F.shiftrightunsigned("h", 64 - FILTER_BITS) + 1
-    pages = often.groupBy(F.bitmap_bucket_number(bit).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
-    out = bytearray(1 << FILTER_BITS - 3)
-    for r in pages.collect():  # at most 2**FILTER_BITS bits in all
-        out[4096 * (r.page - 1) : 4096 * r.page] = r.bits
+    often = _bitmap(docs.select("lang", "text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
     mask.destroy()
-    return out
+    return often
+
 
+def run_marks(runs: DataFrame, k: int) -> bytes:
+    """Bitmap of the hashes of runs(lang, phrase) of k words each; its size is fixed, so it may be broadcast."""
 
-def pair_bits(docs: DataFrame, least: int) -> bytes:
-    """Bitmap of the hashes of pairs of words that occur often enough; its size is fixed, so it may be broadcast."""
-    return bytes(_often(docs, least, 2, None))
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, data in stretches(batches):
+            w = Words(data, _lang_number(lang))
+            yield pa.RecordBatch.from_arrays([pa.array(w.runs(k, np.arange(0, len(w.start), k)).view(np.int64))], ["h"])
+
+    return bytes(_bitmap(runs.select("lang", "phrase").mapInArrow(hashed, "h long")))
+
+
+def pair_bits(pairs: DataFrame) -> bytes:
+    """Bitmap of the hashes of pairs(lang, phrase)."""
+    return run_marks(pairs, 2)
 
 
-def run_bits(docs: DataFrame, least: int, longest: int = LONGEST) -> bytes:
-    """The bitmap of pairs, with the runs of three to `longest` words that occur often enough marked too."""
-    bits = pair_bits(docs, least)
-    for k in range(3, longest + 1):
-        bits = (np.frombuffer(bits, np.uint8) | np.frombuffer(_often(docs, least, k, bits), np.uint8)).tobytes()
-    return bits
+def count_runs(docs: DataFrame, k: int, bits: bytes, at_once: int = HASHES) -> DataFrame:
+    """lang, phrase, n: occurrences of the runs of k words of docs(lang, text) whose shorter runs (of pairs: whose words)
+    are marked; a task holds at_once of them before it counts them."""
+    mask = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = np.frombuffer(mask.value, np.uint8)
+        ids: dict[str, dict[bytes, int]] = defaultdict(dict)
+        held: dict[str, list[np.ndarray]] = defaultdict(list)
+        size, low = 0, 0xFFFFFFFF
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, own in held.items():
+                # a run is the number of the run of its first words, and its last word
+                run, *more, last = np.concatenate(own, axis=1).astype(np.int64)
+                shorter = []
+                for word in more:
+                    seen, run = np.unique(run << 32 | word, return_inverse=True)
+                    shorter.append(seen)
+                runs, n = np.unique(run << 32 | last, return_counts=True)
+                names = pa.array([w.decode() for w in ids[lang]], pa.string())
+                for at in range(0, len(runs), RUN_ROWS):
+                    some, words = runs[at : at + RUN_ROWS], []
+                    for seen in reversed(shorter):
+                        words.append(some & low)
+                        some = seen[some >> 32]
+                    words += [some & low, some >> 32]
+                    phrase = pc.binary_join_element_wise(*(names.take(pa.array(x)) for x in reversed(words)), " ")
+                    yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(some)), phrase, pa.array(n[at : at + RUN_ROWS], pa.int64())], ["lang", "phrase", "n"])
+            held.clear()
+            ids.clear()
+
+        for lang, data in stretches(batches):
+            w = Words(data, _lang_number(lang))
+            at = w.candidates(marked, k)
+            used = np.zeros(len(w.start), bool)
+            for i in range(k):
+                used[at + i] = True
+            own, number = ids[lang], np.zeros(len(used), np.int32)
+            number[used] = [own.setdefault(x, len(own)) for x in compress(data.translate(_SPACED).split(), used.tolist())]
+            held[lang].append(np.stack([number[at + i] for i in range(k)]))
+            size += len(at)
+            if size > at_once or sum(map(len, ids.values())) > HELD:
+                yield from out()
+                size = 0
+        yield from out()
+
+    parts = docs.select("lang", "text").mapInArrow(weigh, "lang string, phrase string, n long")
+    return parts.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
 def compacted(edges: dict[bytes, int]) -> Iterator[tuple[bytes, int]]:
@@ -225,7 +300,8 @@ def compacted(edges: dict[bytes, int]) -> Iterator[tuple[bytes, int]]:
 
 def find_paths(docs: DataFrame, bits: bytes, longest: int = LONGEST) -> DataFrame:
     """lang, path, n: paths of longest words or more, each run of `longest` words in it being marked and having n
-    occurrences in the task; and shorter marked runs that end a piece n times, as no marked run of one word more starts there."""
+    occurrences in the task; and shorter marked runs, of more than WEIGHED words, that end a piece n times, as no
+    marked run of one word more starts there."""
     mask = docs.sparkSession.sparkContext.broadcast(bits)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,11 +321,11 @@ def find_paths(docs: DataFrame, bits: bytes, longest: int = LONGEST) -> DataFram
             w = Words(data, _lang_number(lang))
             words = data.translate(_SPACED).split()
             inner = [*w.inner(marked, longest)]
-            for k, ok in enumerate(inner, 2):
+            for k, ok in enumerate(inner[WEIGHED - 1 :], WEIGHED + 1):
                 own = edges[lang] if k == longest else ends[lang]
                 if k < longest:
                     ok = ok.copy()
-                    ok[:-1] &= ~inner[k - 1]
+                    ok[:-1] &= ~inner[k - 1]  # those of one word more
                 for i in np.flatnonzero(ok).tolist():
                     own[b" ".join(words[i : i + k])] += 1
             if sum(map(len, edges.values())) + sum(map(len, ends.values())) > HELD:
@@ -260,20 +336,35 @@ def find_paths(docs: DataFrame, bits: bytes, longest: int = LONGEST) -> DataFram
     return docs.select("lang", "text").mapInArrow(find, "lang string, path string, n long")
 
 
-def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, made: list[str] | None = None) -> DataFrame:
-    """lang, phrase, k, n: all phrases of 2 to longest words of docs(lang, text) with at least `least` occurrences."""
+def phrase_counts(docs: DataFrame, words: DataFrame, least: int = LEAST, longest: int = LONGEST, made: list[str] | None = None) -> DataFrame:
+    """lang, phrase, k, n: all phrases of 2 to longest words of docs(lang, text) with at least `least` occurrences; words as of count_words."""
     made = [] if made is None else made
-    paths = materialize(find_paths(docs, run_bits(docs, least, longest), longest), "paths", made)
-    words = F.split("path", " ")
-    cut = F.transform(F.sequence(F.lit(1), F.size(words) - longest + 1), lambda i: F.array_join(F.slice(words, i, longest), " "))
-    grams = paths.where(F.size(words) >= longest).select("lang", F.explode(cut).alias("phrase"), "n")
+    bits = run_marks(words.where(F.col("n") >= least).select("lang", F.col("word").alias("phrase")), 1)
+    paths, held = None, []
+    for k in range(2, longest + 1):
+        if k > WEIGHED:
+            more = _often(docs, least, k, bits)
+        else:
+            runs = materialize(count_runs(docs, k, bits).where(F.col("n") >= least), "runs", held)
+            paths = runs if paths is None else paths.unionByName(runs)
+            more = pair_bits(runs) if k == 2 else run_marks(runs, k)
+        bits = bytes(more) if k == 2 else (np.frombuffer(bits, np.uint8) | np.frombuffer(more, np.uint8)).tobytes()
+    paths = paths.withColumnRenamed("phrase", "path")
+    if longest > WEIGHED:
+        paths = find_paths(docs, bits, longest).unionByName(paths)
+    paths = materialize(paths, "paths", made)
+    drop(docs.sparkSession, held)
+    parts = F.split("path", " ")
+    cut = F.transform(F.sequence(F.lit(1), F.size(parts) - longest + 1), lambda i: F.array_join(F.slice(parts, i, longest), " "))
+    grams = paths.where(F.size(parts) >= longest).select("lang", F.explode(cut).alias("phrase"), "n")
     out, old = None, []
     for k in range(longest, 1, -1):
         counted = materialize(grams.groupBy("lang", "phrase").agg(F.sum("n").alias("n")), "grams", now := [])
         often = materialize(counted.where(F.col("n") >= least).withColumn("k", F.lit(k)), "phrases", made)
         out = often if out is None else out.unionByName(often)
         flow = counted.select("lang", F.substring_index("phrase", " ", k - 1).alias("phrase"), "n")
-        grams = flow.unionByName(paths.where(F.size(words) == k - 1).select("lang", F.col("path").alias("phrase"), "n"))
+        ends = paths.where(F.size(parts) == k - 1).select("lang", F.col("path").alias("phrase"), "n")
+        grams = flow.unionByName(ends) if k - 1 > WEIGHED else ends  # weighed ones have all their occurrences
         drop(docs.sparkSession, old)
         old = now
     drop(docs.sparkSession, old)
@@ -291,7 +382,7 @@ def collocations(docs: DataFrame, least: int = LEAST, first: int = FIRST, longes
     made: list[str] = []
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     words = materialize(count_words(docs), "words")
-    phrases = phrase_counts(docs, least, longest, made)
+    phrases = phrase_counts(docs, words, least, longest, made)
     counts = phrases.select("lang", "phrase", F.col("n").alias("f")).unionByName(words.where(F.col("n") >= least).select("lang", F.col("word").alias("phrase"), F.col("n").alias("f")))
     sizes = words.groupBy("lang").agg(F.sum("n").alias("total"))
     # one word more at either end, with the same count, absorbs a phrase

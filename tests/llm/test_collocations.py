@@ -76,6 +76,52 @@ def test_windows_only_where_all_their_parts_are_frequent(spark, monkeypatch):
     assert sum(n * max(1, p.count(" ") - 3) for p, n in seen["paths"]) <= sum(len(t.replace(".", " ").split()) for _, t in docs)
 
 
+def test_a_short_run_is_one_row_however_many_tasks_have_it(spark, monkeypatch):
+    r = random.Random(12)
+    docs = [("en", " ".join(r.choice("abcdefghij") for _ in range(12)) + (". one two three" if i % 20 == 0 else ".")) for i in range(2400)]
+    kept, seen = c.materialize, []
+
+    def materialize(df, label, made=None):
+        out = kept(df, label, made)
+        if label == "paths":
+            seen.extend((x.path, x.n) for x in out.collect())
+        return out
+
+    monkeypatch.setattr(c, "materialize", materialize)
+    frame = spark.createDataFrame(docs, "lang string, text string").repartition(8)
+    assert sorted(tuple(x) for x in c.collocations(frame, 100, 200).collect()) == brute(docs, 100, 200)
+    # before, each of the eight tasks handed on its own row of each of these
+    assert len(seen) == len({p for p, _ in seen}) == 100 + 2 + 1
+    assert sum(n for p, n in seen if len(p) == 3) == 11 * 2400
+
+
+@pytest.mark.parametrize("longest", [2, 3, 4, 7])
+def test_other_longest_phrases(spark, longest):
+    docs = [("en", "one two three four five six seven eight"), ("en", "two three four. one two three")] * 12 + [("en", "seven eight one two")] * 5
+    counts = collections.Counter(tuple(ws[i : i + k]) for _, t in docs for p in t.split(".") for ws in [p.split()] for k in range(2, longest + 1) for i in range(len(ws) - k + 1))
+    frame = spark.createDataFrame(docs, "lang string, text string").repartition(3)
+    got = c.phrase_counts(frame, c.count_words(frame), 6, longest).collect()
+    assert sorted((tuple(x.phrase.split(" ")), x.k, x.n) for x in got) == sorted((g, len(g), n) for g, n in counts.items() if n >= 6)
+
+
+@pytest.mark.parametrize("k", [2, 3, 4])
+def test_runs_of_marked_parts_are_counted_in_small_batches(spark, docs, k):
+    frame = spark.createDataFrame(docs, "lang string, text string").select(c.F.coalesce("lang", c.F.lit("und")).alias("lang"), "text").repartition(3)
+    plain = collections.Counter()
+    for lang, text in docs:
+        for piece in re.split("[.,;:!?\x0a-\x0d]", (text or "").lower()):
+            ws = re.findall("[^\x20\x09]+", piece)
+            plain.update((lang or "und", " ".join(ws[i : i + k])) for i in range(len(ws) - k + 1))
+    full = b"\xff" * (1 << c.FILTER_BITS - 3)
+    for at_once in (3, c.HASHES):
+        got = {(x.lang, x.phrase): x.n for x in c.count_runs(frame, k, full, at_once).collect()}
+        assert got == plain
+    assert c.count_runs(frame, k, bytes(1 << c.FILTER_BITS - 3)).count() == 0
+    if k == 2:
+        some = spark.createDataFrame([("en", "one"), ("en", "two"), ("en", "three"), ("de", "b")], "lang string, phrase string")
+        assert {(x.lang, x.phrase) for x in c.count_runs(frame, k, c.run_marks(some, 1)).collect()} == {("en", "one two"), ("en", "two three"), ("de", "b b")}
+
+
 def test_small_parts_and_long_pieces(spark, docs, monkeypatch):
     whole = [("en", d) for _, d in c.stretches(iter([_rows(docs)]))]
     for size in (7, 50):
