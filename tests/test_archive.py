@@ -6,9 +6,11 @@ import json
 import resource
 import shutil
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from callgrain.plans.queries import ORACLES, QUERIES
 from callgrain.sources import archive, recordings
 from callgrain.streaming import streams
 
@@ -90,6 +92,33 @@ def test_an_archive_is_read_once(spark, tmp_path):
         archive.load_archive(spark, str(root))
 
 
+def tables(folder, texts):
+    """Documents of these texts, and two conversations, as the queries read them."""
+    folder.mkdir()
+    con = duckdb.connect()
+    con.sql("create table documents (doc_id bigint, text varchar, lang varchar, source varchar, n_chars bigint)")
+    con.executemany("insert into documents values (?, ?, 'en', 'src', 1)", [[i, t] for i, t in enumerate(texts)])
+    con.sql("create table conversations as select i // 3 as conv_id, i % 3 as turn, 'user' as role, 'said ' || i as text from range(6) r(i)")
+    for name in ("documents", "conversations"):
+        con.sql(f"copy {name} to '{folder / name}.parquet'")
+    return con
+
+
+def same_as_sql(spark, con, folder, name):
+    got = QUERIES[name](spark, str(folder))
+    columns = ", ".join(sorted(got.columns))
+    want = con.sql(f"select {columns} from ({ORACLES[name]})").fetchall()
+    key = lambda r: tuple(map(repr, r))
+    assert sorted(map(tuple, got.select(*sorted(got.columns)).collect()), key=key) == sorted(want, key=key)
+    return len(want)
+
+
+def test_a_text_of_zero_bytes_is_an_artifact(spark, tmp_path):
+    for i, texts in enumerate((["", "b", "c"], ["a", None, "", "b"])):
+        con = tables(tmp_path / str(i), texts)
+        assert same_as_sql(spark, con, tmp_path / str(i), "ref_rebuild_archive") == 3
+
+
 def test_files_are_written_again_by_repeated_tasks(spark, tmp_path):
     files = spark.createDataFrame([("x/y/a.json", "ü"), ("b.txt", "")], "name string, body string")
     for _ in range(2):
