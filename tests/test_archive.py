@@ -10,6 +10,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from callgrain.plans import queries
 from callgrain.plans.queries import ORACLES, QUERIES
 from callgrain.sources import archive, recordings
 from callgrain.streaming import streams
@@ -119,6 +120,16 @@ def test_a_text_of_zero_bytes_is_an_artifact(spark, tmp_path):
         assert same_as_sql(spark, con, tmp_path / str(i), "ref_rebuild_archive") == 3
 
 
+def test_an_archive_goes_part_by_part(spark, tmp_path, monkeypatch):
+    shared, there, write = tmp_path / "shared", [], archive.write_files
+    found = lambda: len(list(shared.rglob("metadata.json")))
+    monkeypatch.setattr(archive, "write_files", lambda *a: (write(*a), there.append(found())))
+    monkeypatch.setattr(queries, "PART_CALLS", 4, raising=False)
+    monkeypatch.setattr(queries, "scratch", lambda spark, label: str(shared / f"{label}-{len(there)}"))
+    assert same_as_sql(spark, tables(tmp_path / "t", [f"text {i % 8}" for i in range(10)]), tmp_path / "t", "ref_rebuild_archive") == 8
+    assert sum(there) == 10 and max(there) <= 4 and found() == 0  # no more than a part at a time, and nothing stays
+
+
 def test_files_are_written_again_by_repeated_tasks(spark, tmp_path):
     files = spark.createDataFrame([("x/y/a.json", "ü"), ("b.txt", "")], "name string, body string")
     for _ in range(2):
