@@ -120,6 +120,23 @@ def test_a_text_of_zero_bytes_is_an_artifact(spark, tmp_path):
         assert same_as_sql(spark, con, tmp_path / str(i), "ref_rebuild_archive") == 3
 
 
+def test_recordings_are_listed_by_executors(spark, tmp_path):
+    folder = tmp_path / "in ü%20"
+    folder.mkdir()
+    for name, body in {"a.wav": b"abc", "no.wav.txt": b"x", "c d%20ü.Flac": b"", ".h.wav": b"x", "_h.wav": b"x", "wav": b"x", "deep.wav": None}.items():
+        (folder / name).mkdir() if body is None else (folder / name).write_bytes(body)
+    (folder / "deep.wav" / "e.wav").write_bytes(b"x")
+    for content in (False, True):
+        found = recordings.scan_recordings(spark, str(folder), content=content)
+        assert found.inputFiles() == []  # else the driver has listed them
+        assert sorted((r.path[-14:].split("/")[-1], r.length, bytes(r.content) if content else None) for r in found.collect()) == [("a.wav", 3, b"abc" if content else None), ("c d%20ü.Flac", 0, b"" if content else None)]
+    spark_s = spark.read.format("binaryFile").load(str(folder / "a.wav")).drop("content")
+    assert recordings.scan_recordings(spark, str(folder), content=False).where("length > 0").collect() == spark_s.collect()
+    assert spark_s.schema.simpleString() == recordings.scan_recordings(spark, str(folder), content=False).schema.simpleString()
+    con = tables(tmp_path / "t", ["a", "", "c", "d", "e", "f"])
+    assert same_as_sql(spark, con, tmp_path / "t", "ref_scan_recordings") == 4
+
+
 def test_an_archive_goes_part_by_part(spark, tmp_path, monkeypatch):
     shared, there, write = tmp_path / "shared", [], archive.write_files
     found = lambda: len(list(shared.rglob("metadata.json")))
